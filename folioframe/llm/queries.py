@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, sharding, url_filter
+from . import bpe, common, quality, sharding, topk, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -44,6 +44,29 @@ def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(ident: str, modulus: int):
+    """crc32 of the id as text, modulo: the folds of the contracts."""
+    return F.crc32(F.col(ident).cast("string").cast("binary")) % modulus
+
+
+def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    out = quality.score(docs, model)
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -64,6 +87,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sharding": op2_histogram_sharding,
+    "op5_quality_votes": op5_quality_votes,
+    "op6_toxicity_cnn": op6_toxicity_cnn,
+    "op7_nra_topk": op7_nra_topk,
     "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -71,6 +97,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
 
 ORACLES: dict[str, str] = {
+    "op7_nra_topk": """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op9_url_filter": f"""
 WITH rules(verdict, host, path) AS (VALUES {_RULE_ROWS}),
 cut AS (
@@ -96,7 +135,7 @@ WITH crc_table AS (
          CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k
   FROM documents
 ), total AS (
-  SELECT CAST(sum(size) AS BIGINT) AS total, greatest(1, least(65536, (count(*) + 3199999) // 3200000)) AS bins FROM sized
+  SELECT CAST(sum(size) AS BIGINT) AS total, CAST(greatest(1, least(65536, (sum(size) + 268435455) // 268435456)) AS BIGINT) AS bins FROM sized
 ), by_row AS (
   SELECT k, doc_id, CAST(sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, size FROM sized
 ), by_key AS (

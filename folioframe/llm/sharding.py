@@ -112,7 +112,7 @@ def shard_of(cuts: list[tuple[int, int]], key: Column, ident: Column) -> Column:
     return out.cast("int")
 
 
-def shard_by_bytes(df: DataFrame, shards: int = 16, text: str = "text", ident: str = "doc_id", whole_group: float = 0.002, bin_rows: int = 200_000) -> DataFrame:
+def shard_by_bytes(df: DataFrame, shards: int = 16, text: str = "text", ident: str = "doc_id", whole_group: float = 0.002, bin_bytes: int = 16 << 20) -> DataFrame:
     """Append shard and slot (gapless from 0 in each shard) so that shards have near-equal bytes.
 
     A row's size is its text's UTF-8 bytes plus 1. A shard is off by at most one row, or by
@@ -122,7 +122,8 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, text: str = "text", ident: s
 
     Slots: each shard is dealt into bins by a digest of the id, whatever text is frequent; a bin's
     first slot is the sum of those before it and rows in a bin follow (key, id). One exchange moves
-    the rows, and no task gets more than about `bin_rows` of them.
+    the rows, about `bin_bytes` of text to a task (65,536 bins a shard at most, so the starts are a small
+    table whatever the input).
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
@@ -130,7 +131,8 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, text: str = "text", ident: s
     number = F.coalesce(F.col(ident).cast("long"), F.lit(ID_LOW))
     narrow = Scratch(spark, "shard").write(df.select(key.alias("_key"), number.alias("_id"), size.alias("_size")))
     cuts = splitters(narrow, shards, whole_group)
-    bins = max(1, min(65_536, -(-narrow.count() // (bin_rows * shards))))
+    total = narrow.agg(F.sum("_size")).first()[0] or 0
+    bins = max(1, min(65_536, -(-total // (bin_bytes * shards))))
     digest = F.conv(F.substring(F.md5(F.col("_id").cast("string")), 1, 4), 16, 10).cast("int") % bins
     placed = narrow.select(shard_of(cuts, F.col("_key"), F.col("_id")).alias("shard"), digest.alias("_bin"))
     counts = placed.groupBy("shard", "_bin").agg(F.count("*").alias("n"))
