@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, quality, sharding, topk, toxicity, url_filter
+from . import bpe, common, decontamination, language_model, quality, sharding, topk, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -49,6 +49,18 @@ def remainder(ident: str, modulus: int):
     return F.crc32(F.col(ident).cast("string").cast("binary")) % modulus
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.item_id", "o.words", "o.similarity", "o.start", "o.end")
+
+
+def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_model.score_texts(docs, remainder("doc_id", 10) != 0)
+    return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -87,9 +99,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sharding": op2_histogram_sharding,
+    "op3_spaced_seeds": op3_spaced_seeds,
     "op5_quality_votes": op5_quality_votes,
     "op6_toxicity_cnn": op6_toxicity_cnn,
     "op7_nra_topk": op7_nra_topk,
+    "op8_backoff_automaton": op8_backoff_automaton,
     "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from .common import map_texts, texts_of
 from .quality import labelled_sample
 
-#: Embedding tables, rows of each (as a power of two) and their width.
-TABLES, TABLE_BITS, TABLE_DIMS = 3, 16, 4
+#: Embedding tables, rows of each (as a power of two) and their width. Two hash the word, one its
+#: first four letters and one its first five, which speak for forms that were never seen.
+TABLES, TABLE_BITS, TABLE_DIMS = 4, 15, 4
 ROWS, DIMS = 1 << TABLE_BITS, TABLES * TABLE_DIMS
 HASH_BITS = TABLES * TABLE_BITS
 #: Filter widths in words, and filters of each.
@@ -38,7 +39,9 @@ class WordCodes(dict):
     def __missing__(self, word: str) -> int:
         low = word.lower()
         bare = low.strip("".join({ch for ch in low if not ch.isalnum()})) if not low.isalnum() else low
-        code = xxhash.xxh64_intdigest(bare) & (1 << HASH_BITS) - 1 | _LANGUAGE_OF.get(bare, 0) << HASH_BITS
+        code = xxhash.xxh64_intdigest(bare) & (1 << 2 * TABLE_BITS) - 1 | _LANGUAGE_OF.get(bare, 0) << HASH_BITS
+        for t, letters in ((2, 4), (3, 5)):
+            code |= (xxhash.xxh64_intdigest(bare[:letters], seed=t) & ROWS - 1) << t * TABLE_BITS
         if len(self) >= MEMO_ENTRIES:
             self.clear()
         if len(word) <= 64:
