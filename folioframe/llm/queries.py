@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, language_model, quality, sharding, topk, toxicity, url_filter
+from . import bpe, common, decontamination, language_model, ngram_join, quality, sharding, topk, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -61,6 +61,10 @@ def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -100,6 +104,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sharding": op2_histogram_sharding,
     "op3_spaced_seeds": op3_spaced_seeds,
+    "op4_ngram_join": op4_ngram_join,
     "op5_quality_votes": op5_quality_votes,
     "op6_toxicity_cnn": op6_toxicity_cnn,
     "op7_nra_topk": op7_nra_topk,
