@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, language_model, ngram_join, quality, sharding, topk, toxicity, url_filter
+from . import bpe, common, decontamination, language_model, ngram_join, quality, sharding, substring_dedup, topk, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -29,6 +29,11 @@ def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, in
     return bpe.load_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard_by_bytes(docs, shards=16)
@@ -102,6 +107,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_histogram_sharding": op2_histogram_sharding,
     "op3_spaced_seeds": op3_spaced_seeds,
     "op4_ngram_join": op4_ngram_join,
