@@ -69,12 +69,13 @@ def read_labels(lines: DataFrame, ident: str, order: str, line: str) -> DataFram
 
 def anchored_pages(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """Markdown by its `{n}` lines: ident, pdf_page, printed (from `<!-- Page: x -->`) and body; fenced lines are no anchors."""
-    plain = F.regexp_replace(text, r"(?s)```.*?```", "")
-    parts = F.slice(F.split(F.concat(F.lit("\n"), plain), r"\n(?=\{\d+\}\n)"), 2, 1_000_000)
-    rows = docs.select(ident, F.posexplode(parts).alias("ord", "part"))
+    hide = lambda part, i: F.when(i % 2 == 1, F.regexp_replace(part, r"\n\{", "\n\u0001{")).otherwise(part)
+    plain = F.array_join(F.transform(F.split(text, "```"), hide), "```")
+    parts = F.slice(F.split(F.concat(F.lit("\n"), plain), r"\n(?=\{\d+\}(?:\n|$))"), 2, 1_000_000)
+    rows = docs.select(ident, F.posexplode(parts).alias("ord", "part")).where(~F.col("part").rlike(r"^\{\d+\}$"))  # the closing anchor
     printed = F.nullif(F.trim(F.regexp_extract("part", r"<!-- Page: ([^>]*?)\.? ?-->", 1)), F.lit(""))
     body = F.regexp_replace(F.regexp_replace("part", r"^\{\d+\}\n", ""), r"<!-- Page: [^>]*-->", "")
-    body = F.regexp_replace(body, r"^\s+|\s+$", "")
+    body = F.regexp_replace(F.regexp_replace(body, "\u0001", ""), r"^\s+|\s+$", "")
     return rows.select(ident, "ord", F.regexp_extract("part", r"^\{(\d+)\}", 1).cast("int").alias("pdf_page"), printed.alias("printed"), body.alias("body"))
 
 

@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """A stream of event files, a few at a time: the next ones are taken when those are done."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    # as a glob, so that a single file will do
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def lease_sessions(events: DataFrame, scope: str, gap: str = "60 seconds", late: str = "1 minute") -> DataFrame:
@@ -33,8 +34,11 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour
     return counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def rolling_rates(events: DataFrame, scope: str, samples: int = 16, quiet_ms: int = 600_000) -> DataFrame:
-    """After each batch: a scope's mean over its last `samples` values; a quiet scope's state is dropped."""
+def rolling_rates(events: DataFrame, scope: str, samples: int = 16, quiet_ms: int | None = None) -> DataFrame:
+    """After each batch: a scope's mean over its last `samples` values.
+
+    With `quiet_ms`, the state of a scope that was quiet for so long is dropped.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,10 +50,11 @@ def rolling_rates(events: DataFrame, scope: str, samples: int = 16, quiet_ms: in
         kept = (kept + rows["value"].tolist())[-samples:]
         total += len(rows)
         state.update((kept, total))
-        state.setTimeoutDuration(quiet_ms)
+        if quiet_ms:
+            state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame({"scope": [key[0]], "rate": [sum(kept) / len(kept)], "seen": [total]})
 
-    return events.groupBy(scope).applyInPandasWithState(update, "scope long, rate double, seen long", "kept array<double>, total long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(scope).applyInPandasWithState(update, "scope long, rate double, seen long", "kept array<double>, total long", "update", GroupStateTimeout.ProcessingTimeTimeout if quiet_ms else GroupStateTimeout.NoTimeout)
 
 
 def ingest(pages: DataFrame, target: str, identity: str, checkpoint: str):
