@@ -95,7 +95,7 @@ def line_index(records: DataFrame, order: str, line: str) -> DataFrame:
 def file_kind(content: Column, name: Column) -> Column:
     """A file's kind by its first bytes, then by HTML signs, then by its name; else pdf."""
     start = F.hex(F.substring(content, 1, 4))
-    head = F.lower(F.decode(F.substring(content, 1, 512), F.lit("ISO-8859-1")))
+    head = F.lower(F.decode(F.substring(content, 1, 512), "ISO-8859-1"))
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     zipped = F.when(ext.isin("epub", "docx", "xlsx", "pptx"), ext).otherwise("zip")
     return (
