@@ -122,7 +122,8 @@ def _train(texts: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, see
             seen[int(label), np.unique((codes >> (t * TABLE_BITS)) & ROWS - 1)] += 1
         frequent = seen.sum(0) >= least
         share = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - y).sum() + 1))
-        tables[t, frequent, 0] = np.clip(share[frequent], -3, 3) / 3
+        # drawn to 0 where few texts speak
+        tables[t, frequent, 0] = (np.clip(share, -3, 3) / 3 * seen.sum(0) / (seen.sum(0) + 10))[frequent]
         tables[t, frequent, 1:] = rng.normal(0, 0.02, (int(frequent.sum()), TABLE_DIMS - 1))
     filters = [rng.normal(0, 0.1, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
@@ -190,7 +191,7 @@ def _calibrate(model: ToxicityModel, texts: list[np.ndarray], y: np.ndarray, lea
     return {i: best(p[of == i], y[of == i]) if y[of == i].sum() >= least else whole for i in range(len(LANGUAGES))}
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", ident: str = "doc_id", label: str = "toxic", bound: int = 4000, max_chars: int = 20_000, epochs: int = 5, rate: float = 0.05, seed: int = 7, least: int = 3) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", ident: str = "doc_id", label: str = "toxic", bound: int = 6000, max_chars: int = 20_000, epochs: int = 3, rate: float = 0.02, seed: int = 7, least: int = 4) -> ToxicityModel:
     """Train on a bounded sample of the labelled rows `allowed`: `bound` rows, texts of up to `max_chars`.
 
     Texts reach the driver as 8 bytes a word. A quarter of the sample is left for the thresholds.
@@ -200,7 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text",
     def make():
         return lambda part: [pa.array([codes_of(t).tobytes() for t in texts_of(part, text)], pa.binary())]
 
-    rows = sorted(map_texts(sample, text, [T.StructField("codes", T.BinaryType())], make, keep=[ident, "_label"]).collect())
+    found = sorted(map_texts(sample, text, [T.StructField("codes", T.BinaryType())], make, keep=[ident, "_label"]).collect())
+    # copies would make the rare words of a text look frequent
+    rows = list({r["codes"]: r for r in found}.values())
     texts = [np.frombuffer(r["codes"], np.int64) for r in rows]
     y = np.array([float(r["_label"] == 1) for r in rows])
     held = np.arange(len(y)) % 4 == 3 if y.sum() >= 200 else np.zeros(len(y), bool)
