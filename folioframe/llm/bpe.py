@@ -10,6 +10,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -17,9 +18,13 @@ from pyspark.sql import types as T
 from .common import map_texts, texts_of
 
 #: Ranks under one word of the lower bitmap.
-WORD_BITS, WORD_MASK = 8, 255
-#: Pre-tokens kept with their ids by a task; at that many the memo starts anew. Longer ones are not kept.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
+WORD_BITS = 8
+WORD_MASK = (1 << WORD_BITS) - 1
+#: Single bits of both levels: vocabularies of up to a million ranks.
+BIT = [1 << i for i in range(1 << 12)]
+SIGNS = ".,;:!?|"
+#: Pre-tokens and stretches a worker remembers with their ids, in each of two generations; longer ones are not kept.
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 
 
 def load_ranks(path: str, max_entries: int = 1_000_000) -> dict[bytes, int]:
@@ -39,6 +44,7 @@ class Merger:
         self.shift = shift = max(ranks.values(), default=0).bit_length()
         self.pairs = {ranks[t[:i]] << shift | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.single = [ranks[bytes([i])] for i in range(256)]
+        self.blank = [0] * ((max(ranks.values(), default=0) >> WORD_BITS) + 1)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: the lowest-ranked pair merges first, the leftmost of equals.
@@ -56,33 +62,34 @@ class Merger:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [-1] * n  # the rank a position's pair has now; -1: none, or the position is merged away
         buckets: dict[int, list[int]] = {}
-        lower: dict[int, int] = {}
+        lower = self.blank[:]
         upper = 0
-        left = token[0]
-        for i in range(1, n):
-            right = token[i]
+        i, left = 0, token[0]
+        for right in token[1:]:
             rank = find(left << shift | right)
             if rank is not None:
-                pair[i - 1] = rank
+                pair[i] = rank
                 if rank in buckets:
-                    buckets[rank].append(i - 1)
+                    buckets[rank].append(i)
                 else:
-                    buckets[rank] = [i - 1]
+                    buckets[rank] = [i]
                     word = rank >> WORD_BITS
-                    lower[word] = lower.get(word, 0) | 1 << (rank & WORD_MASK)
-                    upper |= 1 << word
+                    lower[word] |= BIT[rank & WORD_MASK]
+                    upper |= BIT[word]
+            i += 1
             left = right
         while upper:
             word = (upper & -upper).bit_length() - 1
             bits = lower[word]
-            first = bits & -bits
-            rank = word << WORD_BITS | first.bit_length() - 1
+            rank = word << WORD_BITS | (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                lower[word] = bits = bits ^ first
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                lower[word] = bits = bits & bits - 1
                 if not bits:
-                    upper ^= 1 << word
+                    upper &= upper - 1
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
@@ -90,27 +97,34 @@ class Merger:
             pair[gone] = pair[i] = -1
             after[i] = end
             token[i] = rank
-            at = before[i]
             if end < n:
                 before[end] = i
-                changed = ((i, find(rank << shift | token[end])), (at, find(token[at] << shift | rank))) if at >= 0 else ((i, find(rank << shift | token[end])),)
-            elif at >= 0:
-                changed = ((at, find(token[at] << shift | rank)),)
-            else:
-                break
-            for i, made in changed:
+                made = find(rank << shift | token[end])
+                if made is not None:
+                    pair[i] = made
+                    bucket = buckets.get(made)
+                    if bucket:
+                        heappush(bucket, i)
+                    else:
+                        buckets[made] = [i]
+                        word = made >> WORD_BITS
+                        lower[word] |= BIT[made & WORD_MASK]
+                        upper |= BIT[word]
+            i = before[i]
+            if i >= 0:
+                made = find(token[i] << shift | rank)
                 if made is None:
                     pair[i] = -1
-                    continue
-                pair[i] = made
-                bucket = buckets.get(made)
-                if bucket:
-                    heappush(bucket, i)
                 else:
-                    buckets[made] = [i]
-                    word = made >> WORD_BITS
-                    lower[word] = lower.get(word, 0) | 1 << (made & WORD_MASK)
-                    upper |= 1 << word
+                    pair[i] = made
+                    bucket = buckets.get(made)
+                    if bucket:
+                        heappush(bucket, i)
+                    else:
+                        buckets[made] = [i]
+                        word = made >> WORD_BITS
+                        lower[word] |= BIT[made & WORD_MASK]
+                        upper |= BIT[word]
         ids, i = [], 0
         while i < n:
             ids.append(token[i])
@@ -118,66 +132,87 @@ class Merger:
         return tuple(ids)
 
 
+class Memo:
+    """The ids of what was met lately: a full generation becomes the old one, and what is asked for again is kept."""
+
+    __slots__ = ("old", "young")
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def keep(self, text: str, ids: bytes) -> None:
+        if len(text) <= MEMO_CHARS:
+            if len(self.young) >= MEMO_ENTRIES:
+                self.old, self.young = self.young, {}
+            self.young[text] = ids
+
+
 class Encoder:
     """Splits a text by the pattern and merges each match; common stretches are remembered.
 
-    `spaces`: the pattern always starts a match at a space that follows a non-space, and a match that
-    starts with one space before a non-space takes it along. Then a stretch between such spaces
-    splits alike wherever it stands, and its ids are kept whole.
+    `words`: the pattern always starts a match at a space that follows a non-space, a match takes a
+    single space before a non-space along, a run of letters is one match, and so is a run of SIGNS
+    between it and a space. Then a stretch between such spaces splits alike wherever it stands, and
+    its ids are kept whole.
     """
 
-    def __init__(self, ranks: Mapping[bytes, int], pattern: str, spaces: bool = False):
+    def __init__(self, ranks: Mapping[bytes, int], pattern: str, words: bool = False):
         self.merger = Merger(ranks)
         self.split = regex.compile(pattern).findall
-        self.spaces = spaces
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.stretches: dict[str, tuple[int, ...]] = {}
-
-    def _matches(self, text: str) -> list[int]:
-        out, pieces = [], self.pieces
-        for piece in self.split(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = self.merger.merge(piece.encode())
-                if len(piece) <= MEMO_CHARS:
-                    if len(pieces) >= MEMO_ENTRIES:
-                        pieces.clear()
-                    pieces[piece] = ids
-            out.extend(ids)
-        return out
+        self.words = words
+        self.pieces, self.stretches = Memo(), Memo()
+
+    def _piece(self, piece: str) -> bytes:
+        memo = self.pieces
+        ids = memo.young.get(piece)
+        if ids is None:
+            ids = memo.old.get(piece) or array("i", self.merger.merge(piece.encode())).tobytes()
+            memo.keep(piece, ids)
+        return ids
 
-    def encode(self, text: str) -> array:
-        out = array("i")
-        if not self.spaces:
-            out.extend(self._matches(text))
+    def encode(self, text: str) -> bytearray:
+        """The ids as 32-bit integers in the machine's byte order."""
+        out, split, piece = bytearray(), self.split, self._piece
+        if not self.words:
+            for match in split(text):
+                out += piece(match)
             return out
-        extend, known = out.extend, self.stretches.get
-        first, *rest = text.split(" ")
-        waiting = first  # what has not come to a place where it may be cut
+        memo = self.stretches
+        known = memo.young
+        waiting, *rest = text.split(" ")  # waiting: what has not come to a place where it may be cut
         for part in rest:
             if waiting is None:
-                ids = known(part)
+                ids = known.get(part)
                 if ids is not None:
-                    extend(ids)
+                    out += ids
+                    continue
+                ids = memo.old.get(part)
+                if ids is not None:
+                    out += ids
+                    memo.keep(part, ids)
+                    known = memo.young
                     continue
             closed = bool(part) and not part[0].isspace()
             if waiting is not None:
                 if not closed or not waiting or waiting[-1].isspace():
                     waiting += " " + part
                     continue
-                extend(self._matches(waiting))
+                out += b"".join(map(piece, split(waiting)))
                 waiting = None
             if closed and not part[-1].isspace():
-                ids = tuple(self._matches(" " + part))
-                extend(ids)
-                if len(part) <= MEMO_CHARS:
-                    if len(self.stretches) >= MEMO_ENTRIES:
-                        self.stretches.clear()
-                    self.stretches[part] = ids
+                core = part.rstrip(SIGNS)
+                if core.isalpha():
+                    ids = piece(" " + core) + piece(part[len(core) :]) if len(core) < len(part) else piece(" " + part)
+                else:
+                    ids = b"".join(map(piece, split(" " + part)))
+                out += ids
+                memo.keep(part, ids)
+                known = memo.young
             else:
                 waiting = " " + part
         if waiting:
-            extend(self._matches(waiting))
+            out += b"".join(map(piece, split(waiting)))
         return out
 
 
@@ -185,27 +220,27 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(df: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str = "text", ids: str = "ids", spaces: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str = "text", ids: str = "ids", words: bool = False) -> DataFrame:
     """Append the ids (array<int>) of each whole text; null and empty texts have none.
 
     Rows are independent: no shuffle, repeated rows get equal ids, a column named `ids` is replaced.
     Ids stand for the same tokens as the usual lowest-rank-first rule gives, special tokens excluded.
-    The vocabulary is broadcast; `load_ranks` bounds it. `spaces`: see `Encoder`.
+    The vocabulary is broadcast; `load_ranks` bounds it. `words`: see `Encoder`.
     """
-    name = hashlib.sha256(repr((sorted(ranks.items()), pattern, spaces)).encode()).hexdigest()
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern, words)).encode()).hexdigest()
     shared = df.sparkSession.sparkContext.broadcast(dict(ranks))
 
     def make():
         if name not in _ENCODERS:
-            _ENCODERS[name] = Encoder(shared.value, pattern, spaces)
+            _ENCODERS[name] = Encoder(shared.value, pattern, words)
         encoder = _ENCODERS[name]
 
         def run(part: pa.RecordBatch) -> list[pa.Array]:
-            flat, ends = array("i"), [0]
+            flat, ends = bytearray(), [0]
             for t in texts_of(part, text):
-                flat.extend(encoder.encode(t))
-                ends.append(len(flat))
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))]
+                flat += encoder.encode(t)
+                ends.append(len(flat) // 4)
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))]
 
         return run
 
@@ -214,20 +249,31 @@ def encode(df: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str =
 
 def decode(df: DataFrame, ranks: Mapping[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Append the bytes that the ids stand for; null ids give empty bytes, an unknown id is an error."""
-    shared = df.sparkSession.sparkContext.broadcast({i: token for token, i in ranks.items()})
+    top = max(ranks.values(), default=-1) + 1
+    token = [b""] * top
+    for t, i in ranks.items():
+        token[i] = t
+    known = np.zeros(top, bool)
+    known[list(ranks.values())] = True
+    length = np.array([len(t) for t in token], np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(token), np.uint8), np.cumsum(length) - length, length, known))
     kept = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        token = shared.value.__getitem__
+        letters, first, size, there = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 rows = part.column(ids)
-                flat, ends = rows.values, rows.offsets.to_numpy()
-                made = []
-                for i, valid in enumerate(rows.is_valid().to_numpy(zero_copy_only=False)):
-                    made.append(b"".join(map(token, flat.slice(ends[i], ends[i + 1] - ends[i]).to_pylist())) if valid else b"")
+                flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(flat) and (flat.min() < 0 or flat.max() >= len(there) or not there[flat].all()):
+                    raise ValueError("an id that the vocabulary does not have")
+                n = size[flat]
+                ends = np.cumsum(n)
+                data = letters[np.repeat(first[flat] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+                stops = np.concatenate([[0], ends])[np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])].tolist()
+                made = [data[a:b] for a, b in zip(stops, stops[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(made, pa.binary())], names=[*kept, out])
 
     return df.select(*kept).mapInArrow(run, schema)
