@@ -192,23 +192,26 @@ def joined_spans(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", length: int = 200) -> DataFrame:
-    """Append what `mark_repeats` leaves: n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes)."""
+    """Append what `mark_repeats` leaves: n_bytes, n_removed, n_spans, kept_sha256, kept
+    (bytes) and kept_text (of the bytes, without characters that were cut into)."""
     marked = mark_repeats(df, text, ident, length, out="_repeats")
 
     def make():
         def run(part: pa.RecordBatch) -> list[pa.Array]:
-            n, removed, runs, digests, kept = [], [], [], [], []
+            n, removed, runs, digests, kept, left = [], [], [], [], [], []
             for value, spans in zip(texts_of(part, text), part.column("_repeats").to_pylist(), strict=True):
                 data, whole = value.encode(), joined_spans(spans)
-                rest = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in whole)], [*(s for s, _ in whole), len(data)], strict=True))
+                parts = [data[a:b] for a, b in zip([0, *(e for _, e in whole)], [*(s for s, _ in whole), len(data)], strict=True)]
+                rest = b"".join(parts)
                 n.append(len(data))
                 removed.append(len(data) - len(rest))
                 runs.append(len(whole))
                 digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
-            return [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())]
+                left.append("".join(x.decode("utf-8", "ignore") for x in parts))
+            return [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests), pa.array(kept, pa.binary()), pa.array(left, pa.string())]
 
         return run
 
-    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
+    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
     return map_texts(marked, text, fields, make).drop("_repeats")
