@@ -128,8 +128,10 @@ def _rank(nodes: DataFrame, scratch: Scratch, length: int, size: int, last: bool
     Frequent ranks are summed before they are shuffled, and the sums come back by joins whose large
     partitions Spark can split, so a rank may hold any share of the rows.
     """
-    ranks = nodes.groupBy("k").agg(F.sum("w").alias("n"), F.min("u").alias("u1"), F.max("u").alias("u2")).where("n > 1")
-    shared = scratch.write(nodes.join(ranks.select("k", (F.col("u1") == F.col("u2")).alias("same")), "k"))
+    sums = nodes.groupBy("k").agg(F.sum("w").alias("n"), F.min("u").alias("u1"), F.max("u").alias("u2")).where("n > 1")
+    # written first: a join right above the aggregate could not be split
+    ranks = scratch.write(sums.select("k", (F.col("u1") == F.col("u2")).alias("same")))
+    shared = scratch.write(nodes.join(ranks, "k"))
     low = F.greatest("lo", F.col("a") - (length - SEED) + F.col("c"))
     high = F.least("hi", F.col("a") - (length - SEED) + F.col("c") + size - 1)
     span = ("id", "h", low.alias("start"), (high + length).alias("end"))
@@ -137,10 +139,10 @@ def _rank(nodes: DataFrame, scratch: Scratch, length: int, size: int, last: bool
         return scratch.write(shared.select(*span)), None
     place = F.struct("id", "h", "a", "c")
     mixed = shared.where("not same")
-    kinds = mixed.groupBy("k", "u").agg(F.sum("w").alias("n"), F.min(place).alias("one"))
+    kinds = scratch.write(mixed.groupBy("k", "u").agg(F.sum("w").alias("n"), F.min(place).alias("one")))
     sorted_out = scratch.write(mixed.join(kinds, ["k", "u"]).select("id", "h", "a", "c", "lo", "hi", "k", "n", (place == F.col("one")).alias("speaks")))
     spans = scratch.write(shared.where("same").select(*span).unionByName(sorted_out.where("n > 1").select(*span)))
-    scratch.drop(shared)
+    scratch.drop(shared, ranks, kinds)
     return spans, sorted_out.where("speaks").withColumnRenamed("n", "w")
 
 
