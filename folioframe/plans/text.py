@@ -166,7 +166,35 @@ _DIAGNOSED = f"""{LINES_SQL}, seen AS (
 )"""
 _EDGE = r"regexp_replace(regexp_replace(trim(replace(first, chr(10), '')), '^\d+\s*', ''), '\s*\d+$', '')"
 
+_SPACES = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ENCLOSED = "[" + "".join(fn.ENCLOSED) + "]"
+_SUP = fn.SUPERSCRIPTS
+_STRONG = [
+    rf"(?i)^\s*<sup[^>]*>\s*([0-9]{{1,4}}|[a-z]{{1,3}}|[ivxlcdm]{{1,12}}|[{_SUP}]+|{_ENCLOSED}|[*†‡§¶#]+)\s*</sup>[.)]?\s*",
+    rf"^\s*({_ENCLOSED})[.)]?\s*",
+    rf"^\s*([{_SUP}]+)[.)]?\s*",
+    r"^\s*\\\(\s*\^\s*\{?([0-9]{1,4})\}?\s*\\\)[.)]?\s*",
+    r"^\s*\^([0-9]{1,4})[.)]?\^?\s*",
+    r"^\s*\(([0-9]{1,4})\)[.]?\s+",
+]
+_WEAK = [r"(?i)^\s*([a-z]{1,3})[.)]\s+", r"(?i)^\s*([0-9]{1,4}|[ivxlcdm]{1,12}|[*†‡§¶#]+)[.)]?\s+"]
+_PROSE = r"(?i)^\s*(?:d\.\s*[hi]\.|z\.\s*b\.|u\.\s*a\.|s\.\s*(?:\d|den\b|die\b|das\b|auch\b|oben\b|unten\b))"
+_MARK_LIST = ", ".join(f"'{m}'" for m in MARKS)
+_TRIED = ", ".join(f"nullif(regexp_extract(t, '{p}', 1), '')" for p in _STRONG)
+_GUESSED = ", ".join(
+    f"CASE WHEN NOT regexp_matches(t, '{_PROSE}') AND NOT (regexp_matches(regexp_extract(t, '{p}', 1), '^[A-Za-z]{{2,}}$') AND NOT regexp_matches(regexp_extract(t, '{p}', 1), '(?i)^[ivxlcdm]{{1,12}}$')) THEN nullif(regexp_extract(t, '{p}', 1), '') END"
+    for p in _WEAK
+)
+_NUMBER = "MAP {" + ", ".join(f"'{c}': '{n}'" for c, n in fn.ENCLOSED.items()) + "}"
+
 ORACLES = {
+    "footnote_markers": f"""WITH {LINES_SQL}, o AS (SELECT [{_MARK_LIST}][(doc_id + line_idx) % {len(MARKS)} + 1] || line AS t FROM lines),
+m AS (SELECT coalesce({_TRIED}, {_GUESSED}) AS m FROM o), d AS (SELECT m, translate(m, '{_SUP}', '0123456789') AS d, {_NUMBER}[m] AS e FROM m WHERE m IS NOT NULL)
+SELECT CASE WHEN e IS NOT NULL THEN 'enclosed' WHEN regexp_matches(d, '^[0-9]+$') THEN 'numeric' WHEN regexp_matches(m, '(?i)^[ivxlcdm]{{1,12}}$') THEN 'roman' WHEN regexp_matches(m, '^[A-Za-z]{{1,3}}$') THEN 'alpha' ELSE 'symbol' END AS style,
+       coalesce(e, CASE WHEN regexp_matches(d, '^[0-9]+$') THEN CAST(CAST(d AS INTEGER) AS VARCHAR) ELSE lower(m) END) AS normalized, count(*) AS n
+FROM d GROUP BY ALL""",
+    "clean_lines": f"""WITH {LINES_SQL}, c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(nfc_normalize(line), chr(65533), ''), chr(8203), ''), {_CONTROL}, ' ', 'g'), '{_SPACES}+', ' ', 'g')) AS line FROM lines)
+SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM c WHERE line <> '' GROUP BY doc_id""",
     "text_quality": rf"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t, greatest(1, length(coalesce(text, ''))) AS n, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents
