@@ -57,6 +57,17 @@ def seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
+def masks_for(words: int, window: int) -> list[tuple[int, str]]:
+    """(salt, mask) for an item of so many words.
+
+    Any two substitutions in 13 words leave one of MASKS whole somewhere. Items under the window get
+    runs of two or three words, which a fifth of substituted words leaves whole somewhere.
+    """
+    if words >= window:
+        return [(salt, mask) for salt, mask in enumerate(MASKS) if len(mask) <= words]
+    return [(100, "11")] if words < 8 else [(101, "111")]
+
+
 @dataclass
 class SeedIndex:
     """The seeds of a block of test items, sorted by hash, under a bitmap of their leading bits."""
@@ -68,6 +79,7 @@ class SeedIndex:
     bitmap: np.ndarray
     window: int
     share: float
+    masks: list[tuple[int, str]]
 
     @classmethod
     def build(cls, texts: list[str], window: int, share: float, least: int) -> SeedIndex:
@@ -76,24 +88,21 @@ class SeedIndex:
         for i, words in enumerate(items):
             if len(words) < least:
                 continue
-            for salt, mask in enumerate(MASKS):
-                # an item shorter than the mask is one seed without gaps
-                h = seed_hashes(words, mask, salt) if len(words) >= len(mask) else seed_hashes(words, "1" * len(words), 100 + len(words))
+            for salt, mask in masks_for(len(words), window):
+                h = seed_hashes(words, mask, salt)
                 found.append((h, np.full(len(h), i), np.arange(len(h))))
         cat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         order = np.argsort(cat[0], kind="stable")
         hashes = cat[0][order].astype(np.uint64)
         bitmap = np.zeros(1 << BITMAP_BITS, bool)
         bitmap[hashes >> np.uint64(64 - BITMAP_BITS)] = True
-        return cls(items, hashes, cat[1][order], cat[2][order], bitmap, window, share)
-
-    def short_lengths(self) -> list[int]:
-        return sorted({len(x) for x in self.items if 0 < len(x) < max(map(len, MASKS))})
+        masks = sorted({m for words in items if len(words) >= least for m in masks_for(len(words), window)})
+        return cls(items, hashes, cat[1][order], cat[2][order], bitmap, window, share, masks)
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, item, offset) of equal seeds."""
         out = []
-        for salt, mask in [*enumerate(MASKS), *((100 + n, "1" * n) for n in self.short_lengths())]:
+        for salt, mask in self.masks:
             h = seed_hashes(words, mask, salt)
             at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - BITMAP_BITS)])
             if len(at):

@@ -122,6 +122,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
 
 ORACLES: dict[str, str] = {
+    "op3_spaced_seeds": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark
+), dt AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS i FROM d
+), bt AS (
+  SELECT item_id, len(w) AS m, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS j FROM b WHERE len(w) >= 5
+), diagonals AS (
+  SELECT doc_id, item_id, i - j AS start, any_value(n) AS n, any_value(m) AS m, list(i ORDER BY i) AS hits, least(13, any_value(m)) AS width
+  FROM dt JOIN bt USING (tok) GROUP BY doc_id, item_id, i - j HAVING count(*) >= ceil(least(13, any_value(m)) * 0.8)
+), windows AS (
+  SELECT *, unnest(range(greatest(0, start), least(n, start + m) - width + 1)) AS a FROM diagonals
+), good AS (
+  SELECT doc_id, item_id, start, any_value(hits) AS hits, min(a) AS first, max(a) + any_value(width) AS last
+  FROM windows WHERE len(list_filter(hits, lambda x: x >= a AND x < a + width)) >= ceil(width * 0.8) GROUP BY doc_id, item_id, start
+), scored AS (
+  SELECT *, len(list_filter(hits, lambda x: x >= first AND x < last)) AS words FROM good
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, first) AS k FROM scored
+)
+SELECT doc_id, item_id, CAST(words AS INTEGER) AS words, words / (last - first) AS similarity, CAST(first AS INTEGER) AS start, CAST(last AS INTEGER) AS "end" FROM best WHERE k = 1
+""",
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM w WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)
+  UNION ALL SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON len(x.w) = 0 AND len(y.w) = 0 AND x.doc_id < y.doc_id
+), g AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g.b FROM r JOIN g ON r.reached = g.a
+), l AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM g GROUP BY a
+)
+SELECT doc_id, min(reached) AS class_id, coalesce(any_value(n_links), 0) AS n_links FROM r LEFT JOIN l USING (doc_id) GROUP BY doc_id
+""",
     "op7_nra_topk": """
 WITH usable AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
