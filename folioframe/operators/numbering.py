@@ -83,3 +83,61 @@ def folio_support(pages: DataFrame, doc: str, reach: int = 4) -> DataFrame:
     """pages with how many pages within `reach` have a number that supports theirs."""
     near = Window.partitionBy(doc, F.col("number") - F.col("page_idx")).orderBy("page_idx").rangeBetween(-reach, reach)
     return pages.withColumn("support", F.when(F.col("number").isNotNull(), F.count("*").over(near) - 1))
+
+
+def edge_sequences(candidates: DataFrame, doc: str) -> DataFrame:
+    """The number of each page that the longest regular run gives it: doc, page_idx, number, run.
+
+    candidates: page_idx, zone, number. A run stays in one zone, on every page (of three at least) or on
+    every second one (of four), its numbers growing by one or two a step; ties go to the denser run, the
+    smaller step, the zone's name and the earlier start.
+    """
+    ways = F.explode(F.array(*(F.struct(F.lit(d).alias("distance"), F.lit(s).alias("step")) for d in (1, 2) for s in (1, 2))))
+    rows = candidates.withColumn("w", ways).select(doc, "page_idx", "zone", "number", "w.*").distinct()
+    rows = rows.withColumn("line", F.col("number") * F.col("distance") - F.col("page_idx") * F.col("step")).withColumn("lane", F.col("page_idx") % F.col("distance"))
+    key = [doc, "zone", "distance", "step", "line", "lane"]
+    island = F.floor(F.col("page_idx") / F.col("distance")) - F.row_number().over(Window.partitionBy(*key).orderBy("page_idx"))
+    rows = rows.withColumn("island", island)
+    size = F.count("*").over(Window.partitionBy(*key, "island"))
+    start = F.min("page_idx").over(Window.partitionBy(*key, "island"))
+    runs = rows.withColumns({"run": size, "start": start}).where(F.col("run") >= F.when(F.col("distance") == 1, 3).otherwise(4))
+    best = F.row_number().over(Window.partitionBy(doc, "page_idx").orderBy(F.desc("run"), "distance", "step", "zone", "start", "number"))
+    return runs.withColumn("_k", best).where("_k = 1").select(doc, "page_idx", "number", "run")
+
+
+def repair_proposals(pages: DataFrame, doc: str) -> DataFrame:
+    """pages with action, confidence and reason of a repair of the printed number.
+
+    pages: page_idx, raw, number, kind, projected, segment, status, segment_kind, boundary, anomaly.
+    Only stable segments are repaired; their pages next to an unstable one are guarded: an eighth of
+    the segment, one to three pages, and as many again in which no empty number is filled.
+    """
+    of = Window.partitionBy(doc, "segment")
+    out = pages.withColumns({"_n": F.count("*").over(of), "_i": F.row_number().over(of.orderBy("page_idx")) - 1})
+    ends = out.groupBy(doc, "segment").agg(F.first("status").alias("s"))
+    order = Window.partitionBy(doc).orderBy("segment")
+    sides = ends.select(doc, "segment", (F.lag("s").over(order) != "stable").alias("_left"), (F.lead("s").over(order) != "stable").alias("_right"))
+    out = out.join(sides, [doc, "segment"])
+    band = F.when(F.col("_n") >= 6, F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("_n") / 8)))).otherwise(0)
+    from_edge = F.least(F.when(F.col("_left"), F.col("_i")).otherwise(10**6), F.when(F.col("_right"), F.col("_n") - 1 - F.col("_i")).otherwise(10**6))
+    trust = F.when(F.col("kind") == "roman", 0.94).otherwise(0.96)
+    blank, off = F.col("number").isNull(), F.col("number") != F.col("projected")
+    told = (
+        F.when(F.col("status") != "stable", F.struct(F.lit("abstain").alias("action"), F.lit(None).cast("double").alias("confidence"), F.lit("unstable_segment").alias("reason")))
+        .when(F.col("segment_kind") == "mixed", _told("abstain", None, "mixed_window"))
+        .when(F.col("boundary"), _told("abstain", None, "boundary"))
+        .when(from_edge < band, _told("abstain", None, "guard_band"))
+        .when(blank & F.col("projected").isNotNull() & (from_edge < 2 * band), _told("abstain", None, "near_band"))
+        .when(blank & F.col("projected").isNotNull(), _told("fill_null", trust, "two_sided"))
+        .when(off & (F.col("kind") == "roman"), _told("abstain", None, "roman_replace"))
+        .when(off, _told("replace", trust, "two_sided"))
+        .when(blank & F.col("raw").isNotNull(), _told("delete_to_null", 0.8, "unparsable"))
+        .when(F.col("anomaly"), _told("delete_to_null", 0.78, "anomaly"))
+        .otherwise(_told("keep", None, None))
+    )
+    return out.withColumn("_t", told).select(*pages.columns, "_t.action", "_t.confidence", "_t.reason")
+
+
+def _told(action: str, confidence, reason: str | None):
+    sure = confidence if hasattr(confidence, "cast") else F.lit(confidence)
+    return F.struct(F.lit(action).alias("action"), sure.cast("double").alias("confidence"), F.lit(reason).cast("string").alias("reason"))

@@ -63,7 +63,22 @@ def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.last(bought, True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first(bought, True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
 
 
-QUERIES = {f.__name__: f for f in (printed_page_runs, printed_page_segments, printed_page_correct, kind_window, page_segments, nearest_numbers, folio_support, page_number_candidates, nearest_anchor)}
+def edge_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates a page: the right one in the footer, a stray one in the header."""
+    pages = pages_of(spark, sf_dir).where("number is not null")
+    both = F.explode(F.array(F.struct(F.lit("footer").alias("zone"), F.col("number").alias("number")), F.struct(F.lit("header").alias("zone"), (F.col("page_idx") * 7 % 50).alias("number"))))
+    return ops.edge_sequences(pages.select("source", "page_idx", both.alias("c")).select("source", "page_idx", "c.*"), "source")
+
+
+def repair_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = ops.local_kind(ops.nearest_of_kind(pages_of(spark, sf_dir), "source"), "source")
+    i = F.col("page_idx")
+    made = pages.withColumns({"raw": F.col("number"), "segment": F.floor(i / 16), "boundary": i % 16 == 8, "anomaly": i % 9 == 0})
+    made = made.withColumn("status", F.when(F.col("segment") % 2 == 0, "stable").otherwise("anomaly"))
+    return ops.repair_proposals(made, "source").select("source", "page_idx", "action", "confidence", "reason")
+
+
+QUERIES = {f.__name__: f for f in (printed_page_runs, printed_page_segments, printed_page_correct, kind_window, page_segments, nearest_numbers, folio_support, page_number_candidates, nearest_anchor, edge_sequences, repair_proposals)}
 
 _PAGES = """WITH idx AS (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_idx FROM documents),
 pages AS (
@@ -84,6 +99,12 @@ SELECT source, page_idx, CASE WHEN a > 0 AND r > 0 THEN 'mixed' WHEN a > 0 THEN
 b AS (SELECT *, CASE WHEN k <> kind THEN 1 WHEN k = kind AND (number - v <= 0 OR abs(number - v - (page_idx - p)) >= 20) THEN 1 ELSE 0 END AS brk FROM l),
 s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY source ORDER BY page_idx) AS BIGINT) AS segment FROM b)
 SELECT source, segment, min(page_idx) AS start, max(page_idx) AS "end", count(*) AS pages, count(number) AS numbered FROM s GROUP BY source, segment""",
+    "edge_sequences": f"""{_PAGES}, c AS (SELECT source, page_idx, 'footer' AS zone, number FROM pages WHERE number IS NOT NULL UNION SELECT source, page_idx, 'header', page_idx * 7 % 50 FROM pages WHERE number IS NOT NULL),
+w AS (SELECT c.*, d AS distance, s AS step, number * d - page_idx * s AS line, page_idx % d AS lane FROM c, (VALUES (1), (2)) t(d), (VALUES (1), (2)) u(s)),
+i AS (SELECT *, page_idx // distance - row_number() OVER (PARTITION BY source, zone, distance, step, line, lane ORDER BY page_idx) AS island FROM w),
+r AS (SELECT *, count(*) OVER g AS run, min(page_idx) OVER g AS start FROM i WINDOW g AS (PARTITION BY source, zone, distance, step, line, lane, island)),
+b AS (SELECT *, row_number() OVER (PARTITION BY source, page_idx ORDER BY run DESC, distance, step, zone, start, number) AS k FROM r WHERE run >= CASE WHEN distance = 1 THEN 3 ELSE 4 END)
+SELECT source, page_idx, CAST(number AS INTEGER) AS number, run FROM b WHERE k = 1""",
     "nearest_numbers": f"""{_PAGES}, n AS (
   SELECT source, page_idx,
          last_value(CASE WHEN number IS NOT NULL THEN number END IGNORE NULLS) OVER b AS previous, last_value(CASE WHEN number IS NOT NULL THEN page_idx END IGNORE NULLS) OVER b AS pi,
