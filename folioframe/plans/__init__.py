@@ -1,7 +1,7 @@
 """The query slate: every query with its SQL where SQL can express it."""
 
-from . import documents, evaluation, furniture, interchange, layout, numbering, queue, review, streams, text
+from . import documents, evaluation, furniture, interchange, layout, numbering, queue, review, streams, text, trees
 
-MODULES = (text, numbering, furniture, layout, evaluation, documents, interchange, review, queue, streams)
+MODULES = (text, numbering, furniture, layout, evaluation, documents, interchange, review, trees, queue, streams)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
