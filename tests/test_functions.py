@@ -144,3 +144,48 @@ def test_epub(spark):
 def test_file_kinds(spark):
     rows = spark.createDataFrame([(bytearray(b"%PDF-1"), "a"), (bytearray(b"\x89PNG"), "a"), (bytearray(b"PK\x03\x04"), "a.epub"), (bytearray(b" <!DOCTYPE html>"), "a"), (bytearray(b"??"), "x.docx"), (bytearray(b"??"), "x")], "c binary, n string")
     assert [r[0] for r in rows.select(storage.file_kind(F.col("c"), F.col("n"))).collect()] == ["pdf", "png", "epub", "html", "docx", "pdf"]
+
+
+def test_prose_only():
+    from folioframe.operators import markdown
+
+    text = "a 12 `x  y` b\nnext 3\n\n\n\nend  \n```\n1\n\n\n\n2\n```\n$5 1$ z\n| a |\n| b |\ncut-\nting"
+    assert markdown.on_prose(text, markdown.fewer_blanks) == text.replace("\n\n\n\nend  ", "\n\nend")
+    assert markdown.on_prose(text, markdown.joined_lines) == text.replace("b\nnext", "b next").replace("end  ", "end").replace("cut-\nting", "cutting")
+    assert markdown.on_prose(None, markdown.fewer_blanks) == ""
+
+
+def test_otsl():
+    from folioframe.operators import markdown
+
+    assert markdown.otsl_html("<fcel>a<lcel><nl><ucel><xcel><nl>") == '<table><tr><td rowspan="2" colspan="2">a</td></tr><tr></tr></table>'
+    assert markdown.otsl_html("<fcel>a<nl><fcel>b<fcel>c<nl>") is None and markdown.otsl_html("<lcel>") is None and markdown.otsl_html(None) is None
+
+
+def test_size_levels(spark):
+    from folioframe.operators import furniture
+
+    rows = spark.createDataFrame([("d", i, float(x)) for i, x in enumerate([30, 30.5, 20, 19.8, 12, 12.1, 12.2, 11])], "doc string, i int, size double")
+    got = [r["level"] for r in furniture.size_levels(rows, "doc", "size").orderBy("i").collect()]
+    assert got == [1, 1, 2, 2, 3, 3, 3, 3]
+
+
+def test_repair_proposals(spark):
+    from folioframe.operators import numbering
+
+    # page, raw, number, kind, projected, segment, status, segment_kind, boundary, anomaly
+    given = [(i, str(i), i, "arabic", i, 0, "stable", "arabic", False, False) for i in range(8)] + [(8 + i, None, None, None, None, 1, "anomaly", "unknown", False, False) for i in range(2)]
+    given[1] = (1, None, None, "arabic", 1, 0, "stable", "arabic", False, False)
+    given[2] = (2, "9", 9, "arabic", 2, 0, "stable", "arabic", False, False)
+    given[3] = (3, "9", 9, "roman", 3, 0, "stable", "roman", False, False)
+    given[4] = (4, "x", None, "arabic", None, 0, "stable", "arabic", False, False)
+    rows = spark.createDataFrame([("d", *g) for g in given], "doc string, page_idx int, raw string, number int, kind string, projected int, segment int, status string, segment_kind string, boundary boolean, anomaly boolean")
+    got = [(r["action"], r["reason"]) for r in numbering.repair_proposals(rows, "doc").orderBy("page_idx").collect()]
+    assert got == [("keep", None), ("fill_null", "two_sided"), ("replace", "two_sided"), ("abstain", "roman_replace"), ("delete_to_null", "unparsable"), ("keep", None), ("keep", None), ("abstain", "guard_band"), ("abstain", "unstable_segment"), ("abstain", "unstable_segment")]
+
+
+def test_hocr():
+    from folioframe.sources import layout_json
+
+    found = layout_json.read_hocr("<div><span class='ocr_line' title='bbox 1 2 3 4; x'>a <b>b</b></span><span class=\"ocr_line\" title=''>c</span></div>")
+    assert found == [{"text": "a b", "bbox": [1.0, 2.0, 3.0, 4.0]}, {"text": "c", "bbox": [None] * 4}]
