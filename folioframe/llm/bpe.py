@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts, texts_of
+from .common import claim, map_texts, texts_of
 
 #: Ranks under one word of the lower bitmap.
 WORD_BITS = 8
@@ -23,8 +23,8 @@ WORD_MASK = (1 << WORD_BITS) - 1
 #: Single bits of both levels: vocabularies of up to a million ranks.
 BIT = [1 << i for i in range(1 << 12)]
 SIGNS = ".,;:!?|"
-#: Pre-tokens and stretches a worker remembers with their ids, in each of two generations; longer ones are not kept.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+#: Stretches and pre-tokens a worker remembers with their ids, in each of two generations; longer ones are not kept.
+MEMO_ENTRIES, PIECE_ENTRIES, MEMO_CHARS = 250_000, 100_000, 64
 
 
 def load_ranks(path: str, max_entries: int = 1_000_000) -> dict[bytes, int]:
@@ -135,15 +135,16 @@ class Merger:
 class Memo:
     """The ids of what was met lately: a full generation becomes the old one, and what is asked for again is kept."""
 
-    __slots__ = ("old", "young")
+    __slots__ = ("most", "old", "young")
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def keep(self, text: str, ids: bytes) -> None:
         if len(text) <= MEMO_CHARS:
-            if len(self.young) >= MEMO_ENTRIES:
+            if len(self.young) >= self.most:
                 self.old, self.young = self.young, {}
             self.young[text] = ids
 
@@ -161,7 +162,7 @@ class Encoder:
         self.merger = Merger(ranks)
         self.split = regex.compile(pattern).findall
         self.words = words
-        self.pieces, self.stretches = Memo(), Memo()
+        self.pieces, self.stretches = Memo(PIECE_ENTRIES), Memo(MEMO_ENTRIES)
 
     def _piece(self, piece: str) -> bytes:
         memo = self.pieces
@@ -231,6 +232,7 @@ def encode(df: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str =
     shared = df.sparkSession.sparkContext.broadcast(dict(ranks))
 
     def make():
+        claim("bpe", _ENCODERS.clear)
         if name not in _ENCODERS:
             _ENCODERS[name] = Encoder(shared.value, pattern, words)
         encoder = _ENCODERS[name]

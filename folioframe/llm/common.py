@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Say at a task's start whose memo this Python worker is to hold: those of other operators are dropped."""
+    for other in [n for n in _MEMOS if n != name]:
+        _MEMOS.pop(other)()
+    _MEMOS[name] = clear
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive a lost executor."""
 
