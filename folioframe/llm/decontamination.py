@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, texts_of
+from .common import claim, map_texts, texts_of
 
 #: Fixed masks: word positions with 1 make the hash, those with 0 may be substituted.
 MASKS = ("1101011", "11001101", "101100011")
 BITMAP_BITS = 20
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 _WORD = re.compile(r"\w+")
 
 
@@ -176,6 +176,8 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         shared = df.sparkSession.sparkContext.broadcast((index, [r[2] for r in rows]))
 
         def make(shared=shared):
+            claim("words", _HASHES.clear)
+
             def run(part: pa.RecordBatch) -> list[pa.Array]:
                 seeds, ids = shared.value
                 words = [word_hashes(t) for t in texts_of(part, text)]

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_texts, texts_of
-from .decontamination import word_hashes
+from .common import Scratch, claim, map_texts, texts_of
+from .decontamination import _HASHES, word_hashes
 from .graph import components
 
 #: Tries of the forest, and the longest prefix of a signature that a trie holds.
@@ -155,6 +155,8 @@ def jaccard_classes(df: DataFrame, text: str = "text", ident: str = "doc_id", th
     docs = df.select(F.coalesce(F.col(ident).cast("long"), lowest).alias("id"), F.col(text).alias("text"))
 
     def make():
+        claim("words", _HASHES.clear)
+
         def run(part: pa.RecordBatch) -> list[pa.Array]:
             sets = [shingles(t, words) for t in texts_of(part, "text")]
             return [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([prefixes(s, depth) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
@@ -175,6 +177,8 @@ def jaccard_classes(df: DataFrame, text: str = "text", ident: str = "doc_id", th
     plan = scratch.write(member.select(F.col("rep").alias("id"), "node", "n", "root", "members"))
 
     def make_sets():
+        claim("words", _HASHES.clear)
+
         def run(part: pa.RecordBatch) -> list[pa.Array]:
             sets = [shingles(t, words) for t in texts_of(part, "text")]
             return [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, texts_of
+from .common import claim, map_texts, texts_of
 
 #: Hash bins of words, of word shapes, and the figures of a whole text.
 WORD_BINS, SHAPE_BINS, FIGURES = 1024, 512, 8
 WIDTH = WORD_BINS + SHAPE_BINS + FIGURES
 #: Weight of each block in a vector.
 WORD_WEIGHT, SHAPE_WEIGHT, FIGURE_WEIGHT = 0.5, 1.0, 0.7
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 
 
 class WordCodes(dict):
@@ -114,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text",
     sample = labelled_sample(docs.select(ident, text), labels, label, allowed, bound, ident).select(ident, text, "_label")
 
     def make():
+        claim("quality", _CODES.clear)
         return lambda part: [pa.array([features(t).tobytes() for t in texts_of(part, text)], pa.binary())]
 
     rows = sorted(map_texts(sample, text, [T.StructField("raw", T.BinaryType())], make, keep=[ident, "_label"]).collect())
@@ -138,6 +139,8 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", out: str = "sc
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        claim("quality", _CODES.clear)
+
         def run(part: pa.RecordBatch) -> list[pa.Array]:
             texts = texts_of(part, text)
             found = [shared.value.score(np.stack([features(t) for t in texts[at : at + 512]])) for at in range(0, len(texts), 512)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, texts_of
+from .common import claim, map_texts, texts_of
 from .quality import labelled_sample
 
 #: Embedding tables, rows of each (as a power of two) and their width. Two hash the word, one its
@@ -30,7 +30,7 @@ LANGUAGE_WORDS = {
 }
 LANGUAGES = ("other", *LANGUAGE_WORDS)
 _LANGUAGE_OF = {w: i for i, words in enumerate(LANGUAGE_WORDS.values(), 1) for w in words.split()}
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 
 
 class WordCodes(dict):
@@ -199,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text",
     sample = labelled_sample(docs.select(ident, text), labels, label, allowed, bound, ident).where(F.coalesce(F.length(text), F.lit(0)) <= max_chars)
 
     def make():
+        claim("toxicity", _CODES.clear)
         return lambda part: [pa.array([codes_of(t).tobytes() for t in texts_of(part, text)], pa.binary())]
 
     found = sorted(map_texts(sample, text, [T.StructField("codes", T.BinaryType())], make, keep=[ident, "_label"]).collect())
@@ -223,6 +224,8 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "s
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        claim("toxicity", _CODES.clear)
+
         def run(part: pa.RecordBatch) -> list[pa.Array]:
             return [pa.array(shared.value.score([codes_of(t) for t in texts_of(part, text)]), pa.float64())]
 
