@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,6 @@ from .common import Scratch, utf8_size
 
 #: The end of a text counts as a token; its key is no word's (words have the lowest bit set).
 END = 0
-COUNTS_MEMO = 400_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -33,7 +31,7 @@ def key(word: bytes) -> int:
 
 @dataclass
 class Automaton:
-    """States are contexts of up to two frequent words; state 0 is the empty one.
+    """States are contexts of up to two words; state 0 is the empty one.
 
     `arcs`: state * size + word -> (log10 probability, next state). Where a state has no arc, its
     failure arc adds `fail_cost` and leads to `fail`; at state 0 any word has its own probability.
@@ -121,88 +119,182 @@ def build_automaton(keys: dict[int, int], pairs: dict[tuple[int, int], int], tri
     return a
 
 
-def _counts(df: DataFrame, text: str) -> DataFrame:
-    """Partial counts of the tokens: a task sends a row for each of its words, not for each token."""
-
-    def run(batches):
-        seen: Counter = Counter()
-        ends = 0
-
-        def rows():
-            words, counts = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(key, words), np.int64, len(words))), pa.array(counts)], names=["k", "c"])
-
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen.update(tokens(value))
-                ends += 1
-                if len(seen) >= COUNTS_MEMO:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([ends], pa.int64())], names=["k", "c"])
-
-    return df.select(text).mapInArrow(run, "k long, c long")
-
-
-def _grams(df: DataFrame, text: str, words: dict[int, int]) -> DataFrame:
-    """Partial counts of neighbouring pairs and triples of frequent words: code and count by order."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
-    size = len(words)
-
-    def run(batches):
-        numbers = shared.value
-
-        class Numbers(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= COUNTS_MEMO:
-                    self.clear()
-                self[word] = found = numbers.get(key(word), -1)
-                return found
-
-        memo, end = Numbers(), numbers[END]
-        held: dict[int, list] = {2: [], 3: []}
-
-        def settle(order: int) -> None:
-            codes = np.concatenate([c for c, _ in held[order]])
-            counts = np.concatenate([n for _, n in held[order]])
-            found, inverse = np.unique(codes, return_inverse=True)
-            held[order] = [(found, np.bincount(inverse, counts, len(found)).astype(np.int64))]
-
-        def rows(order: int):
-            settle(order)
-            codes, counts = held[order][0]
-            held[order] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), order, np.int32)), pa.array(codes), pa.array(counts)], names=["n", "code", "c"])
-
-        for batch in batches:
-            line: list[int] = []
-            for value in batch.column(0).to_pylist():
-                line.extend(map(memo.__getitem__, tokens(value)))
-                line += (end, -1, -1)  # no n-gram goes on after the end
-            x = np.array(line, np.int64)
-            two = (x[:-1] >= 0) & (x[1:] >= 0)
-            three = two[:-1] & two[1:]
-            for order, codes in ((2, (x[:-1] * size + x[1:])[two]), (3, ((x[:-2] * size + x[1:-1]) * size + x[2:])[three])):
-                held[order].append(np.unique(codes, return_counts=True))
-                if sum(len(c) for c, _ in held[order]) > 2_000_000:
-                    settle(order)
-                    if len(held[order][0][0]) > 1_000_000:
-                        yield rows(order)
-        for order in (2, 3):
-            if held[order]:
-                yield rows(order)
-
-    return df.select(text).mapInArrow(run, "n int, code long, c long")
-
-
-def _pairs_of(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [table.column(n).to_numpy() for n in names]
-
-
-def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str = "text", word_share: float = 5e-4, gram_share: float = 1e-5, batch_bytes: int = 24 << 20) -> DataFrame:
+def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """64 bits of a context's hash."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64)
+    for shift, odd in ((32, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(odd)
+    return h ^ h >> np.uint64(32)
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+class Order:
+    """A batch's distinct n-grams of one order, sorted by context; the order is that of the words' keys,
+    so it is the same whenever the batch is read, whatever the order of its rows.
+
+    `at`: by place in the batch's line, the n-gram that begins there (in the order of `places`).
+    """
+
+    def __init__(self, codes: np.ndarray, places: np.ndarray, size: int, parts: int, hashed):
+        self.places = places
+        by = np.argsort(codes)
+        codes = codes[by]
+        new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+        self.at = np.empty(len(codes), np.int32)
+        self.at[by] = np.cumsum(new, dtype=np.int32) - 1
+        del by
+        codes = codes[new]
+        self.word = (codes % size).astype(np.int32)
+        codes //= size
+        new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+        self.context, self.of = codes[new], np.cumsum(new, dtype=np.int32) - 1
+        self.hash = hashed(self.context)
+        self.part = (self.hash >> np.uint64(8 * CONTEXT_BYTES)).astype(np.int32) % np.int32(parts)
+        self.contexts = np.argsort(self.part, kind="stable").astype(np.int32)
+        self.grams = np.argsort(self.part[self.of], kind="stable").astype(np.int32)
+        self.context_cuts = np.searchsorted(self.part[self.contexts], np.arange(parts + 1))
+        self.gram_cuts = np.searchsorted(self.part[self.of[self.grams]], np.arange(parts + 1))
+
+    def asked(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of a part and the n-grams of these, one context's after the other's."""
+        return tuple(x[c[part] : c[part + 1]] for x, c in ((self.contexts, self.context_cuts), (self.grams, self.gram_cuts)))
+
+
+class Line:
+    """The tokens of a batch of zipped texts in one line, as ranks of their words' keys (the end is 0)."""
+
+    def __init__(self, texts, parts: int):
+        place: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+        for value in texts:
+            words = tokens(value and zlib.decompress(value).decode())
+            codes.append(np.fromiter((place.setdefault(w, len(place) + 1) for w in words), np.int32, len(words)))
+            codes.append(np.zeros(1, np.int32))
+        self.length = np.array([len(x) + 1 for x in codes[::2]], np.int64)
+        self.keys, rank = np.unique(np.append(np.uint64(END), np.fromiter(map(key, place), np.uint64, len(place))), return_inverse=True)
+        del place
+        self.x = rank.astype(np.int32)[np.concatenate(codes)]
+        del codes
+        self.parts = parts
+
+    def orders(self):
+        """The pairs, then the triples; only one of them is held, if the caller drops the first."""
+        x, size, keys = self.x, len(self.keys), self.keys
+        places = np.flatnonzero(x[:-1]).astype(np.int32)
+        two = Order(x[places].astype(np.int64) * size + x[places + 1], places, size, self.parts, lambda u: _mixed(keys[u], 1))
+        pair = np.zeros(len(x), np.int32)
+        pair[places] = two.at
+        first, second = two.context[two.of].astype(np.int32), two.word
+        yield 2, two
+        del two
+        places = places[x[places + 1] > 0]
+        codes = pair[places].astype(np.int64) * size + x[places + 2]
+        del pair
+        yield 3, Order(codes, places, size, self.parts, lambda g: _mixed(keys[first[g]], keys[second[g]]))
+
+
+ASKED = "b int, p int, n int, keys binary, counts binary"
+ANSWERED = "b int, p int, n int, found binary, total long, types long, n1 long, n2 long"
+#: Of a context's hash, beside the two bytes that choose its part; of a word's key.
+CONTEXT_BYTES, WORD_BYTES = 6, 5
+GRAMS_AT_ONCE = 4_000_000
+
+
+@F.pandas_udf(T.BinaryType())
+def _zipped(text: pd.Series) -> pd.Series:
+    """Texts as they are shuffled."""
+    return pd.Series([zlib.compress(t.encode(), 1) if t else None for t in text], dtype=object)
+
+
+def _ask(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """What a batch gives to the counts and wants to know: its n-grams, dealt by their contexts."""
+    line = Line(rows["text"], parts)
+    train = np.repeat(rows["train"].to_numpy(bool), line.length)
+    out = []
+    for n, order in line.orders():
+        counts = np.bincount(order.at, train[order.places], len(order.word)).astype("<u4")
+        sizes = np.bincount(order.of, minlength=len(order.context)).astype("<u4")
+        for part in np.unique(order.part).tolist():
+            contexts, grams = order.asked(part)
+            keys = _packed(order.hash[contexts], CONTEXT_BYTES) + _packed(line.keys[order.word[grams]] >> np.uint64(1), WORD_BYTES)
+            out.append((rows["b"].iloc[0], part, n, keys, zlib.compress(sizes[contexts].tobytes() + counts[grams].tobytes(), 1)))
+        del order
+    return pd.DataFrame(out, columns=["b", "p", "n", "keys", "counts"])
+
+
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """The counts of a part's n-grams and contexts over all batches, for each batch in its own order.
+
+    All n-grams of a context are in one part, so its count and the number of words that follow it
+    are sums here. Those of a large part are counted in turns, by word.
+    """
+    out = []
+    figures = [0, 0, 0, 0]
+    for n, group in rows.groupby("n"):
+        asked = []
+        contexts = []
+        for keys, packed in zip(group["keys"], group["counts"], strict=True):
+            numbers = np.frombuffer(zlib.decompress(packed), "<u4")
+            # both lengths are sums over the contexts and the n-grams: two equations
+            size = (len(keys) - WORD_BYTES * len(numbers)) // (CONTEXT_BYTES - WORD_BYTES)
+            contexts.append(_unpacked(keys[: CONTEXT_BYTES * size], CONTEXT_BYTES))
+            asked.append((size, keys, numbers))
+        known, back = np.unique(np.concatenate(contexts), return_inverse=True)
+        back = np.split(back, np.cumsum([len(c) for c in contexts])[:-1])
+        turns = -(-sum(len(x) - s for s, _, x in asked) // GRAMS_AT_ONCE)
+        total, types = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        found = [np.zeros(len(x) - s, "<u4") for s, _, x in asked]
+        for turn in range(turns):
+            codes, counts, picked = [], [], []
+            for (size, keys, numbers), of in zip(asked, back, strict=True):
+                words = _unpacked(keys[CONTEXT_BYTES * size :], WORD_BYTES)
+                mine = np.flatnonzero(words % turns == turn)
+                codes.append((np.repeat(of, numbers[:size])[mine] << 8 * WORD_BYTES) | words[mine])
+                counts.append(numbers[size:][mine])
+                picked.append(mine)
+            grams, at = np.unique(np.concatenate(codes), return_inverse=True)
+            count = np.bincount(at, np.concatenate(counts), len(grams)).astype(np.int64)
+            of = grams >> 8 * WORD_BYTES
+            total += np.bincount(of, count, len(known)).astype(np.int64)
+            types += np.bincount(of, count > 0, len(known)).astype(np.int64)
+            ends = np.cumsum([len(m) for m in picked])[:-1]
+            for mine, there, result in zip(picked, np.split(at, ends), found, strict=True):
+                result[mine] = count[there]
+        if n == 2:  # the contexts are the words, each in one part
+            figures = [int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2))]
+        for b, of, result in zip(group["b"], back, found, strict=True):
+            data = result.tobytes() + total[of].astype("<u4").tobytes() + types[of].astype("<u4").tobytes()
+            out.append((b, rows["p"].iloc[0], n, zlib.compress(data, 1), None, None, None, None))
+    out.append((-1, rows["p"].iloc[0], 0, None, *figures))
+    frame = pd.DataFrame(out, columns=["b", "p", "n", "found", "total", "types", "n1", "n2"])
+    return frame.astype({c: "Int64" for c in ("total", "types", "n1", "n2")})
+
+
+def _settled(order: Order, answers: pd.DataFrame, cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By n-gram of the batch: its arc's own share and the mass its context's failure arc keeps; by context: its count."""
+    count = np.zeros(len(order.word))
+    total, types = np.zeros(len(order.context)), np.zeros(len(order.context))
+    for part, data in zip(answers["p"].tolist(), answers["found"], strict=True):
+        contexts, grams = order.asked(part)
+        numbers = np.frombuffer(zlib.decompress(data), "<u4")
+        count[grams] = numbers[: len(grams)]
+        total[contexts], types[contexts] = numbers[len(grams) :].reshape(2, -1)
+    seen = np.maximum(total, 1)
+    left = np.where(total > 0, cut * types / seen, 1.0)
+    return np.maximum(count - cut, 0) / seen[order.of], left[order.of], total
+
+
+def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str = "text", word_share: float = 0.0, gram_share: float = 0.0, batch_bytes: int = 24 << 20, cut: float = 0.75) -> DataFrame:
     """Score every whole text by a model of the texts `allowed` for training.
 
     Returns ident, n_tokens, n_known, train_tokens, base_score and score, the last two in log10.
@@ -210,78 +302,48 @@ def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str
     counted one by one; an empty table gives an empty result; with no training text every token is
     unknown. Other columns are not read.
 
-    All training tokens are counted, exactly, over the cluster. Words with at least `word_share` of
-    all tokens, and pairs and triples of them with at least `gram_share`, become the automaton: at
-    most 1/word_share words and 1/gram_share n-grams of an order, whatever the corpus, so it can be
-    broadcast. The count of every other word comes to a batch of texts by a join: a batch asks once
-    for each of its words, and batches of about `batch_bytes` are scored by one task each.
+    All words, pairs and triples of the training texts are counted over the cluster, so the automaton
+    grows with the corpus: every word and pair is a state and every pair and triple an arc, however
+    rare. Nobody holds it whole. A batch of about `batch_bytes` sends its own distinct n-grams, with
+    their counts, to the parts that their contexts belong to, and gets back the arcs and failure arcs
+    that its texts can take. `word_share` and `gram_share` are read no more: nothing is left out.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "lm")
     docs = df.select(F.col(ident).alias("ident"), F.col(text).alias("text"), F.coalesce(allowed, F.lit(False)).alias("train"))
-    training = docs.where("train")
-    counts = scratch.write(_counts(training, "text").groupBy("k").agg(F.sum("c").alias("c")))
-    figures = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
-    total, types = figures["n"] or 0, figures["v"]
-    n1, n2 = figures["n1"] or 0, figures["n2"] or 0
-    discount = n1 / (n1 + 2 * n2) if n1 else 0.5
-    frequent = counts.where((F.col("c") >= total * word_share) | (F.col("k") == END)).toArrow() if total else None
-    keys = dict(zip(*(x.tolist() for x in _pairs_of(frequent, "k", "c")), strict=True)) if total else {}
-    pairs: dict[tuple[int, int], int] = {}
-    triples: dict[tuple[int, int, int], int] = {}
-    if keys:
-        numbers = {k: i for i, k in enumerate(sorted(keys))}
-        size = len(numbers)
-        grams = _grams(training, "text", numbers).groupBy("n", "code").agg(F.sum("c").alias("c")).where(F.col("c") >= max(2.0, total * gram_share)).toArrow()
-        for order, code, c in zip(*(x.tolist() for x in _pairs_of(grams, "n", "code", "c")), strict=True):
-            if order == 2:
-                pairs[code // size, code % size] = c
-            else:
-                triples[code // size // size, code // size % size, code % size] = c
-    model = spark.sparkContext.broadcast(build_automaton(keys, pairs, triples, total, types, discount))
-    end_count = keys.get(END, 0)
-
-    size = docs.agg(F.sum(utf8_size("text"))).first()[0] or 0
+    sums = docs.agg(F.sum(utf8_size("text")).alias("size"), F.count_if("train").alias("ends")).first()
+    size, ends = sums["size"] or 0, sums["ends"]
     batches = max(1, -(-size // batch_bytes))
-    dealt = docs.select("ident", "text", F.pmod(F.xxhash64("ident", "text"), F.lit(batches)).cast("int").alias("b"))
-
-    def asked(rows: pd.DataFrame) -> pd.DataFrame:
-        words: set[bytes] = set()
-        for value in rows["text"]:
-            words.update(tokens(value))
-        return pd.DataFrame({"b": np.full(len(words), rows["b"].iloc[0], np.int32), "k": np.fromiter(map(key, words), np.int64, len(words))})
+    parts = max(1, min(1 << 16, -(-size // (batch_bytes // 3))))
+    dealt = docs.select("ident", _zipped("text").alias("text"), "train", F.pmod(F.xxhash64("ident", "text"), F.lit(batches)).cast("int").alias("b"))
 
-    wanted = dealt.groupBy("b").applyInPandas(asked, "b int, k long")
-    known = wanted.join(counts, "k").select("b", "k", "c")
+    asked = dealt.groupBy("b").applyInPandas(lambda rows: _ask(rows, parts), ASKED)
+    answers = scratch.write(asked.groupBy("p").applyInPandas(_answer, ANSWERED))
+    figures = answers.where("b < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "n1", "n2"))).first()
+    total, types = figures["total"] + ends, figures["types"] + (ends > 0)
+    n1, n2 = figures["n1"] + (ends == 1), figures["n2"] + (ends == 2)
+    model = Automaton({}, 1, {}, [0], [0.0], [0], total, types, n1 / (n1 + 2 * n2) if n1 else 0.5)
 
     def walk(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=["ident", "n_tokens", "n_known", "base_score", "score"])
-        a = model.value
-        order = np.argsort(found["k"].to_numpy(np.int64), kind="stable")
-        there = found["k"].to_numpy(np.int64)[order]
-        count_of = np.append(found["c"].to_numpy(np.int64)[order], 0)
-        place: dict[bytes, int] = {}
-        codes: list[np.ndarray] = []
-        for value in rows["text"]:
-            words = tokens(value)
-            codes.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)))
-        hashed = np.fromiter(map(key, place), np.int64, len(place))
-        at = np.searchsorted(there, hashed)
-        at[at == len(there)] = -1
-        hit = (there[at] == hashed) if len(there) else np.zeros(len(hashed), bool)
-        count = np.append(np.where(hit, count_of[at], 0), end_count)
-        base = a.base(count)
-        values, back = np.unique(count, return_inverse=True)
-        single = np.array([a.single(int(c)) for c in values])[back]
-        number = np.array([a.words.get(int(h), -1) for h in hashed.tolist()] + [a.words.get(END, -1)], np.int64)
-        out = []
-        for x in codes:
-            x = np.append(x, len(place))
-            out.append((len(x), int((count[x] > 0).sum()), float(base[x].sum()), a.walk(number[x].tolist(), single[x].tolist())))
-        n, k, b, s = zip(*out, strict=True)
-        return pd.DataFrame({"ident": rows["ident"], "n_tokens": n, "n_known": k, "base_score": b, "score": s})
+        line = Line(rows["text"], parts)
+        x, at = line.x, np.cumsum(line.length) - line.length
+        for n, order in line.orders():
+            own, left, seen = _settled(order, found[found["n"] == n], cut)
+            if n == 2:
+                count = np.zeros(len(line.keys))
+                count[0], count[order.context] = ends, seen
+                values, back = np.unique(count, return_inverse=True)
+                p = np.array([10 ** model.single(int(c)) for c in values])[back][x]
+                base = np.add.reduceat(model.base(count)[x], at)
+                known = np.add.reduceat((count > 0)[x].astype(np.int64), at)
+            # a failure arc leads to the next shorter context, whose probability stands at the same place
+            last = order.places + (n - 1)
+            p[last] = own[order.at] + left[order.at] * p[last]
+            del order
+        return pd.DataFrame({"ident": rows["ident"], "n_tokens": line.length, "n_known": known, "base_score": base, "score": np.add.reduceat(np.log10(p), at)})
 
     schema = T.StructType([T.StructField("ident", docs.schema["ident"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))])
-    scored = dealt.groupBy("b").cogroup(known.groupBy("b")).applyInPandas(walk, schema)
+    scored = dealt.groupBy("b").cogroup(answers.where("b >= 0").select("b", "p", "n", "found").groupBy("b")).applyInPandas(walk, schema)
     return scored.select(F.col("ident").alias(ident), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import zlib
 
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,6 +270,33 @@ def test_language_model(spark, texts):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+def test_scores_take_every_word_and_ngram(spark, texts):
+    once = " ".join(f"r{i}" for i in range(5000))  # each word, pair and triple of it occurs once
+    given = [*texts, once, once, "w1 r7 r8 r9 w2 never", once + " w1"]
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(table(spark, given), F.col("doc_id") % 10 != 0, batch_bytes=20_000).collect()}
+    split = [[*(t or "").encode().lower().split(), None] for t in given]
+    train = [ws for i, ws in enumerate(split) if i % 10]
+    counts = Counter(w for ws in train for w in ws)
+    keys = {language_model.END if w is None else language_model.key(w): n for w, n in counts.items()}
+    numbers = {k: i for i, k in enumerate(sorted(keys))}
+    number = lambda w: numbers.get(language_model.END if w is None else language_model.key(w), -1)
+    lines = [[number(w) for w in ws] for ws in train]
+    pairs = Counter(g for x in lines for g in zip(x, x[1:], strict=False))
+    triples = Counter(g for x in lines for g in zip(x, x[1:], x[2:], strict=False))
+    n1, n2 = (sum(c == n for c in counts.values()) for n in (1, 2))
+    a = language_model.build_automaton(keys, dict(pairs), dict(triples), sum(counts.values()), len(counts), n1 / (n1 + 2 * n2))
+    for i, ws in enumerate(split):
+        assert got[i] == pytest.approx(a.walk([number(w) for w in ws], [a.single(counts[w]) for w in ws]))
+
+
+def test_large_parts_are_counted_in_turns(texts, monkeypatch):
+    rows = pd.DataFrame({"b": 0, "text": [t and zlib.compress(t.encode()) for t in texts], "train": [i % 3 > 0 for i in range(len(texts))]})
+    asked = pd.concat([language_model._ask(rows.assign(b=b)[b::2], 2) for b in (0, 1)])
+    whole = language_model._answer(asked[asked["p"] == 0])
+    monkeypatch.setattr(language_model, "GRAMS_AT_ONCE", 500)
+    pd.testing.assert_frame_equal(language_model._answer(asked[asked["p"] == 0]), whole)
+
+
 def test_automaton_is_a_distribution():
     rng = random.Random(9)
     line = [rng.choice("abbbc") for _ in range(400)]
