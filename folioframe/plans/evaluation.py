@@ -1,4 +1,4 @@
-"""Evaluation queries: `benchmark` is the reference, the first characters of a text the hypothesis."""
+"""Evaluation queries: `benchmark` is the reference, a text the hypothesis."""
 
 from __future__ import annotations
 
@@ -11,12 +11,11 @@ from .base import read
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ASCII text beside the item its id points to, both without white space and cut to 120."""
+    """Every whole text beside the item its id points to, both without white space."""
     items = read(spark, sf_dir, "benchmark")
     n = items.count()
-    squeezed = lambda c: F.substring(fn.without(F.col(c), r"\s+"), 1, 120)
-    docs = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    hyp = docs.select("doc_id", "source", squeezed("text").alias("hyp"), (F.col("doc_id") % n).alias("item_id"))
+    squeezed = lambda c: fn.without(F.col(c), r"\s+")
+    hyp = read(spark, sf_dir, "documents").select("doc_id", "source", squeezed("text").alias("hyp"), (F.col("doc_id") % n).alias("item_id"))
     return hyp.join(items.select("item_id", squeezed("text").alias("ref")), "item_id")
 
 
