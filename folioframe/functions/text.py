@@ -253,6 +253,45 @@ def sequence_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Edit distance of two texts, over machine-word columns; beyond `most`, some number above it."""
+    found: dict[str, list[int]] = {}
+    for i, ch in enumerate(a):
+        found.setdefault(ch, []).append(i)
+    places: dict[str, int] = {}
+    for ch, at in found.items():
+        bits = np.zeros(len(a), bool)
+        bits[at] = True
+        places[ch] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full, top, score = (1 << len(a)) - 1, len(a) - 1, len(a)
+    if not a:
+        return len(b)
+    up, down = full, 0
+    for j, ch in enumerate(b, 1):
+        same = places.get(ch, 0)
+        step = (((same & up) + up) ^ up) | same | down
+        right = down | full & ~(step | up)
+        left = up & step
+        score += (right >> top & 1) - (left >> top & 1)
+        if score - (len(b) - j) > most:  # each sign that is left takes off one at most
+            return most + 1
+        right, same = (right << 1 | 1) & full, same | down
+        up = (left << 1) & full | full & ~(same | right)
+        down = right & same
+    return score
+
+
+@F.pandas_udf(T.BooleanType())
+def halves_alike(texts: pd.Series) -> pd.Series:
+    """Whether edits between a text's halves are 15 % of one at most: similarity of 0.85."""
+
+    def alike(t: str) -> bool:
+        half = len(t) // 2
+        return half > 0 and 1 - edit_distance(t[:half], t[half : 2 * half], int(0.15 * half) + 1) / half >= 0.85
+
+    return pd.Series([None if t is None else alike(t) for t in texts], dtype=object)
+
+
 #: Chinese digits and units.
 CHINESE_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
 CHINESE_UNITS = {"十": 10, "百": 100, "千": 1000}

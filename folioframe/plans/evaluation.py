@@ -103,11 +103,9 @@ def scholarly_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_layer_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text can serve as reference: enough visible characters, few bad ones, halves unlike."""
-    solid = fn.without(F.col("text"), r"\s+")
-    docs = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7f]") & (F.length("text") < 1500)).select("doc_id", "text", solid.alias("t"))
-    half = F.floor(F.length("t") / 2).cast("int")
-    alike = 1 - F.levenshtein(F.substring("t", F.lit(1), half), F.substring("t", half + 1, half)) / F.greatest(half, F.lit(1))
-    reasons = F.filter(F.array(F.when(F.length("t") < 30, F.lit("too_few_visible_chars")), F.when(fn.count_of(F.col("text"), "�") / F.greatest(F.length("text"), F.lit(1)) > 0.005, F.lit("bad_characters")), F.when((F.length("t") >= 60) & (alike >= 0.85), F.lit("duplicated_text_layer"))), lambda r: r.isNotNull())
+    whole = F.coalesce("text", F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", whole.alias("text"), fn.without(whole, r"\s+").alias("t")).withColumn("alike", fn.halves_alike("t"))
+    reasons = F.filter(F.array(F.when(F.length("t") < 30, F.lit("too_few_visible_chars")), F.when(fn.count_of(F.col("text"), "�") / F.greatest(F.length("text"), F.lit(1)) > 0.005, F.lit("bad_characters")), F.when((F.length("t") >= 60) & F.col("alike"), F.lit("duplicated_text_layer"))), lambda r: r.isNotNull())
     return docs.select("doc_id", (F.size(reasons) == 0).alias("trusted"), F.array_join(reasons, ",").alias("reasons"))
 
 

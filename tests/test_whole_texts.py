@@ -1,10 +1,13 @@
 """Queries on rows that a cut of texts, languages or ids would lose."""
 
+import random
+
 from collections import Counter
 
 import pytest
 
 from folioframe import plans
+from folioframe.functions import text as fn
 
 from test_functions import edits
 
@@ -44,3 +47,27 @@ def test_character_bags_of_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: r for r in plans.QUERIES["char_bag"](spark, path).collect()}
     for i, (r, h) in enumerate(want):
         assert (got[i]["reference_chars"], got[i]["hypothesis_chars"], got[i]["overlap"]) == (len(r), len(h), (Counter(r) & Counter(h)).total())
+
+
+def test_edit_distance_and_its_limit():
+    rng = random.Random(3)
+    for n in (0, 1, 5, 63, 64, 65, 200):
+        a = "".join(rng.choice("abé語") for _ in range(n))
+        b = "".join(rng.choice("abé語") if rng.random() < 0.3 else ch for ch in a if rng.random() > 0.1)
+        want = edits(a, b)
+        assert fn.edit_distance(a, b, 1000) == want
+        assert all((fn.edit_distance(a, b, most) <= most) == (want <= most) for most in range(want + 3))
+
+
+def halves():
+    rng = random.Random(4)
+    long, other = ("".join(rng.choice("abcdefgh") for _ in range(5000)) for _ in range(2))
+    return {1: long + long[:4400] + "x" * 600, 2: long + long[:4200] + "x" * 800, 3: long + other, 4: "é" + long[:400] + "é" + long[:400], 5: "ab" * 20, 6: "ab" * 99, 7: "ab" * 100, 8: "", 9: None, 10: "\ufffd" + long[:150]}
+
+
+def test_text_layers_of_any_length_and_language(spark, tmp_path):
+    path = tables(spark, tmp_path, documents=([(i, t, "a") for i, t in halves().items()], DOCS))
+    got = {r["doc_id"]: r["reasons"] for r in plans.QUERIES["text_layer_trust"](spark, path).collect()}
+    twice, few = "duplicated_text_layer", "too_few_visible_chars"
+    assert got == {1: twice, 2: "", 3: "", 4: twice, 5: "", 6: twice, 7: twice, 8: few, 9: few, 10: "bad_characters"}
+    assert {r["reason"]: r["n"] for r in plans.QUERIES["untrusted_reasons"](spark, path).collect()} == {twice: 4, few: 2, "bad_characters": 1}
