@@ -123,12 +123,10 @@ def chinese_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of ASCII whose halves are alike; texts over 4,000 signs are told by their halves' own prefix bounds first."""
-    t = fn.without(F.col("text"), r"\s+")
-    docs = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", t.alias("t")).where(F.length("t").between(200, 2000))
-    half = (F.length("t") / 2).cast("int")
-    split = docs.select("doc_id", F.substring("t", F.lit(1), half).alias("a"), F.substring("t", half + 1, half).alias("b"))
-    return split.select("doc_id", (1 - F.levenshtein("a", "b") / F.length("a") >= 0.85).alias("repeated"))
+    """Whether a whole text's halves are alike; texts under 200 characters have none."""
+    t = fn.without(F.coalesce("text", F.lit("")), r"\s+")
+    docs = read(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("alike", fn.halves_alike("t"))
+    return docs.select("doc_id", ((F.length("t") >= 200) & F.col("alike")).alias("repeated"))
 
 
 def credential_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,9 @@ def test_text_layers_of_any_length_and_language(spark, tmp_path):
     twice, few = "duplicated_text_layer", "too_few_visible_chars"
     assert got == {1: twice, 2: "", 3: "", 4: twice, 5: "", 6: twice, 7: twice, 8: few, 9: few, 10: "bad_characters"}
     assert {r["reason"]: r["n"] for r in plans.QUERIES["untrusted_reasons"](spark, path).collect()} == {twice: 4, few: 2, "bad_characters": 1}
+
+
+def test_repeated_halves_of_any_length_and_language(spark, tmp_path):
+    path = tables(spark, tmp_path, documents=([(i, t, "a") for i, t in halves().items()], DOCS))
+    got = {r["doc_id"]: r["repeated"] for r in plans.QUERIES["repeated_halves"](spark, path).collect()}
+    assert got == {i: i in (1, 4, 7) for i in halves()}
