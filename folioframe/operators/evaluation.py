@@ -161,6 +161,8 @@ def tree_distance(a: list, b: list) -> float:
 
 def table_similarity(a: str | None, b: str | None) -> float:
     """1 minus the tree distance over the larger tree's size."""
+    if a == b:
+        return 1.0
     x, y = parse_table(a), parse_table(b)
     size = lambda t: sum(1 + size(c) for c in t[1])
     most = max(size(x), size(y))

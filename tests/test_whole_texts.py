@@ -77,3 +77,44 @@ def test_repeated_halves_of_any_length_and_language(spark, tmp_path):
     path = tables(spark, tmp_path, documents=([(i, t, "a") for i, t in halves().items()], DOCS))
     got = {r["doc_id"]: r["repeated"] for r in plans.QUERIES["repeated_halves"](spark, path).collect()}
     assert got == {i: i in (1, 4, 7) for i in halves()}
+
+
+ITEM = "l_orderkey long, l_linenumber int, l_partkey long, l_tax double, l_returnflag string"
+ORDERS = {1: [7, 8], 16: [3, 250_000, 5, 12_345_678_901, 9]}
+
+
+def orders(spark, path):
+    return tables(spark, path, lineitem=([(o, i, k, 0.08, "ANR"[i % 3]) for o, ks in ORDERS.items() for i, k in enumerate(ks, 1)], ITEM))
+
+
+def forest(a, b):
+    """Edits between two lists of trees, by the definition."""
+    if not a or not b:
+        return sum(1 + forest(t[1], []) for t in a + b)
+    x, y = a[-1], b[-1]
+    longest = max(len(x[2]), len(y[2]))
+    change = 1 if x[0] != y[0] else edits(x[2], y[2]) / longest if longest else 0
+    return min(forest(a[:-1] + x[1], b) + 1, forest(a, b[:-1] + y[1]) + 1, forest(a[:-1], b[:-1]) + forest(x[1], y[1]) + change)
+
+
+def test_tables_of_all_orders(spark, tmp_path):
+    path = orders(spark, tmp_path)
+    got = {r["l_orderkey"]: r for r in plans.QUERIES["table_teds"](spark, path).collect()}
+    assert sorted(got) == [1, 16] and all(r["same"] == 1 for r in got.values())
+    cell = lambda t, wide=1: [f"td:{wide}:1", [], str(t)]
+    whole = ["table", [["tr", [cell(i), cell(k)], ""] for i, k in enumerate(ORDERS[1], 1)], ""]
+    short = ["table", [["tr", [cell(i, 2)], ""] for i in (1, 2)], ""]
+    assert got[1]["changed"] == pytest.approx(1 - forest([whole], [short]) / 7, abs=1e-6)
+    shapes = {r["l_orderkey"]: (r["rows"], r["cols"]) for r in plans.QUERIES["table_shapes"](spark, path).collect()}
+    assert shapes == {o: (len(ks), 2) for o, ks in ORDERS.items()}
+
+
+def test_all_rows_of_a_table(spark, tmp_path):
+    got = {r["l_orderkey"]: r["size"] for r in plans.QUERIES["table_cells_html"](spark, orders(spark, tmp_path)).collect()}
+    rows = lambda ks, n: sum(len(f'<tr><td>{i}</td><td colspan="2">{k}</td></tr>') for i, k in enumerate(ks[:n], 1))
+    assert got[16] - got[1] == rows(ORDERS[16], 9) - rows(ORDERS[1], 9)
+
+
+def test_lines_of_any_part_key(spark, tmp_path):
+    got = plans.QUERIES["tesseract_lines"](spark, orders(spark, tmp_path)).collect()
+    assert {(r["l_orderkey"], r["line"]): r["size"] for r in got} == {(1, 1): 1, (1, 2): 1, (16, 0): 1, (16, 1): 3, (16, 2): 3}
