@@ -82,13 +82,13 @@ def common_edges(lines: DataFrame, by: str, order: list[str], text: str, share:
 
 
 def common_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 12).alias("first"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first"))
     return common_edges(docs, "source", ["doc_id"], "first")
 
 
 def common_edge_lines_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines within 90 % of a common one; lengths rule out most pairs before the alignment."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 12).alias("first"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first"))
     common = common_edges(docs, "source", ["doc_id"], "first").select("source", F.col("edge").alias("common"))
     pairs = docs.withColumn("edge", fn.edge_text(F.col("first"))).join(common, "source")
     a, b = F.length("edge"), F.length("common")

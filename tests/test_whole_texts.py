@@ -118,3 +118,11 @@ def test_all_rows_of_a_table(spark, tmp_path):
 def test_lines_of_any_part_key(spark, tmp_path):
     got = plans.QUERIES["tesseract_lines"](spark, orders(spark, tmp_path)).collect()
     assert {(r["l_orderkey"], r["line"]): r["size"] for r in got} == {(1, 1): 1, (1, 2): 1, (16, 0): 1, (16, 1): 3, (16, 2): 3}
+
+
+def test_whole_first_lines(spark, tmp_path):
+    head = "Proceedings of the Society, volume"
+    firsts = [head + " two"] * 4 + ["Proceedings of another kind altogether", "Proceedings that nobody has ever read", "Proceedings, the last", head + " twos", head + " one and a half"]
+    path = tables(spark, tmp_path, documents=([(i, f"{t}\nbody {i}", "a") for i, t in enumerate(firsts)], DOCS))
+    assert [tuple(r) for r in plans.QUERIES["common_edge_lines"](spark, path).collect()] == [("a", head + " two", 4, 4)]
+    assert sorted(r["doc_id"] for r in plans.QUERIES["common_edge_lines_fuzzy"](spark, path).collect()) == [0, 1, 2, 3, 7]
