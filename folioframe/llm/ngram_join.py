@@ -133,26 +133,17 @@ def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "in
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
-def jaccard_classes(df: DataFrame, text: str = "text", ident: str = "doc_id", threshold: float = 0.8, words: int = 5, recall: float = 0.999) -> DataFrame:
-    """One row per row of `df`: ident, class_id (the lowest id linked to it, over any number of links) and n_links.
+def _id_of(ident: str):
+    """Ids as numbers; the lowest one where there is none."""
+    return F.coalesce(F.col(ident).cast("long"), F.lit(-(1 << 63)))
 
-    Rows are linked when the Jaccard similarity of their sets of `words`-word n-grams is at least
-    `threshold`; n_links counts the other rows it is linked to. Equal sets are one node with a weight
-    from the first step on, so copies are never paired. Texts without words (null and empty ones
-    too) have the empty set and are linked to each other only; shorter texts than `words` have one
-    n-gram; a null id counts as the lowest; rows that share an id are one document in class_id but
-    are counted one by one; an empty table gives an empty result. Other columns are not read.
 
-    A trie of the forest holds the nodes sorted by signature; nodes with a common prefix of the depth
-    that `prefix_depth` settles on hang on the least of them, which keeps even a huge group to a row
-    a node. Each component of these links is then compared exactly, set against set, in blocks:
-    a task holds two blocks of BLOCK sets, and only counts and roots leave it, never pairs.
-    """
+def _classes(df: DataFrame, text: str = "text", ident: str = "doc_id", threshold: float = 0.8, words: int = 5, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
+    """By row: id, node (its set); by node: rep (its lowest id), root, class_id, n_links."""
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
     depth = prefix_depth(threshold, recall)
-    lowest = F.lit(-(1 << 63))
-    docs = df.select(F.coalesce(F.col(ident).cast("long"), lowest).alias("id"), F.col(text).alias("text"))
+    docs = df.select(_id_of(ident).alias("id"), F.col(text).alias("text"))
 
     def make():
         claim("words", _HASHES.clear)
@@ -209,12 +200,48 @@ def jaccard_classes(df: DataFrame, text: str = "text", ident: str = "doc_id", th
     linked = verified.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(verified.select(F.col("node").alias("u"), F.col("to").alias("v")), scratch)
     classes = joined.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
-    extra = scratch.write(joined.join(classes, "root").join(linked, "node").select("node", "class_id", "links"))
-    of = nodes.select("node", "rep", "n").join(extra, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    return signed.select("id", "node").join(of, "node").select(F.col("id").alias(ident), "class_id", "n_links")
+    extra = scratch.write(joined.join(classes, "root").join(linked, "node").select("node", "root", "class_id", "links"))
+    of = nodes.select("node", "rep", "n").join(extra, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    return signed.select("id", "node"), of
 
 
-def drop_near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", **how) -> DataFrame:
-    """The rows of `df` that have the lowest id of their class: one document of each group stays."""
-    gone = jaccard_classes(df, text, ident, **how).where(F.col(ident) != F.col("class_id")).select(ident).distinct()
-    return _meet(df, gone, ident, "left_anti")
+def jaccard_classes(df: DataFrame, text: str = "text", ident: str = "doc_id", threshold: float = 0.8, words: int = 5, recall: float = 0.999) -> DataFrame:
+    """One row per row of `df`: ident, class_id (the lowest id linked to it, over any number of links) and n_links.
+
+    Rows are linked when the Jaccard similarity of their sets of `words`-word n-grams is at least
+    `threshold`; n_links counts the other rows it is linked to. Equal sets are one node with a weight
+    from the first step on, so copies are never paired. Texts without words (null and empty ones
+    too) have the empty set and are linked to each other only; shorter texts than `words` have one
+    n-gram; a null id counts as the lowest; rows that share an id are one document in class_id but
+    are counted one by one; an empty table gives an empty result. Other columns are not read.
+
+    A trie of the forest holds the nodes sorted by signature; nodes with a common prefix of the depth
+    that `prefix_depth` settles on hang on the least of them, which keeps even a huge group to a row
+    a node. Each component of these links is then compared exactly, set against set, in blocks:
+    a task holds two blocks of BLOCK sets, and only counts and roots leave it, never pairs.
+    """
+    signed, of = _classes(df, text, ident, threshold, words, recall)
+    return signed.join(of, "node").select(F.col("id").alias(ident), "class_id", "n_links")
+
+
+def drop_near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 5, **how) -> DataFrame:
+    """The rows of `df` that have the lowest id of their class: one document of each group stays.
+
+    Of rows with the same id (or none) the one with the lowest set stays, and one of equal sets.
+    """
+    signed, of = _classes(df, text, ident, words=words, **how)
+    gone = signed.join(of, "node").where("id <> class_id").select(F.col("id").alias(ident)).distinct()
+    again = Scratch(df.sparkSession, "again").write(signed.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("_id")))
+    if again.isEmpty():
+        return _meet(df, gone, ident, "left_anti")
+
+    def make():
+        claim("words", _HASHES.clear)
+        return lambda part: [pa.array([node_of(shingles(t, words)) for t in texts_of(part, text)], pa.binary())]
+
+    rows = df.withColumn("_id", _id_of(ident))
+    once = _meet(_meet(rows, again, "_id", "left_anti"), gone.withColumnRenamed(ident, "_id"), "_id", "left_anti")
+    stays = of.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("k")).select(F.col("k.rep").alias("_id"), F.col("k.node").alias("_node"))
+    told = map_texts(_meet(rows, again, "_id", "left_semi"), text, [T.StructField("_node", T.BinaryType())], make)
+    one = told.join(stays, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
+    return once.select(*df.columns).unionByName(one.select(*df.columns))

@@ -161,6 +161,28 @@ def test_jaccard(spark, texts, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for c, _ in want})
 
 
+def test_one_of_repeated_rows_stays(spark):
+    rng = random.Random(12)
+    a, b, c, d = (sentence(rng, 60, 5000) for _ in range(4))
+    near = a + " more"
+    # equal rows; an id with two texts, one near to another's; rows without an id; near texts under one id
+    rows = [(1, a), (1, a), (2, near), (3, b), (3, c), (4, c), (None, d), (None, d), (5, d), (6, "x " + b), (7, ""), (7, None), (8, "own words here")]
+    df = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.drop_near_duplicates(df).collect()]
+    assert sorted(kept, key=str) in (sorted([(1, a), (3, b), (3, c), (None, d), (7, t), (8, "own words here")], key=str) for t in ("", None))
+    assert [r["doc_id"] for r in ngram_join.drop_near_duplicates(table(spark, [a, near, near], [9, 9, 9])).collect()] == [9]
+
+
+def test_pipeline_keeps_the_text_of_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = sentence(random.Random(13), 90, 5000)
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert [r["text"] for r in docs.collect()] == [text]
+
+
 def test_jaccard_in_blocks(spark, monkeypatch):
     rng = random.Random(8)
     words = sentence(rng, 150, 5000).split()
