@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join: a MinHash LSH forest proposes, exact set comparison decides."""
+"""N-gram Jaccard self-join: MinHash bands of a fixed depth propose, exact set comparison decides."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from .common import Scratch, claim, map_texts, texts_of
 from .decontamination import _HASHES, word_hashes
 from .graph import components
 
-#: Tries of the forest, and the longest prefix of a signature that a trie holds.
+#: Bands, and the most minima that one may have.
 TREES, MAX_DEPTH = 24, 8
 #: Sets compared with each other in one step of a task.
 BLOCK = 400
@@ -23,9 +23,9 @@ BROADCAST_ROWS = 300_000
 
 
 def prefix_depth(threshold: float, recall: float, trees: int = TREES, deepest: int = MAX_DEPTH) -> int:
-    """Shorten the matched prefix until a pair at the threshold meets in some trie with the target recall.
+    """The most minima a band may have for a pair at the threshold to meet in some band with the target recall.
 
-    Two sets of similarity s share a prefix of length d in a trie with probability s^d.
+    Two sets of similarity s agree in a band of d minima with probability s^d.
     """
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
@@ -55,7 +55,7 @@ def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: np.ndarray, depth: int, trees: int = TREES) -> list[int]:
-    """By trie, the hash of the first `depth` minima of the set's signature there."""
+    """By band, the hash of its `depth` minima."""
     a, b = _factors(trees * depth)
     low = np.full(trees * depth, 0xFFFFFFFF, np.uint32)
     folded = (sets ^ (sets >> np.uint64(32))).astype(np.uint32)
@@ -215,8 +215,8 @@ def jaccard_classes(df: DataFrame, text: str = "text", ident: str = "doc_id", th
     n-gram; a null id counts as the lowest; rows that share an id are one document in class_id but
     are counted one by one; an empty table gives an empty result. Other columns are not read.
 
-    A trie of the forest holds the nodes sorted by signature; nodes with a common prefix of the depth
-    that `prefix_depth` settles on hang on the least of them, which keeps even a huge group to a row
+    Nodes are grouped by the hash of each band, of the depth that `prefix_depth` gives, the same for
+    all data; nodes that share one hang on the least of them, which keeps even a huge group to a row
     a node. Each component of these links is then compared exactly, set against set, in blocks:
     a task holds two blocks of BLOCK sets, and only counts and roots leave it, never pairs.
     """
