@@ -217,65 +217,97 @@ class Encoder:
         return out
 
 
-#: A Python worker's encoders by vocabulary, so that its later tasks find the memos filled.
-_ENCODERS: dict[str, Encoder] = {}
+#: A Python worker's coders by vocabulary, so that its later tasks find the memos filled.
+_CODERS: dict[str, tuple] = {}
 
 
-def encode(df: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str = "text", ids: str = "ids", words: bool = False) -> DataFrame:
+class Decoder:
+    """The bytes that ids stand for, by gathers from one array of all tokens' bytes."""
+
+    #: Ids that are decoded at once.
+    STEP = 200_000
+
+    def __init__(self, ranks: Mapping[bytes, int]):
+        top = max(ranks.values(), default=-1) + 1
+        token = [b""] * top
+        for t, i in ranks.items():
+            token[i] = t
+        self.known = np.zeros(top, bool)
+        self.known[list(ranks.values())] = True
+        self.size = np.array([len(t) for t in token], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(token), np.uint8)
+
+    def _some(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise ValueError("an id that the vocabulary does not have")
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        return self.letters[np.repeat(self.first[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+    def decode(self, flat: np.ndarray, counts: list[int]) -> list[bytes]:
+        """Texts of the ids in `flat`, of which each text has its count."""
+        out, at = [], 0
+        while at < len(counts):
+            stop, n = at + 1, counts[at]
+            while stop < len(counts) and n + counts[stop] <= self.STEP:
+                n += counts[stop]
+                stop += 1
+            data = b"".join(self._some(flat[i : min(i + self.STEP, n)]) for i in range(0, n, self.STEP))
+            ends = np.append(0, np.cumsum(self.size[flat[:n]]))[np.cumsum([0, *counts[at:stop]])].tolist()
+            out += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            flat, at = flat[n:], stop
+        return out
+
+
+def encode(df: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str = "text", ids: str = "ids", words: bool = False, decoded: str | None = None) -> DataFrame:
     """Append the ids (array<int>) of each whole text; null and empty texts have none.
 
     Rows are independent: no shuffle, repeated rows get equal ids, a column named `ids` is replaced.
     Ids stand for the same tokens as the usual lowest-rank-first rule gives, special tokens excluded.
-    The vocabulary is broadcast; `load_ranks` bounds it. `words`: see `Encoder`.
+    The vocabulary is broadcast; `load_ranks` bounds it. `words`: see `Encoder`. With `decoded`, a
+    column of that name has the bytes decoded from the ids, in the same pass.
     """
     name = hashlib.sha256(repr((sorted(ranks.items()), pattern, words)).encode()).hexdigest()
     shared = df.sparkSession.sparkContext.broadcast(dict(ranks))
 
     def make():
-        claim("bpe", _ENCODERS.clear)
-        if name not in _ENCODERS:
-            _ENCODERS[name] = Encoder(shared.value, pattern, words)
-        encoder = _ENCODERS[name]
+        claim("bpe", _CODERS.clear)
+        if name not in _CODERS:
+            _CODERS[name] = Encoder(shared.value, pattern, words), Decoder(shared.value)
+        encoder, decoder = _CODERS[name]
 
         def run(part: pa.RecordBatch) -> list[pa.Array]:
             flat, ends = bytearray(), [0]
             for t in texts_of(part, text):
                 flat += encoder.encode(t)
                 ends.append(len(flat) // 4)
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))]
+            whole = np.frombuffer(flat, np.int32)
+            out = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole))]
+            if decoded:
+                out.append(pa.array(decoder.decode(whole, np.diff(ends).tolist()), pa.binary()))
+            return out
 
         return run
 
-    return map_texts(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
+    return map_texts(df, text, fields, make)
 
 
 def decode(df: DataFrame, ranks: Mapping[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Append the bytes that the ids stand for; null ids give empty bytes, an unknown id is an error."""
-    top = max(ranks.values(), default=-1) + 1
-    token = [b""] * top
-    for t, i in ranks.items():
-        token[i] = t
-    known = np.zeros(top, bool)
-    known[list(ranks.values())] = True
-    length = np.array([len(t) for t in token], np.int64)
-    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(token), np.uint8), np.cumsum(length) - length, length, known))
+    shared = df.sparkSession.sparkContext.broadcast(dict(ranks))
     kept = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        letters, first, size, there = shared.value
+        decoder = Decoder(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 rows = part.column(ids)
-                flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(there) or not there[flat].all()):
-                    raise ValueError("an id that the vocabulary does not have")
-                n = size[flat]
-                ends = np.cumsum(n)
-                data = letters[np.repeat(first[flat] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-                stops = np.concatenate([[0], ends])[np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])].tolist()
-                made = [data[a:b] for a, b in zip(stops, stops[1:])]
+                flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                made = decoder.decode(flat, pc.fill_null(pc.list_value_length(rows), 0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(made, pa.binary())], names=[*kept, out])
 
     return df.select(*kept).mapInArrow(run, schema)

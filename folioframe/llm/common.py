@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text that one slice of an Arrow batch may hold before it is cut again (one row is never cut).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; on one machine a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -96,8 +96,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, pattern, words=True).select("doc_id", "ids")
-    out = bpe.decode(ids, ranks)
+    out = bpe.encode(docs, ranks, pattern, words=True, decoded="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
