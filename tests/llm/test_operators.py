@@ -76,9 +76,46 @@ def test_repeats_with_repeated_rows_and_null_ids(spark):
 def test_anchors_over_chunks(monkeypatch):
     rng = random.Random(2)
     data = bytes(rng.choice(b"ab") for _ in range(5000)) + b"c" * 700
-    whole = [x.tolist() for x in substring_dedup.anchors_of(data, 200)]
+
+    def found():
+        anchor, covered = {}, set()
+        for a, lo, hi, first, last in substring_dedup.anchors_of(data, 200):
+            anchor |= {p: x for x, s, e in zip(a.tolist(), lo.tolist(), hi.tolist(), strict=True) for p in range(s, e + 1)}
+            covered |= {p for s, e in zip(first.tolist(), last.tolist(), strict=True) for p in range(s, e + 1)}
+        return anchor, covered
+
+    anchor, covered = found()
+    windows = [data[i : i + 200] for i in range(len(data) - 199)]
+    assert set(anchor) | covered == set(range(len(windows)))
+    assert all(windows.count(windows[p]) > 1 for p in covered) and covered >= set(range(5001, 5501))
     monkeypatch.setattr(substring_dedup, "CHUNK", 333)
-    assert [x.tolist() for x in substring_dedup.anchors_of(data, 200)] == whole
+    again = found()
+    assert set(again[0]) | again[1] == set(range(len(windows))) and all(anchor.get(p, x) == x for p, x in again[0].items())
+
+
+def test_repeats_of_periods_and_small_alphabets(spark):
+    rng = random.Random(6)
+    given = ["z" * n for n in (199, 200, 201, 202, 300, 900)] + ["ab" * 100, "ab" * 101, "abc" * 80 + "x" + "abc" * 90, ("abcdefghij" * 40)[:333], ("abcdefghij" * 40)[3:250]]
+    for q in (1, 2, 3, 7, 20, 40, 63, 64, 65, 70):
+        unit = "".join(rng.choice("abcd") for _ in range(q))
+        given += [sentence(rng, 20) + unit * (500 // q + 1) + sentence(rng, 20), (unit * (600 // q))[rng.randrange(q) :][: rng.randrange(200, 400)]]
+    letters = "".join(rng.choice("ab") for _ in range(3000))
+    for _ in range(30):
+        edited = list(letters)
+        for _ in range(rng.randrange(8)):
+            edited[rng.randrange(len(edited))] = rng.choice("abc")
+        start, end = sorted(rng.sample(range(3001), 2))
+        given.append("".join(edited[start:end]))
+    got = substring_dedup.remove_repeats(table(spark, given)).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_repeats(given)
+
+
+def test_repeats_of_a_long_run(spark):
+    rng = random.Random(7)
+    rows = sum(len(a) for a, *_ in substring_dedup.anchors_of(b"z" * 8_000_000, 200))
+    assert rows < 100
+    got = substring_dedup.remove_repeats(table(spark, ["z" * 8_000_000, "z" * 200, sentence(rng, 20)])).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got][:2] == [(8_000_000, 8_000_000, 1), (200, 200, 1)] and got[2]["n_removed"] == 0
 
 
 # 2
@@ -196,10 +233,57 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert [(r["class_id"], r["n_links"]) for r in got] == brute_links(near)
 
 
-def test_prefix_depth():
-    for recall in (0.9, 0.99, 0.999):
-        d = ngram_join.prefix_depth(0.8, recall)
-        assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= recall
+def test_large_groups_by_their_pivot(spark, monkeypatch):
+    rng = random.Random(14)
+    words = sentence(rng, 120, 5000).split()
+    near = []
+    for i in range(90):  # from nearly equal to not linked
+        w = list(words)
+        for k in range(i % 6):
+            w[(i * 7 + k * 20) % 120] = f"x{i}-{k}"
+        near.append(" ".join(w + [f"end{i}"] * (i % 4)))
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    got = ngram_join.jaccard_classes(table(spark, near + near[:5])).orderBy("doc_id").collect()
+    assert [(r["class_id"], r["n_links"]) for r in got] == brute_links(near + near[:5])
+
+
+def test_paths_sort_as_their_minima():
+    rng = random.Random(15)
+    a = ngram_join.shingles(sentence(rng, 300, 5000))
+    one = ngram_join.signature(a)
+    assert len(one) == ngram_join.TREES * ngram_join.MAX_DEPTH * ngram_join.MINIMUM_BYTES and one == ngram_join.signature(a)
+    agree = []
+    for part in (0.95, 0.8, 0.5):
+        both = np.frombuffer(one, ">u2") == np.frombuffer(ngram_join.signature(a[: int(len(a) * part)]), ">u2")
+        agree.append(both.mean())
+    assert agree == pytest.approx([0.95, 0.8, 0.5], abs=0.1)
+
+
+def test_prefixes_shorten_until_the_recall():
+    deepest = ngram_join.MAX_DEPTH
+    assert ngram_join.found_share({0.98: 500}, deepest, 0.8) > 0.999  # close copies: whole paths will do
+    weak = [ngram_join.found_share({0.8: 500}, d, 0.8) for d in range(deepest, 0, -1)]
+    assert weak[0] < 0.99 and weak == sorted(weak) and weak[-1] > 0.999
+    assert ngram_join.found_share({}, deepest, 0.8) < 0.99  # nothing found tells of nothing
+
+
+def test_recall_of_the_forest(spark):
+    rng = random.Random(16)
+    given = []
+    for i in range(120):  # pairs of similarity from 0.75 to 0.95
+        w = sentence(rng, 200, 20_000).split()
+        given.append(" ".join(w))
+        for k in range(1 + i % 5):
+            w[10 + 35 * k] = "other"
+        given.append(" ".join(w))
+    want = brute_links(given)
+    got = ngram_join.jaccard_classes(table(spark, given)).orderBy("doc_id").collect()
+    assert sum(r["n_links"] for r in got) >= 0.99 * sum(n for _, n in want) and all(r["n_links"] <= n for r, (_, n) in zip(got, want, strict=True))
+
+
+def test_jaccard_keeps_null_ids(spark):
+    got = ngram_join.jaccard_classes(table(spark, ["a b c d e f", "a b c d e f", "other words of no kin at all"], [None, 7, None])).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == [(7, 7, 1), (None, 7, 1), (None, None, 0)]
 
 
 # 5, 6
