@@ -44,7 +44,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the text, their number, and the text decoded from them."""
     common.bounded_batches(spark)
     ranks, pattern = tokenizer()
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, words=True).drop("text"), ranks)
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, words=True, decoded="decoded")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
