@@ -11,27 +11,57 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 
+SIDES = ("x0", "y0", "x1", "y1")
+
 
 def _with(prefix: str, rows: DataFrame) -> DataFrame:
     return rows.select([F.col(c).alias(c if c == "page" else prefix + c) for c in rows.columns])
 
 
+#: Height of the bands of a page by which boxes meet.
+BAND = 64.0
+
+
+def _banded(rows: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """A row for each band between two heights, with the first one."""
+    first = F.floor(low / BAND)
+    return rows.withColumn(f"{name}_first", first).withColumn("band", F.explode(F.sequence(first, F.greatest(first, F.floor(high / BAND)))))
+
+
+def meeting(left: DataFrame, right: DataFrame, reach: Column | None = None) -> DataFrame:
+    """Pairs of a page whose boxes (l_ and b_) meet, or come as near as `reach` of the left one.
+
+    Rows are dealt by page and band of height, and the test is part of the join, so neither a page with very many boxes nor one
+    whose boxes do not meet yields all its pairs; a pair that shares bands counts in the first of them.
+    """
+    grow = F.lit(0.0) if reach is None else reach
+    a = _banded(_with("l_", left).withColumn("l_reach", grow), F.col("l_y0") - F.col("l_reach"), F.col("l_y1") + F.col("l_reach"), "l")
+    b = _banded(_with("b_", right), F.col("b_y0"), F.col("b_y1"), "b")
+    near = (F.col("b_x0") <= F.col("l_x1") + F.col("l_reach")) & (F.col("b_x1") >= F.col("l_x0") - F.col("l_reach")) & (F.col("b_y0") <= F.col("l_y1") + F.col("l_reach")) & (F.col("b_y1") >= F.col("l_y0") - F.col("l_reach"))
+    b = b.withColumnsRenamed({"page": "b_page", "band": "b_band"})
+    on = (F.col("page") == F.col("b_page")) & (F.col("band") == F.col("b_band")) & (F.col("band") == F.greatest("l_first", "b_first")) & near
+    return a.join(b, on).drop("band", "b_band", "b_page", "l_first", "b_first")
+
+
 def best_overlap(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """page, line, block, area: the block that covers most of each line; ties to the first block."""
     a, b = geo.box("l_"), geo.box("b_")
-    pairs = _with("l_", lines).join(_with("b_", blocks), "page").where(geo.meets(a, b)).withColumn("area", geo.common_area(a, b))
+    pairs = meeting(lines, blocks).withColumn("area", geo.common_area(a, b))
     best = F.max_by(F.struct(F.col("b_id").alias("block"), "area"), F.struct("area", -F.col("b_id")))
     return pairs.where("area > 0").groupBy("page", F.col("l_id").alias("line")).agg(best.alias("best")).select("page", "line", "best.block", "best.area")
 
 
 def nearest_block(lines: DataFrame, blocks: DataFrame, x_weight: float = 5.0, most: float = 20.0) -> DataFrame:
-    """page, line, block, distance: the nearest centre, x counting more; farther than `most`: block null."""
+    """page, line, block, distance: the block of the nearest centre, x counting more, nearer than `most`; null where there is none."""
     a, b = geo.box("l_"), geo.box("b_")
-    pairs = _with("l_", lines).join(_with("b_", blocks), "page", "left").withColumn("distance", geo.centre_distance(a, b, x_weight))
+    middle = lambda rows: rows.select("page", "id", *SIDES, ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    left = _with("l_", middle(lines)).withColumn("band", F.floor(F.col("l_cy") / most))
+    right = _with("b_", middle(blocks)).withColumn("band", F.explode(F.sequence(F.floor(F.col("b_cy") / most) - 1, F.floor(F.col("b_cy") / most) + 1)))
+    distance = geo.centre_distance(a, b, x_weight)
+    pairs = left.join(right, ["page", "band"]).withColumn("distance", distance).where(F.col("distance") < most)
     best = F.min_by(F.struct(F.col("b_id").alias("block"), "distance"), F.struct("distance", "b_id"))
-    found = pairs.groupBy("page", F.col("l_id").alias("line")).agg(best.alias("best"))
-    near = F.col("best.distance") < most
-    return found.select("page", "line", F.when(near, F.col("best.block")).alias("block"), "best.distance")
+    found = pairs.groupBy("page", F.col("l_id").alias("line")).agg(best.alias("best")).select("page", "line", "best.block", "best.distance")
+    return lines.select("page", F.col("id").alias("line")).distinct().join(found, ["page", "line"], "left")
 
 
 def leftovers(assigned: DataFrame) -> DataFrame:
@@ -43,19 +73,18 @@ def leftovers(assigned: DataFrame) -> DataFrame:
 
 def smallest_holder(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """page, point, block: the smallest box that holds the centre, ties to the first; null where none does."""
-    a, b = geo.box("l_"), geo.box("b_")
-    inside = geo.holds(b, *geo.centre(a))
-    pairs = _with("l_", points).join(_with("b_", blocks), "page", "left").withColumn("block", F.when(inside, F.col("b_id"))).withColumn("size", F.when(inside, geo.area(b)))
-    return pairs.groupBy("page", F.col("l_id").alias("point")).agg(F.min_by("block", F.struct(F.coalesce("size", F.lit(float("inf"))), "block")).alias("block"))
+    x, y = geo.centre(geo.box())
+    centres = points.select("page", "id", x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"))
+    held = meeting(centres, blocks).groupBy("page", F.col("l_id").alias("point")).agg(F.min_by("b_id", F.struct(geo.area(geo.box("b_")), "b_id")).alias("block"))
+    return points.select("page", F.col("id").alias("point")).distinct().join(held, ["page", "point"], "left")
 
 
 def contained_best(items: DataFrame, blocks: DataFrame, least: float = 0.5) -> DataFrame:
-    """page, item, block, score: the block that holds the largest share of an item, at least `least`; else null."""
+    """page, item, block: the block that holds the largest share of an item, at least `least`; else null."""
     a, b = geo.box("l_"), geo.box("b_")
-    pairs = _with("l_", items).join(_with("b_", blocks), "page", "left").withColumn("score", geo.share_of(a, b))
-    best = F.max_by(F.struct(F.col("b_id").alias("block"), "score"), F.struct("score", -F.col("b_id")))
-    found = pairs.groupBy("page", F.col("l_id").alias("item")).agg(best.alias("best"))
-    return found.select("page", "item", F.when(F.col("best.score") >= least, F.col("best.block")).alias("block"))
+    pairs = meeting(items, blocks).withColumn("score", geo.share_of(a, b)).where(F.col("score") >= least)
+    found = pairs.groupBy("page", F.col("l_id").alias("item")).agg(F.max_by("b_id", F.struct("score", -F.col("b_id"))).alias("block"))
+    return items.select("page", F.col("id").alias("item")).distinct().join(found, ["page", "item"], "left")
 
 
 def matched(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:

@@ -2,47 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from .layout import meeting
 
 
-def contained(spark: SparkSession, blocks: DataFrame, root: str, types: list[str]) -> DataFrame:
-    """(id, type, place) of the blocks under a root, of the given types, in pre-order.
+def levels_below(edges: DataFrame, root: str, write: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
+    """The rows of `edges` (id, parent, …) level by level under a root; `above` is the row's parent's `path`.
 
-    blocks: id, parent, ord, type, removed. A removed block hides all below it. One recursive query;
-    places are paths of order numbers, padded so that they sort as text.
+    A join a level, each written to the shared folder (or by `write`), so neither depth nor rows meet a limit and no view is named.
     """
-    blocks.where("not removed").createOrReplaceTempView("_tree_blocks")
-    found = spark.sql(
-        """WITH RECURSIVE below(id, type, path) AS (
-             SELECT id, type, lpad(CAST(ord AS STRING), 9, '0') FROM _tree_blocks WHERE parent = :root
-             UNION ALL
-             SELECT b.id, b.type, concat(p.path, '/', lpad(CAST(b.ord AS STRING), 9, '0')) FROM _tree_blocks b JOIN below p ON b.parent = p.id)
-           SELECT id, type, path FROM below""",
-        args={"root": root},
-    )
-    return found.where(F.col("type").isin(*types))
+    save = write or shared_table
+    now = save(edges.where(F.col("parent") == root).withColumn("path", F.lpad(F.col("ord").cast("string"), 9, "0")))
+    out = []
+    while not now.isEmpty():
+        out.append(now)
+        above = now.select(F.col("id").alias("_p"), F.col("path").alias("_path"))
+        now = save(edges.join(above, F.col("parent") == F.col("_p")).withColumn("path", F.concat("_path", F.lit("/"), F.lpad(F.col("ord").cast("string"), 9, "0"))).drop("_p", "_path"))
+    return out
+
+
+def shared_table(rows: DataFrame) -> DataFrame:
+    """A table in the folder that all executors share; on one machine a temporary one will do."""
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folioframe-")
+    path = f"{base.rstrip('/')}/level-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def contained(blocks: DataFrame, root: str, types: list[str]) -> DataFrame:
+    """(id, type, path) of the blocks under a root, of the given types, in pre-order by path.
+
+    blocks: id, parent, ord, type, removed. A removed block hides all below it; paths are order numbers, padded so that they sort as text.
+    """
+    found = levels_below(blocks.where("not removed").select("id", "parent", "ord", "type"), root)
+    out = blocks.sparkSession.createDataFrame([], "id string, type string, path string")
+    for level in found:
+        out = out.unionByName(level.select("id", "type", "path"))
+    return out.where(F.col("type").isin(*types))
 
 
 def coverage(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """By page: the share of the lines' area that their best block covers, and lines that overlap two blocks or more."""
-    a, b = geo.Box(*(F.col(f"l_{c}") for c in ("x0", "y0", "x1", "y1"))), geo.Box(*(F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
-    left = lines.select([F.col(c).alias(c if c == "page" else f"l_{c}") for c in lines.columns])
-    right = blocks.select([F.col(c).alias(c if c == "page" else f"b_{c}") for c in blocks.columns])
-    pairs = left.join(right, "page", "left").withColumn("common", F.when(F.col("b_x0").isNotNull(), geo.common_area(a, b)).otherwise(0.0))
-    best = pairs.groupBy("page", "l_id").agg(F.max("common").alias("best"), F.count_if(F.col("common") > 0).alias("met"), F.first(geo.area(a)).alias("size"))
-    return best.groupBy("page").agg((F.sum("best") / F.sum("size")).alias("covered"), F.count_if(F.col("met") > 1).alias("overlapping"), F.count("*").alias("lines"))
+    common = geo.common_area(geo.box("l_"), geo.box("b_"))
+    best = meeting(lines, blocks).groupBy("page", F.col("l_id").alias("id")).agg(F.max(common).alias("best"), F.count_if(common > 0).alias("met"))
+    once = lines.groupBy("page", "id").agg(F.first(geo.area(geo.box())).alias("size")).join(best, ["page", "id"], "left").na.fill(0, ["best", "met"])
+    return once.groupBy("page").agg((F.sum("best") / F.sum("size")).alias("covered"), F.count_if(F.col("met") > 1).alias("overlapping"), F.count("*").alias("lines"))
 
 
 def grown_to_gap(blocks: DataFrame, most: float = 0.05) -> DataFrame:
-    """Blocks moved out by half the least gap to another one of the page, by `most` of their size at the most."""
-    a, b = geo.box(), geo.Box(*(F.col(f"o_{c}") for c in ("x0", "y0", "x1", "y1")))
-    other = blocks.select(F.col("page").alias("o_page"), F.col("id").alias("o_id"), *(F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")))
-    gaps = blocks.join(other, (F.col("page") == F.col("o_page")) & (F.col("id") != F.col("o_id")), "left").groupBy("page", "id", "x0", "y0", "x1", "y1").agg(F.min(F.when(F.col("o_id").isNotNull(), geo.gap(a, b))).alias("gap"))
-    step = lambda size: F.least(F.coalesce(F.col("gap") / 2, F.lit(0.0)), size * most)
-    return gaps.select("page", "id", (F.col("x0") - step(geo.width(a))).alias("x0"), (F.col("y0") - step(geo.height(a))).alias("y0"), (F.col("x1") + step(geo.width(a))).alias("x1"), (F.col("y1") + step(geo.height(a))).alias("y1"))
+    """Blocks moved out by half the least gap to another one of the page, by `most` of their size at the most.
+
+    Only blocks nearer than twice that bound can hold a block back; a block that is alone on its page stays.
+    """
+    a = geo.box()
+    reach = 2 * most * F.greatest(F.col("l_x1") - F.col("l_x0"), F.col("l_y1") - F.col("l_y0"))
+    near = meeting(blocks, blocks, reach).where("l_id <> b_id").groupBy("page", F.col("l_id").alias("id")).agg(F.min(geo.gap(geo.box("l_"), geo.box("b_"))).alias("gap"))
+    alone = blocks.groupBy("page").agg((F.count_distinct("id") < 2).alias("alone"))
+    rows = blocks.join(near, ["page", "id"], "left").join(alone, "page")
+    step = lambda size: F.when(F.col("alone"), 0.0).otherwise(F.least(F.coalesce(F.col("gap") / 2, F.lit(float("inf"))), size * most))
+    return rows.select("page", "id", (F.col("x0") - step(geo.width(a))).alias("x0"), (F.col("y0") - step(geo.height(a))).alias("y0"), (F.col("x1") + step(geo.width(a))).alias("x1"), (F.col("y1") + step(geo.height(a))).alias("y1"))
 
 
 def note_lines(notes: DataFrame, lines: DataFrame, reach: float = 12.0) -> DataFrame:

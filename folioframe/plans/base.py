@@ -10,9 +10,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines_of(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line of a text: ident, line_idx (from 0), line. Null texts have none."""
-    return docs.select(ident, F.posexplode(F.split(text, "\n")).alias("line_idx", "line"))
+def lines_of(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per line of a text: ident, what is kept, line_idx (from 0), line. Null texts have none."""
+    return docs.select(ident, *keep, F.posexplode(F.split(text, "\n")).alias("line_idx", "line"))
 
 
 #: DuckDB text of the same, for use in a WITH clause.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as ops
@@ -187,27 +187,13 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", "page", F.md5(F.array_join(F.transform("r", lambda x: x["text"]), "\n").cast("binary")).alias("md5"))
 
 
-def recorded_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(type, first word) met on at least three pages of a document: furniture rather than text."""
-    sign = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
-    found = blocks_of(spark, sf_dir).select("doc", "page", "type", sign.alias("sign"))
-    return found.groupBy("doc", "type", "sign").agg(F.countDistinct("page").alias("pages")).where("pages >= 3")
-
-
-def continued_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text blocks that the next text block goes on: no full stop before, a small letter after."""
-    along = Window.partitionBy("doc").orderBy("ord")
-    texts = blocks_of(spark, sf_dir).where("type in ('Text', 'Quote')").withColumn("next", F.lead("text").over(along))
-    return texts.where(~F.col("text").rlike(r"[.!?]$") & F.col("next").rlike("^[a-z]")).select("doc", "ord")
-
-
 def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent block type of each page, ties to the first name."""
     counted = blocks_of(spark, sf_dir).groupBy("doc", "page", "type").agg(F.count("*").alias("n"))
     return counted.groupBy("doc", "page").agg(F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"), F.sum("n").alias("blocks"))
 
 
-QUERIES = {f.__name__: f for f in (html_blocks, html_headings, html_chunks, html_links_resolved, section_hierarchy, section_ends, table_of_contents, block_neighbours, block_relabel, canonical_types, middle_summary, middle_validate, dangling_relations, resolved_notes, join_pages_markdown, anchored_pages, page_slices, page_chunks, markdown_documents, table_cells_html, quote_levels, list_levels, storage_round_trip, page_ranges, label_files, line_index, content_reuse, raw_texts, recorded_annotations, continued_texts, page_statistics)}
+QUERIES = {f.__name__: f for f in (html_blocks, html_headings, html_chunks, html_links_resolved, section_hierarchy, section_ends, table_of_contents, block_neighbours, block_relabel, canonical_types, middle_summary, middle_validate, dangling_relations, resolved_notes, join_pages_markdown, anchored_pages, page_slices, page_chunks, markdown_documents, table_cells_html, quote_levels, list_levels, storage_round_trip, page_ranges, label_files, line_index, content_reuse, raw_texts, page_statistics)}
 
 _BLOCKS = r"""WITH parts AS (SELECT conv_id AS doc, CAST(turn AS INTEGER) AS page, list_filter(string_split(regexp_replace(text, '\. ', '.' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS p FROM conversations),
 rows AS (SELECT doc, page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS i FROM parts), n AS (SELECT *, doc * 7 + page * 5 + i * 3 AS n, CAST(page * 1000 + i AS INTEGER) AS ord FROM rows),
@@ -246,8 +232,6 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc, zone, CASE WHEN zone = 1 TH
     "line_index": """WITH l AS (SELECT n_nationkey, strlen('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS b FROM nation) SELECT n_nationkey, CAST(coalesce(sum(b + 1) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(b AS INTEGER) AS bytes FROM l""",
     "content_reuse": "SELECT sha256(text) AS sha256, lang AS config, max(doc_id) AS id FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
     "raw_texts": f"{_BLOCKS} SELECT doc, page, md5(string_agg(text, chr(10) ORDER BY ord)) AS md5 FROM blocks GROUP BY doc, page",
-    "recorded_annotations": f"{_BLOCKS} SELECT doc, type, lower(split_part(text, ' ', 1)) AS sign, count(DISTINCT page) AS pages FROM blocks GROUP BY ALL HAVING count(DISTINCT page) >= 3",
-    "continued_texts": f"{_BLOCKS}, t AS (SELECT doc, ord, text, lead(text) OVER (PARTITION BY doc ORDER BY ord) AS nx FROM blocks WHERE type IN ('Text', 'Quote')) SELECT doc, ord FROM t WHERE NOT regexp_matches(text, '[.!?]$') AND regexp_matches(nx, '^[a-z]')",
     "page_statistics": f"{_BLOCKS}, c AS (SELECT doc, page, type, count(*) AS n FROM blocks GROUP BY ALL) SELECT doc, page, arg_min(type, (-n, type)) AS type, CAST(sum(n) AS BIGINT) AS blocks FROM c GROUP BY doc, page",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -121,11 +121,9 @@ def heading_height_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (cer_micro_by_source, cer_folded, char_bag, kendall_tau, successor_accuracy, order_distance, label_micro_avg, layout_pairs, class_accuracy, table_teds, table_shapes, scholarly_lint, text_layer_trust, untrusted_reasons, heading_height_levels)}
 
-_PAIRS = r"""p AS (SELECT d.doc_id, d.source, substr(regexp_replace(d.text, '\s+', '', 'g'), 1, 120) AS hyp, substr(regexp_replace(b.text, '\s+', '', 'g'), 1, 120) AS ref
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark) WHERE NOT regexp_matches(d.text, '[^\x00-\x7f]'))"""
-_TRUST = r"""t AS (SELECT doc_id, text, regexp_replace(text, '\s+', '', 'g') AS t FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]') AND length(text) < 1500),
-h AS (SELECT *, length(t) // 2 AS n, 1 - levenshtein(substr(t, 1, length(t) // 2), substr(t, length(t) // 2 + 1, length(t) // 2)) / greatest(length(t) // 2, 1) AS alike FROM t),
-r AS (SELECT doc_id, list_filter([CASE WHEN length(t) < 30 THEN 'too_few_visible_chars' END, CASE WHEN length(t) >= 60 AND alike >= 0.85 THEN 'duplicated_text_layer' END], lambda x: x IS NOT NULL) AS reasons FROM h)"""
+_PAIRS = r"""p AS (SELECT d.doc_id, d.source, regexp_replace(d.text, '[\s\x0b]+', '', 'g') AS hyp, regexp_replace(b.text, '[\s\x0b]+', '', 'g') AS ref FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
+# No SQL tells text_layer_trust, untrusted_reasons and repeated_halves: DuckDB's levenshtein counts bytes and is too slow
+# for whole texts. Tests hold them against plain implementations.
 ORACLES = {
     # cer_micro_by_source has no SQL here: DuckDB's levenshtein gives other distances than two plain
     # implementations do on these texts, so tests hold the query against brute force.
@@ -145,10 +143,8 @@ r AS (SELECT *, both_pairs / nullif(predicted_pairs, 0) AS pr, both_pairs / null
 SELECT l_orderkey, truth_pairs, predicted_pairs, both_pairs, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr = 0 OR re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 9) AS f1 FROM r""",
     "class_accuracy": """WITH r AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'Other' ELSE 'Text' END AS class, CASE WHEN l_linestatus = 'O' THEN 'Other' ELSE 'Text' END AS guess FROM lineitem)
 SELECT class, count(*) AS lines, round(avg(CASE WHEN class = guess THEN 1 ELSE 0 END), 9) AS accuracy FROM r GROUP BY ROLLUP (class)""",
-    "table_shapes": "SELECT l_orderkey, count(*) AS rows, CAST(2 AS BIGINT) AS cols FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY 1",
+    "table_shapes": "SELECT l_orderkey, count(*) AS rows, CAST(2 AS BIGINT) AS cols FROM lineitem GROUP BY 1",
     "scholarly_lint": """WITH t AS (SELECT conv_id, list(turn ORDER BY turn) FILTER (turn <> 2) AS a, count(*) AS n FROM conversations GROUP BY 1)
 SELECT conv_id, CAST(coalesce(len(a), 0) AS INTEGER) AS anchors, CAST(coalesce(list_sum(list_transform(range(1, len(a)), lambda i: CASE WHEN a[i + 1] <> a[i] + 1 THEN 1 ELSE 0 END)), 0) AS INTEGER) AS out_of_order, CAST(n % 2 AS INTEGER) AS open_fences, 1 AS calls_without_note FROM t""",
-    "text_layer_trust": f"WITH {_TRUST} SELECT doc_id, len(reasons) = 0 AS trusted, coalesce(array_to_string(reasons, ','), '') AS reasons FROM r",
-    "untrusted_reasons": f"WITH {_TRUST} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY 1",
     "heading_height_levels": "SELECT p_brand, round(avg(p_size), 9) AS mean, median(p_size) AS median, (SELECT p_size FROM part q WHERE q.p_brand = part.p_brand GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1) AS mode FROM part GROUP BY p_brand",
 }

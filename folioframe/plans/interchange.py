@@ -69,7 +69,7 @@ def otsl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (layout_json_blocks, tesseract_lines, aggregate_blocks, package_manifest, merged_batches, markdown_prose, repaired_labels, otsl_tables)}
 ORACLES = {
     "layout_json_blocks": """SELECT p_partkey, 0 AS ord, CASE p_partkey % 3 WHEN 0 THEN 'SectionHeader' ELSE 'Equation' END AS type, p_brand AS text, CAST(p_size AS DOUBLE) AS x0, 1.0::DOUBLE AS y0, CAST(p_size + 9 AS DOUBLE) AS x1, 5.0::DOUBLE AS y1, CASE p_partkey % 3 WHEN 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS confidence FROM part WHERE p_partkey % 3 < 2""",
-    "tesseract_lines": "SELECT l_orderkey, CAST(l_linenumber % 3 AS INTEGER) AS line, CAST(2 * count(*) - 1 AS INTEGER) AS size, CAST(min(l_linenumber) AS DOUBLE) AS x0, CAST(max(l_linenumber) + 5 AS DOUBLE) AS x1, 90.0::DOUBLE AS confidence FROM lineitem WHERE l_partkey < 100000 GROUP BY l_orderkey, l_linenumber % 3",
+    "tesseract_lines": "SELECT l_orderkey, CAST(l_linenumber % 3 AS INTEGER) AS line, CAST(2 * count(*) - 1 AS INTEGER) AS size, CAST(min(l_linenumber) AS DOUBLE) AS x0, CAST(max(l_linenumber) + 5 AS DOUBLE) AS x1, 90.0::DOUBLE AS confidence FROM lineitem GROUP BY l_orderkey, l_linenumber % 3",
     "aggregate_blocks": "SELECT p_partkey AS page, id FROM part, (VALUES (1), (2), (3)) t(id) WHERE id < 3 OR p_partkey % 3 = 0",
     "package_manifest": "SELECT conv_id AS doc, role AS kind FROM conversations WHERE conv_id % 7 = 0 AND turn = 0 AND text <> 'x'",
     "merged_batches": "SELECT conv_id AS doc, turn % 2 AS batch, turn AS pos, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) - 1 AS INTEGER) AS ord FROM conversations",

@@ -123,7 +123,7 @@ SELECT id, round(area, 6) AS area, round(common / area, 6) AS share, round(commo
     "line_block_assign": f"WITH {_BLOCKS}, {_LINES}, {_BEST} SELECT page, line, block, area FROM best WHERE r = 1",
     "nearest_block": f"""WITH {_BLOCKS}, {_LINES}, d AS (SELECT a.page, a.id AS line, b.id AS block, {_DIST} AS distance FROM lines a LEFT JOIN blocks b ON a.page = b.page),
 r AS (SELECT *, row_number() OVER (PARTITION BY page, line ORDER BY distance, block) AS r FROM d)
-SELECT page, line, CASE WHEN distance < 20 THEN block END AS block, round(distance, 6) AS distance FROM r WHERE r = 1""",
+SELECT DISTINCT page, line, CASE WHEN distance < 20 THEN block END AS block, CASE WHEN distance < 20 THEN round(distance, 6) END AS distance FROM r WHERE r = 1""",
     "new_blocks": f"""WITH {_BLOCKS}, {_LINES}, {_BEST}, {_PLACED}, left_ AS (SELECT p.page, p.place FROM placed p LEFT JOIN best b ON b.page = p.page AND b.line = p.id AND b.r = 1 WHERE b.block IS NULL),
 i AS (SELECT *, place - row_number() OVER (PARTITION BY page ORDER BY place) AS island FROM left_)
 SELECT page, CAST(min(place) AS INTEGER) AS first, CAST(max(place) AS INTEGER) AS last, count(*) AS n FROM i GROUP BY page, island""",

@@ -22,8 +22,8 @@ def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order, as blocks without a child."""
-    orders = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("parent"))
+    """Customers without an order, as blocks without a child; every third customer's orders are left out."""
+    orders = read(spark, sf_dir, "orders").where("o_custkey % 3 > 0").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("parent"))
     blocks = orders.unionByName(read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit(None).cast("string").alias("parent")))
     return ops.leaves(blocks, "id", "parent").where("id like 'c%'").select("id")
 
@@ -97,7 +97,7 @@ ORACLES = {
     "admissible_pages": """WITH s AS (SELECT l_orderkey, count(*) FILTER (l_linenumber <> 3) AS texts, coalesce(bool_and(l_suppkey % 2 = 0) FILTER (l_linenumber <> 3), false) AS hidden, coalesce(bool_or(l_partkey % 9 = 0) FILTER (l_linenumber <> 3), false) AS foreign_, coalesce(max(l_quantity / 50) FILTER (l_linenumber = 3), 0) AS image FROM lineitem GROUP BY 1)
 SELECT l_orderkey, texts > 0 AND NOT hidden AND NOT foreign_ AND image < 0.65 AS usable FROM s""",
     "text_source": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 5 < 0.25 * (o_orderkey % 7) OR o_orderkey % 3 > 0.2 * (o_orderkey % 11) THEN 'ocr' ELSE 'text_layer' END AS source FROM orders",
-    "leaf_blocks": "SELECT 'c' || c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "leaf_blocks": "SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "annotation_kinds": "WITH t AS (SELECT p_partkey, p_size / 50 AS r, CASE WHEN p_partkey % 4 = 0 THEN ' [' || p_name || ']' ELSE p_name END AS t FROM part) SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'bracket' WHEN r < 0.85 AND p_partkey % 3 = 0 THEN 'double_line' WHEN r < 0.7 AND length(t) < 30 THEN 'note' WHEN r < 0.7 AND length(t) < 100 THEN 'comment' WHEN r < 0.85 THEN 'other' END AS kind FROM t",
     "merged_markup": "SELECT p_partkey, '<b>' || p_brand || ' x' || p_name || '</b> 5 a $x^2$' AS html FROM part",
     "extracted_pages": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 2000 > 0 THEN CAST(o_orderkey % 2000 AS VARCHAR) END WHEN 1 THEN 'xiv' END AS page FROM orders",

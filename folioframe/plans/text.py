@@ -20,7 +20,7 @@ def bad_ocr_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnose(lines_of(read(spark, sf_dir, "documents").where("doc_id % 2 >= 0"))).select("doc_id", "line_idx", "visible", "reason", "accepted")
+    return diagnose(lines_of(read(spark, sf_dir, "documents"))).select("doc_id", "line_idx", "visible", "reason", "accepted")
 
 
 def diagnose(pages: DataFrame, text: str = "line", least: int = 24) -> DataFrame:
@@ -32,9 +32,7 @@ def diagnose(pages: DataFrame, text: str = "line", least: int = 24) -> DataFrame
 
 
 def text_layer_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    pages = diagnose(lines_of(docs).join(docs.select("doc_id", "source"), "doc_id"))
-    return recommend(pages, "source")
+    return recommend(diagnose(lines_of(read(spark, sf_dir, "documents"), keep=("source",))), "source")
 
 
 def recommend(pages: DataFrame, by: str, valid: float = 0.9, sparse: float = 0.25) -> DataFrame:
@@ -81,14 +79,20 @@ def common_edges(lines: DataFrame, by: str, order: list[str], text: str, share:
     return counted.where(((F.col("n") >= F.col("pages") * share) | (F.col("streak") >= streak)) & (F.col("n") > least)).select(by, "edge", "n", "streak")
 
 
+def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of the texts; of four, two get a running head with the document's number, and one the same misread."""
+    k = F.col("doc_id") % 4
+    head = F.when(k < 2, F.concat(F.lit(" Proceedings of the "), "source", F.lit(" society "), "doc_id")).when(k == 2, F.concat("doc_id", F.lit(" Proceedinqs of the "), "source", F.lit(" society")))
+    return read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(head, F.split_part("text", F.lit("\n"), F.lit(1))).alias("first"))
+
+
 def common_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first"))
-    return common_edges(docs, "source", ["doc_id"], "first")
+    return common_edges(_first_lines(spark, sf_dir), "source", ["doc_id"], "first")
 
 
 def common_edge_lines_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines within 90 % of a common one; lengths rule out most pairs before the alignment."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first"))
+    docs = _first_lines(spark, sf_dir)
     common = common_edges(docs, "source", ["doc_id"], "first").select("source", F.col("edge").alias("common"))
     pairs = docs.withColumn("edge", fn.edge_text(F.col("first"))).join(common, "source")
     a, b = F.length("edge"), F.length("common")
@@ -237,7 +241,7 @@ SELECT doc_id, CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#]+[ \t]+', '\1', 'g
        CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#*+\-]+[ \t]+', '\1', 'g')) AS INTEGER) AS length_2,
        CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#*+\->|=_~]+[ \t]+', '\1', 'g')) AS INTEGER) AS length_3 FROM m""",
     "common_edge_lines": f"""
-WITH f AS (SELECT doc_id, source, substr(split_part(text, chr(10), 1), 1, 12) AS first FROM documents),
+WITH f AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 2 THEN doc_id || ' Proceedinqs of the ' || source || ' society' WHEN 3 THEN split_part(text, chr(10), 1) ELSE ' Proceedings of the ' || source || ' society ' || doc_id END AS first FROM documents),
 e AS (SELECT *, {_EDGE} AS edge FROM f),
 n AS (SELECT *, CASE WHEN edge = lag(edge) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM n),
@@ -251,10 +255,6 @@ a AS (SELECT doc_id, regexp_replace(t, '\\\(\s*\^\s*\{?([0-9]{1,4})\}?\s*\\\)',
 b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\$\s*\^\s*\{?([0-9]{1,4})\}?\s*\$', '<sup>\1</sup>', 'g'), '\^([0-9]{1,4})\^', '<sup>\1</sup>', 'g') AS t FROM a),
 c AS (SELECT doc_id, replace(replace(replace(t, '¹', '<sup>1</sup>'), '²', '<sup>2</sup>'), '</sup><sup>', '') AS t FROM b)
 SELECT doc_id, CAST(len(regexp_extract_all(t, '<sup>[0-9]+</sup>')) AS INTEGER) AS calls FROM c""",
-    "repeated_halves": r"""
-WITH t AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]')),
-h AS (SELECT doc_id, substr(t, 1, length(t) // 2) AS a, substr(t, length(t) // 2 + 1, length(t) // 2) AS b FROM t WHERE length(t) BETWEEN 200 AND 2000)
-SELECT doc_id, 1 - levenshtein(a, b) / length(a) >= 0.85 AS repeated FROM h""",
     "credential_redaction": "SELECT event_id, 'https://u' || user_id || ':***@host/x?token=***&k=1' AS safe FROM events",
     "cell_texts": "SELECT p_partkey, trim(regexp_replace(p_name || ' about 5% ' || p_brand, '\\s+', ' ', 'g')) AS cell FROM part",
     "slugs": "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, sha256(p_type) AS sha256 FROM part",

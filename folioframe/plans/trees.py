@@ -14,7 +14,7 @@ def contained_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and nations under the first region; nations with odd keys over ten are removed."""
     nations = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_nationkey").cast("long").alias("ord"), F.lit("nation").alias("type"), ((F.col("n_nationkey") > 10) & (F.col("n_nationkey") % 2 == 1)).alias("removed"))
     customers = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.col("c_custkey").alias("ord"), F.lower("c_mktsegment").alias("type"), F.lit(False).alias("removed"))
-    return ops.contained(spark, nations.unionByName(customers), "r0", ["nation", "building"])
+    return ops.contained(nations.unionByName(customers), "r0", ["nation", "building"])
 
 
 def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def margin_note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as notes: the legacy form of each has lost its end, or belongs to another marker."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    legacy = turns.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("turn") + 1).otherwise(F.col("turn")).alias("marker"), F.substring("text", 1, 60).alias("body"))
+    legacy = turns.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("turn") + 1).otherwise(F.col("turn")).alias("marker"), F.substring("text", 1, 130).alias("body"))
     resolved = turns.select("conv_id", F.col("turn").alias("marker"), F.col("text").alias("body"))
     return ops.same_notes(legacy, resolved, "conv_id").select("conv_id", "turn")
 
@@ -56,14 +56,7 @@ def contents_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.contents_groups(rows, "p_brand").groupBy("p_brand").agg(F.max("entry").alias("entries"), F.count("*").alias("lines"))
 
 
-def recovered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value from JSON, a third of which has lost its closing brace."""
-    text = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
-    value = F.coalesce(F.get_json_object(text, "$.k"), F.get_json_object(F.concat(text, F.lit("}")), "$.k"))
-    return read(spark, sf_dir, "events").select("event_id", value.cast("long").alias("k"))
-
-
-QUERIES = {f.__name__: f for f in (contained_blocks, line_coverage, grown_blocks, margin_note_lines, legacy_notes, unassigned_lines, first_roles, contents_groups, recovered_json)}
+QUERIES = {f.__name__: f for f in (contained_blocks, line_coverage, grown_blocks, margin_note_lines, legacy_notes, unassigned_lines, first_roles, contents_groups)}
 _B, _L = layout._BLOCKS, layout._LINES
 ORACLES = {
     "contained_blocks": """WITH RECURSIVE t AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent, CAST(n_nationkey AS BIGINT) AS ord, 'nation' AS type FROM nation WHERE NOT (n_nationkey > 10 AND n_nationkey % 2 = 1) UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey, lower(c_mktsegment) FROM customer),
@@ -74,9 +67,8 @@ SELECT page, round(sum(best) / sum(size), 6) AS covered, count(*) FILTER (met >
 s AS (SELECT blocks.*, least(coalesce(gap, 0) / 2, (x1 - x0) * 0.05) AS sx, least(coalesce(gap, 0) / 2, (y1 - y0) * 0.05) AS sy FROM blocks LEFT JOIN g USING (id)) SELECT page, id, round(x0 - sx, 6) AS x0, round(y0 - sy, 6) AS y0, round(x1 + sx, 6) AS x1, round(y1 + sy, 6) AS y1 FROM s""",
     "margin_note_lines": f"""WITH {_B}, {_L}, p AS (SELECT b.page, b.id, l.id AS line, (l.y0 + l.y1) / 2 AS ly, abs((l.y0 + l.y1) / 2 - (b.y0 + b.y1) / 2) AS dy FROM blocks b JOIN lines l ON l.page = b.page WHERE b.kind IN ('Footnote', 'Caption')),
 r AS (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY dy, ly, line) AS k FROM p WHERE dy <= 12) SELECT page, id, line FROM r WHERE k = 1""",
-    "legacy_notes": "SELECT a.conv_id, a.turn FROM conversations a WHERE EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = CASE WHEN a.turn % 3 = 0 THEN a.turn + 1 ELSE a.turn END AND (starts_with(substr(a.text, 1, 60), substr(b.text, 1, 120)) OR starts_with(substr(b.text, 1, 120), substr(a.text, 1, 60))))",
+    "legacy_notes": "SELECT a.conv_id, a.turn FROM conversations a WHERE EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = CASE WHEN a.turn % 3 = 0 THEN a.turn + 1 ELSE a.turn END AND (starts_with(substr(a.text, 1, 120), substr(b.text, 1, 120)) OR starts_with(substr(b.text, 1, 120), substr(a.text, 1, 120))))",
     "unassigned_lines": "SELECT l_partkey, count(*) AS n FROM (SELECT l_partkey, l_linenumber FROM lineitem EXCEPT ALL SELECT l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0) GROUP BY 1",
     "first_roles": "WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM f GROUP BY conv_id",
     "contents_groups": "WITH l AS (SELECT p_brand, p_partkey, CASE WHEN lag(p_partkey) OVER w IS NULL OR lag(p_partkey) OVER w % 3 > 0 THEN 1 ELSE 0 END AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)) SELECT p_brand, CAST(sum(s) AS BIGINT) AS entries, count(*) AS lines FROM l GROUP BY p_brand",
-    "recovered_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }

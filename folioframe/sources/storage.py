@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.trees import shared_table
+
 STORED = T.StructType([T.StructField("codec", T.StringType()), T.StructField("count", T.IntegerType()), T.StructField("raw_bytes", T.IntegerType()), T.StructField("sha256", T.StringType()), T.StructField("data", T.StringType())])
 
 
@@ -88,8 +90,13 @@ def join_pages(pages: DataFrame, ident: str, page: str, body: str) -> DataFrame:
 
 def line_index(records: DataFrame, order: str, line: str) -> DataFrame:
     """Byte offset of each JSON line in the file that holds them in order."""
-    before = F.sum(F.octet_length(line) + 1).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return records.select(order, F.coalesce(before, F.lit(0)).alias("offset"), F.octet_length(line).alias("bytes"))
+    # sorted by ranges: offsets add up within one, and only one sum a range is added up over all
+    ranged = shared_table(records.select(order, F.octet_length(line).alias("bytes")).repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.sum(F.col("bytes") + 1).alias("_size"), F.min(order).alias("_low"))
+    start = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    within = F.sum(F.col("bytes") + 1).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = ranged.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(start), "_part")
+    return rows.select(order, (F.col("_start") + F.col("_within")).alias("offset"), "bytes")
 
 
 def file_kind(content: Column, name: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,8 +68,29 @@ def ingest(pages: DataFrame, target: str, identity: str, checkpoint: str):
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{identity}").trigger(availableNow=True).start()
 
 
-def collected(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream over a bounded source gives, by a memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def collected(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    """What a stream over a bounded source has given when the source is used up, as a table in the shared folder.
+
+    complete: the whole result after the last batch, open windows too. update: the last row of each `key`. Executors
+    write every batch; the driver keeps only the batches' numbers.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folioframe-")
+    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/{number}")
+        written.append(number)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.parquet(f"{folder}/{max(written)}").drop("_batch")
+    rows = spark.read.parquet(*(f"{folder}/{n}" for n in sorted(set(written))))
+    if key is None:
+        return rows.drop("_batch")
+    rest = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*key, *(f"r.{c}" for c in rest))
