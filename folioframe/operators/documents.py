@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 #: Canonical block types.
 TYPES = ("SectionHeader", "Text", "Table", "Figure", "Picture", "Caption", "Code", "Equation", "Footnote", "ListItem", "PageHeader", "PageFooter", "PageNumber", "Reference", "Quote", "MarginalNote", "ComplexRegion", "Form", "Handwriting", "TableOfContents", "Line")
 #: Other names of block types.
-ALIASES = {"heading": "SectionHeader", "title": "SectionHeader", "paragraph": "Text", "list_item": "ListItem", "image": "Picture", "formula": "Equation", "header": "PageHeader", "footer": "PageFooter", "table_caption": "Caption"}
+ALIASES = {
+    "heading": "SectionHeader", "title": "SectionHeader", "doc_title": "SectionHeader", "document_title": "SectionHeader", "paragraph_title": "SectionHeader", "section_title": "SectionHeader", "subtitle": "SectionHeader", "chapter_title": "SectionHeader", "headline": "SectionHeader",
+    "paragraph": "Text", "plain_text": "Text", "body": "Text", "content": "Text", "abstract": "Text", "aside_text": "Text", "vertical_text": "Text",
+    "list_item": "ListItem", "list": "ListItem", "bullet": "ListItem", "image": "Picture", "img": "Picture", "photo": "Picture", "seal": "Picture", "chart": "Figure", "diagram": "Figure", "figure_body": "Figure", "table_body": "Table",
+    "formula": "Equation", "display_formula": "Equation", "isolate_formula": "Equation", "interline_equation": "Equation", "math": "Equation", "header": "PageHeader", "running_header": "PageHeader", "header_image": "PageHeader", "footer": "PageFooter", "running_footer": "PageFooter", "footer_image": "PageFooter",
+    "table_caption": "Caption", "figure_caption": "Caption", "image_caption": "Caption", "figure_title": "Caption", "table_title": "Caption", "chart_title": "Caption", "table_footnote": "Footnote", "image_footnote": "Footnote", "note": "Footnote", "endnote": "Footnote",
+    "number": "PageNumber", "folio": "PageNumber", "bibliography": "Reference", "references": "Reference", "reference_content": "Reference", "blockquote": "Quote", "block_quote": "Quote", "margin_note": "MarginalNote", "marginalia": "MarginalNote", "sidenote": "MarginalNote", "code_block": "Code", "algorithm": "Code", "listing": "Code",
+    "toc": "TableOfContents", "contents": "TableOfContents", "handwritten": "Handwriting",
+}
 
 
 def section_path(blocks: DataFrame, doc: str, levels: int = 6) -> DataFrame:
@@ -194,6 +202,25 @@ def list_levels(blocks: DataFrame, doc: str, step: float = 5.0) -> DataFrame:
     return blocks.groupBy(doc).applyInPandas(fold, f"{schema}, list_level int")
 
 
+def page_statistics(blocks: DataFrame, doc: str) -> DataFrame:
+    """By page: the most frequent block type, ties to the first name, the number of blocks and of characters."""
+    counted = blocks.groupBy(doc, "page", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return counted.groupBy(doc, "page").agg(F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"), F.sum("n").alias("blocks"), F.sum("chars").alias("chars"))
+
+
+def raw_texts(lines: DataFrame, by: list[str]) -> DataFrame:
+    """The text of each group from its parts in order (ord, text): a line end after each part that has none, but the last."""
+    rows = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("t")))).alias("r"))
+    ended = F.transform("r", lambda x: F.when(x["t"].endswith("\n"), x["t"]).otherwise(F.concat(x["t"], F.lit("\n"))))
+    return rows.select(*by, F.regexp_replace(F.array_join(ended, ""), r"\n$", "").alias("text"))
+
+
+def table_of_contents(blocks: DataFrame, doc: str) -> DataFrame:
+    """(doc, entries): the headings of a document in order as structs of ord, page, level and title."""
+    heads = blocks.where("type = 'SectionHeader'")
+    return heads.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", "page", heading_level(F.col("level")).alias("level"), F.trim("text").alias("title")))).alias("entries"))
+
+
 def reusable(results: DataFrame, wanted: DataFrame) -> DataFrame:
     """The newest result of each wanted (sha256, config)."""
     return results.join(wanted.select("sha256", "config").distinct(), ["sha256", "config"], "left_semi").groupBy("sha256", "config").agg(F.max_by("id", F.struct("at", "id")).alias("id"))

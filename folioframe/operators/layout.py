@@ -141,3 +141,15 @@ def caption_pairs(blocks: DataFrame, page_height: float, share: float = 0.05) ->
     below = F.lead("kind").over(along).isin(*kinds) & (F.lead("y0").over(along) - F.col("y1") < share * page_height)
     owner = F.when(above, F.lag("id").over(along)).when(below, F.lead("id").over(along))
     return blocks.withColumn("owner", owner).where("kind = 'Caption' and owner is not null").select("page", F.col("id").alias("caption"), "owner")
+
+
+def nearest_anchor(points: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
+    """id and the nearest anchor (anchor, ax, ay) of its group, ties to the lower one; anchors of a group are few beside its points."""
+    near = anchors.groupBy(by).agg(F.collect_list(F.struct("ax", "ay", "anchor")).alias("near"))
+    choice = F.array_min(F.transform("near", lambda a: F.struct(((F.col("x") - a["ax"]) * (F.col("x") - a["ax"]) + (F.col("y") - a["ay"]) * (F.col("y") - a["ay"])).alias("d"), a["anchor"].alias("anchor"))))
+    return points.join(near, by).select("id", choice["anchor"].alias("anchor"))
+
+
+def height_figures(blocks: DataFrame, by: str, height: str) -> DataFrame:
+    """Mean, median and mode (the lowest of equals) of a group's heights: what heading levels and body size are told from."""
+    return blocks.groupBy(by).agg(F.avg(height).alias("mean"), F.median(height).alias("median"), F.mode(height, True).alias("mode"))

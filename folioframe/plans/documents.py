@@ -65,8 +65,8 @@ def section_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_of_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = blocks_of(spark, sf_dir).where("type = 'SectionHeader'").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ord", "level"))).alias("r"))
-    return heads.select("doc", F.size("r").alias("entries"), F.array_join(F.transform("r", lambda x: x["level"].cast("string")), "").alias("levels"))
+    found = ops.table_of_contents(blocks_of(spark, sf_dir), "doc")
+    return found.select("doc", F.size("entries").alias("entries"), F.array_join(F.transform("entries", lambda x: F.concat(x["level"], F.lit(" "), x["title"])), "|").alias("titles"))
 
 
 def block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,14 +183,11 @@ def content_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's text from its blocks, a line each."""
-    rows = blocks_of(spark, sf_dir).groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("r"))
-    return rows.select("doc", "page", F.md5(F.array_join(F.transform("r", lambda x: x["text"]), "\n").cast("binary")).alias("md5"))
+    return ops.raw_texts(blocks_of(spark, sf_dir), ["doc", "page"]).select("doc", "page", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
 def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent block type of each page, ties to the first name."""
-    counted = blocks_of(spark, sf_dir).groupBy("doc", "page", "type").agg(F.count("*").alias("n"))
-    return counted.groupBy("doc", "page").agg(F.min_by("type", F.struct(-F.col("n"), "type")).alias("type"), F.sum("n").alias("blocks"))
+    return ops.page_statistics(blocks_of(spark, sf_dir), "doc")
 
 
 QUERIES = {f.__name__: f for f in (html_blocks, html_headings, html_chunks, html_links_resolved, section_hierarchy, section_ends, table_of_contents, block_neighbours, block_relabel, canonical_types, middle_summary, middle_validate, dangling_relations, resolved_notes, join_pages_markdown, anchored_pages, page_slices, page_chunks, markdown_documents, table_cells_html, quote_levels, list_levels, storage_round_trip, page_ranges, label_files, line_index, content_reuse, raw_texts, page_statistics)}
@@ -208,7 +205,7 @@ ORACLES = {
     "section_hierarchy": f"{_BLOCKS}, h AS (SELECT doc, ord, {_LAST} FROM blocks WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT doc, ord, {', '.join(f'CASE WHEN l{k} = {k} THEN i{k} END AS s{k}' for k in range(1, 5))} FROM h",
     "section_ends": f"""{_BLOCKS}, e AS (SELECT doc, max(ord) + 1 AS e FROM blocks GROUP BY doc), h AS (SELECT doc, ord, level FROM blocks WHERE type = 'SectionHeader')
 SELECT h.doc, h.ord, h.level, CAST(coalesce(min(k.ord), any_value(e.e)) AS INTEGER) AS section_end FROM h JOIN e ON e.doc = h.doc LEFT JOIN h k ON k.doc = h.doc AND k.ord > h.ord AND k.level <= h.level GROUP BY h.doc, h.ord, h.level""",
-    "table_of_contents": f"{_BLOCKS} SELECT doc, CAST(count(*) AS INTEGER) AS entries, string_agg(CAST(level AS VARCHAR), '' ORDER BY ord) AS levels FROM blocks WHERE type = 'SectionHeader' GROUP BY doc",
+    "table_of_contents": f"{_BLOCKS} SELECT doc, CAST(count(*) AS INTEGER) AS entries, string_agg(level || ' ' || trim(text), '|' ORDER BY ord) AS titles FROM blocks WHERE type = 'SectionHeader' GROUP BY doc",
     "block_neighbours": f"{_BLOCKS} SELECT doc, ord, lag(ord) OVER w AS previous, lead(ord) OVER w AS next FROM blocks WHERE type NOT IN ('Footnote', 'Caption') WINDOW w AS (PARTITION BY doc ORDER BY page, ord)",
     "block_relabel": f"{_BLOCKS} SELECT doc, CASE WHEN type = 'Quote' AND confidence <= 0.5 THEN 'Text' WHEN type = 'ListItem' AND confidence <= 0.2 THEN 'Reference' ELSE type END AS type, count(*) AS n FROM blocks GROUP BY ALL",
     "canonical_types": "SELECT p_partkey, ['SectionHeader', 'TableOfContents', 'PageHeader', 'Text', 'ComplexRegion', 'Equation'][p_partkey % 6 + 1] AS type, CAST(greatest(1, least(6, CASE WHEN p_size % 3 > 0 THEN p_size ELSE 2 END)) AS INTEGER) AS level FROM part",
@@ -232,6 +229,6 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc, zone, CASE WHEN zone = 1 TH
     "line_index": """WITH l AS (SELECT n_nationkey, strlen('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS b FROM nation) SELECT n_nationkey, CAST(coalesce(sum(b + 1) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(b AS INTEGER) AS bytes FROM l""",
     "content_reuse": "SELECT sha256(text) AS sha256, lang AS config, max(doc_id) AS id FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
     "raw_texts": f"{_BLOCKS} SELECT doc, page, md5(string_agg(text, chr(10) ORDER BY ord)) AS md5 FROM blocks GROUP BY doc, page",
-    "page_statistics": f"{_BLOCKS}, c AS (SELECT doc, page, type, count(*) AS n FROM blocks GROUP BY ALL) SELECT doc, page, arg_min(type, (-n, type)) AS type, CAST(sum(n) AS BIGINT) AS blocks FROM c GROUP BY doc, page",
+    "page_statistics": f"{_BLOCKS}, c AS (SELECT doc, page, type, count(*) AS n, sum(length(text)) AS s FROM blocks GROUP BY ALL) SELECT doc, page, arg_min(type, (-n, type)) AS type, CAST(sum(n) AS BIGINT) AS blocks, CAST(sum(s) AS BIGINT) AS chars FROM c GROUP BY doc, page",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import evaluation as ops
+from ..operators import layout
 from .base import read
 
 
@@ -116,7 +117,7 @@ def untrusted_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_height_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and mean size by part type: the figures that heading levels are drawn from."""
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.avg("p_size"), 9).alias("mean"), F.median("p_size").alias("median"), F.mode("p_size", True).alias("mode"))
+    return layout.height_figures(read(spark, sf_dir, "part"), "p_brand", "p_size").withColumn("mean", F.round("mean", 9))
 
 
 QUERIES = {f.__name__: f for f in (cer_micro_by_source, cer_folded, char_bag, kendall_tau, successor_accuracy, order_distance, label_micro_avg, layout_pairs, class_accuracy, table_teds, table_shapes, scholarly_lint, text_layer_trust, untrusted_reasons, heading_height_levels)}

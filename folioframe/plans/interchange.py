@@ -54,6 +54,19 @@ def markdown_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.length(md.cleaned("t")).alias("cleaned"), F.length(md.flowing("t")).alias("flowing"))
 
 
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown: lines of it by kind."""
+    pages = read(spark, sf_dir, "pages").select("page_id", md.html_markdown("html").alias("m"))
+    count = lambda p: F.regexp_count("m", F.lit(p))
+    return pages.select("page_id", count("(?m)^# ").alias("h1"), count("(?m)^- ").alias("items"), count("(?m)^> ").alias("quotes"), F.length("m").alias("size"))
+
+
+def dotted_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name among dots and stray marks."""
+    text = F.concat(F.lit("a . . · … b ... "), "p_name", F.lit(" ## -- x\n> y #"))
+    return read(spark, sf_dir, "part").select("p_partkey", md.without_marks(md.without_dots(text), 3, True).alias("plain"))
+
+
 def repaired_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 50).alias("pdf_page"), F.col("o_orderkey").alias("printed"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 1).alias("proposed"))
     return md.repaired(rows, "doc").select("doc", "printed", "label")
@@ -66,13 +79,14 @@ def otsl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.length(html).alias("size"), html.isNull().alias("review"))
 
 
-QUERIES = {f.__name__: f for f in (layout_json_blocks, tesseract_lines, aggregate_blocks, package_manifest, merged_batches, markdown_prose, repaired_labels, otsl_tables)}
+QUERIES = {f.__name__: f for f in (layout_json_blocks, tesseract_lines, aggregate_blocks, package_manifest, merged_batches, markdown_prose, page_markdown, dotted_noise, repaired_labels, otsl_tables)}
 ORACLES = {
     "layout_json_blocks": """SELECT p_partkey, 0 AS ord, CASE p_partkey % 3 WHEN 0 THEN 'SectionHeader' ELSE 'Equation' END AS type, p_brand AS text, CAST(p_size AS DOUBLE) AS x0, 1.0::DOUBLE AS y0, CAST(p_size + 9 AS DOUBLE) AS x1, 5.0::DOUBLE AS y1, CASE p_partkey % 3 WHEN 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS confidence FROM part WHERE p_partkey % 3 < 2""",
     "tesseract_lines": "SELECT l_orderkey, CAST(l_linenumber % 3 AS INTEGER) AS line, CAST(2 * count(*) - 1 AS INTEGER) AS size, CAST(min(l_linenumber) AS DOUBLE) AS x0, CAST(max(l_linenumber) + 5 AS DOUBLE) AS x1, 90.0::DOUBLE AS confidence FROM lineitem GROUP BY l_orderkey, l_linenumber % 3",
     "aggregate_blocks": "SELECT p_partkey AS page, id FROM part, (VALUES (1), (2), (3)) t(id) WHERE id < 3 OR p_partkey % 3 = 0",
     "package_manifest": "SELECT conv_id AS doc, role AS kind FROM conversations WHERE conv_id % 7 = 0 AND turn = 0 AND text <> 'x'",
     "merged_batches": "SELECT conv_id AS doc, turn % 2 AS batch, turn AS pos, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) - 1 AS INTEGER) AS ord FROM conversations",
+    "dotted_noise": "SELECT p_partkey, 'a  b ... ' || p_name || ' x' || chr(10) || '> y #' AS plain FROM part",
     "repaired_labels": "SELECT o_custkey AS doc, o_orderkey AS printed, CASE WHEN count(*) OVER (PARTITION BY o_custkey, o_orderkey % 50) = 1 AND o_orderkey % 2 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS label FROM orders",
     "otsl_tables": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN CAST(length('<table><tr><td colspan=\"2\">' || p_brand || '</td></tr><tr><td rowspan=\"2\">a</td><td>b</td></tr><tr><td></td></tr></table>') AS INTEGER) END AS size, p_partkey % 3 = 0 AS review FROM part",
 }

@@ -93,10 +93,9 @@ def caption_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector, as a point by its first two numbers, and the nearest anchor of its label (ids divisible by ten)."""
-    points = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    anchors = points.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("anchor"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    d = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
-    return points.join(anchors, "label").groupBy("vec_id").agg(F.min_by("anchor", F.struct(d, "anchor")).alias("anchor"))
+    points = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    anchors = points.where("id % 10 = 0").select("label", F.col("id").alias("anchor"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    return ops.nearest_anchor(points, anchors, "label").select(F.col("id").alias("vec_id"), "anchor")
 
 
 QUERIES = {f.__name__: f for f in (geometry_measures, line_block_assign, nearest_block, new_blocks, char_smallest_box, ocr_item_block, iou_semi, enclosed_anti, least_gaps, page_bounds, reading_order, zone_order, list_groups, caption_pairs, nearest_reference)}

@@ -189,3 +189,23 @@ def test_hocr():
 
     found = layout_json.read_hocr("<div><span class='ocr_line' title='bbox 1 2 3 4; x'>a <b>b</b></span><span class=\"ocr_line\" title=''>c</span></div>")
     assert found == [{"text": "a b", "bbox": [1.0, 2.0, 3.0, 4.0]}, {"text": "c", "bbox": [None] * 4}]
+
+
+def test_what_no_rewrite_touches():
+    from folioframe.operators import markdown
+
+    text = "a | b\n--|--\n1 | 2\n\n\n\nx  \n~~~\n``` \n\n\n\n~~~~\nsee \\[ a\n\n\n\nb \\]\ny  \n<PRE>\n\n\n\n</pre>\n$$ open\n\n\n\nnever"
+    got = markdown.on_prose(text, markdown.fewer_blanks)
+    assert got == text.replace("2\n\n\n\nx  ", "2\n\nx").replace("y  ", "y").replace("open\n\n\n\nnever", "open\n\nnever")
+    upper = lambda t: markdown.on_prose(t, str.upper)
+    assert upper("a `` b ` c `` d `e` $x$ \\(y\\) 5$ f $6") == "A `` b ` c `` D `e` $x$ \\(y\\) 5$ F $6"
+    assert upper("```x\na\n```\nb") == "```x\na\n```\nB" and upper("\ue000 a `b`") == "\ue000 A `b`"
+    assert [g for g, _ in markdown.regions("a\n    b\nc", (*markdown.REGIONS, markdown.INDENTED))] == [False] and [g for g, _ in markdown.regions("\n    b\nc", (*markdown.REGIONS, markdown.INDENTED))] == [False, True, False]
+
+
+def test_markdown_of_blocks():
+    from folioframe.operators import markdown
+
+    b = lambda kind, text, level=None: {"type": kind, "text": text, "level": level}
+    got = markdown.from_blocks([b("SectionHeader", "h", 9), b("ListItem", "x"), b("ListItem", "y"), b("TableCell", "a|b"), b("TableCell", "c"), b("Text", "3. z"), b("Code", "k ``` l"), b("Quote", " q "), b("Text", " ")])
+    assert got == "###### h\n\n- x\n- y\n\n| a\\|b | c |\n\n3\\. z\n\n````\nk ``` l\n````\n\n> q"
