@@ -61,6 +61,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def utf8_size(text: str):
     """Bytes of the text in UTF-8; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

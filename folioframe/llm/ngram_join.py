@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, claim, map_texts, texts_of
+from .common import Scratch, claim, fresh, map_texts, texts_of
 from .decontamination import _HASHES, word_hashes
 from .graph import components
 
@@ -367,7 +367,8 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id
     signed, of = _classes(df, text, ident, words=words, **how)
     lowest = of.groupBy("root").agg(F.min("rep").alias("keeps"))
     gone = signed.join(Scratch(df.sparkSession, "keeps").write(of.join(lowest, "root").select("node", "keeps")), "node").where("id <> keeps").select(F.col("given").alias(ident)).distinct()
-    again = Scratch(df.sparkSession, "again").write(signed.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("_id")))
+    key, mark = fresh(df, "_id"), fresh(df, "_node")
+    again = Scratch(df.sparkSession, "again").write(signed.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias(key)))
     if again.isEmpty():
         return _meet(df, gone, ident, "left_anti")
 
@@ -375,9 +376,9 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id
         claim("words", _HASHES.clear)
         return lambda part: [pa.array([node_of(shingles(t, words)) for t in texts_of(part, text)], pa.binary())]
 
-    rows = df.withColumn("_id", _id_of(ident))
-    once = _meet(_meet(rows, again, "_id", "left_anti"), gone.withColumnRenamed(ident, "_id"), "_id", "left_anti")
-    stays = of.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("k")).select(F.col("k.rep").alias("_id"), F.col("k.node").alias("_node"))
-    told = map_texts(_meet(rows, again, "_id", "left_semi"), text, [T.StructField("_node", T.BinaryType())], make)
-    one = told.join(stays, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
+    rows = df.withColumn(key, _id_of(ident))
+    once = _meet(_meet(rows, again, key, "left_anti"), gone.withColumnRenamed(ident, key), key, "left_anti")
+    stays = of.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("k")).select(F.col("k.rep").alias(key), F.col("k.node").alias(mark))
+    told = map_texts(_meet(rows, again, key, "left_semi"), text, [T.StructField(mark, T.BinaryType())], make)
+    one = told.join(stays, [key, mark], "left_semi").dropDuplicates([key, mark])
     return once.select(*df.columns).unionByName(one.select(*df.columns))

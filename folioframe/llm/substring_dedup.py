@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_texts, slices, texts_of
+from .common import Scratch, fresh, map_texts, slices, texts_of
 
 #: Bytes that the thinning ranks, and the bytes whose hash picks an anchor of either kind.
 SEED, GRAM = 32, 8
@@ -396,10 +396,11 @@ def mark_repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", lengt
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
-    by_row = every.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    one, two, found = (fresh(df, name) for name in ("_id", "_h", "_spans"))
+    by_row = every.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias(found))
     kept = [c for c in df.columns if c != out]
-    marked = df.select(*kept, key["id"].alias("_id"), key["h"].alias("_h")).join(by_row.withColumnsRenamed({"id": "_id", "h": "_h"}), ["_id", "_h"], "left")
-    return marked.select(*kept, F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>")).alias(out))
+    marked = df.select(*kept, key["id"].alias(one), key["h"].alias(two)).join(by_row.withColumnsRenamed({"id": one, "h": two}), [one, two], "left")
+    return marked.select(*kept, F.coalesce(found, F.array().cast("array<struct<start:int,end:int>>")).alias(out))
 
 
 def joined_spans(spans: list[dict]) -> list[tuple[int, int]]:
@@ -416,12 +417,13 @@ def joined_spans(spans: list[dict]) -> list[tuple[int, int]]:
 def remove_repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", length: int = 200) -> DataFrame:
     """Append what `mark_repeats` leaves: n_bytes, n_removed, n_spans, kept_sha256, kept
     (bytes) and kept_text (of the bytes, without characters that were cut into)."""
-    marked = mark_repeats(df, text, ident, length, out="_repeats")
+    spans_of = fresh(df, "_repeats")
+    marked = mark_repeats(df, text, ident, length, out=spans_of)
 
     def make():
         def run(part: pa.RecordBatch) -> list[pa.Array]:
             n, removed, runs, digests, kept, left = [], [], [], [], [], []
-            for value, spans in zip(texts_of(part, text), part.column("_repeats").to_pylist(), strict=True):
+            for value, spans in zip(texts_of(part, text), part.column(spans_of).to_pylist(), strict=True):
                 data, whole = value.encode(), joined_spans(spans)
                 parts = [data[a:b] for a, b in zip([0, *(e for _, e in whole)], [*(s for s, _ in whole), len(data)], strict=True)]
                 rest = b"".join(parts)
@@ -436,4 +438,4 @@ def remove_repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", len
         return run
 
     fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
-    return map_texts(marked, text, fields, make).drop("_repeats")
+    return map_texts(marked, text, fields, make).drop(spans_of)
