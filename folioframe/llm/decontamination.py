@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, map_texts, texts_of
+from .common import Scratch, claim, fresh, map_texts, texts_of
 
 #: Fixed masks: word positions with 1 make the hash, those with 0 may be substituted.
 MASKS = ("1101011", "11001101", "101100011")
@@ -60,12 +60,14 @@ def seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
 def masks_for(words: int, window: int) -> list[tuple[int, str]]:
     """(salt, mask) for an item of so many words.
 
-    Any two substitutions in 13 words leave one of MASKS whole somewhere. Items under the window get
-    runs of two or three words, which a fifth of substituted words leaves whole somewhere.
+    Any two substitutions in 13 words leave one of MASKS whole somewhere. Items under the window may have
+    a fifth of their words substituted, rounded down: one of up to nine words, two of up to twelve. A word
+    stands in two places of `101` and in three of `1101`; five words hold three places of the first, seven
+    words four of the second and ten words seven, so that one is always left whole.
     """
     if words >= window:
         return [(salt, mask) for salt, mask in enumerate(MASKS) if len(mask) <= words]
-    return [(100, "11")] if words < 8 else [(101, "111")]
+    return [(100, "101")] if words < 7 else [(101, "1101")]
 
 
 @dataclass
@@ -160,7 +162,8 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     items each count; a column named `out` is replaced.
 
     The test items are broadcast in blocks of at most `block_words` words, each a map over the texts;
-    nothing is shuffled, however many texts share a passage.
+    nothing is shuffled, however many texts share a passage. With several blocks the texts are written to the
+    shared folder after each, and its broadcast is dropped: one block is held at a time.
     """
     sized = F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\W+"))
     tests = benchmark.select(F.col(item).cast("long").alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"), sized.alias("n"))
@@ -168,7 +171,8 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     base = df.drop(out)
     schema = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("item_id", T.LongType()), ("words", T.IntegerType()), ("similarity", T.DoubleType()), ("start", T.IntegerType()), ("end", T.IntegerType()))]))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32()), ("similarity", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
-    done, parts = base, []
+    done, parts, last = base, [], None
+    scratch = Scratch(df.sparkSession, "overlaps")
     for k in range(blocks):
         mine = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         rows = sorted((r["id"] if r["id"] is not None else -1, r["text"], r["id"]) for r in mine.collect())
@@ -186,8 +190,14 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
             return run
 
-        parts.append(out if blocks == 1 else f"_overlaps_{k}")
+        parts.append(out if blocks == 1 else fresh(base, f"_overlaps_{k}"))
         done = map_texts(done, text, [T.StructField(parts[-1], schema)], make)
+        if blocks > 1:
+            done = scratch.write(done)
+            shared.unpersist()
+            if k:
+                scratch.drop(last)
+            last = done
     if blocks == 1:
         return done
     return done.withColumn(out, F.concat(*parts)).drop(*parts)
@@ -195,4 +205,5 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """The rows without an overlap, with the columns of `df`."""
-    return find_overlaps(df, benchmark, text, out="_overlaps", **how).where(F.size("_overlaps") == 0).drop("_overlaps")
+    found = fresh(df, "_overlaps")
+    return find_overlaps(df, benchmark, text, out=found, **how).where(F.size(found) == 0).drop(found)
