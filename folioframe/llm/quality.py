@@ -101,12 +101,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     """At most `bound` labelled rows of docs (half of them a class), the first in a digest's order.
 
     Only ids and labels are sorted; the texts of the chosen ids then come by a broadcast of at most
-    `bound` ids. Rows without a label or an id take no part; a repeated id has its highest label.
+    `bound` ids. Rows without a label or an id take no part; a repeated id has its highest label and its
+    lowest text, so that no more than `bound` rows come of it.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull() & allowed).groupBy(ident).agg(F.max(label).cast("int").alias("_label"))
     order = [F.xxhash64(ident), F.col(ident)]
     picked = known.where("_label = 1").orderBy(*order).limit(bound // 2).unionByName(known.where("_label <> 1").orderBy(*order).limit(bound // 2)) if per_class else known.orderBy(*order).limit(bound)
-    return docs.join(F.broadcast(picked), ident)
+    found = docs.join(F.broadcast(picked), ident)
+    rest = [c for c in docs.columns if c != ident]
+    return found.groupBy(ident, "_label").agg(*(F.min(c).alias(c) for c in rest))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", ident: str = "doc_id", label: str = "quality", bound: int = 3000, dims: int = 48, neighbours: int = 15, power: float = 4.0) -> QualityModel:

@@ -13,6 +13,8 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 BATCH = 256
 #: Shares of the lists after which bounds are compared.
 DEPTHS = (0.125, 0.25, 0.5, 0.75)
+#: The size that a component must stay under.
+LARGEST = 1e12
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,8 +88,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vecto
 
     Components become floor(scale * x). Rows whose id or vector is null, or whose vector holds a null
     or non-finite component, take no part, nor do rows of another length than a query's. Ties go to
-    the smaller id; a repeated row (equal id and vector) counts once; a query with fewer than k
-    others has fewer rows; an empty table gives none.
+    the smaller id; a repeated row (equal id and vector) counts once; rows of one id with unlike vectors are
+    candidates and queries of that id each, merged in its one ranking; a query with fewer than k others has fewer
+    rows; an empty table gives none. A component of LARGEST and more in size is an error that names it, as a sum
+    of its products may not fit 63 bits.
 
     Queries and candidates are dealt into blocks by a digest of their id, and each pair of blocks is
     a task of bounded size: the stated query set meets all rows in blocks. A block keeps k rows a
@@ -96,7 +100,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vecto
     usable = F.col(vector).isNotNull() & F.col(ident).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = vectors.where(usable).select(
         F.col(ident).cast("long").alias("vec_id"),
-        F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"),
+        F.transform(F.col(vector), lambda x: F.when(F.abs(x) < LARGEST, F.floor(F.lit(scale) * x.cast("double")).cast("long")).otherwise(F.raise_error(F.concat(F.lit("a component is too large: "), x.cast("string"))).cast("long"))).alias("v"),
         is_query.alias("asks"),
     ).dropDuplicates(["vec_id", "v"])
     sizes = rows.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).first()
