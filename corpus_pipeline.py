@@ -6,6 +6,8 @@ documents but for the last. `run` writes each stage's rows to the shared folder
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,30 +15,52 @@ from folioframe.llm import bpe, common, decontamination, ngram_join, quality, su
 from folioframe.llm.queries import table, tokenizer
 
 
+def aside(stage):
+    """The stage on columns that no operator's own can clash with: all but the id, the text and its length wait under other names."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in ("doc_id", "text", "n_chars") else f"waiting {i}" for i, c in enumerate(docs.columns)}
+        done = stage(spark, docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), sf_dir)
+        return done.select(*(F.col(f"`{n}`").alias(c) for c, n in names.items()))
+
+    return run_stage
+
+
+@aside
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier scores under 0.3; it learns from `labels`."""
+    """Drop the documents that the quality classifier scores under 0.3; it learns from `labels`.
+
+    Null and empty texts are scored like any; without a label every document scores 0.5 and stays.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return quality.score(docs, model, out="_score").where("_score >= 0.3").drop("_score")
 
 
+@aside
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the lowest id of each group linked by 5-word Jaccard of 0.8 or more."""
+    """Keep the document with the lowest id (null is the lowest) of each group linked by 5-word Jaccard of 0.8 or more.
+
+    Texts without words (null and empty ones too) are one group; of repeated rows one stays.
+    """
     common.bounded_batches(spark)
     return ngram_join.drop_near_duplicates(docs)
 
 
+@aside
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every byte covered by a 200-byte string that starts twice in the corpus; all rows stay.
 
-    A character that loses some of its bytes goes whole, and n_chars counts what is left.
+    A character that loses some of its bytes goes whole, and n_chars counts what is left. Null texts stay null.
     """
     common.bounded_batches(spark)
     left = substring_dedup.remove_repeats(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@aside
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that overlap with an item of `benchmark`."""
+    """Drop the documents that overlap with an item of `benchmark`; null and empty texts and items overlap with none."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
