@@ -27,6 +27,10 @@ def _small(edges: DataFrame) -> DataFrame:
     return hung.where("u <> v").distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (u, v): the root is its component's least node.
 
@@ -34,16 +38,16 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     component is a star; no link reaches the driver.
     """
     now = scratch.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state = _state(now)
     for _ in range(rounds):
         after = scratch.write(_small(_large(now)))
         scratch.drop(now)
         now = after
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
+        seen = _state(now)
         # a star: every node has one parent; and nothing moved since the last round
-        if tuple(seen) == state:
+        if seen == state:
             break
-        state = tuple(seen)
+        state = seen
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -185,20 +185,25 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     return map_texts(docs, "text", fields, make, keep=["given", "id"])
 
 
-def _groups(nodes: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
-    """(node, root, pivot) of the nodes that share a prefix of `depth` minima with others, over any number of steps.
+def _hung(nodes: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """(u, v): each node that shares a prefix of `depth` minima with others hangs on the least of them; and a mark of all rows.
 
-    A trie's nodes are its sorted prefixes; those below one hang on the least of them, so that even a
-    huge group has a row a node. The pivot is the one that most of the group hang on.
+    A trie's inner nodes are its sorted prefixes; even a huge group below one has a row a node.
     """
     entries = nodes.where("size > 0").select("node", F.explode(F.array(*(path(t, depth) for t in range(TREES)))).alias("prefix"))
     shared = scratch.write(entries.groupBy("prefix").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1").select("prefix", "lead"))
     hung = scratch.write(entries.join(shared, "prefix").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct())
+    scratch.drop(shared)
+    return hung, tuple(hung.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def _groups(hung: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root, pivot) of the nodes that hang together, over any number of steps; the pivot is the one that most of a group hang on."""
     near = scratch.write(components(hung, scratch))
     leads = hung.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("degree"))
     pivots = scratch.write(near.join(leads, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot")))
     out = scratch.write(near.join(pivots, "root"))
-    scratch.drop(shared, hung, near, pivots)
+    scratch.drop(hung, near, pivots)
     return out
 
 
@@ -311,9 +316,15 @@ def _classes(df: DataFrame, text: str = "text", ident: str = "doc_id", threshold
     docs = df.select(F.col(ident).alias("given"), _id_of(ident).alias("id"), F.col(text).alias("text"))
     signed = scratch.write(_signed(docs, words))
     nodes = scratch.write(signed.groupBy("node").agg(F.min("id").alias("rep"), F.min("given").alias("low"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("signature").alias("signature")))
-    before = verified = None
+    before = verified = mark = None
     for depth in range(MAX_DEPTH, 0, -1):
-        near = _groups(nodes, depth, scratch)
+        hung, now_mark = _hung(nodes, depth, scratch)
+        if now_mark == mark:  # nothing more hangs together than at the longer prefix
+            if found_share(seen, depth, threshold) >= recall:
+                break
+            continue
+        mark = now_mark
+        near = _groups(hung, scratch)
         member = near.join(nodes.select("node", "rep", "n", "size"), "node")
         groups = scratch.write(member.groupBy("root").agg(F.count("*").alias("members"), F.sum(8 * F.col("size")).alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("mark")))
         # a shorter prefix only adds to groups: those that stay as they were are not compared again
