@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import locators
 from ..operators import marks as ops
+from ..sources import layout_json
 from . import layout
 from .base import read
 from .render import ORACLES as _RENDER
@@ -113,13 +115,81 @@ def model_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.page_items(pages, ["p_partkey"], "j")
 
 
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of marks by the page: customers with orders by number, of Plato, of Aristotle or of neither; some are misread."""
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    page = (o / 10).cast("long") + 100
+    text = F.when(o % 11 == 0, "II").when(o % 13 == 0, "101a").when(k % 3 == 0, F.concat(page, F.element_at(F.array(*(F.lit(x) for x in "abcde")), (o % 10 / 2).cast("int") + 1))).when(k % 3 == 1, F.concat(page + 900, F.lit(" b "), o % 10 + 1)).otherwise(F.concat(F.lit("x"), o))
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), o.alias("ord"), text.alias("text"))
+
+
+def locator_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locators.schemes(_marks(spark, sf_dir), "doc")
+
+
+def locator_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locators.ranges(_marks(spark, sf_dir), "doc")
+
+
+def governed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as blocks of the customer's book: how many each locator governs."""
+    marks = _marks(spark, sf_dir)
+    found = locators.governed(marks.select("doc", "ord"), locators.ranges(marks, "doc"), "doc")
+    return found.groupBy("doc", "locator").agg(F.count("*").alias("blocks"), F.min("ord").alias("first"))
+
+
+def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pages = read(spark, sf_dir, "orders").select("o_orderkey", (k % 3).alias("texts"), (k % 5 % 2).alias("pictures"), F.when(k % 7 > 0, (k % 11) / 1000).alias("dark"))
+    return locators.blank_pages(pages).select("o_orderkey")
+
+
+def contents_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 7
+    text = F.when(k == 0, "Contents").when(k == 1, F.concat("p_name", F.lit(" ..... "), "p_size")).when(k == 2, "by Ada Lovelace").when(k == 3, F.col("p_name")).when(k == 4, F.concat("p_name", F.lit(" xiv"))).when(k == 5, F.concat("p_name", F.lit(" of"))).otherwise(F.concat(F.lit("more "), "p_size"))
+    lines = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("line"), text.alias("text"))
+    return locators.contents_kinds(lines, "p_brand").select("p_brand", "line", "kind", "entry")
+
+
+def detected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made boxes as a model's, of an image twice the page's size."""
+    made = layout.blocks_of(spark, sf_dir)
+    label = F.when(F.col("kind") == "ListItem", "list_item").when(F.col("kind") == "Table", "formula").otherwise(F.col("kind"))
+    results = made.select("page", label.alias("label"), (F.col("id") % 10 / 10).alias("score"), *(F.col(c) for c in ("x0", "y0", "x1", "y1")), F.lit(1200.0).alias("image_width"), F.lit(1600.0).alias("image_height"))
+    pages = made.select("page", F.lit(200.0).alias("width"), F.lit(800.0).alias("height")).distinct()
+    return layout_json.detected_blocks(results, pages, 0.2)
+
+
+def external_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with two blocks, the second without a text, and three items: in it, in neither, and without a box."""
+    pages = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.concat(F.lit('{"blocks":[{"type":"Text","text":"'), "p_brand", F.lit('","bbox":[0,0,10,10]},{"type":"Table","bbox":[0,20,10,30]}]}')).alias("j"), "p_name")
+    item = lambda i, text, box: F.struct(F.lit(i).cast("long").alias("id"), text.alias("text"), *(F.lit(box and box[n]).cast("double").alias(c) for n, c in enumerate(("x0", "y0", "x1", "y1"))))
+    items = pages.select("page", F.explode(F.array(item(100, F.col("p_name"), (1, 21, 5, 25)), item(101, F.lit("alone"), (50, 50, 60, 60)), item(102, F.lit("boxless"), None))).alias("i")).select("page", "i.*")
+    return layout_json.external_document(pages, "j", items)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (volume_keys, margin_kinds, note_heads, unnumbered_lines, line_ladders, wrapped_blocks, plain_markup, clamped_scores, scholarly_counts, summary_tables, component_problems, accepted_replies, built_blocks, reusable_artifacts, model_pages)
+    for f in (volume_keys, margin_kinds, note_heads, unnumbered_lines, line_ladders, wrapped_blocks, plain_markup, clamped_scores, scholarly_counts, summary_tables, component_problems, accepted_replies, built_blocks, reusable_artifacts, model_pages, locator_schemes, locator_ranges, governed_blocks, blank_pages, contents_kinds, detected_blocks, external_documents)
 }
 _MD = _RENDER["scholarly_documents"].removesuffix("SELECT doc, md5(t) AS md5, CAST(length(t) AS INTEGER) AS size FROM d")
 _COUNT = "CAST(len(regexp_extract_all(t, '{}')) AS INTEGER) AS {}"
+_LOCATORS = """m AS (SELECT o_custkey AS doc, o_orderkey AS ord, CASE WHEN o_orderkey % 11 = 0 THEN 'II' WHEN o_orderkey % 13 = 0 THEN '101a' WHEN o_custkey % 3 = 0 THEN (o_orderkey // 10 + 100) || 'abcde'[o_orderkey % 10 // 2 + 1] WHEN o_custkey % 3 = 1 THEN (o_orderkey // 10 + 1000) || ' b ' || (o_orderkey % 10 + 1) ELSE 'x' || o_orderkey END AS text FROM orders),
+x AS (SELECT *, regexp_extract(text, '^([0-9]{1,3})([a-e])([0-9]{1,2})?$', ['a', 'b', 'c']) AS s, regexp_extract(text, '^([0-9]{3,4})\\s?([ab])\\s?([0-9]{1,2})?$', ['a', 'b', 'c']) AS k FROM m),
+p AS (SELECT doc, ord, text, 'stephanus' AS scheme, (CAST(s.a AS BIGINT) * 5 + ascii(s.b) - 97) * 100 + coalesce(TRY_CAST(s.c AS BIGINT), 0) AS place FROM x WHERE s.a <> '' UNION ALL SELECT doc, ord, text, 'bekker', (CAST(k.a AS BIGINT) * 2 + ascii(k.b) - 97) * 100 + coalesce(TRY_CAST(k.c AS BIGINT), 0) FROM x WHERE k.a <> ''),
+e AS (SELECT doc, scheme, count(*) AS n FROM p GROUP BY ALL), w AS (SELECT doc, count(*) AS total FROM m GROUP BY 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, scheme) AS r FROM e) WHERE r = 1),
+sc AS (SELECT doc, scheme FROM b JOIN w USING (doc) WHERE n >= 3 AND n >= 0.6 * total), t AS (SELECT p.*, max(place) OVER (PARTITION BY p.doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM p JOIN sc ON sc.doc = p.doc AND sc.scheme = p.scheme),
+rg AS (SELECT doc, scheme, ord, text, CAST(place AS BIGINT) AS place, lead(ord) OVER (PARTITION BY doc ORDER BY ord) AS until FROM t WHERE top IS NULL OR place > top)"""
 ORACLES = {
+    "locator_schemes": f"WITH {_LOCATORS} SELECT * FROM sc",
+    "locator_ranges": f"WITH {_LOCATORS} SELECT * FROM rg",
+    "governed_blocks": f"WITH {_LOCATORS} SELECT m.doc, rg.text AS locator, count(*) AS blocks, min(m.ord) AS first FROM m LEFT JOIN rg ON rg.doc = m.doc AND m.ord >= rg.ord AND (rg.until IS NULL OR m.ord < rg.until) GROUP BY ALL",
+    "blank_pages": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 % 2 = 0 AND (o_orderkey % 7 = 0 OR o_orderkey % 11 < 5)",
+    "contents_kinds": """WITH l AS (SELECT p_brand, p_partkey AS line, ['heading', 'entry', 'credit', 'title', 'entry', 'title', 'entry'][p_partkey % 7 + 1] AS kind FROM part), c AS (SELECT *, coalesce(sum(CASE WHEN kind = 'entry' THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+SELECT p_brand, line, kind, CAST(CASE WHEN kind IN ('entry', 'title') THEN before + 1 WHEN kind = 'credit' AND before > 0 THEN before END AS INTEGER) AS entry FROM c""",
+    "detected_blocks": f"""WITH {layout._BLOCKS}, d AS (SELECT page, CASE kind WHEN 'ListItem' THEN 'list_item' WHEN 'Table' THEN 'formula' ELSE kind END AS raw_label, CASE kind WHEN 'Table' THEN 'Equation' ELSE kind END AS type, greatest(0, least(200, x0 / 6)) AS x0, greatest(0, least(800, y0 / 2)) AS y0, greatest(0, least(200, x1 / 6)) AS x1, greatest(0, least(800, y1 / 2)) AS y1, id % 10 / 10 AS confidence FROM blocks WHERE id % 10 >= 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, raw_label, x1, y1) - 1 AS INTEGER) AS ord FROM d""",
+    "external_documents": "SELECT p_partkey AS page, 0 AS id, 'Text' AS type, p_brand AS text FROM part UNION ALL SELECT p_partkey, 1, 'Table', p_name FROM part UNION ALL SELECT p_partkey, 101, 'Text', 'alone' FROM part",
     "volume_keys": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'III/2' WHEN 1 THEN '12' WHEN 2 THEN 'XV.' || p_size ELSE 'VI,' || p_size || 'B' END AS key FROM part",
     "margin_kinds": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'stephanus' WHEN 1 THEN 'bekker' WHEN 2 THEN 'line_number' WHEN 3 THEN 'note' WHEN 4 THEN 'spine' END AS kind FROM part",
     "note_heads": """WITH s AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS span, l_partkey % 2 = 0 AS num, l_quantity % 5 AS size FROM lineitem), w AS (SELECT *, row_number() OVER v AS k, lead(size) OVER v AS nx FROM s WINDOW v AS (PARTITION BY l_orderkey ORDER BY span))

@@ -30,6 +30,31 @@ def layout_blocks(pages: DataFrame, ident: list[str], json: str) -> DataFrame:
     )
 
 
+def detected_blocks(results: DataFrame, pages: DataFrame, least: float = 0.0) -> DataFrame:
+    """A layout model's boxes (page, label, score, box in pixels of an image of image_width x image_height) as blocks of the page, in reading order.
+
+    pages: page, width, height. Boxes are scaled to the page and clipped to it; those under `least` are left out.
+    """
+    rows = results.where(F.coalesce("score", F.lit(1.0)) >= least).join(pages, "page")
+    at = lambda c, size, image: F.greatest(F.lit(0.0), F.least(F.col(size), F.col(c) * F.col(size) / F.col(image)))
+    rows = rows.select("page", canonical_type(F.col("label")).alias("type"), F.col("label").alias("raw_label"), at("x0", "width", "image_width").alias("x0"), at("y0", "height", "image_height").alias("y0"), at("x1", "width", "image_width").alias("x1"), at("y1", "height", "image_height").alias("y1"), F.col("score").alias("confidence"))
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "raw_label", "x1", "y1")) - 1)
+
+
+def external_document(pages: DataFrame, layout: str, items: DataFrame) -> DataFrame:
+    """A whole document from two outside sources: blocks from the pages' layout JSON, texts from recognised items (page, id, text, box).
+
+    A block with a text of its own keeps it; others get the items they hold; items that no block holds are blocks of their own.
+    """
+    from ..operators.middle import merged_items
+
+    blocks = layout_blocks(pages, ["page"], layout).withColumn("id", F.col("ord").cast("long"))
+    found = merged_items(items, blocks.select("page", "id", F.col("type").alias("kind"), "x0", "y0", "x1", "y1"))
+    texts = found.where("kind = 'merged'").select("page", F.col("block").alias("id"), F.col("text").alias("seen"))
+    own = blocks.join(texts, ["page", "id"], "left").select("page", "id", "type", F.coalesce(F.nullif("text", F.lit("")), "seen", F.lit("")).alias("text"))
+    return own.unionByName(found.where("kind = 'new'").select("page", F.col("block").alias("id"), F.lit("Text").alias("type"), "text"))
+
+
 def tesseract_lines(tsv: DataFrame, ident: str, text: str) -> DataFrame:
     """Lines of Tesseract's TSV: page, block, par, line, text, box and mean confidence of its words."""
     rows = tsv.select(ident, F.explode(F.split(text, "\n")).alias("row")).select(ident, F.split("row", "\t").alias("c")).where((F.size("c") >= 12) & (F.element_at("c", 1) == "5"))
