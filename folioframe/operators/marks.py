@@ -26,7 +26,7 @@ def margin_kind(text: Column, x: Column, height: Column, width: Column, edge: fl
 
 def note_heads(spans: DataFrame, block: list[str]) -> DataFrame:
     """Spans of footnotes with `superscript`: the first of a note, if it is a number or a sign in smaller type than the next one."""
-    along = Window.partitionBy(*block).orderBy("span")
+    along = Window.partitionBy(*block).orderBy("span", "size", "text")
     first = F.row_number().over(along) == 1
     small = F.lead("size").over(along).isNull() | (F.col("size") < F.lead("size").over(along))
     return spans.withColumn("superscript", first & F.trim("text").rlike(r"^([0-9]{1,4}|[*†‡§¶]+)$") & small)

@@ -192,7 +192,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, raw_label,
     "external_documents": "SELECT p_partkey AS page, 0 AS id, 'Text' AS type, p_brand AS text FROM part UNION ALL SELECT p_partkey, 1, 'Table', p_name FROM part UNION ALL SELECT p_partkey, 101, 'Text', 'alone' FROM part",
     "volume_keys": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'III/2' WHEN 1 THEN '12' WHEN 2 THEN 'XV.' || p_size ELSE 'VI,' || p_size || 'B' END AS key FROM part",
     "margin_kinds": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'stephanus' WHEN 1 THEN 'bekker' WHEN 2 THEN 'line_number' WHEN 3 THEN 'note' WHEN 4 THEN 'spine' END AS kind FROM part",
-    "note_heads": """WITH s AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS span, l_partkey % 2 = 0 AS num, l_quantity % 5 AS size FROM lineitem), w AS (SELECT *, row_number() OVER v AS k, lead(size) OVER v AS nx FROM s WINDOW v AS (PARTITION BY l_orderkey ORDER BY span))
+    "note_heads": """WITH s AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS span, l_partkey % 2 = 0 AS num, CAST(l_suppkey AS VARCHAR) AS t, l_quantity % 5 AS size FROM lineitem), w AS (SELECT *, row_number() OVER v AS k, lead(size) OVER v AS nx FROM s WINDOW v AS (PARTITION BY l_orderkey ORDER BY span, size, t))
 SELECT l_orderkey, count(*) FILTER (k = 1 AND num AND (nx IS NULL OR size < nx)) AS heads FROM w GROUP BY 1""",
     "unnumbered_lines": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey % 5 < 4 AS h, l_suppkey % 4 > 0 AS e FROM lineitem), c AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (h) AS hs, count(*) FILTER (e) AS es FROM l GROUP BY 1),
 r AS (SELECT l.l_orderkey, l.n, h AND NOT (c.n >= 4 AND hs > 0.6 * c.n) AS kh, e AND NOT (c.n >= 4 AND es > 0.6 * c.n) AS ke FROM l JOIN c USING (l_orderkey))
