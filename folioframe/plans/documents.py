@@ -140,7 +140,8 @@ def table_cells_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.quote_levels(blocks_of(spark, sf_dir).select("doc", "ord", "x0", (F.col("x0") + 100.0).alias("x1")), "doc")
+    """Blocks that share their right side, set in more or less."""
+    return ops.quote_levels(blocks_of(spark, sf_dir).select("doc", "ord", "x0", F.lit(150.0).alias("x1")), "doc")
 
 
 def list_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +224,13 @@ SELECT b.doc, b.page, b.ord, f.note FROM blocks b LEFT JOIN f ON f.doc = b.doc A
     "page_chunks": "WITH p AS (SELECT conv_id AS doc, turn, text, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS INTEGER) AS chunk FROM conversations) SELECT doc, chunk, CAST(count(*) AS INTEGER) AS pages, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS md5 FROM p GROUP BY ALL",
     "markdown_documents": f"""{_BLOCKS}, m AS (SELECT doc, ord, CASE WHEN type = 'Footnote' THEN 1 ELSE 0 END AS zone, CASE type WHEN 'SectionHeader' THEN repeat('#', level) || ' ' || text WHEN 'ListItem' THEN '- ' || text WHEN 'Quote' THEN '> ' || text WHEN 'Caption' THEN '*' || text || '*' WHEN 'Footnote' THEN '**Footnote** ' || text ELSE text END AS md FROM blocks WHERE trim(text) <> ''),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc, zone, CASE WHEN zone = 1 THEN md ELSE CAST(ord AS VARCHAR) END ORDER BY ord) AS k FROM m), d AS (SELECT doc, string_agg(md, chr(10) || chr(10) ORDER BY zone, ord) AS t FROM o WHERE k = 1 GROUP BY doc) SELECT doc, md5(t) AS md5, CAST(length(t) AS INTEGER) AS size FROM d""",
-    "storage_round_trip": None,
+    "storage_round_trip": """WITH j AS (SELECT conv_id, count(*) AS n, 1 + sum(strlen('{"turn":' || turn || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}') + 1) AS raw FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN n >= 4 AND raw >= 1024 THEN CAST(n AS INTEGER) END AS spans, n >= 4 AND raw >= 1024 AS stored, true AS equal FROM j""",
+    "table_cells_html": """WITH l AS (SELECT l_orderkey, l_linenumber AS r, l_partkey, CASE WHEN l_tax > 0.05 THEN 2 ELSE 1 END AS s FROM lineitem), c AS (SELECT DISTINCT l_orderkey, r, 0 AS col, CAST(r AS VARCHAR) AS t, 1 AS s FROM l UNION SELECT DISTINCT l_orderkey, r, 1, CAST(l_partkey AS VARCHAR), s FROM l)
+SELECT l_orderkey, CAST(15 + 9 * count(DISTINCT r) + sum(9 + length(t) + CASE WHEN s > 1 THEN 12 ELSE 0 END) AS INTEGER) AS size FROM c GROUP BY 1""",
+    "quote_levels": f"""WITH RECURSIVE {_BLOCKS.removeprefix("WITH ")}, o AS (SELECT doc, ord, CAST(x0 AS DOUBLE) AS x0, row_number() OVER (PARTITION BY doc ORDER BY ord) AS k FROM blocks),
+q(doc, k, ord, x0, lv) AS (SELECT doc, k, ord, x0, 0 FROM o WHERE k = 1 UNION ALL SELECT o.doc, o.k, o.ord, o.x0, CASE WHEN o.x0 - q.x0 > 0.1 * (150 - q.x0) THEN q.lv + 1 WHEN q.lv > 0 AND abs(o.x0 - q.x0) <= 0.01 * (150 - q.x0) THEN q.lv ELSE 0 END FROM q JOIN o ON o.doc = q.doc AND o.k = q.k + 1)
+SELECT doc, ord, x0, 150.0::DOUBLE AS x1, lv AS quote_level FROM q""",
     "page_ranges": "WITH r AS (SELECT c_custkey, list_sort(list_distinct([c_custkey % 5, 20] || range(c_custkey % 7, c_custkey % 7 + 4))) AS l FROM customer) SELECT c_custkey, array_to_string(l, ',') AS pages FROM r",
     "label_files": "SELECT n_nationkey, n_name AS page, 'Text' AS type, array_to_string(range(0, n_nationkey + 1), ',') || ',40,45,50' AS lines FROM nation UNION ALL SELECT n_nationkey, n_name, 'Picture', '' FROM nation UNION ALL SELECT n_nationkey, CAST(n_regionkey AS VARCHAR), 'ListItem', '7' FROM nation",
     "line_index": """WITH l AS (SELECT n_nationkey, strlen('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS b FROM nation) SELECT n_nationkey, CAST(coalesce(sum(b + 1) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(b AS INTEGER) AS bytes FROM l""",

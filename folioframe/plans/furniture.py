@@ -92,7 +92,11 @@ _CANDIDATES = r"""WITH c AS (
     + CASE WHEN text = number THEN 0.45 ELSE 0.2 END + CASE WHEN o_orderkey % 3 = 2 THEN -0.3 ELSE 0.35 END + CASE WHEN o_orderkey % 3 = 1 THEN 0.2 ELSE 0 END + CASE WHEN ends_with(text, number) AND length(text) > length(number) THEN 0.55 ELSE 0 END, 6) AS score FROM c
 )"""
 _MARKS = """WITH m AS (SELECT p_partkey // 50 AS doc, p_partkey AS page, p_size AS number, CAST(p_partkey % 3 AS INTEGER) AS mark, p_brand AS title, CASE WHEN p_partkey % 2 = 0 THEN '4' END AS volume, p_partkey % 10 / 20 AS x, p_size % 3 / 50 AS y FROM part)"""
+_MADE = """WITH parts AS (SELECT conv_id AS doc, CAST(turn AS INTEGER) AS page, list_filter(string_split(regexp_replace(text, '\\. ', '.' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS p FROM conversations),
+b AS (SELECT doc, page, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS i FROM parts), c AS (SELECT doc, page, CAST(page * 1000 + i AS INTEGER) AS ord, length(t) > 60 AS body, i * 10 AS y0, i * 10 + (doc * 7 + page * 5 + i * 3) % 4 AS y1 FROM b)"""
 ORACLES = {
+    "running_blocks": f"""{_MADE}, w AS (SELECT *, min(CASE WHEN body THEN y0 END) OVER p AS top, max(CASE WHEN body THEN y1 END) OVER p AS bottom, min(y0) OVER p AS low, max(y1) OVER p AS high FROM c WINDOW p AS (PARTITION BY doc, page))
+SELECT doc, page, ord FROM w WHERE NOT body AND (y1 <= low + 0.2 * (high - low) OR y0 >= high - 0.2 * (high - low)) AND (y1 <= coalesce(top, high) OR y0 >= coalesce(bottom, low))""",
     "folio_candidates": f"{_CANDIDATES} SELECT o_orderkey, CAST(score AS DOUBLE) AS score, o_orderkey % 3 = 2 AS dated FROM s",
     "folio_choice": f"""{_CANDIDATES}, r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, number))
 SELECT o_custkey, number, CAST(score AS DOUBLE) AS score, coalesce(CAST(score AS DOUBLE) - CAST(second AS DOUBLE) < 0.2, false) AS ambiguous FROM r WHERE place = 1 AND score >= 1.5""",
