@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.trees import shared_folder
+
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """A stream of event files, a few at a time: the next ones are taken when those are done."""
@@ -75,8 +76,7 @@ def collected(stream: DataFrame, mode: str, key: list[str] | None = None) -> Dat
     write every batch; the driver keeps only the batches' numbers.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folioframe-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     written: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
