@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh, map_texts, slices, texts_of
+from .common import Scratch, claim, fresh, map_texts, slices, texts_of
 
 #: Bytes that the thinning ranks, and the bytes whose hash picks an anchor of either kind.
 SEED, GRAM = 32, 8
@@ -164,6 +164,7 @@ def _emit(df: DataFrame, schema: str, extra: list[str], add_rows) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats", lambda: None)
         rows, state = _Rows(names), {"next": TaskContext.get().partitionId() << 38}
         for batch in batches:
             for part in slices(batch, "text"):
