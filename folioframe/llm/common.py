@@ -82,6 +82,43 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def integer_components(vector, scale: int):
+    """floor(scale * x) of each component x as a double that holds a whole number; null where the vector or a component is null or a component not finite.
+
+    From 2^52 on a double is whole itself; beyond 1e300 it counts as 1e300, as scaled ones must stay finite.
+    """
+    fits = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    whole = lambda x: F.when(F.abs(x) < float(1 << 52) / scale, F.floor(F.lit(float(scale)) * x).cast("double")).otherwise(F.rint(F.lit(float(scale)) * F.greatest(F.least(x, F.lit(1e300)), F.lit(-1e300))))
+    return F.when(vector.isNotNull() & fits, F.transform(vector, lambda x: whole(x.cast("double"))))
+
+
+def integers(whole: np.ndarray) -> np.ndarray:
+    """Doubles that hold whole numbers as int64, or as Python's integers where one is too large."""
+    if not whole.size or np.abs(whole).max() < float(1 << 62):
+        return whole.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in whole], object).reshape(whole.shape)
+
+
+def product_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """A size that no inner product of these integer rows passes."""
+    if not a.size or not b.size:
+        return 0
+    return max(abs(int(a.max())), abs(int(a.min()))) * max(abs(int(b.max())), abs(int(b.min()))) * a.shape[1]
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows, exact; those beyond 63 bits become the largest or smallest such number."""
+    if not a.size or not b.size:
+        return np.zeros((len(a), len(b)), np.int64)
+    most = product_bound(a, b)
+    if most < 1 << 53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if most < 1 << 63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    ends = np.iinfo(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, ends.min, ends.max).astype(np.int64)
+
+
 def utf8_size(text: str):
     """Bytes of the text in UTF-8; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -7,26 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import exact_products, integer_components, integers, product_bound
+
 #: Rows of a block: expected queries, expected candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 #: Queries whose bounds are held at once.
 BATCH = 256
 #: Shares of the lists after which bounds are compared.
 DEPTHS = (0.125, 0.25, 0.5, 0.75)
-#: The size that a component must stay under.
-LARGEST = 1e12
-
-
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: in float64 while sums stay below 2^53, else in wide integers."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
-    most = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1]
-    if most < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most < 1 << 63:
-        return a @ b.T
-    raise ValueError("a score may pass 63 bits")
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
@@ -48,8 +36,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     high = np.broadcast_to(lists[0], c.shape).copy()  # upper bound of each value, read from the top
     low = np.broadcast_to(lists[-1], c.shape).copy()  # lower bound, read from the bottom
     read = 0
+    large = product_bound(q, c) >= 1 << 63  # no room for bounds: all are scored
     for share in DEPTHS:
-        if n <= 4 * k:
+        if n <= 4 * k or large:
             break
         depth = max(1, int(n * share))
         for at, bound, values in ((order[read:depth], high, lists[read:depth]), (order[n - depth : n - read], low, lists[n - depth : n - read])):
@@ -64,8 +53,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         # a value read from either end is known to both bounds
         known_high = np.where(unread_low, high, low)
         known_low = np.where(unread_top, low, high)
-        upper = _product(plus, known_high) + _product(minus, known_low)
-        lower = _product(plus, known_low) + _product(minus, known_high)
+        upper = exact_products(plus, known_high) + exact_products(minus, known_low)
+        lower = exact_products(plus, known_low) + exact_products(minus, known_high)
         floor = np.where(own, np.iinfo(np.int64).min, lower)
         kth = np.partition(floor, n - k, axis=1)[:, n - k]
         open_ &= upper >= kth[:, None]
@@ -74,8 +63,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     out_q, out_c, out_s = [], [], []
     for i in range(len(q)):
         left = np.flatnonzero(open_[i])
-        scores = _product(q[i : i + 1], c[left])[0] if len(left) else np.zeros(0, np.int64)
-        best = np.lexsort((c_ids[left], -scores))[:k]
+        scores = exact_products(q[i : i + 1], c[left])[0] if len(left) else np.zeros(0, np.int64)
+        best = np.lexsort((c_ids[left], ~scores))[:k]
         out_q.append(np.full(len(best), q_ids[i]))
         out_c.append(c_ids[left][best])
         out_s.append(scores[best])
@@ -90,19 +79,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vecto
     or non-finite component, take no part, nor do rows of another length than a query's. Ties go to
     the smaller id; a repeated row (equal id and vector) counts once; rows of one id with unlike vectors are
     candidates and queries of that id each, merged in its one ranking; a query with fewer than k others has fewer
-    rows; an empty table gives none. A component of LARGEST and more in size is an error that names it, as a sum
-    of its products may not fit 63 bits.
+    rows; an empty table gives none. A score beyond 63 bits counts as the largest or smallest such number.
 
     Queries and candidates are dealt into blocks by a digest of their id, and each pair of blocks is
     a task of bounded size: the stated query set meets all rows in blocks. A block keeps k rows a
     query, and the blocks' results are merged by rank.
     """
-    usable = F.col(vector).isNotNull() & F.col(ident).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    rows = vectors.where(usable).select(
-        F.col(ident).cast("long").alias("vec_id"),
-        F.transform(F.col(vector), lambda x: F.when(F.abs(x) < LARGEST, F.floor(F.lit(scale) * x.cast("double")).cast("long")).otherwise(F.raise_error(F.concat(F.lit("a component is too large: "), x.cast("string"))).cast("long"))).alias("v"),
-        is_query.alias("asks"),
-    ).dropDuplicates(["vec_id", "v"])
+    rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), integer_components(F.col(vector), scale).alias("v"), is_query.alias("asks")).where("vec_id is not null and v is not null").dropDuplicates(["vec_id", "v"])
     sizes = rows.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).first()
     n_query, n_block = (max(1, -(-(x or 0) // most)) for x, most in ((sizes["q"], QUERY_BLOCK), (sizes["n"], CANDIDATE_BLOCK)))
     numbered = rows.withColumns({"d": F.size("v"), "qb": F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_query)).cast("int"), "cb": F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(n_block)).cast("int")})
@@ -113,7 +96,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vecto
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-        as_array = lambda x: (x["vec_id"].to_numpy(np.int64), np.stack(x["v"].to_numpy()).astype(np.int64))
+        as_array = lambda x: (x["vec_id"].to_numpy(np.int64), integers(np.stack(x["v"].to_numpy())))
         (q_ids, q), there = as_array(left), as_array(right)
         return pd.concat([search_block(q_ids[at : at + BATCH], q[at : at + BATCH], *there, k) for at in range(0, len(q), BATCH)])
 
