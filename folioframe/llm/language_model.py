@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from dataclasses import dataclass
 
@@ -30,93 +29,117 @@ def key(word: bytes) -> int:
 
 
 @dataclass
-class Automaton:
-    """States are contexts of up to two words; state 0 is the empty one.
-
-    `arcs`: state * size + word -> (log10 probability, next state). Where a state has no arc, its
-    failure arc adds `fail_cost` and leads to `fail`; at state 0 any word has its own probability.
-    """
+class Figures:
+    """The training texts' tokens and types, and the discount of a token's own count."""
 
-    words: dict[int, int]  # key -> number
-    size: int
-    arcs: dict[int, tuple[float, int]]
-    fail: list[int]
-    fail_cost: list[float]
-    start: list[int]  # by word: the state after it
     tokens: int
     types: int
     discount: float
 
-    def single(self, count: int) -> float:
-        """log10 probability of a token without context, with absolute discounting."""
+    def single(self, count: np.ndarray) -> np.ndarray:
+        """Probability of a token without context, by absolute discounting."""
         if not self.tokens:
-            return -math.log10(self.types + 1)
-        return math.log10((max(count - self.discount, 0) + min(self.discount * self.types, self.tokens) / (self.types + 1)) / self.tokens)
+            return np.full(len(count), 1 / (self.types + 1))
+        return (np.maximum(count - self.discount, 0) + min(self.discount * self.types, self.tokens) / (self.types + 1)) / self.tokens
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
-    def walk(self, numbers: list[int], singles: list[float]) -> float:
-        """One pass over a text's tokens from left to right, carrying the state."""
-        total, state, arcs, size, fail, cost, start = 0.0, 0, self.arcs, self.size, self.fail, self.fail_cost, self.start
-        for number, single in zip(numbers, singles, strict=True):
-            if number < 0:
-                while state:
-                    total += cost[state]
-                    state = fail[state]
-                total += single
-                continue
-            while state:
-                arc = arcs.get(state * size + number)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += cost[state]
-                state = fail[state]
-            else:
-                total += single
-                state = start[number]
-        return total
-
-
-def build_automaton(keys: dict[int, int], pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int], total: int, types: int, discount: float, cut: float = 0.75) -> Automaton:
-    """Interpolated absolute discounting; `keys`: word key -> count, n-grams by the words' numbers."""
-    numbers = {k: i for i, k in enumerate(sorted(keys))}
-    count = [keys[k] for k in sorted(keys)]
-    size = max(1, len(numbers))
-    a = Automaton(numbers, size, {}, [0], [0.0], [0] * size, total, types, discount)
-    single = [10 ** a.single(c) for c in count]
-    after: dict[int, list[tuple[int, int]]] = {}
-    for (u, v), n in pairs.items():
-        after.setdefault(u, []).append((v, n))
-    share: dict[tuple[int, int], float] = {}
-    rest: dict[int, float] = {}
-    for u, seen in sorted(after.items()):
-        a.start[u] = len(a.fail)
-        a.fail.append(0)
-        rest[u] = 1 - sum(max(n - cut, 0) for _, n in seen) / count[u]
-        a.fail_cost.append(math.log10(max(rest[u], 1e-9)))
-        for v, n in seen:
-            share[u, v] = max(n - cut, 0) / count[u] + rest[u] * single[v]
-    state_of: dict[tuple[int, int], int] = {}
-    later: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for (u, v, w), n in triples.items():
-        if (u, v) in share:
-            later.setdefault((u, v), []).append((w, n))
-    for (u, v), seen in sorted(later.items()):
-        state_of[u, v] = len(a.fail)
-        a.fail.append(a.start[v])
-        left = 1 - sum(max(n - cut, 0) for _, n in seen) / pairs[u, v]
-        a.fail_cost.append(math.log10(max(left, 1e-9)))
-    for (u, v), p in share.items():
-        a.arcs[a.start[u] * size + v] = (math.log10(p), state_of.get((u, v), a.start[v]))
-    for (u, v), seen in later.items():
-        left = 10 ** a.fail_cost[state_of[u, v]]
-        for w, n in seen:
-            lower = share.get((v, w), rest.get(v, 1.0) * single[w])
-            a.arcs[state_of[u, v] * size + w] = (math.log10(max(n - cut, 0) / pairs[u, v] + left * lower), state_of.get((v, w), a.start[w]))
-    return a
+
+#: Tokens that one lane of a walk takes; a text's lanes overlap by the two tokens that a state can hold.
+LANE, MEMORY = 512, 2
+
+
+class Automaton:
+    """The states, arcs and failure arcs of the model that a batch's texts can meet.
+
+    State 0 is the empty context, 1 + w the word w, 1 + size + k the batch's k-th pair; only contexts of the
+    training texts are entered. An arc leaves a state for a word that followed it in training: it adds the
+    word's log10 probability there and leads to the longest context that the text then ends in. Where a state has no arc,
+    its failure arc adds the mass that is left and leads to the next shorter context; in state 0
+    a word has its own probability.
+    """
+
+    def __init__(self, single: np.ndarray):
+        self.size = len(single)
+        self.single = np.log10(single)
+        self.start = np.zeros(self.size, np.int64)  # by word: the state after it, read in state 0
+        self.codes = np.zeros(0, np.int64)  # of arcs: state * size + word, rising
+        self.weight = np.zeros(0)
+        self.next = np.zeros(0, np.int64)
+        self.fail = np.zeros(1, np.int64)
+        self.cost = np.zeros(1)
+
+    def add_pairs(self, first: np.ndarray, word: np.ndarray, own: np.ndarray, left: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Word states with their arcs. By pair: its words, the share its own count gives it, the mass its context leaves, and whether the context is one of training. Returns the pairs' probabilities."""
+        share = own + left * 10 ** self.single[word]
+        self.start[first[known]] = 1 + first[known]
+        self.fail, self.cost = np.zeros(1 + self.size, np.int64), np.zeros(1 + self.size)
+        self.cost[1 + first] = np.log10(left)
+        arcs = np.flatnonzero(own > 0)
+        self.codes, self.weight, self.next = (1 + first[arcs]) * self.size + word[arcs], np.log10(share[arcs]), self.start[word[arcs]]
+        self._pairs = arcs
+        return share
+
+    def add_triples(self, pair: np.ndarray, word: np.ndarray, lower: np.ndarray, own: np.ndarray, left: np.ndarray, known: np.ndarray, second: np.ndarray, last: np.ndarray) -> None:
+        """Pair states with their arcs. By triple: its pair, its word, the word's probability after the pair's second word, own, left and known as above; last: the pair its last two words are. second: by pair, its second word."""
+        entered = np.zeros(len(second), bool)
+        entered[pair[known]] = True
+        states = 1 + self.size + np.arange(len(second))
+        to = np.where(entered, states, self.start[second])
+        self.next = to[self._pairs]
+        self.fail = np.concatenate([self.fail, self.start[second]])
+        cost = np.zeros(len(second))
+        cost[pair] = np.log10(left)
+        self.cost = np.concatenate([self.cost, cost])
+        arcs = np.flatnonzero(own > 0)
+        self.codes = np.concatenate([self.codes, states[pair[arcs]] * self.size + word[arcs]])
+        self.weight = np.concatenate([self.weight, np.log10(own[arcs] + left[arcs] * lower[arcs])])
+        self.next = np.concatenate([self.next, to[last[arcs]]])
+
+    def walk(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """log10 probability of each text of a line of tokens: one pass from left to right that carries the state.
+
+        Texts are walked side by side, long ones in lanes: a state tells at most the last MEMORY tokens, so a lane
+        that begins so many tokens early in state 0 is in the text's own state where it begins to count.
+        """
+        lanes = -(-length // LANE)
+        of = np.repeat(np.arange(len(length)), lanes)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = np.repeat(np.cumsum(length) - length, lanes)
+        counted = begin + number * LANE
+        at = np.maximum(begin, counted - MEMORY)
+        stop = np.minimum(counted + LANE, begin + length[of])
+        order = np.argsort(at - stop, kind="stable")  # the longest first, so that those still walking are a prefix
+        counted, at, stop = counted[order], at[order], stop[order]
+        total, state, live = np.zeros(len(of)), np.zeros(len(of), np.int64), len(of)
+        step = 0
+        while True:
+            live = int(np.searchsorted(-(stop - at)[:live], -step, side="left"))
+            if not live:
+                break
+            word = x[at[:live] + step].astype(np.int64)
+            gain, now = np.zeros(live), state[:live]
+            todo = np.flatnonzero(now)
+            fresh = np.flatnonzero(now == 0)
+            while len(todo):
+                code = now[todo] * self.size + word[todo]
+                place = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+                hit = self.codes[place] == code if len(self.codes) else np.zeros(len(todo), bool)
+                took, place = todo[hit], place[hit]
+                gain[took] += self.weight[place]
+                now[took] = self.next[place]
+                todo = todo[~hit]
+                gain[todo] += self.cost[now[todo]]
+                now[todo] = self.fail[now[todo]]
+                empty = now[todo] == 0
+                fresh = np.concatenate([fresh, todo[empty]])
+                todo = todo[~empty]
+            gain[fresh] += self.single[word[fresh]]
+            now[fresh] = self.start[word[fresh]]
+            total[:live] += np.where(at[:live] + step >= counted[:live], gain, 0)
+            step += 1
+        return np.bincount(of[order], total, len(length))
 
 
 def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -253,7 +276,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         back = np.split(back, np.cumsum([len(c) for c in contexts])[:-1])
         turns = -(-sum(len(x) - s for s, _, x in asked) // GRAMS_AT_ONCE)
         total, types = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
-        found = [np.zeros(len(x) - s, "<u4") for s, _, x in asked]
+        found = [np.zeros(len(x) - s, "<u8") for s, _, x in asked]
         for turn in range(turns):
             codes, counts, picked = [], [], []
             for (size, keys, numbers), of in zip(asked, back, strict=True):
@@ -273,7 +296,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         if n == 2:  # the contexts are the words, each in one part
             figures = [int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2))]
         for b, of, result in zip(group["b"], back, found, strict=True):
-            data = result.tobytes() + total[of].astype("<u4").tobytes() + types[of].astype("<u4").tobytes()
+            data = result.tobytes() + total[of].astype("<u8").tobytes() + types[of].astype("<u8").tobytes()
             out.append((b, rows["p"].iloc[0], n, zlib.compress(data, 1), None, None, None, None))
     out.append((-1, rows["p"].iloc[0], 0, None, *figures))
     frame = pd.DataFrame(out, columns=["b", "p", "n", "found", "total", "types", "n1", "n2"])
@@ -286,27 +309,50 @@ def _settled(order: Order, answers: pd.DataFrame, cut: float) -> tuple[np.ndarra
     total, types = np.zeros(len(order.context)), np.zeros(len(order.context))
     for part, data in zip(answers["p"].tolist(), answers["found"], strict=True):
         contexts, grams = order.asked(part)
-        numbers = np.frombuffer(zlib.decompress(data), "<u4")
+        numbers = np.frombuffer(zlib.decompress(data), "<u8")
         count[grams] = numbers[: len(grams)]
         total[contexts], types[contexts] = numbers[len(grams) :].reshape(2, -1)
     seen = np.maximum(total, 1)
-    left = np.where(total > 0, cut * types / seen, 1.0)
+    left = np.where(total > 0, np.maximum(cut * types / seen, 1e-9), 1.0)
     return np.maximum(count - cut, 0) / seen[order.of], left[order.of], total
 
 
-def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str = "text", word_share: float = 0.0, gram_share: float = 0.0, batch_bytes: int = 24 << 20, cut: float = 0.75) -> DataFrame:
+def score_batch(line: Line, found: pd.DataFrame, figures: Figures, ends: int, cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text of a batch: known tokens, base score and the score of its walk. found: the answers to what the batch asked."""
+    x, at = line.x, np.cumsum(line.length) - line.length
+    for n, order in line.orders():
+        own, left, seen = _settled(order, found[found["n"] == n], cut)
+        if n == 2:
+            count = np.zeros(len(line.keys))
+            count[0], count[order.context] = ends, seen
+            base = np.add.reduceat(figures.base(count)[x], at)
+            known = np.add.reduceat((count > 0)[x].astype(np.int64), at)
+            automaton = Automaton(figures.single(count))
+            first, second = order.context[order.of].astype(np.int64), order.word.astype(np.int64)
+            chance = automaton.add_pairs(first, second, own, left, (seen > 0)[order.of])
+            pair = np.zeros(len(x), np.int32)  # by place: the pair that begins there
+            pair[order.places] = order.at
+        else:
+            last = np.zeros(len(order.word), np.int64)
+            last[order.at] = pair[order.places + 1]
+            automaton.add_triples(order.context[order.of].astype(np.int64), order.word.astype(np.int64), chance[last], own, left, (seen > 0)[order.of], second, last)
+        del order
+    return known, base, automaton.walk(x, line.length)
+
+
+def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str = "text", batch_bytes: int = 12 << 20, cut: float = 0.75) -> DataFrame:
     """Score every whole text by a model of the texts `allowed` for training.
 
     Returns ident, n_tokens, n_known, train_tokens, base_score and score, the last two in log10.
     Null and empty texts are one token, the end; repeated rows are scored one by one and, if allowed,
     counted one by one; an empty table gives an empty result; with no training text every token is
-    unknown. Other columns are not read.
+    unknown; a text of any length is walked whole. Other columns are not read.
 
     All words, pairs and triples of the training texts are counted over the cluster, so the automaton
     grows with the corpus: every word and pair is a state and every pair and triple an arc, however
     rare. Nobody holds it whole. A batch of about `batch_bytes` sends its own distinct n-grams, with
-    their counts, to the parts that their contexts belong to, and gets back the arcs and failure arcs
-    that its texts can take. `word_share` and `gram_share` are read no more: nothing is left out.
+    their counts, to the parts that their contexts belong to, gets back what its texts can meet, makes the
+    states, arcs and failure arcs of it, and walks each text once from left to right.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "lm")
@@ -314,36 +360,22 @@ def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str
     sums = docs.agg(F.sum(utf8_size("text")).alias("size"), F.count_if("train").alias("ends")).first()
     size, ends = sums["size"] or 0, sums["ends"]
     batches = max(1, -(-size // batch_bytes))
-    parts = max(1, min(1 << 16, -(-size // (batch_bytes // 3))))
+    parts = max(1, min(1 << 16, -(-size // (8 << 20)) if batch_bytes >= 1 << 20 else -(-size // (batch_bytes // 3))))
     dealt = docs.select("ident", _zipped("text").alias("text"), "train", F.pmod(F.xxhash64("ident", "text"), F.lit(batches)).cast("int").alias("b"))
 
     asked = dealt.groupBy("b").applyInPandas(lambda rows: _ask(rows, parts), ASKED)
     answers = scratch.write(asked.groupBy("p").applyInPandas(_answer, ANSWERED))
-    figures = answers.where("b < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "n1", "n2"))).first()
-    total, types = figures["total"] + ends, figures["types"] + (ends > 0)
-    n1, n2 = figures["n1"] + (ends == 1), figures["n2"] + (ends == 2)
-    model = Automaton({}, 1, {}, [0], [0.0], [0], total, types, n1 / (n1 + 2 * n2) if n1 else 0.5)
+    sums = answers.where("b < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "n1", "n2"))).first()
+    n1, n2 = sums["n1"] + (ends == 1), sums["n2"] + (ends == 2)
+    figures = Figures(sums["total"] + ends, sums["types"] + (ends > 0), n1 / (n1 + 2 * n2) if n1 else 0.5)
 
     def walk(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=["ident", "n_tokens", "n_known", "base_score", "score"])
         line = Line(rows["text"], parts)
-        x, at = line.x, np.cumsum(line.length) - line.length
-        for n, order in line.orders():
-            own, left, seen = _settled(order, found[found["n"] == n], cut)
-            if n == 2:
-                count = np.zeros(len(line.keys))
-                count[0], count[order.context] = ends, seen
-                values, back = np.unique(count, return_inverse=True)
-                p = np.array([10 ** model.single(int(c)) for c in values])[back][x]
-                base = np.add.reduceat(model.base(count)[x], at)
-                known = np.add.reduceat((count > 0)[x].astype(np.int64), at)
-            # a failure arc leads to the next shorter context, whose probability stands at the same place
-            last = order.places + (n - 1)
-            p[last] = own[order.at] + left[order.at] * p[last]
-            del order
-        return pd.DataFrame({"ident": rows["ident"], "n_tokens": line.length, "n_known": known, "base_score": base, "score": np.add.reduceat(np.log10(p), at)})
+        known, base, score = score_batch(line, found, figures, ends, cut)
+        return pd.DataFrame({"ident": rows["ident"], "n_tokens": line.length, "n_known": known, "base_score": base, "score": score})
 
     schema = T.StructType([T.StructField("ident", docs.schema["ident"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))])
     scored = dealt.groupBy("b").cogroup(answers.where("b >= 0").select("b", "p", "n", "found").groupBy("b")).applyInPandas(walk, schema)
-    return scored.select(F.col("ident").alias(ident), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(F.col("ident").alias(ident), "n_tokens", "n_known", F.lit(int(figures.tokens)).cast("long").alias("train_tokens"), "base_score", "score")

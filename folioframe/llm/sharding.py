@@ -127,9 +127,12 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, text: str = "text", ident: s
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    key, size = text_key(F.col(text)), utf8_size(text) + 1
-    number = F.coalesce(F.col(ident).cast("long"), F.lit(ID_LOW))
-    narrow = Scratch(spark, "shard").write(df.select(key.alias("_key"), number.alias("_id"), size.alias("_size")))
+    key, size = text_key(F.col(f"`{text}`")), utf8_size(f"`{text}`") + 1
+    number = F.coalesce(F.col(f"`{ident}`").cast("long"), F.lit(ID_LOW))
+    # the caller's columns wait under names that clash with none here
+    given = {c: f"c{i}" for i, c in enumerate(kept)}
+    full = df.select(*(F.col(f"`{c}`").alias(n) for c, n in given.items()), key.alias("_key"), number.alias("_id"), size.alias("_size"))
+    narrow = Scratch(spark, "shard").write(full.select("_key", "_id", "_size"))
     cuts = splitters(narrow, shards, whole_group)
     total = narrow.agg(F.sum("_size")).first()[0] or 0
     bins = max(1, min(65_536, -(-total // (bin_bytes * shards))))
@@ -138,9 +141,9 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, text: str = "text", ident: s
     counts = placed.groupBy("shard", "_bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    full = df.select(*kept, key.alias("_key"), number.alias("_id")).withColumns({"shard": shard_of(cuts, F.col("_key"), F.col("_id")), "_bin": digest})
+    full = full.drop("_size").withColumns({"shard": shard_of(cuts, F.col("_key"), F.col("_id")), "_bin": digest})
     inside = Window.partitionBy("shard", "_bin").orderBy("_key", "_id")
     ranked = full.withColumn("_rank", F.row_number().over(inside) - 1)
     # at most shards x 65,536 starts of 16 bytes
     out = ranked.join(F.broadcast(starts), ["shard", "_bin"])
-    return out.select(*kept, "shard", (F.col("_start") + F.col("_rank")).cast("long").alias("slot"))
+    return out.select(*(F.col(n).alias(c) for c, n in given.items()), "shard", (F.col("_start") + F.col("_rank")).cast("long").alias("slot"))

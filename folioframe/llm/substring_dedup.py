@@ -351,7 +351,8 @@ def _told(nodes: DataFrame, scratch: Scratch, length: int, size: int, last: bool
     sorted_out = scratch.write(mixed.join(kinds, ["k", "u"]).select("id", "h", "a", "c", "lo", "hi", "k", "n", (place == F.col("one")).alias("speaks")))
     spans = scratch.write(shared.where("same").select(*span).unionByName(sorted_out.where("n > 1").select(*span)))
     scratch.drop(shared, ranks, kinds)
-    return spans, sorted_out.where("speaks").withColumnRenamed("n", "w")
+    # one speaker a string: of rows repeated whole, each would speak
+    return spans, sorted_out.where("speaks").drop("speaks").dropDuplicates().withColumnRenamed("n", "w")
 
 
 def mark_repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", length: int = 200, out: str = "repeats") -> DataFrame:
@@ -359,15 +360,15 @@ def mark_repeats(df: DataFrame, text: str = "text", ident: str = "doc_id", lengt
 
     The text is its UTF-8 bytes, null counts as empty; strings do not cross rows; both occurrences
     may lie in one row and may overlap; every occurrence is marked, the first one too. Texts under
-    `length` bytes have no span. Repeated rows mark each other; rows are told apart by id and text, a
-    null id counts as the lowest. A column named `out` is replaced, others are kept; an empty table
+    `length` bytes have no span. Repeated rows mark each other; rows are told apart by id and 32 bits of
+    their text, those without an id by 96 bits of it. A column named `out` is replaced, others are kept; an empty table
     gives an empty result. `length` is 180 at least, so that what a stretch shares always holds two phrases.
     """
     if length < 180:
         raise ValueError("length must be 180 at least")
     spark = df.sparkSession
     scratch = Scratch(spark, "repeats")
-    key = {"id": F.coalesce(F.col(ident).cast("long"), F.lit(-(1 << 63))), "h": F.hash(text)}
+    key = {"id": F.coalesce(F.col(ident).cast("long"), F.xxhash64(text)), "h": F.hash(text)}
     docs = df.select(key["id"].alias("id"), key["h"].alias("h"), F.col(text).alias("text"))
     long_ones = docs.where(F.octet_length("text") >= length)
 

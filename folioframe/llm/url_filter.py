@@ -102,7 +102,8 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default:
     The rules are a driver-side parameter, so the broadcast trie does not grow with the table;
     `max_rules` is its bound and a longer list is refused. No shuffle; one pass over the urls. Null or
     malformed urls have an empty host and path and get `default` unless a rule has an empty host.
-    Columns named like the new ones are replaced; repeated rows are judged one by one.
+    Columns named like the new ones are replaced, all others kept whatever their names; repeated rows and very long urls are
+    judged one by one, whole; an empty table gives none.
     """
     rules = list(rules)
     if len(rules) > max_rules:
@@ -116,7 +117,8 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default:
             found = [trie.find(h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [r and r.host + r.path for r in found], "verdict": [r.verdict if r else default for r in found]}, dtype=object)
 
-    host, path = url_parts(F.col(url))
-    kept = [F.col(c) for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    out = df.select(*kept, host.alias("host"), path.alias("path")).withColumn("_found", find("host", "path"))
-    return out.withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    host, path = url_parts(F.col(f"`{url}`"))
+    # the caller's columns wait under names that clash with none here
+    given = {c: f"c{i}" for i, c in enumerate(df.columns) if c not in ("host", "path", "rule", "verdict")}
+    out = df.select(*(F.col(f"`{c}`").alias(n) for c, n in given.items()), host.alias("host"), path.alias("path")).withColumn("found", find("host", "path"))
+    return out.select(*(F.col(n).alias(c) for c, n in given.items()), "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"))

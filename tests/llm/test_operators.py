@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from folioframe.llm import bpe, decontamination, language_model, ngram_join, quality, sharding, substring_dedup, topk, toxicity, url_filter
 from folioframe.llm.queries import RULES, tokenizer
 
+from plain_automaton import build_automaton
+
 DOC = "doc_id long, text string, shard int, score double, host string, ids string"
 
 
@@ -441,7 +443,7 @@ def test_bounds_stop_early():
 
 
 def test_language_model(spark, texts):
-    got = {r["doc_id"]: r for r in language_model.score_texts(table(spark, texts), F.col("doc_id") % 10 != 0, word_share=1e-3, gram_share=1e-4, batch_bytes=20_000).collect()}
+    got = {r["doc_id"]: r for r in language_model.score_texts(table(spark, texts), F.col("doc_id") % 10 != 0, batch_bytes=20_000).collect()}
     split = [(t or "").encode().lower().split() + [None] for t in texts]
     counts = Counter(w for i, ws in enumerate(split) if i % 10 for w in ws)
     total, types = sum(counts.values()), len(counts)
@@ -466,7 +468,7 @@ def test_scores_take_every_word_and_ngram(spark, texts):
     pairs = Counter(g for x in lines for g in zip(x, x[1:], strict=False))
     triples = Counter(g for x in lines for g in zip(x, x[1:], x[2:], strict=False))
     n1, n2 = (sum(c == n for c in counts.values()) for n in (1, 2))
-    a = language_model.build_automaton(keys, dict(pairs), dict(triples), sum(counts.values()), len(counts), n1 / (n1 + 2 * n2))
+    a = build_automaton(keys, dict(pairs), dict(triples), sum(counts.values()), len(counts), n1 / (n1 + 2 * n2))
     for i, ws in enumerate(split):
         assert got[i] == pytest.approx(a.walk([number(w) for w in ws], [a.single(counts[w]) for w in ws]))
 
@@ -479,6 +481,36 @@ def test_large_parts_are_counted_in_turns(texts, monkeypatch):
     pd.testing.assert_frame_equal(language_model._answer(asked[asked["p"] == 0]), whole)
 
 
+def test_walk_in_lanes_carries_the_state(texts, monkeypatch):
+    split = [(t or "").encode().lower().split() for t in texts]
+    whole = [[*w, None] for w in split]
+    line = language_model.Line([t and zlib.compress(t.encode()) for t in texts], 1)
+    asked = language_model._ask(pd.DataFrame({"b": 0, "text": [t and zlib.compress(t.encode()) for t in texts], "train": True}), 1)
+    found = language_model._answer(asked)
+    figures = language_model.Figures(sum(map(len, whole)), len({w for x in whole for w in x}), 0.6)
+    seen = []
+    inner = language_model.Automaton.walk
+    monkeypatch.setattr(language_model.Automaton, "walk", lambda self, *a: seen.append(self) or inner(self, *a))
+    one = language_model.score_batch(line, found[found["b"] == 0], figures, len(texts), 0.75)[2]
+    a = seen[0]
+    # every token takes an arc or fails to a shorter context, as one text by itself does, and states are entered
+    arcs, at = dict(zip(a.codes.tolist(), range(len(a.codes)), strict=True)), 0
+    for total, n in zip(one, line.length, strict=True):
+        state, want = 0, 0.0
+        for w in line.x[at : at + n].tolist():
+            while state and state * a.size + w not in arcs:
+                want += a.cost[state]
+                state = int(a.fail[state])
+            k = arcs.get(state * a.size + w) if state else None
+            want += a.weight[k] if k is not None else a.single[w]
+            state = int(a.next[k] if k is not None else a.start[w])
+        at += n
+        assert total == pytest.approx(want)
+    assert (np.diff(a.codes) > 0).all() and len(a.codes) > 1000 and (a.next > a.size).any()
+    monkeypatch.setattr(language_model, "LANE", 7)
+    np.testing.assert_allclose(language_model.score_batch(line, found[found["b"] == 0], figures, len(texts), 0.75)[2], one)
+
+
 def test_scores_by_the_formula(spark, texts):
     given = [t for t in texts if t is None or len(t) < 3000]
     got = {r["doc_id"]: r["score"] for r in language_model.score_texts(table(spark, given), F.col("doc_id") % 10 != 0, batch_bytes=9_000).collect()}
@@ -515,7 +547,7 @@ def test_automaton_is_a_distribution():
     order = {k: i for i, k in enumerate(sorted(keys))}
     ids = [order[number[x]] for x in line]
     rare = 7
-    a = language_model.build_automaton(dict(keys), dict(Counter(zip(ids, ids[1:], strict=False))), dict(Counter(zip(ids, ids[1:], ids[2:], strict=False))), len(line) + rare, 3 + rare, 0.5)
+    a = build_automaton(dict(keys), dict(Counter(zip(ids, ids[1:], strict=False))), dict(Counter(zip(ids, ids[1:], ids[2:], strict=False))), len(line) + rare, 3 + rare, 0.5)
     singles = [10 ** a.single(keys[k]) for k in sorted(keys)]
     for state in range(len(a.fail)):
         mass, back, at = 0.0, 0.0, state
