@@ -82,6 +82,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that no plan can read any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def integer_components(vector, scale: int):
     """floor(scale * x) of each component x as a double that holds a whole number; null where the vector or a component is null or a component not finite.
 

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, utf8_size
+from .common import Scratch, forget_shuffles, utf8_size
 
 #: The end of a text counts as a token; its key is no word's (words have the lowest bit set).
 END = 0
@@ -197,17 +198,30 @@ class Line:
     """The tokens of a batch of zipped texts in one line, as ranks of their words' keys (the end is 0)."""
 
     def __init__(self, texts, parts: int):
-        place: dict[bytes, int] = {}
+        place: dict[bytes, int] = {b"": 0}
         codes: list[np.ndarray] = []
+        words: list[bytes] = []
+
+        def number() -> None:
+            # distinct words of a stretch first, so that only these pass through the dictionary
+            found = pa.array(words, pa.binary()).dictionary_encode()
+            known = found.dictionary.to_numpy(zero_copy_only=False)
+            codes.append(np.fromiter((place.setdefault(w, len(place)) for w in known), np.int32, len(known))[found.indices.to_numpy()])
+            words.clear()
+
         for value in texts:
-            words = tokens(value and zlib.decompress(value).decode())
-            codes.append(np.fromiter((place.setdefault(w, len(place) + 1) for w in words), np.int32, len(words)))
-            codes.append(np.zeros(1, np.int32))
-        self.length = np.array([len(x) + 1 for x in codes[::2]], np.int64)
+            words += tokens(value and zlib.decompress(value).decode())
+            words.append(b"")  # the end, which no word is
+            if len(words) >= WORDS_AT_ONCE:
+                number()
+        if words:
+            number()
+        del place[b""]
         self.keys, rank = np.unique(np.append(np.uint64(END), np.fromiter(map(key, place), np.uint64, len(place))), return_inverse=True)
         del place
         self.x = rank.astype(np.int32)[np.concatenate(codes)]
         del codes
+        self.length = np.diff(np.flatnonzero(self.x == 0), prepend=-1).astype(np.int64)
         self.parts = parts
 
     def orders(self):
@@ -230,7 +244,7 @@ ASKED = "b int, p int, n int, keys binary, counts binary"
 ANSWERED = "b int, p int, n int, found binary, total long, types long, n1 long, n2 long"
 #: Of a context's hash, beside the two bytes that choose its part; of a word's key.
 CONTEXT_BYTES, WORD_BYTES = 6, 5
-GRAMS_AT_ONCE = 4_000_000
+GRAMS_AT_ONCE, WORDS_AT_ONCE = 4_000_000, 500_000
 
 
 @F.pandas_udf(T.BinaryType())
@@ -340,7 +354,7 @@ def score_batch(line: Line, found: pd.DataFrame, figures: Figures, ends: int, cu
     return known, base, automaton.walk(x, line.length)
 
 
-def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str = "text", batch_bytes: int = 12 << 20, cut: float = 0.75) -> DataFrame:
+def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str = "text", batch_bytes: int = 16 << 20, cut: float = 0.75) -> DataFrame:
     """Score every whole text by a model of the texts `allowed` for training.
 
     Returns ident, n_tokens, n_known, train_tokens, base_score and score, the last two in log10.
@@ -365,6 +379,7 @@ def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str
 
     asked = dealt.groupBy("b").applyInPandas(lambda rows: _ask(rows, parts), ASKED)
     answers = scratch.write(asked.groupBy("p").applyInPandas(_answer, ANSWERED))
+    forget_shuffles(spark)
     sums = answers.where("b < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "n1", "n2"))).first()
     n1, n2 = sums["n1"] + (ends == 1), sums["n2"] + (ends == 2)
     figures = Figures(sums["total"] + ends, sums["types"] + (ends > 0), n1 / (n1 + 2 * n2) if n1 else 0.5)
