@@ -18,8 +18,12 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 #: Unicode white space, as Python's \s has it.
 SPACE = r"(?U)\s"
 SUPERSCRIPTS, PLAIN_DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
-#: The enclosed numbers ① to ⑳, ⑴ to ⒇ and ⒈ to ⒛ are 1 to 20.
-ENCLOSED = {chr(start + i): i + 1 for start in (0x2460, 0x2474, 0x2488) for i in range(20)}
+#: First sign, first number and count of the enclosed numbers ⓪, ① to ⑳, ⑴ to ⒇, ⒈ to ⒛, ❶ to ❿, ➀ to ➉ and ➊ to ➓.
+ENCLOSED_RUNS = (("⓪", 0, 1), ("①", 1, 20), ("⑴", 1, 20), ("⒈", 1, 20), ("❶", 1, 10), ("➀", 1, 10), ("➊", 1, 10))
+ENCLOSED = {chr(ord(first) + i): n + i for first, n, count in ENCLOSED_RUNS for i in range(count)}
+#: Signs that mark notes, and German abbreviations that look like lettered notes: a letter with what follows it.
+NOTE_SIGNS = "*†‡§¶#"
+ABBREVIATIONS = {"d": ("h.", "i."), "z": ("b.",), "u": ("a.",), "s": ("den", "die", "das", "auch", "oben", "unten")}
 
 
 def text_of(c: Column) -> Column:
@@ -131,45 +135,61 @@ def roman_text(number: Column) -> Column:
     return F.when(number.between(1, 3999), out)
 
 
+def only(text: Column, signs: str, most: int = 64) -> Column:
+    """The text has 1 to `most` signs, all of them among `signs`."""
+    return (F.length(text).between(1, most)) & (F.length(F.translate(text, signs, "")) == 0)
+
+
+def is_abbreviation(text: Column) -> Column:
+    """Opens with an abbreviation of prose: a letter with a point, and what follows it in ABBREVIATIONS; `s.` also before a digit."""
+    low = F.lower(F.ltrim(text))
+    letter, rest = F.substring(low, 1, 1), F.ltrim(F.substring(low, 3, 20))
+    word = F.regexp_extract(rest, r"^\w+", 0)
+    tests = [(letter == one) & F.concat(word, F.substring(rest, F.length(word) + 1, F.lit(1))).isin(*after) if after[0].endswith(".") else (letter == one) & (word.isin(*after) | F.substring(rest, 1, 1).between("0", "9")) for one, after in ABBREVIATIONS.items()]
+    found = tests[0]
+    for test in tests[1:]:
+        found = found | test
+    return (F.substring(low, 2, 1) == ".") & found
+
+
 def marker_of(text: Column) -> Column:
     """The footnote marker that opens a text: struct(original, normalized, style), or null.
 
-    Tried in order: <sup>, enclosed number, superscript digits, LaTeX, caret, (n), letters with a
-    point or bracket, and plain numbers, Roman numerals or signs.
+    What the text opens with says where the marker ends: `<sup>` at its closing tag, `\\(` at `\\)`, `(` at
+    `)` and a space, a caret after its digits; a sign that is a number itself, superscript or in a
+    ring, ends with itself. Else the first word is one, with or without a point or bracket: digits, a
+    Roman numeral or note signs, and a single letter if it has either. An abbreviation is none.
     """
-    enclosed = "[" + "".join(ENCLOSED) + "]"
-    signs = r"[*†‡§¶#]+"
-    prose = r"(?i)^\s*(?:d\.\s*[hi]\.|z\.\s*b\.|u\.\s*a\.|s\.\s*(?:\d|den\b|die\b|das\b|auch\b|oben\b|unten\b))"
-    tried = [
-        rf"(?i)^\s*<sup[^>]*>\s*([0-9]{{1,4}}|[a-z]{{1,3}}|[ivxlcdm]{{1,12}}|[{SUPERSCRIPTS}]+|{enclosed}|{signs})\s*</sup>[.)]?\s*",
-        rf"^\s*({enclosed})[.)]?\s*",
-        rf"^\s*([{SUPERSCRIPTS}]+)[.)]?\s*",
-        r"^\s*\\\(\s*\^\s*\{?([0-9]{1,4})\}?\s*\\\)[.)]?\s*",
-        r"^\s*\^([0-9]{1,4})[.)]?\^?\s*",
-        r"^\s*\(([0-9]{1,4})\)[.]?\s+",
-    ]
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in tried]
-    for p in (r"(?i)^\s*([a-z]{1,3})[.)]\s+", rf"(?i)^\s*([0-9]{{1,4}}|[ivxlcdm]{{1,12}}|{signs})[.)]?\s+"):
-        m = F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-        worded = m.rlike("^[A-Za-z]{2,}$") & ~m.rlike("(?i)^[ivxlcdm]{1,12}$")
-        found.append(F.when(~text.rlike(prose) & ~worded, m))
+    t = F.regexp_replace(text, r"^\s+", "")
+    digits = lambda c: only(c, PLAIN_DIGITS, 4)
+    roman = lambda c: only(F.lower(c), "ivxlcdm", 12)
+    ring = F.substring(t, 1, 1)
+    raised = F.regexp_extract(t, f"^[{SUPERSCRIPTS}]*", 0)
+    # between the opening and its end
+    tagged = F.trim(F.regexp_extract(t, "(?is)^<sup[^>]*>(.*?)</sup>", 1))
+    is_tagged = digits(tagged) | roman(tagged) | tagged.rlike("^[A-Za-z]{1,3}$") | only(tagged, SUPERSCRIPTS) | tagged.isin(*ENCLOSED) | only(tagged, NOTE_SIGNS)
+    bare = lambda c: F.translate(F.regexp_replace(c, r"\s", ""), "{}", "")
+    latex = bare(F.substring_index(F.substring(t, 3, 40), r"\)", 1))
+    power = F.substring(latex, 2, 40)
+    is_latex = t.startswith(r"\(") & t.contains(r"\)") & latex.startswith("^") & digits(power)
+    caret = F.regexp_extract(t, r"^\^([0-9]{1,4})", 1)
+    word = F.regexp_extract(t, r"^(\S{1,20})\s", 1)
+    bracketed = F.regexp_replace(F.substring(word, 2, 20), r"\)\.?$", "")
+    is_bracketed = word.startswith("(") & (F.length(bracketed) < F.length(word) - 1) & digits(bracketed)
+    core = F.regexp_replace(word, r"[.)]$", "")
+    is_plain = ~is_abbreviation(text) & (digits(core) | roman(core) | only(core, NOTE_SIGNS) | ((core != word) & core.rlike("^[A-Za-z]$")))
+    tests = [(is_tagged, tagged), (ring.isin(*ENCLOSED), ring), (F.length(raised) > 0, raised), (is_latex, power), (F.length(caret) > 0, caret), (is_bracketed, bracketed), (is_plain, core)]
     number = F.create_map(*(F.lit(x) for c, n in ENCLOSED.items() for x in (c, str(n))))
 
     def told(original: Column) -> Column:
-        digits = F.translate(original, SUPERSCRIPTS, PLAIN_DIGITS)
-        normal = F.coalesce(F.try_element_at(number, original), F.when(digits.rlike("^[0-9]+$"), digits.cast("int").cast("string")).otherwise(F.lower(original)))
-        style = (
-            F.when(original.rlike(f"^{enclosed}$"), "enclosed")
-            .when(digits.rlike("^[0-9]+$"), "numeric")
-            .when(original.rlike("(?i)^[ivxlcdm]{1,12}$"), "roman")
-            .when(original.rlike("^[A-Za-z]{1,3}$"), "alpha")
-            .otherwise("symbol")
-        )
+        plain = F.translate(original, SUPERSCRIPTS, PLAIN_DIGITS)
+        normal = F.coalesce(F.try_element_at(number, original), F.when(only(plain, PLAIN_DIGITS), plain.cast("int").cast("string")).otherwise(F.lower(original)))
+        style = F.when(original.isin(*ENCLOSED), "enclosed").when(only(plain, PLAIN_DIGITS), "numeric").when(roman(original), "roman").when(original.rlike("^[A-Za-z]{1,3}$"), "alpha").otherwise("symbol")
         return F.struct(original.alias("original"), normal.alias("normalized"), style.alias("style"))
 
-    # one element per pattern that matched, so that the patterns stand in the plan once
-    matched = F.filter(F.array(*found), lambda m: m.isNotNull())
-    return F.try_element_at(F.transform(F.slice(matched, 1, 1), told), F.lit(1))
+    # one element per form that fits, so that the forms stand in the plan once
+    fits = F.filter(F.array(*(F.when(test, found) for test, found in tests)), lambda m: m.isNotNull())
+    return F.try_element_at(F.transform(F.slice(fits, 1, 1), told), F.lit(1))
 
 
 def redact_credentials(text: Column) -> Column:
@@ -281,6 +301,13 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+@F.pandas_udf(T.LongType())
+def edits(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Edit distance of two whole texts, a column of bits at a time: memory grows with the text, not with its square."""
+    for left, right in pairs:
+        yield pd.Series([None if a is None or b is None else edit_distance(a, b, len(a) + len(b)) for a, b in zip(left, right, strict=True)], dtype="Int64")
+
+
 @F.pandas_udf(T.BooleanType())
 def halves_alike(texts: pd.Series) -> pd.Series:
     """Whether edits between a text's halves are 15 % of one at most: similarity of 0.85."""

@@ -15,7 +15,7 @@ from ..functions import text as fn
 
 def error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edits per character of the reference; null for an empty one."""
-    return F.levenshtein(reference, hypothesis) / F.nullif(F.length(reference), F.lit(0))
+    return fn.edits(reference, hypothesis) / F.nullif(F.length(reference), F.lit(0))
 
 
 def micro_rates(scored: DataFrame, by: list[str]) -> DataFrame:

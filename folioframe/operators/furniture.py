@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from .trees import shared_table
 
 
 def candidate_score(zone: Column, typed: Column, distance: Column, text: Column, number: Column) -> Column:
@@ -159,3 +160,48 @@ def code_lines(lines: DataFrame, block: list[str]) -> DataFrame:
     spaces = F.when(letter > 0, F.floor((F.col("x0") - F.min("x0").over(of)) / letter)).otherwise(0).cast("int")
     rows = lines.withColumn("line", F.concat(F.repeat(F.lit(" "), spaces), "text")).groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("line_idx", "line"))).alias("r"))
     return rows.select(*block, F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("code"))
+
+
+def edge_runs(lines: DataFrame, by: str, order: list[str], edge: str) -> DataFrame:
+    """(by, edge, n) of each run of rows that stand next to each other in `order` and have one edge text.
+
+    The rows are dealt by ranges of (by, order), so that a document of very many pages is many tasks; a
+    range finds its runs, and those at the ends of ranges, two a range at most, are put together after.
+    """
+    dealt = lines.select(by, *order, edge).repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    stood = shared_table(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    along = Window.partitionBy(by, "_part").orderBy("_at")
+    marked = stood.withColumn("_new", F.coalesce(F.col(edge) != F.lag(edge).over(along), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(along))
+    found = marked.groupBy(by, "_part", "_run").agg(F.first(edge).alias(edge), F.count("*").alias("n"))
+    runs = shared_table(found.withColumn("_last", F.max("_run").over(Window.partitionBy(by, "_part"))))
+    at_end = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
+    ranges = Window.partitionBy(by).orderBy("_part", "_run")
+    goes_on = (F.lag(edge).over(ranges) == F.col(edge)) & (F.lag("_part").over(ranges) != F.col("_part"))
+    ends = runs.where(at_end).withColumn("_chain", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(ranges))
+    whole = ends.groupBy(by, "_chain").agg(F.first(edge).alias(edge), F.sum("n").alias("n"))
+    return runs.where(~at_end).select(by, edge, "n").unionByName(whole.select(by, edge, "n"))
+
+
+def common_edges(lines: DataFrame, by: str, order: list[str], text: str, share: float = 0.2, streak: int = 3, least: int = 3) -> DataFrame:
+    """Texts that recur at the pages' edges: by, edge, n, longest streak of equal neighbours.
+
+    Common: on at least `share` of a document's pages or `streak` in a row, and more than `least` times.
+    """
+    runs = edge_runs(lines.withColumn("edge", fn.edge_text(F.col(text))), by, order, "edge")
+    totals = lines.groupBy(by).agg(F.count("*").alias("pages"))
+    counted = runs.groupBy(by, "edge").agg(F.sum("n").alias("n"), F.max("n").alias("streak")).join(totals, by)
+    return counted.where(((F.col("n") >= F.col("pages") * share) | (F.col("streak") >= streak)) & (F.col("n") > least)).select(by, "edge", "n", "streak")
+
+
+def near_common_edges(lines: DataFrame, common: DataFrame, by: str, text: str, ratio: float = 90) -> DataFrame:
+    """The rows of `lines` whose edge text is a common one of its document, or alike in over `ratio` per cent.
+
+    Each text is compared once a document, however many pages it stands on; lengths rule out most pairs before the alignment.
+    """
+    marked = lines.withColumn("_edge", fn.edge_text(F.col(text)))
+    known = common.select(F.col(by).alias("_by"), F.col("edge").alias("_common"))
+    a, b = F.length("_edge"), F.length("_common")
+    near = (a + b > 0) & (200 * F.least(a, b) > ratio * (a + b))
+    pairs = marked.select(by, "_edge").distinct().join(known, (F.col(by) == F.col("_by")) & near)
+    alike = pairs.where((F.col("_edge") == F.col("_common")) | (fn.indel_ratio("_edge", "_common") > ratio)).select(by, "_edge").distinct()
+    return marked.join(alike, [by, "_edge"], "left_semi").select(*lines.columns)

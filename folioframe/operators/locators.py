@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .marginalia import chained
+
 #: The forms of a page and section of Plato, and of a page, column and line of Aristotle.
 STEPHANUS, BEKKER = r"^([0-9]{1,3})([a-e])([0-9]{1,2})?$", r"^([0-9]{3,4})\s?([ab])\s?([0-9]{1,2})?$"
 
@@ -33,13 +35,13 @@ def schemes(marks: DataFrame, doc: str, least: int = 3, share: float = 0.6) -> D
 def ranges(marks: DataFrame, doc: str) -> DataFrame:
     """Marks (ord, text) of a book's scheme with the half-open range [ord, until) that each governs, to the next one or the end (null).
 
-    Two passes: the scheme is told from the whole book first. A mark that does not go on from all before it is a misreading and governs nothing.
+    Two passes: the scheme is told from the whole book first, then the marks that hold: those on the longest chain of rising
+    places. A mark beside it is a misreading, be it too high or too low, and governs nothing.
     """
     rows = marks.join(schemes(marks, doc), doc).withColumn("p", F.explode(parsed(F.col("text")))).where("p.scheme = scheme")
-    along = Window.partitionBy(doc).orderBy("ord")
-    top = F.max("p.place").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    kept = rows.withColumn("top", top).where("top is null or p.place > top")
-    return kept.select(doc, "scheme", "ord", F.trim("text").alias("text"), F.col("p.place").alias("place"), F.lead("ord").over(along).alias("until"))
+    told = rows.select(doc, "scheme", "ord", F.trim("text").alias("text"), F.col("p.place").alias("place"), F.lit(1).alias("weight"))
+    kept = chained(told, [doc], ["ord"], "place", "weight").where("holds")
+    return kept.select(doc, "scheme", "ord", "text", "place", F.lead("ord").over(Window.partitionBy(doc).orderBy("ord")).alias("until"))
 
 
 def governed(blocks: DataFrame, found: DataFrame, doc: str) -> DataFrame:

@@ -21,7 +21,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cer_micro_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _pairs(spark, sf_dir).select("source", F.levenshtein("ref", "hyp").cast("long").alias("edits"), F.length("ref").cast("long").alias("chars"))
+    scored = _pairs(spark, sf_dir).select("source", fn.edits("ref", "hyp").alias("edits"), F.length("ref").cast("long").alias("chars"))
     return ops.micro_rates(scored, ["source"]).withColumn("cer", F.round("cer", 9))
 
 

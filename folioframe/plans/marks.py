@@ -95,7 +95,9 @@ def accepted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def built_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, lines = layout.blocks_of(spark, sf_dir).drop("kind"), layout.lines_of(spark, sf_dir)
-    return ops.built(blocks, lines.where("id % 40 = 0"), lines.where("id % 40 = 1"))
+    # pages of three kinds: all lines from the text layer, all recognised, and both by turns
+    given = (F.col("page") % 3 == 0) | ((F.col("page") % 3 == 2) & (F.col("id") % 2 == 0))
+    return ops.built(blocks, lines.where(given), lines.where(~given))
 
 
 def reusable_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,12 +180,15 @@ _LOCATORS = """m AS (SELECT o_custkey AS doc, o_orderkey AS ord, CASE WHEN o_ord
 x AS (SELECT *, regexp_extract(text, '^([0-9]{1,3})([a-e])([0-9]{1,2})?$', ['a', 'b', 'c']) AS s, regexp_extract(text, '^([0-9]{3,4})\\s?([ab])\\s?([0-9]{1,2})?$', ['a', 'b', 'c']) AS k FROM m),
 p AS (SELECT doc, ord, text, 'stephanus' AS scheme, (CAST(s.a AS BIGINT) * 5 + ascii(s.b) - 97) * 100 + coalesce(TRY_CAST(s.c AS BIGINT), 0) AS place FROM x WHERE s.a <> '' UNION ALL SELECT doc, ord, text, 'bekker', (CAST(k.a AS BIGINT) * 2 + ascii(k.b) - 97) * 100 + coalesce(TRY_CAST(k.c AS BIGINT), 0) FROM x WHERE k.a <> ''),
 e AS (SELECT doc, scheme, count(*) AS n FROM p GROUP BY ALL), w AS (SELECT doc, count(*) AS total FROM m GROUP BY 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, scheme) AS r FROM e) WHERE r = 1),
-sc AS (SELECT doc, scheme FROM b JOIN w USING (doc) WHERE n >= 3 AND n >= 0.6 * total), t AS (SELECT p.*, max(place) OVER (PARTITION BY p.doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM p JOIN sc ON sc.doc = p.doc AND sc.scheme = p.scheme),
-rg AS (SELECT doc, scheme, ord, text, CAST(place AS BIGINT) AS place, lead(ord) OVER (PARTITION BY doc ORDER BY ord) AS until FROM t WHERE top IS NULL OR place > top)"""
+sc AS (SELECT doc, scheme FROM b JOIN w USING (doc) WHERE n >= 3 AND n >= 0.6 * total), t AS (SELECT p.*, row_number() OVER (PARTITION BY p.doc ORDER BY ord) AS k, count(*) OVER (PARTITION BY p.doc) AS n FROM p JOIN sc ON sc.doc = p.doc AND sc.scheme = p.scheme),
+ch(doc, k, n, best) AS (SELECT DISTINCT doc, 0::BIGINT, n, []::STRUCT(total BIGINT, nk BIGINT, place BIGINT, chain BIGINT[])[] FROM t UNION ALL
+  SELECT c.doc, c.k + 1, c.n, list_append(c.best, struct_pack(total := 1 + coalesce(list_sort(list_filter(c.best, lambda x: x.place < t.place), 'DESC')[1].total, 0), nk := -(c.k + 1), place := t.place, chain := list_append(coalesce(list_sort(list_filter(c.best, lambda x: x.place < t.place), 'DESC')[1].chain, []::BIGINT[]), c.k + 1))) FROM ch c JOIN t ON t.doc = c.doc AND t.k = c.k + 1),
+ln AS (SELECT doc, list_sort(best, 'DESC')[1].chain AS chain FROM ch WHERE k = n),
+rg AS (SELECT t.doc, scheme, ord, text, CAST(place AS BIGINT) AS place, lead(ord) OVER (PARTITION BY t.doc ORDER BY ord) AS until FROM t JOIN ln ON ln.doc = t.doc WHERE list_contains(ln.chain, t.k))"""
 ORACLES = {
-    "locator_schemes": f"WITH {_LOCATORS} SELECT * FROM sc",
-    "locator_ranges": f"WITH {_LOCATORS} SELECT * FROM rg",
-    "governed_blocks": f"WITH {_LOCATORS} SELECT m.doc, rg.text AS locator, count(*) AS blocks, min(m.ord) AS first FROM m LEFT JOIN rg ON rg.doc = m.doc AND m.ord >= rg.ord AND (rg.until IS NULL OR m.ord < rg.until) GROUP BY ALL",
+    "locator_schemes": f"WITH RECURSIVE {_LOCATORS} SELECT * FROM sc",
+    "locator_ranges": f"WITH RECURSIVE {_LOCATORS} SELECT * FROM rg",
+    "governed_blocks": f"WITH RECURSIVE {_LOCATORS} SELECT m.doc, rg.text AS locator, count(*) AS blocks, min(m.ord) AS first FROM m LEFT JOIN rg ON rg.doc = m.doc AND m.ord >= rg.ord AND (rg.until IS NULL OR m.ord < rg.until) GROUP BY ALL",
     "blank_pages": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 % 2 = 0 AND (o_orderkey % 7 = 0 OR o_orderkey % 11 < 5)",
     "contents_kinds": """WITH l AS (SELECT p_brand, p_partkey AS line, ['heading', 'entry', 'credit', 'title', 'entry', 'title', 'entry'][p_partkey % 7 + 1] AS kind FROM part), c AS (SELECT *, coalesce(sum(CASE WHEN kind = 'entry' THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
 SELECT p_brand, line, kind, CAST(CASE WHEN kind IN ('entry', 'title') THEN before + 1 WHEN kind = 'credit' AND before > 0 THEN before END AS INTEGER) AS entry FROM c""",
@@ -212,7 +217,7 @@ SELECT '| o_orderpriority | n | last |' || chr(10) || '| --- | --- | --- |' || c
     "component_problems": """WITH l AS (SELECT conv_id, role, conv_id + turn AS k FROM conversations), c AS (SELECT conv_id, role, count(*) AS n, count(*) FILTER (k % 13 = 0) AS b, count(*) FILTER (k % 13 > 0 AND (k % 17 = 0 OR k % 19 = 0)) AS x FROM l GROUP BY ALL)
 SELECT conv_id, role, 'missing' AS code FROM c WHERE conv_id % 11 = 0 UNION ALL SELECT conv_id, role, 'blank_line' FROM c WHERE conv_id % 11 > 0 AND b > 0 UNION ALL SELECT conv_id, role, 'no_object' FROM c WHERE conv_id % 11 > 0 AND x > 0 UNION ALL SELECT conv_id, role, 'count' FROM c WHERE conv_id % 11 > 0 AND role = 'user' AND conv_id % 2 = 1""",
     "accepted_replies": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 7 > 0 THEN upper(p_name) ELSE p_name END AS text, p_partkey % 5 = 0 AND p_partkey % 7 > 0 AS rewritten FROM part",
-    "built_blocks": f"""WITH {layout._BLOCKS}, {layout._LINES}, p AS (SELECT a.page, a.id AS line, b.id AS block, a.id % 40 AS k, {layout._COMMON} AS common, {layout._AREA.format("a")} AS size FROM lines a JOIN blocks b ON a.page = b.page WHERE a.id % 40 IN (0, 1)),
+    "built_blocks": f"""WITH {layout._BLOCKS}, {layout._LINES}, p AS (SELECT a.page, a.id AS line, b.id AS block, CASE WHEN a.page % 3 = 0 OR a.page % 3 = 2 AND a.id % 2 = 0 THEN 0 ELSE 1 END AS k, {layout._COMMON} AS common, {layout._AREA.format("a")} AS size FROM lines a JOIN blocks b ON a.page = b.page),
 t AS (SELECT block, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY page, line ORDER BY common DESC, block) AS r FROM p WHERE k = 0 AND common > 0) WHERE r = 1 GROUP BY 1), o AS (SELECT block, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY page, line ORDER BY common / size DESC, block) AS r FROM p WHERE k = 1 AND common / size >= 0.5) WHERE r = 1 GROUP BY 1)
 SELECT page, id AS block, CASE WHEN t.n IS NOT NULL THEN 'text_layer' WHEN o.n IS NOT NULL THEN 'ocr' ELSE 'none' END AS source, coalesce(t.n, o.n, 0) AS n FROM blocks LEFT JOIN t ON t.block = id LEFT JOIN o ON o.block = id""",
     "reusable_artifacts": "SELECT source FROM documents WHERE length(source) > 0 GROUP BY source HAVING NOT bool_or(length(source) % 2 = 0 AND length(coalesce(text, '')) % 50 = 0)",

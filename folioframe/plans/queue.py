@@ -51,8 +51,8 @@ def task_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third part left out, the others in eight runs of ceil(n / 8), by their place in key order."""
-    parts = read(spark, sf_dir, "part").where("p_partkey % 3 > 0").select("p_partkey")
+    """The parts in eight runs of ceil(n / 8), by their place in key order."""
+    parts = read(spark, sf_dir, "part").select("p_partkey")
     place = ops.in_runs(parts, "p_partkey", 8)
     return place.groupBy("chunk").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
@@ -108,7 +108,7 @@ SELECT c_custkey, coalesce(top, c_acctbal) AS value, top IS NULL AS defaulted FR
 WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
 b(id, depth) AS (SELECT id, 1 FROM e WHERE parent = 'r0' UNION ALL SELECT e.id, depth + 1 FROM e JOIN b ON e.parent = b.id)
 SELECT depth, count(*) AS n, min(id) AS first FROM b GROUP BY depth""",
-    "file_chunks": "WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k, count(*) OVER () AS n FROM part WHERE p_partkey % 3 > 0) SELECT CAST(k // CAST(ceil(n / 8) AS BIGINT) AS INTEGER) AS chunk, count(*) AS n, min(p_partkey) AS first FROM p GROUP BY 1",
+    "file_chunks": "WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k, count(*) OVER () AS n FROM part) SELECT CAST(k // CAST(ceil(n / 8) AS BIGINT) AS INTEGER) AS chunk, count(*) AS n, min(p_partkey) AS first FROM p GROUP BY 1",
     "progress_rate": "SELECT event_id, round(avg(value) OVER w, 6) AS rate, count(*) OVER w AS samples FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)",
     "lease_sessions": _LEASES.format(gap=60) + " SELECT * FROM l",
     "lease_summary": _LEASES.format(gap=3600) + ", n AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS nx FROM l) SELECT user_id, count(*) AS leases, count(nx) AS retries, max(beats) AS longest FROM n GROUP BY user_id",

@@ -142,10 +142,11 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables' files by pattern, and what a list of names finds of them."""
-    files = office.scanned(spark, sf_dir, "*n.parquet").select("name")
-    manifest = spark.createDataFrame([("# names",), (" nation.parquet",), ("region.parquet",), ("nation.parquet",), ("gone.parquet",), ("",)], "line string")
-    there, gone = office.listed(manifest, files)
+    """The web pages' paths as a list of names, with comments and empty lines: which of them name a page in English."""
+    path = F.regexp_extract("url", r"^[^:]*://[^/]*/?([^?#]*)", 1)
+    pages = read(spark, sf_dir, "pages").select("page_id", path.alias("name"))
+    manifest = pages.select(F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("# "), "name")).when(F.col("page_id") % 10 == 1, " ").otherwise(F.concat(F.lit(" "), "name")).alias("line"))
+    there, gone = office.listed(manifest, pages.where("startswith(name, 'en/')").select("name").distinct())
     return there.select("name", F.lit(True).alias("found")).unionByName(gone.select("name", F.lit(False).alias("found")))
 
 
@@ -232,7 +233,7 @@ ORACLES = {
     "text_documents": _rows(_N, [("doc", "0", "0", "'SectionHeader'", "r + 1", "name"), ("doc", "1", "0", "'Text'", "NULL", "'text'"), ("doc", "2", "1", "'Text'", "NULL", "'next'"), ("doc", "3", "1", "'ListItem'", "NULL", "'item'"), ("doc", "4", "1", "'Table'", "NULL", "'a' || chr(9) || k || chr(10) || 'b' || chr(9) || 'c'")], _BOOK),
     "slide_shapes": _rows(_N, [("doc", "0", "0", "'SectionHeader'", "1", "name"), ("doc", "1", "0", "'Text'", "NULL", "'in ' || k"), ("doc", "2", "0", "'Picture'", "NULL", "'picture'"), ("doc", "3", "0", "'Table'", "NULL", "'a' || chr(9) || 'b'"), ("doc", "4", "1", "'Text'", "NULL", "'last ' || r")], _BOOK),
     "image_sizes": "SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN p_size + 256 END AS width, CASE WHEN p_partkey % 4 < 3 THEN 256 END AS height FROM part",
-    "scanned_files": "SELECT * FROM (VALUES ('nation.parquet', true), ('region.parquet', true), ('gone.parquet', false)) t(name, found)",
+    "scanned_files": r"SELECT DISTINCT name, starts_with(name, 'en/') AS found FROM (SELECT page_id, trim(coalesce(regexp_extract(url, '^[^:]*://[^/]*/?([^?#]*)', 1), '')) AS name FROM pages) WHERE page_id % 10 > 1 AND name <> '' AND NOT starts_with(name, '#')",
     "hocr_lines": _rows(_P, [("p_partkey", "0", "brand || ' x'", "CAST(size AS DOUBLE)", "4.0::DOUBLE"), ("p_partkey", "1", "'bare'", "NULL", "NULL")], "p_partkey, n, text, x0, y1"),
     "content_lists": _rows(
         _P + " WHERE p_partkey % 7 > 0",

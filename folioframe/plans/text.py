@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..operators import furniture
 from .base import LINES_SQL, lines_of, read
 
 
@@ -65,39 +66,19 @@ def markdown_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", *(F.length(fn.strip_markdown_noise(marked, n)).alias(f"length_{n}") for n in (1, 2, 3)))
 
 
-def common_edges(lines: DataFrame, by: str, order: list[str], text: str, share: float = 0.2, streak: int = 3, least: int = 3) -> DataFrame:
-    """Texts that recur at the pages' edges: by, edge, n, longest streak of equal neighbours.
-
-    Common: on at least `share` of a document's pages or `streak` in a row, and more than `least` times.
-    """
-    edge = lines.withColumn("edge", fn.edge_text(F.col(text)))
-    along = Window.partitionBy(by).orderBy(*order)
-    runs = edge.withColumn("new", F.coalesce(F.col("edge") != F.lag("edge").over(along), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(along))
-    sizes = runs.groupBy(by, "edge", "run").agg(F.count("*").alias("n"))
-    totals = lines.groupBy(by).agg(F.count("*").alias("pages"))
-    counted = sizes.groupBy(by, "edge").agg(F.sum("n").alias("n"), F.max("n").alias("streak")).join(totals, by)
-    return counted.where(((F.col("n") >= F.col("pages") * share) | (F.col("streak") >= streak)) & (F.col("n") > least)).select(by, "edge", "n", "streak")
-
-
 def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of the texts; of four, two get a running head with the document's number, and one the same misread."""
-    k = F.col("doc_id") % 4
-    head = F.when(k < 2, F.concat(F.lit(" Proceedings of the "), "source", F.lit(" society "), "doc_id")).when(k == 2, F.concat("doc_id", F.lit(" Proceedinqs of the "), "source", F.lit(" society")))
-    return read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(head, F.split_part("text", F.lit("\n"), F.lit(1))).alias("first"))
+    return read(spark, sf_dir, "documents").select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first"))
 
 
 def common_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return common_edges(_first_lines(spark, sf_dir), "source", ["doc_id"], "first")
+    """Documents as the pages of their source: whole first lines that recur."""
+    return furniture.common_edges(_first_lines(spark, sf_dir), "source", ["doc_id"], "first")
 
 
 def common_edge_lines_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines within 90 % of a common one; lengths rule out most pairs before the alignment."""
+    """First lines that are a common one of their source, or alike in over 90 %."""
     docs = _first_lines(spark, sf_dir)
-    common = common_edges(docs, "source", ["doc_id"], "first").select("source", F.col("edge").alias("common"))
-    pairs = docs.withColumn("edge", fn.edge_text(F.col("first"))).join(common, "source")
-    a, b = F.length("edge"), F.length("common")
-    close = pairs.where((a + b > 0) & (200 * F.least(a, b) > 90 * (a + b)))
-    return close.where(fn.indel_ratio("edge", "common") > 90).select("doc_id").distinct()
+    return furniture.near_common_edges(docs, furniture.common_edges(docs, "source", ["doc_id"], "first"), "source", "first").select("doc_id").distinct()
 
 
 def footnote_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,32 +150,37 @@ _DIAGNOSED = f"""{LINES_SQL}, seen AS (
 _EDGE = r"regexp_replace(regexp_replace(trim(replace(first, chr(10), '')), '^\d+\s*', ''), '\s*\d+$', '')"
 
 _SPACES = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_ENCLOSED = "[" + "".join(fn.ENCLOSED) + "]"
 _SUP = fn.SUPERSCRIPTS
-_STRONG = [
-    rf"(?i)^\s*<sup[^>]*>\s*([0-9]{{1,4}}|[a-z]{{1,3}}|[ivxlcdm]{{1,12}}|[{_SUP}]+|{_ENCLOSED}|[*†‡§¶#]+)\s*</sup>[.)]?\s*",
-    rf"^\s*({_ENCLOSED})[.)]?\s*",
-    rf"^\s*([{_SUP}]+)[.)]?\s*",
-    r"^\s*\\\(\s*\^\s*\{?([0-9]{1,4})\}?\s*\\\)[.)]?\s*",
-    r"^\s*\^([0-9]{1,4})[.)]?\^?\s*",
-    r"^\s*\(([0-9]{1,4})\)[.]?\s+",
-]
-_WEAK = [r"(?i)^\s*([a-z]{1,3})[.)]\s+", r"(?i)^\s*([0-9]{1,4}|[ivxlcdm]{1,12}|[*†‡§¶#]+)[.)]?\s+"]
-_PROSE = r"(?i)^\s*(?:d\.\s*[hi]\.|z\.\s*b\.|u\.\s*a\.|s\.\s*(?:\d|den\b|die\b|das\b|auch\b|oben\b|unten\b))"
 _MARK_LIST = ", ".join(f"'{m}'" for m in MARKS)
-_TRIED = ", ".join(f"nullif(regexp_extract(t, '{p}', 1), '')" for p in _STRONG)
-_GUESSED = ", ".join(
-    f"CASE WHEN NOT regexp_matches(t, '{_PROSE}') AND NOT (regexp_matches(regexp_extract(t, '{p}', 1), '^[A-Za-z]{{2,}}$') AND NOT regexp_matches(regexp_extract(t, '{p}', 1), '(?i)^[ivxlcdm]{{1,12}}$')) THEN nullif(regexp_extract(t, '{p}', 1), '') END"
-    for p in _WEAK
-)
-_NUMBER = "MAP {" + ", ".join(f"'{c}': '{n}'" for c, n in fn.ENCLOSED.items()) + "}"
+#: What the planted marks must give, by their place; the last two have none of their own.
+_PLANTED = [("numeric", "3"), ("enclosed", "3"), *[("numeric", "3")] * 4, ("alpha", "a"), ("numeric", "3"), ("roman", "iv"), ("symbol", "*")]
+_PLANTED_SQL = ", ".join(f"{{'style': '{s}', 'normalized': '{n}'}}" for s, n in _PLANTED)
+_RINGS = ", ".join(f"{{'sign': '{c}', 'n': '{n}'}}" for c, n in fn.ENCLOSED.items())
+_EDGES = f"""f AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS first FROM documents),
+e AS (SELECT *, {_EDGE} AS edge FROM f),
+n AS (SELECT *, CASE WHEN edge = lag(edge) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM n),
+s AS (SELECT source, edge, run, count(*) AS n FROM r GROUP BY ALL),
+t AS (SELECT source, count(*) AS pages FROM f GROUP BY source),
+c AS (SELECT source, edge, CAST(sum(n) AS BIGINT) AS n, max(n) AS streak FROM s GROUP BY ALL),
+common AS (SELECT source, edge, n, streak FROM c JOIN t USING (source) WHERE (n >= pages * 0.2 OR streak >= 3) AND n > 3)"""
 
 ORACLES = {
-    "footnote_markers": f"""WITH {LINES_SQL}, o AS (SELECT [{_MARK_LIST}][(doc_id + line_idx) % {len(MARKS)} + 1] || line AS t FROM lines),
-m AS (SELECT coalesce({_TRIED}, {_GUESSED}) AS m FROM o), d AS (SELECT m, translate(m, '{_SUP}', '0123456789') AS d, {_NUMBER}[m] AS e FROM m WHERE m IS NOT NULL)
-SELECT CASE WHEN e IS NOT NULL THEN 'enclosed' WHEN regexp_matches(d, '^[0-9]+$') THEN 'numeric' WHEN regexp_matches(m, '(?i)^[ivxlcdm]{{1,12}}$') THEN 'roman' WHEN regexp_matches(m, '^[A-Za-z]{{1,3}}$') THEN 'alpha' ELSE 'symbol' END AS style,
-       coalesce(e, CASE WHEN regexp_matches(d, '^[0-9]+$') THEN CAST(CAST(d AS INTEGER) AS VARCHAR) ELSE lower(m) END) AS normalized, count(*) AS n
-FROM d GROUP BY ALL""",
+    # planted marks must give what they are; a line of its own is told from its first word without patterns
+    "footnote_markers": f"""WITH {LINES_SQL}, o AS (SELECT line, CAST((doc_id + line_idx) % {len(MARKS)} AS INTEGER) AS k FROM lines),
+w AS (SELECT k, [{_PLANTED_SQL}][k + 1] AS planted, CASE WHEN k = {len(MARKS) - 1} THEN ltrim(line, ' ' || chr(9) || chr(13)) END AS t FROM o),
+v AS (SELECT *, CASE WHEN strpos(translate(t, chr(9) || chr(13), '  '), ' ') > 0 THEN split_part(translate(t, chr(9) || chr(13), '  '), ' ', 1) END AS word, list_filter([{_RINGS}], lambda x: x.sign = t[1])[1].n AS ring FROM w),
+x AS (SELECT *, CASE WHEN ends_with(word, '.') OR ends_with(word, ')') THEN left(word, length(word) - 1) ELSE word END AS core, length(t) - length(ltrim(t, '{_SUP}')) AS raised FROM v),
+y AS (SELECT *, CASE WHEN starts_with(core, '(') AND ends_with(core, ')') THEN core[2:-2] WHEN starts_with(core, '(') AND ends_with(word, ')') THEN core[2:] END AS inner_core FROM x),
+z AS (SELECT CASE WHEN planted IS NOT NULL THEN planted
+                  WHEN ring IS NOT NULL THEN {{'style': 'enclosed', 'normalized': ring}}
+                  WHEN raised > 0 THEN {{'style': 'numeric', 'normalized': CAST(CAST(translate(left(t, raised), '{_SUP}', '0123456789') AS INTEGER) AS VARCHAR)}}
+                  WHEN length(inner_core) BETWEEN 1 AND 4 AND translate(inner_core, '0123456789', '') = '' THEN {{'style': 'numeric', 'normalized': CAST(CAST(inner_core AS INTEGER) AS VARCHAR)}}
+                  WHEN length(core) BETWEEN 1 AND 4 AND translate(core, '0123456789', '') = '' THEN {{'style': 'numeric', 'normalized': CAST(CAST(core AS INTEGER) AS VARCHAR)}}
+                  WHEN length(core) BETWEEN 1 AND 12 AND translate(lower(core), 'ivxlcdm', '') = '' THEN {{'style': 'roman', 'normalized': lower(core)}}
+                  WHEN length(core) = 1 AND core <> word AND lower(core) BETWEEN 'a' AND 'z' THEN {{'style': 'alpha', 'normalized': lower(core)}}
+                  WHEN length(core) > 0 AND translate(core, '*†‡§¶#', '') = '' THEN {{'style': 'symbol', 'normalized': core}} END AS m FROM y)
+SELECT m.style AS style, m.normalized AS normalized, count(*) AS n FROM z WHERE m IS NOT NULL GROUP BY ALL""",
     "clean_lines": f"""WITH {LINES_SQL}, c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(nfc_normalize(line), chr(65533), ''), chr(8203), ''), {_CONTROL}, ' ', 'g'), '{_SPACES}+', ' ', 'g')) AS line FROM lines)
 SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM c WHERE line <> '' GROUP BY doc_id""",
     "text_quality": rf"""
@@ -240,15 +226,13 @@ WITH m AS (SELECT doc_id, regexp_replace(text, '\n(\S)', chr(10) || '## \1', 'g'
 SELECT doc_id, CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#]+[ \t]+', '\1', 'g')) AS INTEGER) AS length_1,
        CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#*+\-]+[ \t]+', '\1', 'g')) AS INTEGER) AS length_2,
        CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#*+\->|=_~]+[ \t]+', '\1', 'g')) AS INTEGER) AS length_3 FROM m""",
-    "common_edge_lines": f"""
-WITH f AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 2 THEN doc_id || ' Proceedinqs of the ' || source || ' society' WHEN 3 THEN split_part(text, chr(10), 1) ELSE ' Proceedings of the ' || source || ' society ' || doc_id END AS first FROM documents),
-e AS (SELECT *, {_EDGE} AS edge FROM f),
-n AS (SELECT *, CASE WHEN edge = lag(edge) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM n),
-s AS (SELECT source, edge, run, count(*) AS n FROM r GROUP BY ALL),
-t AS (SELECT source, count(*) AS pages FROM f GROUP BY source),
-c AS (SELECT source, edge, CAST(sum(n) AS BIGINT) AS n, max(n) AS streak FROM s GROUP BY ALL)
-SELECT source, edge, n, streak FROM c JOIN t USING (source) WHERE (n >= pages * 0.2 OR streak >= 3) AND n > 3""",
+    "common_edge_lines": f"WITH {_EDGES} SELECT * FROM common",
+    # the longest common subsequence, a row of its table for each sign of the common text
+    "common_edge_lines_fuzzy": f"""WITH RECURSIVE {_EDGES}, p AS (SELECT DISTINCT e.edge AS a, c.edge AS b FROM e JOIN common c USING (source) WHERE length(e.edge) + length(c.edge) > 0),
+l(a, b, j, row) AS (SELECT a, b, 0, list_transform(range(length(a) + 1), lambda i: 0) FROM p
+  UNION ALL SELECT a, b, j + 1, list_transform(range(length(a) + 1), lambda i: list_max(list_transform(range(i + 1), lambda k: CASE WHEN k > 0 AND substr(a, k, 1) = substr(b, j + 1, 1) THEN row[k] + 1 ELSE row[k + 1] END))) FROM l WHERE j < length(b)),
+alike AS (SELECT a, b FROM l WHERE j = length(b) AND 200.0 * list_max(row) / (length(a) + length(b)) > 90)
+SELECT DISTINCT doc_id FROM e JOIN common c USING (source) JOIN alike ON alike.a = e.edge AND alike.b = c.edge""",
     "superscript_calls": r"""
 WITH m AS (SELECT doc_id, regexp_replace(text, '\. ', '^{2}^\\( ^{4} \\)¹². ', 'g') AS t FROM documents),
 a AS (SELECT doc_id, regexp_replace(t, '\\\(\s*\^\s*\{?([0-9]{1,4})\}?\s*\\\)', '<sup>\1</sup>', 'g') AS t FROM m),
