@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import layout_json, office, packages, storage, tools
+from ..operators.trees import shared_folder
+from ..sources import fragments, layout_json, navigation, office, package_writer, packages, storage, tools
 from .base import read
 
 
@@ -38,8 +40,7 @@ def tei_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tei_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(F.col("k") % 3 == 0, F.concat("name", F.lit(" Deutsches Textarchiv"))).when(F.col("k") % 3 == 1, "the Text Creation Partnership").otherwise(F.col("name"))
-    profile = F.udf(packages.tei_profile, T.StringType())
-    return _nations(spark, sf_dir).select("k", profile(header).alias("profile"))
+    return _nations(spark, sf_dir).select("k", packages.tei_profile_of(header).alias("profile"))
 
 
 def _zipped(parts: dict[str, str]) -> bytes:
@@ -76,6 +77,45 @@ def epub_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.package_rows(files, packages.read_epub)
 
 
+def tei_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a TEI text: a division a text, its lines paragraphs, with a page break after each third word of every fourth line."""
+    line = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "&", "&amp;"), "<", "&lt;"), r"[\x00-\x08\x0b-\x1f\ufffe\uffff]", "")
+    broken = lambda x: F.regexp_replace(x, r"((?:\S+\s+){3})", '$1<pb n="p"/>')
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("<p>"), F.when(i % 4 == 3, broken(line(x))).otherwise(line(x)), F.lit("</p>")))
+    xml = F.concat(F.lit("<TEI><teiHeader><p>no</p></teiHeader><text><body><div>"), F.array_join(lines, "\n"), F.lit("</div></body></text></TEI>"))
+    files = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), xml.cast("binary").alias("content"))
+    found = fragments.fragments(files)
+    return found.groupBy("doc").agg(F.count("*").alias("pieces"), F.max("page").alias("pages"), F.count_distinct("block").alias("blocks"), F.max("end").alias("size"), F.sum(F.length("text")).alias("chars"))
+
+
+def written_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as packages, a component a role: written twice to the shared folder, and read again by their manifests."""
+    turns = read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("package"), F.concat("role", F.lit(".jsonl")).alias("component"), F.col("turn").alias("ord"), F.to_json(F.struct("turn", "text")).alias("line"))
+    folder = f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}"
+    for _ in range(2):
+        package_writer.write_packages(turns, folder)
+    return package_writer.package_components(spark, folder).select("package", "component", "bytes", "records")
+
+
+def _navigated(k: int, name: str, r: int) -> bytes:
+    """A book of two chapters with an NCX, lists of an EPUB 3 and a guide; some entries lead nowhere."""
+    point = lambda i, label, src, below="": f'<navPoint id="n{i}"><navLabel><text>{label}</text></navLabel><content src="{src}"/>{below}</navPoint>'
+    ops = 'xmlns:epub="http://www.idpf.org/2007/ops"'
+    return _zipped({
+        "META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>',
+        "o/p.opf": '<package><manifest><item id="a" href="a.xhtml"/><item id="b" href="t/b.xhtml"/><item id="x" href="toc.ncx"/><item id="v" href="nav.xhtml" properties="nav"/></manifest><spine toc="x"><itemref idref="a"/><itemref idref="b"/></spine><guide><reference type="cover" href="a.xhtml"/></guide></package>',
+        "o/toc.ncx": f'<ncx><navMap>{point(1, name, "a.xhtml", point(2, "part", "t/b.xhtml#s"))}{point(3, "lost", "gone.xhtml")}</navMap><pageList><pageTarget><navLabel><text>{k}</text></navLabel><content src="t/b.xhtml#s"/></pageTarget></pageList></ncx>',
+        "o/nav.xhtml": f'<html {ops}><body><nav epub:type="toc"><ol><li><a href="a.xhtml">{name}</a><ol><li><span>no link</span></li><li><a href="t/b.xhtml#s">in <b>b</b></a></li></ol></li></ol></nav></body></html>',
+        "o/a.xhtml": f"<html><body><h1>{name}</h1><p>one</p><h2>two</h2></body></html>",
+        "o/t/b.xhtml": f"<html><body><h2>Region {r}</h2><p id='s'>text</p></body></html>",
+    })
+
+
+def epub_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _nations(spark, sf_dir).select("path", _files(_navigated).alias("content"))
+    return navigation.navigation(files).select("doc", "nav", "kind", "source", "ord", "parent", "depth", "label", "block")
+
+
 def _xlsx(k: int, name: str, r: int) -> bytes:
     if k % 6 == 0:
         return b"no workbook"
@@ -194,7 +234,7 @@ def recovered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_kinds, tei_rows, tei_profiles, epub_rows, workbook_cells, unreadable_workbooks, text_documents, slide_shapes, image_sizes, scanned_files, hocr_lines, content_lists, labelled_chunks, xml_lines, polygon_lines, render_trees, recovered_json,
+        file_kinds, tei_rows, tei_profiles, tei_fragments, epub_rows, epub_navigation, written_packages, workbook_cells, unreadable_workbooks, text_documents, slide_shapes, image_sizes, scanned_files, hocr_lines, content_lists, labelled_chunks, xml_lines, polygon_lines, render_trees, recovered_json,
     )
 }
 
@@ -231,6 +271,19 @@ ORACLES = {
     "workbook_cells": _rows(_N + " WHERE k % 6 > 0", [("doc", "'S' || k", "0", "0", "1", "2", "name"), ("doc", "'S' || k", "0", "2", "1", "1", "CAST(k AS VARCHAR)"), ("doc", "'S' || k", "1", "0", "1", "1", "'x'"), ("doc", "'S' || k", "1", "27", "1", "1", "CAST(r AS VARCHAR)")], "doc, sheet, row, col, rowspan, colspan, text"),
     "unreadable_workbooks": f"SELECT doc FROM {_N} WHERE k % 6 = 0",
     "text_documents": _rows(_N, [("doc", "0", "0", "'SectionHeader'", "r + 1", "name"), ("doc", "1", "0", "'Text'", "NULL", "'text'"), ("doc", "2", "1", "'Text'", "NULL", "'next'"), ("doc", "3", "1", "'ListItem'", "NULL", "'item'"), ("doc", "4", "1", "'Table'", "NULL", "'a' || chr(9) || k || chr(10) || 'b' || chr(9) || 'c'")], _BOOK),
+    # words joined by single spaces; a break after each third word, while another follows in the line
+    "tei_fragments": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, list_filter(string_split_regex(regexp_replace(line, '[\x00-\x08\x0b-\x1f]', '', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS ws, regexp_replace(line, '[\x00-\x08\x0b-\x1f]', '', 'g') AS line FROM l),
+n AS (SELECT *, len(ws) AS n, CASE WHEN i % 4 = 3 THEN (len(ws) - CASE WHEN regexp_matches(line, '\s$') THEN 0 ELSE 1 END) // 3 ELSE 0 END AS breaks FROM w),
+s AS (SELECT doc_id, greatest(1, CASE WHEN i % 4 = 3 AND n > 0 THEN CAST(ceil(n / 3) AS BIGINT) ELSE 1 END) AS pieces, breaks, i, CASE WHEN n > 0 THEN length(array_to_string(ws, ' ')) END AS size,
+  CASE WHEN n > 0 THEN length(array_to_string(ws, ' ')) - CASE WHEN i % 4 = 3 THEN CAST(ceil(n / 3) AS BIGINT) - 1 ELSE 0 END END AS chars FROM n)
+SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(sum(pieces) AS BIGINT) AS pieces, CAST(sum(breaks) AS INTEGER) AS pages, count(*) AS blocks, CAST(coalesce(sum(size), 0) + greatest(0, count(size) - 1) AS INTEGER) AS size, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars FROM s GROUP BY doc_id""",
+    "written_packages": """WITH l AS (SELECT 'c' || conv_id AS package, role || '.jsonl' AS component, strlen(text) + len(regexp_extract_all(text, '["\\\\\n\t\r]')) AS said, length(CAST(turn AS VARCHAR)) AS t FROM conversations)
+SELECT package, component, CAST(sum(said + t + length('{"turn":,"text":""}') + 1) AS BIGINT) AS bytes, count(*) AS records FROM l GROUP BY ALL""",
+    "epub_navigation": """WITH e(nav, kind, source, ord, parent, depth, label, block) AS (VALUES (0, 'toc', 'ncx', 0, NULL, 0, '*', 0), (0, 'toc', 'ncx', 1, 0, 1, 'part', 4), (0, 'toc', 'ncx', 2, NULL, 0, 'lost', NULL), (1, 'page_list', 'ncx', 0, NULL, 0, '#', 4),
+  (2, 'toc', 'epub3_nav', 0, NULL, 0, '*', 0), (2, 'toc', 'epub3_nav', 1, 0, 1, 'no link', NULL), (2, 'toc', 'epub3_nav', 2, 0, 1, 'in b', 4), (3, 'landmarks', 'epub2_guide', 0, NULL, 0, 'cover', 0),
+  (4, 'generated_toc', 'headings', 0, NULL, 0, '*', 0), (4, 'generated_toc', 'headings', 1, 0, 1, 'two', 2), (4, 'generated_toc', 'headings', 2, NULL, 0, 'r', 3))
+SELECT CAST(n_nationkey AS VARCHAR) AS doc, nav, kind, source, ord, parent, depth, CASE label WHEN '*' THEN n_name WHEN '#' THEN CAST(n_nationkey AS VARCHAR) WHEN 'r' THEN 'Region ' || n_regionkey ELSE label END AS label, block FROM nation, e""",
     "slide_shapes": _rows(_N, [("doc", "0", "0", "'SectionHeader'", "1", "name"), ("doc", "1", "0", "'Text'", "NULL", "'in ' || k"), ("doc", "2", "0", "'Picture'", "NULL", "'picture'"), ("doc", "3", "0", "'Table'", "NULL", "'a' || chr(9) || 'b'"), ("doc", "4", "1", "'Text'", "NULL", "'last ' || r")], _BOOK),
     "image_sizes": "SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN p_size + 256 END AS width, CASE WHEN p_partkey % 4 < 3 THEN 256 END AS height FROM part",
     "scanned_files": r"SELECT DISTINCT name, starts_with(name, 'en/') AS found FROM (SELECT page_id, trim(coalesce(regexp_extract(url, '^[^:]*://[^/]*/?([^?#]*)', 1), '')) AS name FROM pages) WHERE page_id % 10 > 1 AND name <> '' AND NOT starts_with(name, '#')",

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .html import read_blocks
 
@@ -40,9 +41,21 @@ def tei_type(node) -> str | None:
     return kinds.get(_name(node.tag))
 
 
+#: What a header says of the collection it is from, and the profile's name.
+PROFILES = {"deutsches textarchiv": "dta", "text creation partnership": "tcp"}
+
+
 def tei_profile(header: str) -> str:
-    low = header.lower()
-    return "dta" if "deutsches textarchiv" in low else "tcp" if "text creation partnership" in low else "generic"
+    """The profile of one file's header, where a reader has it at hand."""
+    return next((profile for said, profile in PROFILES.items() if said in header.lower()), "generic")
+
+
+def tei_profile_of(header: Column) -> Column:
+    """The profile of a TEI file by its header: the first collection that it names, else generic."""
+    out = F.lit("generic")
+    for said, profile in reversed(PROFILES.items()):
+        out = F.when(F.contains(F.lower(header), F.lit(said)), profile).otherwise(out)
+    return out
 
 
 def read_tei(doc: str, data: bytes) -> list[tuple]:
