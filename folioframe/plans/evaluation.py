@@ -135,6 +135,11 @@ SELECT *, round(overlap / reference_chars, 9) AS recall, round(overlap / hypothe
 SELECT conv_id, n, round(s / (n * (n - 1) / 2), 9) AS tau FROM n LEFT JOIN p USING (conv_id)""",
     "successor_accuracy": """WITH t AS (SELECT conv_id, turn, length(text) AS size FROM conversations), s AS (SELECT conv_id, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS na, lead(turn) OVER (PARTITION BY conv_id ORDER BY size, turn) AS nb FROM t)
 SELECT conv_id, round(count(*) FILTER (na = nb) / nullif(count(na), 0), 9) AS accuracy FROM s WHERE na IS NOT NULL OR nb IS NOT NULL GROUP BY conv_id""",
+    # a row of the table of edits for each item of the first order
+    "order_distance": """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS size FROM conversations), s AS (SELECT conv_id, list(turn ORDER BY turn) AS a, list(turn ORDER BY size, turn) AS b FROM t GROUP BY 1),
+d(conv_id, a, b, i, row) AS (SELECT conv_id, a, b, 0, list_transform(range(len(b) + 1), lambda j: CAST(j AS BIGINT)) FROM s UNION ALL
+  SELECT conv_id, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: list_min(list_transform(range(j + 1), lambda k: j - k + CASE WHEN k = 0 THEN i + 1 ELSE least(row[k + 1] + 1, row[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1 END) END))) FROM d WHERE i < len(a))
+SELECT conv_id, row[len(b) + 1] / len(a) AS distance FROM d WHERE i = len(a)""",
     "label_micro_avg": """WITH r AS (SELECT source, CASE WHEN n_chars > 400 THEN 1 ELSE 0 END AS g, quality AS q FROM documents JOIN labels USING (doc_id))
 SELECT source, count(*) AS n, round(sum(g * q) / nullif(sum(g), 0), 9) AS precision, round(sum(g * q) / nullif(sum(q), 0), 9) AS recall FROM r GROUP BY source""",
     "layout_pairs": """WITH c AS (SELECT l_orderkey, l_suppkey % 3 AS t, CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 2 END AS p, count(*) AS n FROM lineitem GROUP BY ALL),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import markdown as md
+from ..operators import rich_markdown as rich
 from ..sources import layout_json as lj
 from .base import read
 
@@ -61,6 +62,12 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", count("(?m)^# ").alias("h1"), count("(?m)^- ").alias("items"), count("(?m)^> ").alias("quotes"), F.length("m").alias("size"))
 
 
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole web pages as Markdown with tables, nested lists, code and escapes; beside it how many lines and table rows it has."""
+    pages = read(spark, sf_dir, "pages").select("page_id", rich.rich_markdown("html").alias("m"))
+    return pages.select("page_id", F.md5(F.col("m").cast("binary")).alias("md5"), F.size(F.split("m", "\n")).alias("lines"), F.regexp_count("m", F.lit(r"(?m)^\|")).alias("rows"))
+
+
 def dotted_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name among dots and stray marks."""
     text = F.concat(F.lit("a . . · … b ... "), "p_name", F.lit(" ## -- x\n> y #"))
@@ -79,7 +86,7 @@ def otsl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.length(html).alias("size"), html.isNull().alias("review"))
 
 
-QUERIES = {f.__name__: f for f in (layout_json_blocks, tesseract_lines, aggregate_blocks, package_manifest, merged_batches, markdown_prose, page_markdown, dotted_noise, repaired_labels, otsl_tables)}
+QUERIES = {f.__name__: f for f in (layout_json_blocks, tesseract_lines, aggregate_blocks, package_manifest, merged_batches, markdown_prose, page_markdown, rich_pages, dotted_noise, repaired_labels, otsl_tables)}
 ORACLES = {
     "layout_json_blocks": """SELECT p_partkey, 0 AS ord, CASE p_partkey % 3 WHEN 0 THEN 'SectionHeader' ELSE 'Equation' END AS type, p_brand AS text, CAST(p_size AS DOUBLE) AS x0, 1.0::DOUBLE AS y0, CAST(p_size + 9 AS DOUBLE) AS x1, 5.0::DOUBLE AS y1, CASE p_partkey % 3 WHEN 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS confidence FROM part WHERE p_partkey % 3 < 2""",
     "tesseract_lines": "SELECT l_orderkey, CAST(l_linenumber % 3 AS INTEGER) AS line, CAST(2 * count(*) - 1 AS INTEGER) AS size, CAST(min(l_linenumber) AS DOUBLE) AS x0, CAST(max(l_linenumber) + 5 AS DOUBLE) AS x1, 90.0::DOUBLE AS confidence FROM lineitem GROUP BY l_orderkey, l_linenumber % 3",

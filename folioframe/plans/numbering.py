@@ -93,6 +93,14 @@ SELECT source, "offset", min(page_idx) AS start, max(page_idx) AS "end", count(*
     "printed_page_segments": f"""{_PAGES}, s AS (SELECT source, page_idx, step, number - page_idx * step AS "offset" FROM pages, (VALUES (1), (2)) t(step) WHERE number > 0),
 g AS (SELECT source, CAST(step AS INTEGER) AS step, "offset", min(page_idx) AS start, max(page_idx) AS "end", count(*) AS n FROM s GROUP BY ALL)
 SELECT *, round(least(1.0, n / ("end" - start + 1)), 9) AS confidence FROM g WHERE n >= 2 AND (n / ("end" - start + 1) >= 0.7 OR n >= 3)""",
+    # the segments of a source in the order of their rank; each is taken if it shares no page with one that is
+    "printed_page_correct": f"""{_PAGES.replace("WITH idx", "WITH RECURSIVE idx", 1)}, s AS (SELECT source, page_idx, step, number - page_idx * step AS off FROM pages, (VALUES (1), (2)) t(step) WHERE number > 0),
+g AS (SELECT source, step, off, min(page_idx) AS a, max(page_idx) AS b, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, least(1.0, n / (b - a + 1)) AS c FROM g WHERE n >= 2 AND (n / (b - a + 1) >= 0.7 OR n >= 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, c DESC, b - a DESC, step, a, off) AS k, count(*) OVER (PARTITION BY source) AS m FROM k),
+f(source, k, m, taken) AS (SELECT DISTINCT source, 0::BIGINT, m, []::STRUCT(a INTEGER, b INTEGER, step INTEGER, off INTEGER)[] FROM r UNION ALL
+  SELECT f.source, f.k + 1, f.m, CASE WHEN len(list_filter(f.taken, lambda x: r.b >= x.a AND r.a <= x.b)) = 0 THEN list_append(f.taken, struct_pack(a := r.a, b := r.b, step := r.step, off := CAST(r.off AS INTEGER))) ELSE f.taken END FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1),
+i AS (SELECT source, unnest(taken) AS t FROM f WHERE k = m), e AS (SELECT p.*, i.t.step * p.page_idx + i.t.off AS expected FROM pages p LEFT JOIN i ON i.source = p.source AND p.page_idx BETWEEN i.t.a AND i.t.b)
+SELECT source, page_idx, number, kind, CAST(CASE WHEN expected > 0 THEN CASE WHEN coalesce(abs(number - expected) <= 1, false) THEN number ELSE expected END END AS INTEGER) AS corrected FROM e""",
     "kind_window": f"""{_PAGES}, c AS (SELECT *, count(*) FILTER (kind = 'arabic') OVER w AS a, count(*) FILTER (kind = 'roman') OVER w AS r FROM pages WINDOW w AS (PARTITION BY source ORDER BY page_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
 SELECT source, page_idx, CASE WHEN a > 0 AND r > 0 THEN 'mixed' WHEN a > 0 THEN 'arabic' WHEN r > 0 THEN 'roman' ELSE 'unknown' END AS segment_kind FROM c""",
     "page_segments": f"""{_PAGES}, l AS (SELECT *, lag(kind) OVER w AS k, lag(number) OVER w AS v, lag(page_idx) OVER w AS p FROM pages WINDOW w AS (PARTITION BY source ORDER BY page_idx)),

@@ -157,6 +157,12 @@ _FOLIOS = """fo AS (SELECT l_suppkey AS doc, l_orderkey // 8 AS page, l_orderkey
 _O = "ORDER BY score DESC, number, zone, alignment"
 _OFF = "CASE abs(number - (a.{0}.number + page - a.{0}.page)) WHEN 0 THEN 0.55 WHEN 1 THEN 0.15 WHEN 2 THEN 0 ELSE -0.25 END"
 ORACLES = {
+    "suppressed_boxes": f"""WITH RECURSIVE {layout._BLOCKS}, b AS (SELECT page, id, CASE WHEN kind = 'Table' THEN 'Table' ELSE 'Text' END AS kind, x0, y0, x1, y1, id % 17 / 17 AS score FROM blocks),
+r AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY score DESC, id) AS k, count(*) OVER (PARTITION BY page, kind) AS n FROM b),
+l AS (SELECT a.page, a.kind, a.k, list(b.k) AS bs FROM r a JOIN r b ON a.page = b.page AND a.kind = b.kind AND a.k < b.k WHERE {layout._COMMON} > 0.1 * ({layout._AREA.format("a")} + {layout._AREA.format("b")} - {layout._COMMON}) GROUP BY ALL),
+f(page, kind, k, n, gone) AS (SELECT DISTINCT page, kind, 0::BIGINT, n, []::BIGINT[] FROM r UNION ALL
+  SELECT f.page, f.kind, f.k + 1, f.n, CASE WHEN list_contains(f.gone, f.k + 1) THEN f.gone ELSE list_concat(f.gone, coalesce(l.bs, [])) END FROM f LEFT JOIN l ON l.page = f.page AND l.kind = f.kind AND l.k = f.k + 1 WHERE f.k < f.n)
+SELECT r.page, r.kind, r.id FROM r JOIN f ON f.page = r.page AND f.kind = r.kind AND f.k = f.n WHERE NOT list_contains(f.gone, r.k)""",
     "structure_children": "SELECT CAST(c_nationkey AS BIGINT) AS parent, c_custkey AS id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) - 1 AS INTEGER) AS place FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2)",
     "anchor_pages": "WITH r AS (SELECT unnest(range(o_orderkey % 50, o_orderkey % 50 + o_custkey % 5 - 1)) AS page FROM orders) SELECT page, count(*) AS ranges FROM r GROUP BY page",
     "page_boundaries": "SELECT conv_id, turn, 'pb' || turn AS id, 'pb' || lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS until FROM conversations",
