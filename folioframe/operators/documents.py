@@ -62,6 +62,36 @@ def heading_level(*given: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(*given, F.lit(2))))
 
 
+#: Keys that may say a heading's level, in the order in which they count; labels of a document's own title.
+LEVEL_KEYS = ("heading_level", "raw_heading_level", "text_level", "level")
+TITLE_LABELS = ("doc_title", "doctitle", "document_title")
+SECTION_LABELS = ("paragraph_title", "section_header", "sectionheader", "heading")
+
+
+def told_level(attributes: Column) -> Column:
+    """The first key of a JSON object that says a level above 0; null if none does."""
+    number = lambda k: F.regexp_extract(F.get_json_object(attributes, f"$.{k}"), r"^\s*(\d{1,9})\s*$", 1)
+    values = [F.nullif(F.nullif(number(k), F.lit("")).cast("int"), F.lit(0)) for k in LEVEL_KEYS]
+    return F.coalesce(*values)
+
+
+def heading_levels(headings: DataFrame) -> DataFrame:
+    """headings (attributes, raw: JSON objects; text) with level, level_source (own, upstream, inferred or default) and title_role.
+
+    What the heading's own keys say counts first, then those of its raw form, then its label (a document's title is 1) and
+    the depth of a number that opens it (`2.1` is 2), else 2; all held between 1 and 6.
+    """
+    first = lambda *keys: F.coalesce(*(F.get_json_object(c, f"$.{k}") for c, k in keys))
+    label = first(("attributes", "raw_label"), ("attributes", "raw_block_type"), ("raw", "block_label"), ("raw", "label"), ("raw", "type"))
+    name = F.translate(F.lower(F.trim(F.coalesce(label, F.lit("")))), "- ", "__")
+    numbered = F.regexp_extract("text", r"^\s*(\d{1,3}(?:\.\d{1,3})*)\.?\s+\S", 1)
+    inferred = F.when(name.isin(*TITLE_LABELS), 1).when(numbered != "", F.size(F.split(numbered, r"\.")))
+    own, upstream = told_level(F.col("attributes")), told_level(F.col("raw"))
+    source = F.when(own.isNotNull(), "own").when(upstream.isNotNull(), "upstream").when(inferred.isNotNull(), "inferred").otherwise("default")
+    role = F.when(name.isin(*TITLE_LABELS), "doc_title").when(name == "title", "title").when(name.isin(*SECTION_LABELS), "section_title").otherwise("unknown")
+    return headings.withColumns({"level": heading_level(own, upstream, inferred), "level_source": source, "title_role": role})
+
+
 def summary(blocks: DataFrame, doc: str) -> DataFrame:
     """Pages, blocks and the number of blocks by type of each document."""
     types = blocks.groupBy(doc, "type").agg(F.count("*").alias("n")).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("type", "n"))).alias("types"))

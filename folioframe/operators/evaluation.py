@@ -18,6 +18,32 @@ def error_rate(reference: Column, hypothesis: Column) -> Column:
     return fn.edits(reference, hypothesis) / F.nullif(F.length(reference), F.lit(0))
 
 
+#: The least signs of a text layer, and the shares of unseen and of bad ones and the likeness of halves from which it is not trusted.
+LEAST_SIGNS, MOST_UNSEEN, MOST_BAD, TWICE = 30, 0.05, 0.005, 0.85
+
+
+def layer_verdicts(pages: DataFrame, embedded: bool = False) -> DataFrame:
+    """pages (text: all of a page's layer; unseen: how many of its signs are invisible) with kind, trusted, reasons, visible, unseen_share and bad_share.
+
+    Bad signs are controls, surrogates, private and unassigned ones and the replacement sign. A layer that is all unseen is what a
+    scanner has read: with `embedded` it may serve, as a reference of that kind, but never one that is both.
+    """
+    solid = fn.without(fn.text_of(F.col("text")), r"\s+")
+    total, unseen = F.length(fn.text_of(F.col("text"))), F.coalesce("unseen", F.lit(0))
+    seen = F.greatest(total - unseen, F.lit(0)) if embedded else total
+    share = F.when(seen + unseen > 0, unseen / (seen + unseen)).otherwise(0.0)
+    bad = fn.count_of(F.col("text"), r"\ufffd|(?![\t\n\r])\p{Cc}|\p{Co}|\p{Cs}|\p{Cn}")
+    rows = pages.withColumns({"_solid": solid, "visible": seen, "unseen_share": share, "bad_share": F.when(total > 0, bad / total).otherwise(0.0)})
+    rows = rows.withColumn("_twice", (F.length("_solid") >= 2 * LEAST_SIGNS) & F.coalesce(fn.halves_alike("_solid"), F.lit(False)))
+    hidden = F.col("unseen_share") > MOST_UNSEEN
+    whole = hidden & (1 - F.col("unseen_share") <= MOST_UNSEEN)
+    kind = F.when(whole, "embedded_ocr_layer").otherwise("visible_text_layer") if embedded else F.lit("visible_text_layer")
+    why = F.when(hidden & ~whole, "mixed_visible_and_invisible_layers") if embedded else F.when(hidden, "invisible_text_layer")
+    reasons = F.array(F.when(F.length("_solid") < LEAST_SIGNS, "too_few_visible_chars"), why, F.when(F.col("bad_share") > MOST_BAD, "bad_characters"), F.when(F.col("_twice"), "duplicated_text_layer"))
+    rows = rows.withColumns({"kind": kind, "reasons": F.filter(reasons, lambda r: r.isNotNull())})
+    return rows.withColumn("trusted", F.size("reasons") == 0).drop("_solid", "_twice")
+
+
 def micro_rates(scored: DataFrame, by: list[str]) -> DataFrame:
     """Edits over characters: for all rows, and by each group. scored: edits, chars."""
     grouped = scored.groupingSets([[], [F.col(c) for c in by]], *by) if by else scored.groupBy()

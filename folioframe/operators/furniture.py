@@ -35,6 +35,31 @@ def looks_like_year(number: Column, text: Column) -> Column:
     return number.rlike("^1[4-9][0-9]{2}$|^20[0-9]{2}$") | F.rlike(F.lower(text), F.concat(F.lit(rf"\b(?:{months})\b[^0-9]*(?:[0-9]{{1,2}},?\s*)?"), number, F.lit(r"\b")))
 
 
+#: Months by their first letters with what may follow them, and the signs of a date in Chinese before and after its number.
+MONTHS = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)[.]?"
+DATE_BEFORE, DATE_AFTER, ERAS = "年月日号號期卷", "年", "(?:年代?|世纪|世紀)"
+
+
+def in_a_date(number: Column, text: Column) -> Column:
+    """A number that is a date's: beside a month as its day or with its day as the year, or beside the signs of a year, also of one that is split in two."""
+    day, n = r"\d{1,2}(?:st|nd|rd|th)?", F.concat(number, F.lit("(?:st|nd|rd|th)?"))
+    end = r"[\s,.\])]*"
+    english = [
+        F.concat(F.lit(rf"\b{MONTHS}\s+"), n, F.lit(rf"\b{end}\d{{2,4}}\b")),  # May 3, 1864
+        F.concat(F.lit(r"\b"), n, F.lit(rf"\s+{MONTHS}(?![a-z])")),  # 3rd May
+        F.concat(F.lit(rf"\b{MONTHS}\s+{day}{end}"), number, F.lit(r"\b")),  # May 3, N
+        F.concat(F.lit(rf"\b{day}\s+{MONTHS}{end}"), number, F.lit(r"\b")),  # 3 May N
+    ]
+    low = F.lower(text)
+    found = F.lit(False)
+    for pattern in english:
+        found = found | F.rlike(low, pattern)
+    chinese = F.rlike(text, F.concat(number, F.lit(rf"\s*{DATE_AFTER}"))) | F.rlike(text, F.concat(F.lit(rf"[{DATE_BEFORE}]\s*"), number))
+    part = r"\s*[\s.\-_/]?\s*\d{2,3}\s*"
+    split = number.rlike(r"^\d{1,2}$") & (F.rlike(text, F.concat(number, F.lit(part + ERAS))) | F.rlike(text, F.concat(F.lit(r"\d{2,3}\s*[\s.\-_/]?\s*"), number, F.lit(r"\s*" + ERAS))))
+    return F.coalesce(found | chinese | split, F.lit(False))
+
+
 def best_two(candidates: DataFrame, page: list[str], least: float = 1.5, gap: float = 0.2) -> DataFrame:
     """The best candidate of each page, unless it is weak or the next one, of another number, is as good."""
     order = Window.partitionBy(*page).orderBy(F.desc("score"), "number")

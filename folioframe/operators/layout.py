@@ -143,6 +143,26 @@ def caption_pairs(blocks: DataFrame, page_height: float, share: float = 0.05) ->
     return blocks.withColumn("owner", owner).where("kind = 'Caption' and owner is not null").select("page", F.col("id").alias("caption"), "owner")
 
 
+def caption_groups(blocks: DataFrame, pages: DataFrame, share: float = 0.05) -> DataFrame:
+    """(page, owner, kind, members, box): tables, figures and pictures with the captions and footnotes next to them in order, within `share` of the page's height.
+
+    blocks: page, id, ord, kind, box. What a block has taken from behind it is not there for the next one any more.
+    """
+    owners, notes = ("Table", "Figure", "Picture"), ("Caption", "Footnote")
+    along = Window.partitionBy("page").orderBy("ord")
+    sides = ("id", "kind", "x0", "y0", "x1", "y1")
+    rows = blocks.join(pages.select("page", "height"), "page").withColumns({f"{p}_{c}": F.lag(c, n).over(along) for p, n in (("a", 1), ("aa", 2), ("b", -1)) for c in sides})
+    box = lambda p: geo.Box(*(F.col(f"{p}{c}") for c in sides[2:]))
+    near = lambda p, q: F.coalesce(geo.gap(box(p), box(q)) < share * F.col("height"), F.lit(False))
+    is_note, is_owner = (lambda p: F.coalesce(F.col(f"{p}_kind").isin(*notes), F.lit(False))), (lambda p: F.coalesce(F.col(f"{p}_kind").isin(*owners), F.lit(False)))
+    taken = is_owner("aa") & near("aa_", "a_")
+    before, after = is_note("a") & near("a_", "") & ~taken, is_note("b") & near("b_", "")
+    found = rows.where(F.col("kind").isin(*owners)).withColumns({"_before": before, "_after": after}).where("_before or _after")
+    members = F.filter(F.array(F.when(F.col("_before"), F.col("a_id")), F.col("id"), F.when(F.col("_after"), F.col("b_id"))), lambda x: x.isNotNull())
+    side = lambda c, pick: pick(F.col(c), F.when(F.col("_before"), F.col(f"a_{c}")).otherwise(F.col(c)), F.when(F.col("_after"), F.col(f"b_{c}")).otherwise(F.col(c))).alias(f"group_{c}")
+    return found.select("page", F.col("id").alias("owner"), F.concat("kind", F.lit("Group")).alias("kind"), members.alias("members"), *(side(c, F.least if c[1] == "0" else F.greatest) for c in sides[2:]))
+
+
 def nearest_anchor(points: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
     """id and the nearest anchor (anchor, ax, ay) of its group, ties to the lower one; anchors of a group are few beside its points."""
     near = anchors.groupBy(by).agg(F.collect_list(F.struct("ax", "ay", "anchor")).alias("near"))

@@ -52,7 +52,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
-        self.skipping = 0
+        self.skipping = self.beyond = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
@@ -66,10 +66,16 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
+        elif tag not in VOID:
+            self.beyond += 1
+            self.open[-1].children.append(" ")
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skipping = max(0, self.skipping - 1)
+        elif self.beyond and tag not in VOID:
+            self.beyond -= 1
+            self.open[-1].children.append(" ")
         elif any(n.name == tag for n in self.open[1:]):
             while self.open.pop().name != tag:
                 pass

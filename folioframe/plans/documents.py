@@ -191,7 +191,17 @@ def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.page_statistics(blocks_of(spark, sf_dir), "doc")
 
 
-QUERIES = {f.__name__: f for f in (html_blocks, html_headings, html_chunks, html_links_resolved, section_hierarchy, section_ends, table_of_contents, block_neighbours, block_relabel, canonical_types, middle_summary, middle_validate, dangling_relations, resolved_notes, join_pages_markdown, anchored_pages, page_slices, page_chunks, markdown_documents, table_cells_html, quote_levels, list_levels, storage_round_trip, page_ranges, label_files, line_index, content_reuse, raw_texts, page_statistics)}
+def heading_key_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as headings whose own or raw keys say a level, or whose label or number does, or nothing."""
+    k, size = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    attributes = F.when(k == 0, F.concat(F.lit('{"heading_level":"0","text_level":'), size, F.lit("}"))).when(k == 1, F.concat(F.lit('{"level":"'), size, F.lit('"}'))).when(k == 2, '{"raw_label":"Doc-Title"}').when(k == 3, '{"heading_level":"x","raw_block_type":"heading"}').otherwise("{}")
+    raw = F.when(k == 4, '{"level":3,"label":"title"}').when(k == 5, F.concat(F.lit('{"block_label":"paragraph title","text_level":-'), size, F.lit("}")))
+    text = F.when(k == 6, F.concat(F.lit(" 2."), F.col("p_size") % 9, F.lit(".1 "), F.col("p_name"))).otherwise(F.col("p_name"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", attributes.alias("attributes"), raw.alias("raw"), text.alias("text"))
+    return ops.heading_levels(rows).select("p_partkey", "level", "level_source", "title_role")
+
+
+QUERIES = {f.__name__: f for f in (heading_key_levels, html_blocks, html_headings, html_chunks, html_links_resolved, section_hierarchy, section_ends, table_of_contents, block_neighbours, block_relabel, canonical_types, middle_summary, middle_validate, dangling_relations, resolved_notes, join_pages_markdown, anchored_pages, page_slices, page_chunks, markdown_documents, table_cells_html, quote_levels, list_levels, storage_round_trip, page_ranges, label_files, line_index, content_reuse, raw_texts, page_statistics)}
 
 _BLOCKS = r"""WITH parts AS (SELECT conv_id AS doc, CAST(turn AS INTEGER) AS page, list_filter(string_split(regexp_replace(text, '\. ', '.' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS p FROM conversations),
 rows AS (SELECT doc, page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS i FROM parts), n AS (SELECT *, doc * 7 + page * 5 + i * 3 AS n, CAST(page * 1000 + i AS INTEGER) AS ord FROM rows),
@@ -202,6 +212,9 @@ blocks AS (
 _TYPES = ", ".join(f"'{t}'" for t in ops.TYPES)
 _LAST = ", ".join(f"last_value(CASE WHEN level <= {k} THEN level END IGNORE NULLS) OVER w AS l{k}, last_value(CASE WHEN level <= {k} THEN id END IGNORE NULLS) OVER w AS i{k}" for k in range(1, 5))
 ORACLES = {
+    "heading_key_levels": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN least(6, p_size) WHEN 1 THEN least(6, p_size) WHEN 2 THEN 1 WHEN 4 THEN 3 WHEN 6 THEN 3 ELSE 2 END AS level,
+  CASE p_partkey % 8 WHEN 0 THEN 'own' WHEN 1 THEN 'own' WHEN 2 THEN 'inferred' WHEN 4 THEN 'upstream' WHEN 6 THEN 'inferred' ELSE 'default' END AS level_source,
+  CASE p_partkey % 8 WHEN 2 THEN 'doc_title' WHEN 3 THEN 'section_title' WHEN 4 THEN 'title' WHEN 5 THEN 'section_title' ELSE 'unknown' END AS title_role FROM part""",
     "html_headings": "SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<h1[ >]')) AS INTEGER) AS h1, CAST(len(regexp_extract_all(html, '(?i)<a [^>]*href=')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '(?i)<li[ >]')) AS INTEGER) AS items FROM pages",
     "section_hierarchy": f"{_BLOCKS}, h AS (SELECT doc, ord, {_LAST} FROM blocks WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT doc, ord, {', '.join(f'CASE WHEN l{k} = {k} THEN i{k} END AS s{k}' for k in range(1, 5))} FROM h",
     "section_ends": f"""{_BLOCKS}, e AS (SELECT doc, max(ord) + 1 AS e FROM blocks GROUP BY doc), h AS (SELECT doc, ord, level FROM blocks WHERE type = 'SectionHeader')

@@ -110,6 +110,14 @@ def text_layer_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (F.size(reasons) == 0).alias("trusted"), F.array_join(reasons, ",").alias("reasons"))
 
 
+def layer_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a page of a scan: its layer is seen, unseen, or, in a tenth of its signs, both."""
+    k, size = F.col("doc_id") % 5, F.length(fn.text_of(F.col("text")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.when(k == 0, size).when(k == 1, F.floor(size / 10)).otherwise(0).cast("int").alias("unseen"))
+    found = ops.layer_verdicts(docs, embedded=True)
+    return found.select("doc_id", "kind", "trusted", F.array_join("reasons", ",").alias("reasons"), "visible", F.round("unseen_share", 4).alias("unseen_share"), F.round("bad_share", 4).alias("bad_share"))
+
+
 def untrusted_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text_layer_trust(spark, sf_dir).where("not trusted").select(F.explode(F.split("reasons", ",")).alias("reason"))
     return found.groupBy("reason").agg(F.count("*").alias("n"))
@@ -120,7 +128,7 @@ def heading_height_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.height_figures(read(spark, sf_dir, "part"), "p_brand", "p_size").withColumn("mean", F.round("mean", 9))
 
 
-QUERIES = {f.__name__: f for f in (cer_micro_by_source, cer_folded, char_bag, kendall_tau, successor_accuracy, order_distance, label_micro_avg, layout_pairs, class_accuracy, table_teds, table_shapes, scholarly_lint, text_layer_trust, untrusted_reasons, heading_height_levels)}
+QUERIES = {f.__name__: f for f in (cer_micro_by_source, cer_folded, char_bag, kendall_tau, successor_accuracy, order_distance, label_micro_avg, layout_pairs, class_accuracy, table_teds, table_shapes, scholarly_lint, text_layer_trust, layer_verdicts, untrusted_reasons, heading_height_levels)}
 
 _PAIRS = r"""p AS (SELECT d.doc_id, d.source, regexp_replace(d.text, '[\s\x0b]+', '', 'g') AS hyp, regexp_replace(b.text, '[\s\x0b]+', '', 'g') AS ref FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 # No SQL tells text_layer_trust, untrusted_reasons and repeated_halves: DuckDB's levenshtein counts bytes and is too slow

@@ -22,6 +22,15 @@ def folio_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("o_orderkey", "score", ops.looks_like_year(F.col("number"), F.col("text")).alias("dated"))
 
 
+def folio_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' numbers in headers that are dates, and in some that only look like them."""
+    number = (F.col("o_orderkey") % 28 + 1).cast("string")
+    forms = [("May ", ", 1864"), ("the ", "rd of March"), ("", "th Sept. 1901"), ("Dec. 3, ", ""), ("3 July, ", ""), ("", "年"), ("第3期 ", ""), ("18 ", "年代"), ("page ", " of May"), ("Mayor ", " and 1864")]
+    k = (F.col("o_orderkey") % len(forms) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(f[i]) for f in forms)), k)
+    return read(spark, sf_dir, "orders").select("o_orderkey", ops.in_a_date(number, F.concat(pick(0), number, pick(1))).alias("dated"))
+
+
 def folio_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.best_two(_candidates(spark, sf_dir), ["o_custkey"])
 
@@ -83,7 +92,7 @@ def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.code_lines(lines, ["l_orderkey"]).select("l_orderkey", F.length("code").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (folio_candidates, folio_choice, sheet_signatures, repeated_signatures, line_number_pages, margin_numbers, heading_levels_by_size, anchor_classes, split_rows, running_blocks, code_blocks)}
+QUERIES = {f.__name__: f for f in (folio_candidates, folio_dates, folio_choice, sheet_signatures, repeated_signatures, line_number_pages, margin_numbers, heading_levels_by_size, anchor_classes, split_rows, running_blocks, code_blocks)}
 
 _CANDIDATES = r"""WITH c AS (
   SELECT o_custkey, o_orderkey, CAST(o_orderkey % 300 + 1 AS VARCHAR) AS number, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey % 300 + 1 AS VARCHAR) WHEN 1 THEN 'Page ' || (o_orderkey % 300 + 1) ELSE 'March ' || (o_orderkey % 300 + 1) || ', 1864 of the year' END AS text FROM orders
@@ -95,6 +104,7 @@ _MARKS = """WITH m AS (SELECT p_partkey // 50 AS doc, p_partkey AS page, p_size
 _MADE = """WITH parts AS (SELECT conv_id AS doc, CAST(turn AS INTEGER) AS page, list_filter(string_split(regexp_replace(text, '\\. ', '.' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS p FROM conversations),
 b AS (SELECT doc, page, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS i FROM parts), c AS (SELECT doc, page, CAST(page * 1000 + i AS INTEGER) AS ord, length(t) > 60 AS body, i * 10 AS y0, i * 10 + (doc * 7 + page * 5 + i * 3) % 4 AS y1 FROM b)"""
 ORACLES = {
+    "folio_dates": "SELECT o_orderkey, o_orderkey % 10 IN (0, 2, 3, 4, 5, 6, 7) AS dated FROM orders",
     "running_blocks": f"""{_MADE}, w AS (SELECT *, min(CASE WHEN body THEN y0 END) OVER p AS top, max(CASE WHEN body THEN y1 END) OVER p AS bottom, min(y0) OVER p AS low, max(y1) OVER p AS high FROM c WINDOW p AS (PARTITION BY doc, page))
 SELECT doc, page, ord FROM w WHERE NOT body AND (y1 <= low + 0.2 * (high - low) OR y0 >= high - 0.2 * (high - low)) AND (y1 <= coalesce(top, high) OR y0 >= coalesce(bottom, low))""",
     "folio_candidates": f"{_CANDIDATES} SELECT o_orderkey, CAST(score AS DOUBLE) AS score, o_orderkey % 3 = 2 AS dated FROM s",

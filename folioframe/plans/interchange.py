@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import list_repair as lists
 from ..operators import markdown as md
 from ..operators import rich_markdown as rich
 from ..sources import layout_json as lj
@@ -68,6 +69,14 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.md5(F.col("m").cast("binary")).alias("md5"), F.size(F.split("m", "\n")).alias("lines"), F.regexp_count("m", F.lit(r"(?m)^\|")).alias("rows"))
 
 
+def repaired_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its lines as notes: numbered, linked, indented in turn, a page's anchor before each fifth one."""
+    line = lambda x, i: F.when(i % 5 == 4, F.concat(F.lit("{"), i, F.lit("}\n   "), x)).when(i % 5 == 1, F.concat(F.lit("- ["), i % 1000 + 1, F.lit(".](#page-1-0) "), x)).when(i % 5 == 2, F.concat(F.lit("["), i % 1000 + 1, F.lit("](#page--1-0). "), x)).when(i % 5 == 3, F.concat(F.lit("   - "), i % 1000 + 1, F.lit(") "), x)).otherwise(x)
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("given"))
+    done = docs.withColumn("text", lists.repaired_lists("given"))
+    return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), (F.length("given") - F.length("text")).alias("shorter"))
+
+
 def dotted_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name among dots and stray marks."""
     text = F.concat(F.lit("a . . · … b ... "), "p_name", F.lit(" ## -- x\n> y #"))
@@ -86,7 +95,7 @@ def otsl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.length(html).alias("size"), html.isNull().alias("review"))
 
 
-QUERIES = {f.__name__: f for f in (layout_json_blocks, tesseract_lines, aggregate_blocks, package_manifest, merged_batches, markdown_prose, page_markdown, rich_pages, dotted_noise, repaired_labels, otsl_tables)}
+QUERIES = {f.__name__: f for f in (layout_json_blocks, tesseract_lines, aggregate_blocks, package_manifest, merged_batches, markdown_prose, page_markdown, rich_pages, repaired_lists, dotted_noise, repaired_labels, otsl_tables)}
 ORACLES = {
     "layout_json_blocks": """SELECT p_partkey, 0 AS ord, CASE p_partkey % 3 WHEN 0 THEN 'SectionHeader' ELSE 'Equation' END AS type, p_brand AS text, CAST(p_size AS DOUBLE) AS x0, 1.0::DOUBLE AS y0, CAST(p_size + 9 AS DOUBLE) AS x1, 5.0::DOUBLE AS y1, CASE p_partkey % 3 WHEN 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS confidence FROM part WHERE p_partkey % 3 < 2""",
     "tesseract_lines": "SELECT l_orderkey, CAST(l_linenumber % 3 AS INTEGER) AS line, CAST(2 * count(*) - 1 AS INTEGER) AS size, CAST(min(l_linenumber) AS DOUBLE) AS x0, CAST(max(l_linenumber) + 5 AS DOUBLE) AS x1, 90.0::DOUBLE AS confidence FROM lineitem GROUP BY l_orderkey, l_linenumber % 3",

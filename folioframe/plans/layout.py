@@ -98,7 +98,13 @@ def nearest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.nearest_anchor(points, anchors, "label").select(F.col("id").alias("vec_id"), "anchor")
 
 
-QUERIES = {f.__name__: f for f in (geometry_measures, line_block_assign, nearest_block, new_blocks, char_smallest_box, ocr_item_block, iou_semi, enclosed_anti, least_gaps, page_bounds, reading_order, zone_order, list_groups, caption_pairs, nearest_reference)}
+def caption_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = blocks_of(spark, sf_dir).withColumn("ord", F.col("id"))
+    found = ops.caption_groups(blocks, blocks.select("page", F.lit(HEIGHT).alias("height")).distinct(), 0.1)
+    return found.select("page", "owner", "kind", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), *(f"group_{c}" for c in ("x0", "y0", "x1", "y1")))
+
+
+QUERIES = {f.__name__: f for f in (caption_groups, geometry_measures, line_block_assign, nearest_block, new_blocks, char_smallest_box, ocr_item_block, iou_semi, enclosed_anti, least_gaps, page_bounds, reading_order, zone_order, list_groups, caption_pairs, nearest_reference)}
 
 _BLOCKS = """blocks AS (
   SELECT p_partkey // 20 AS page, p_partkey AS id, ['Text', 'ListItem', 'ListItem', 'Caption', 'Table', 'Picture', 'PageHeader', 'Footnote', 'PageFooter'][p_partkey % 9 + 1] AS kind,
@@ -139,6 +145,15 @@ SELECT page, id FROM blocks a WHERE EXISTS (SELECT 1 FROM p b WHERE a.page = b.p
     "zone_order": f"""WITH {_BLOCKS} SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE kind WHEN 'PageHeader' THEN 0 WHEN 'PageFooter' THEN 2 WHEN 'Footnote' THEN 3 ELSE 1 END, y0, x0, id) AS INTEGER) AS place FROM blocks""",
     "list_groups": f"""WITH {_BLOCKS}, n AS (SELECT *, CASE WHEN lag(kind) OVER w = 'ListItem' AND y0 - lag(y1) OVER w < 60 THEN 0 ELSE 1 END AS new FROM blocks WINDOW w AS (PARTITION BY page ORDER BY y0, id)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y0, id) AS run FROM n) SELECT page, arg_min(id, (y0, id)) AS first, count(*) AS n FROM r WHERE kind = 'ListItem' GROUP BY page, run""",
+    # neighbours of the order as joins; a caption that the block before it has taken is gone
+    "caption_groups": f"""WITH {_BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS k FROM blocks),
+n AS (SELECT a.page, a.k AS ka, b.k AS kb, a.id AS ia, b.id AS ib, a.kind IN ('Table', 'Figure', 'Picture') AS oa, b.kind IN ('Table', 'Figure', 'Picture') AS ob, a.kind IN ('Caption', 'Footnote') AS na, b.kind IN ('Caption', 'Footnote') AS nb,
+  sqrt(pow(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + pow(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2)) < 60 AS near FROM r a JOIN r b ON a.page = b.page AND b.k = a.k + 1),
+t AS (SELECT page, kb AS k FROM n WHERE oa AND nb AND near),
+m AS (SELECT page, ka AS k, ib AS member, 1 AS side FROM n WHERE oa AND nb AND near UNION ALL SELECT n.page, kb, ia, -1 FROM n LEFT JOIN t ON t.page = n.page AND t.k = n.ka WHERE ob AND na AND near AND t.k IS NULL),
+w AS (SELECT page, k, member, side FROM m UNION ALL SELECT DISTINCT m.page, m.k, r.id, 0 FROM m JOIN r ON r.page = m.page AND r.k = m.k)
+SELECT w.page, o.id AS owner, o.kind || 'Group' AS kind, string_agg(CAST(w.member AS VARCHAR), ',' ORDER BY side) AS members, min(b.x0) AS group_x0, min(b.y0) AS group_y0, max(b.x1) AS group_x1, max(b.y1) AS group_y1
+FROM w JOIN r o ON o.page = w.page AND o.k = w.k JOIN blocks b ON b.id = w.member GROUP BY ALL""",
     "caption_pairs": f"""WITH {_BLOCKS}, n AS (SELECT *, lag(kind) OVER w AS pk, lag(y1) OVER w AS py, lag(id) OVER w AS pi, lead(kind) OVER w AS nk, lead(y0) OVER w AS ny, lead(id) OVER w AS ni FROM blocks WINDOW w AS (PARTITION BY page ORDER BY y0, id)),
 o AS (SELECT page, id AS caption, CASE WHEN pk IN ('Table', 'Picture', 'Figure') AND y0 - py < 30 THEN pi WHEN nk IN ('Table', 'Picture', 'Figure') AND ny - y1 < 30 THEN ni END AS owner FROM n WHERE kind = 'Caption') SELECT * FROM o WHERE owner IS NOT NULL""",
     "nearest_reference": """WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
