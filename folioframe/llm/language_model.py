@@ -195,7 +195,7 @@ class Order:
 
 
 class Line:
-    """The tokens of a batch of zipped texts in one line, as ranks of their words' keys (the end is 0)."""
+    """The tokens of a batch of texts in one line, as ranks of their words' keys (the end is 0)."""
 
     def __init__(self, texts, parts: int):
         place: dict[bytes, int] = {b"": 0}
@@ -210,7 +210,7 @@ class Line:
             words.clear()
 
         for value in texts:
-            words += tokens(value and zlib.decompress(value).decode())
+            words += tokens(value)
             words.append(b"")  # the end, which no word is
             if len(words) >= WORDS_AT_ONCE:
                 number()
@@ -247,28 +247,28 @@ CONTEXT_BYTES, WORD_BYTES = 6, 5
 GRAMS_AT_ONCE, WORDS_AT_ONCE = 4_000_000, 500_000
 
 
-@F.pandas_udf(T.BinaryType())
-def _zipped(text: pd.Series) -> pd.Series:
-    """Texts as they are shuffled."""
-    return pd.Series([zlib.compress(t.encode(), 1) if t else None for t in text], dtype=object)
-
-
-def _ask(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """What a batch gives to the counts and wants to know: its n-grams, dealt by their contexts."""
+def _ask(rows: pd.DataFrame, parts: int, size: int) -> pd.DataFrame:
+    """What a batch gives to the counts of n-grams of one size and wants to know of them, dealt by their contexts."""
     line = Line(rows["text"], parts)
     train = np.repeat(rows["train"].to_numpy(bool), line.length)
     out = []
     for n, order in line.orders():
+        if n < size:
+            continue
         counts = np.bincount(order.at, train[order.places], len(order.word)).astype("<u4")
         sizes = np.bincount(order.of, minlength=len(order.context)).astype("<u4")
         for part in np.unique(order.part).tolist():
             contexts, grams = order.asked(part)
             keys = _packed(order.hash[contexts], CONTEXT_BYTES) + _packed(line.keys[order.word[grams]] >> np.uint64(1), WORD_BYTES)
             out.append((rows["b"].iloc[0], part, n, keys, zlib.compress(sizes[contexts].tobytes() + counts[grams].tobytes(), 1)))
-        del order
+        break
     return pd.DataFrame(out, columns=["b", "p", "n", "keys", "counts"])
 
 
+def _asking(size: int, parts: int):
+    return lambda rows: _ask(rows, parts, size)
+
+
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """The counts of a part's n-grams and contexts over all batches, for each batch in its own order.
 
@@ -375,11 +375,15 @@ def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str
     size, ends = sums["size"] or 0, sums["ends"]
     batches = max(1, -(-size // batch_bytes))
     parts = max(1, min(1 << 16, -(-size // (8 << 20)) if batch_bytes >= 1 << 20 else -(-size // (batch_bytes // 3))))
-    dealt = docs.select("ident", _zipped("text").alias("text"), "train", F.pmod(F.xxhash64("ident", "text"), F.lit(batches)).cast("int").alias("b"))
-
-    asked = dealt.groupBy("b").applyInPandas(lambda rows: _ask(rows, parts), ASKED)
-    answers = scratch.write(asked.groupBy("p").applyInPandas(_answer, ANSWERED))
-    forget_shuffles(spark)
+    dealt = docs.select("ident", "text", "train", F.pmod(F.xxhash64("ident", "text"), F.lit(batches)).cast("int").alias("b"))
+
+    answered = []
+    for n in (2, 3):  # one size after the other, so that the keys of one alone are on disk
+        asked = dealt.groupBy("b").applyInPandas(_asking(n, parts), ASKED)
+        answered.append(scratch.write(asked.groupBy("p").applyInPandas(_answer, ANSWERED)))
+        del asked
+        forget_shuffles(spark)
+    answers = answered[0].unionByName(answered[1])
     sums = answers.where("b < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "n1", "n2"))).first()
     n1, n2 = sums["n1"] + (ends == 1), sums["n2"] + (ends == 2)
     figures = Figures(sums["total"] + ends, sums["types"] + (ends > 0), n1 / (n1 + 2 * n2) if n1 else 0.5)

@@ -474,8 +474,8 @@ def test_scores_take_every_word_and_ngram(spark, texts):
 
 
 def test_large_parts_are_counted_in_turns(texts, monkeypatch):
-    rows = pd.DataFrame({"b": 0, "text": [t and zlib.compress(t.encode()) for t in texts], "train": [i % 3 > 0 for i in range(len(texts))]})
-    asked = pd.concat([language_model._ask(rows.assign(b=b)[b::2], 2) for b in (0, 1)])
+    rows = pd.DataFrame({"b": 0, "text": texts, "train": [i % 3 > 0 for i in range(len(texts))]})
+    asked = pd.concat([language_model._ask(rows.assign(b=b)[b::2], 2, n) for b in (0, 1) for n in (2, 3)])
     whole = language_model._answer(asked[asked["p"] == 0])
     monkeypatch.setattr(language_model, "GRAMS_AT_ONCE", 500)
     pd.testing.assert_frame_equal(language_model._answer(asked[asked["p"] == 0]), whole)
@@ -484,8 +484,8 @@ def test_large_parts_are_counted_in_turns(texts, monkeypatch):
 def test_walk_in_lanes_carries_the_state(texts, monkeypatch):
     split = [(t or "").encode().lower().split() for t in texts]
     whole = [[*w, None] for w in split]
-    line = language_model.Line([t and zlib.compress(t.encode()) for t in texts], 1)
-    asked = language_model._ask(pd.DataFrame({"b": 0, "text": [t and zlib.compress(t.encode()) for t in texts], "train": True}), 1)
+    line = language_model.Line(texts, 1)
+    asked = pd.concat([language_model._ask(pd.DataFrame({"b": 0, "text": texts, "train": True}), 1, n) for n in (2, 3)])
     found = language_model._answer(asked)
     figures = language_model.Figures(sum(map(len, whole)), len({w for x in whole for w in x}), 0.6)
     seen = []
