@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotations, decisions
+from ..operators import annotations, decisions, reading_view
 from .base import read
 from .numbering import pages_of
 
@@ -56,12 +56,50 @@ def small_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations.small_runs(_spans(spark, sf_dir)).withColumn("ratio", F.round("ratio", 9))
 
 
-QUERIES = {f.__name__: f for f in (judged_decisions, applied_decisions, inline_annotations, small_runs)}
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as blocks of their source's book, each with edits of its characters: proven, twice, overlapping, misplaced, unproven."""
+    blocks = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("block"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 6 == 0, "Footnote").otherwise("Text").alias("type"), "text", F.md5("source").alias("fingerprint"))
+    made = [(0, 3, "remove_locator_token", "shape:digit", 0), (0, 3, "remove_locator_token", "shape:digit", 0), (10, 14, "remove_locator_token", "position:x", 0), (12, 14, "remove_text", "human_page_audit", 0), (20, 22, "remove_locator_token", "guess", 0), (24, 26, "remove_text", "shape:digit", 0), (28, 30, "remove_locator_token", "shape:digit", 1), (30, 34, "separate_native_margin", "sequence:step5", 0), (34, 35, "cut", "shape:digit", 0)]
+    edit = lambda b, e, action, evidence, off: F.struct(F.lit(b).alias("begin"), F.lit(e).alias("end"), F.lit(action).alias("action"), F.array(F.lit(evidence)).alias("evidence"), F.concat(F.substring("text", b + 1, e - b), F.lit("§" * off)).alias("original"))
+    edits = blocks.withColumn("e", F.explode(F.array(*(edit(*m) for m in made)))).select("source", "block", "e.*", "fingerprint")
+    return blocks, edits
+
+
+def judged_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, edits = _edited(spark, sf_dir)
+    return reading_view.judged_edits(edits, blocks, "source").groupBy("source", "begin", "verdict").agg(F.count("*").alias("n"))
+
+
+def reading_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after its edits, and for each third one a note restored beside it."""
+    blocks, edits = _edited(spark, sf_dir)
+    notes = blocks.where("block % 3 = 0").select("source", "block", F.lit(0).alias("number"), F.lit("Footnote").alias("type"), F.substring("text", 1, 9).alias("text"))
+    view = reading_view.reading_view(blocks, reading_view.judged_edits(edits, blocks, "source"), notes, "source")
+    return view.select("source", "block", "ord", "part", "type", F.md5(F.col("text").cast("binary")).alias("md5"), "edits")
+
+
+def body_texts_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, edits = _edited(spark, sf_dir)
+    view = reading_view.reading_view(blocks, reading_view.judged_edits(edits, blocks, "source"), blocks.where("false").select("source", "block", F.lit(0).alias("number"), "type", "text"), "source")
+    return reading_view.body_of(view, "source").select("source", "chars")
+
+
+QUERIES = {f.__name__: f for f in (judged_edits, reading_views, body_texts_of_sources, judged_decisions, applied_decisions, inline_annotations, small_runs)}
 
 _SPANS = """i AS (SELECT o_custkey AS page, l_orderkey AS block, (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey % 1000 * 100 + CAST(l_quantity AS BIGINT) AS ord, CASE WHEN l_orderkey % 6 = 0 THEN '(' || l_returnflag || ')' ELSE repeat(l_returnflag, l_partkey % 12) END AS text,
   CASE WHEN l_partkey % 9 > 0 THEN CASE WHEN l_suppkey % 4 = 0 THEN 6.0 ELSE 10.0 END + l_quantity % 2 END::DOUBLE AS size, l_partkey % 50 = 7 AS small FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 m AS (SELECT page, median(size) AS main FROM i WHERE size IS NOT NULL GROUP BY page)"""
+# which ranges stand in a text of a length, and what is left of it; a gap between two spaces closes to one
+_VIEW = """d AS (SELECT source, doc_id, coalesce(text, '') AS t, text FROM documents),
+a AS (SELECT *, length(t) >= 3 AS one, length(t) >= 34 AS two, substr(t, 4, 27) AS mid, CASE WHEN length(t) >= 34 THEN substr(t, 35) END AS tail FROM d),
+v AS (SELECT *, CASE WHEN NOT one THEN t WHEN NOT two THEN trim(substr(t, 4), ' ') ELSE trim(CASE WHEN ends_with(mid, ' ') AND starts_with(tail, ' ') THEN mid || substr(tail, 2) ELSE mid || tail END, ' ') END AS after, CAST(one AS INTEGER) + CAST(two AS INTEGER) AS edits FROM a)"""
 ORACLES = {
+    "reading_views": f"""WITH {_VIEW} SELECT source, CAST(doc_id AS VARCHAR) AS block, doc_id AS ord, 0 AS part, CASE WHEN doc_id % 6 = 0 THEN 'Footnote' ELSE 'Text' END AS type, md5(after) AS md5, edits FROM v
+UNION ALL SELECT source, doc_id || '::note-0', doc_id, 1, 'Footnote', md5(substr(text, 1, 9)), 0 FROM v WHERE doc_id % 3 = 0""",
+    "body_texts_of_sources": f"""WITH {_VIEW} SELECT source, CAST(sum(length(after)) + 2 * (count(*) - 1) AS INTEGER) AS chars FROM v WHERE doc_id % 6 > 0 AND trim(after, ' ') <> '' GROUP BY source""",
+    "judged_edits": """WITH d AS (SELECT source, coalesce(text, '') AS t FROM documents), e(b, e, kind) AS (VALUES (0, 3, 'applied'), (10, 14, 'overlapping_edits'), (12, 14, 'overlapping_edits'), (20, 22, 'edit_evidence_missing_or_unsupported'), (24, 26, 'human_text_edit_without_human_evidence'), (28, 30, 'source_text_mismatch'), (30, 34, 'applied'), (34, 35, 'unsupported_edit_action')),
+j AS (SELECT source, b, CASE WHEN kind IN ('edit_evidence_missing_or_unsupported', 'human_text_edit_without_human_evidence', 'unsupported_edit_action') THEN kind WHEN length(t) < e THEN 'source_text_mismatch' ELSE kind END AS verdict FROM d, e)
+SELECT source, b AS begin, verdict, count(*) AS n FROM j GROUP BY ALL""",
     "inline_annotations": f"""WITH {_SPANS}, b AS (SELECT page, block, trim(string_agg(text, ' ' ORDER BY ord, text)) AS t, avg(size) AS mean, min(size) AS low, max(size) AS high, count(size) AS n, bool_or(small) AS small FROM i GROUP BY ALL),
 r AS (SELECT b.*, coalesce(mean / main, 1) AS ratio, starts_with(t, '(') AND ends_with(t, ')') AS bracketed, coalesce(n > 1 AND (high - low) / high > 0.3, false) AS mixed FROM b LEFT JOIN m USING (page))
 SELECT page, block, CASE WHEN bracketed THEN '括号注' WHEN mixed THEN '双行小字' WHEN ratio < 0.7 AND length(t) < 30 THEN '夹注' WHEN ratio < 0.7 AND length(t) < 100 THEN '割注' ELSE '其他小字注' END AS subtype, round(ratio, 9) AS ratio

@@ -223,3 +223,28 @@ def test_kinds_of_annotations(spark):
     rows = body + [(0, b, i, t, s, m) for b, spans in given.items() for i, (t, s, m) in enumerate(spans)]
     got = {r["block"]: r["subtype"] for r in annotations.inline_annotations(spark.createDataFrame(rows, SPAN)).collect()}
     assert got == {1: annotations.BRACKETED, 2: annotations.SHORT, 3: annotations.LONGER, 4: annotations.DOUBLED, 5: annotations.OTHER, 6: annotations.OTHER}
+
+
+# the reading view
+
+BLOCK = "doc string, block int, ord int, type string, text string, fingerprint string"
+EDIT = "doc string, block int, action string, begin int, end int, original string, evidence array<string>, fingerprint string"
+
+
+def test_edits_and_the_reading_view(spark):
+    from folioframe.operators import reading_view as view
+
+    blocks = spark.createDataFrame([("d", 0, 5, "Text", "415a The text 10 goes on", "f"), ("d", 1, 6, "Text", "abcdef", "f"), ("d", 2, 7, "Footnote", "note", "f"), ("d", 3, 8, "Text", None, "f")], BLOCK)
+    cut, good = "remove_locator_token", ["shape:digit"]
+    rows = [
+        ("d", 0, cut, 0, 4, "415a", good, "f"), ("d", 0, cut, 0, 4, "415a", good, "f"), ("d", 0, "separate_native_margin", 14, 16, "10", ["pitch_match:body"], "f"),
+        ("d", 1, cut, 0, 3, "abc", good, "f"), ("d", 1, cut, 2, 4, "cd", good, "f"), ("d", 1, cut, 4, 5, "e", good, "f"), ("d", 1, "remove_text", 5, 6, "f", good, "f"),
+        ("d", 2, cut, 0, 9, "note", good, "f"), ("d", 2, cut, 0, 4, "note", good, "g"), ("d", 2, cut, 0, 4, "note", ["guess"], "f"), ("d", 2, cut, 0, 4, "note", None, "f"), ("d", 2, cut, None, 4, "note", good, "f"), ("d", 3, cut, 0, 1, "x", good, "f"), ("d", 9, cut, 0, 1, "x", good, "f"), ("d", 2, "burn", 0, 1, "n", good, "f"),
+    ]
+    verdicts = view.judged_edits(spark.createDataFrame(rows, EDIT), blocks, "doc")
+    got = sorted((r["block"], r["begin"] if r["begin"] is not None else -1, r["verdict"]) for r in verdicts.collect())
+    assert got == sorted([(0, 0, "applied"), (0, 14, "applied"), (1, 0, "overlapping_edits"), (1, 2, "overlapping_edits"), (1, 4, "applied"), (1, 5, "human_text_edit_without_human_evidence"), (2, 0, "source_text_mismatch"), (2, 0, "edit_source_fingerprint_missing_or_mismatched"), (2, 0, "edit_evidence_missing_or_unsupported"), (2, 0, "edit_evidence_missing_or_unsupported"), (2, -1, "invalid_char_range"), (3, 0, "source_text_mismatch"), (9, 0, "missing_source_block"), (2, 0, "unsupported_edit_action")])
+    notes = spark.createDataFrame([("d", 0, 0, "Footnote", "first"), ("d", 0, 1, "Footnote", "second")], "doc string, block int, number int, type string, text string")
+    whole = view.reading_view(blocks, verdicts, notes, "doc")
+    assert [(r["block"], r["text"], r["edits"]) for r in whole.orderBy("ord", "part").collect()] == [("0", "The text goes on", 2), ("0::note-0", "first", 0), ("0::note-1", "second", 0), ("1", "abcdf", 1), ("2", "note", 0), ("3", "", 0)]
+    assert [tuple(r) for r in view.body_of(whole, "doc").collect()] == [("d", "The text goes on\n\nabcdf", 23)]
