@@ -81,6 +81,11 @@ def common_edge_lines_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture.near_common_edges(docs, furniture.common_edges(docs, "source", ["doc_id"], "first"), "source", "first").select("doc_id").distinct()
 
 
+def common_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the edges of a document's pages: those that recur in it."""
+    return furniture.common_edges(lines_of(read(spark, sf_dir, "documents")), "doc_id", ["line_idx"], "line")
+
+
 def footnote_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The markers that open the lines of `documents`, given every kind of one by the line's number."""
     opened = F.concat(F.element_at(F.array(*(F.lit(x) for x in MARKS)), (F.pmod(F.col("doc_id") + F.col("line_idx"), F.lit(len(MARKS))) + 1).cast("int")), F.col("line"))
@@ -138,7 +143,7 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("line <> ''").groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (text_quality, bad_ocr_flags, page_diagnostics, text_layer_recommendation, hyphen_repair, typography_fold, markdown_noise, common_edge_lines, common_edge_lines_fuzzy, footnote_markers, superscript_calls, roman_numerals, chinese_numerals, repeated_halves, credential_redaction, cell_texts, slugs, rtl_texts, clean_lines)}
+QUERIES = {f.__name__: f for f in (text_quality, bad_ocr_flags, page_diagnostics, text_layer_recommendation, hyphen_repair, typography_fold, markdown_noise, common_edge_lines, common_edge_lines_fuzzy, common_page_lines, footnote_markers, superscript_calls, roman_numerals, chinese_numerals, repeated_halves, credential_redaction, cell_texts, slugs, rtl_texts, clean_lines)}
 
 _VISIBLE = r"length(regexp_replace(line, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g'))"
 _CONTROL = r"'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]'"
@@ -227,6 +232,10 @@ SELECT doc_id, CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#]+[ \t]+', '\1', 'g
        CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#*+\-]+[ \t]+', '\1', 'g')) AS INTEGER) AS length_2,
        CAST(length(regexp_replace(t, '(?m)^([ \t]*)[#*+\->|=_~]+[ \t]+', '\1', 'g')) AS INTEGER) AS length_3 FROM m""",
     "common_edge_lines": f"WITH {_EDGES} SELECT * FROM common",
+    "common_page_lines": f"""WITH {LINES_SQL}, e AS (SELECT doc_id, line_idx, {_EDGE.replace("first", "line")} AS edge FROM lines),
+n AS (SELECT *, CASE WHEN edge = lag(edge) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY line_idx)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_idx) AS run FROM n),
+s AS (SELECT doc_id, edge, run, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT doc_id, count(*) AS pages FROM e GROUP BY 1), c AS (SELECT doc_id, edge, CAST(sum(n) AS BIGINT) AS n, max(n) AS streak FROM s GROUP BY ALL)
+SELECT doc_id, edge, n, streak FROM c JOIN t USING (doc_id) WHERE (n >= pages * 0.2 OR streak >= 3) AND n > 3""",
     # the longest common subsequence, a row of its table for each sign of the common text
     "common_edge_lines_fuzzy": f"""WITH RECURSIVE {_EDGES}, p AS (SELECT DISTINCT e.edge AS a, c.edge AS b FROM e JOIN common c USING (source) WHERE length(e.edge) + length(c.edge) > 0),
 l(a, b, j, row) AS (SELECT a, b, 0, list_transform(range(length(a) + 1), lambda i: 0) FROM p

@@ -64,3 +64,17 @@ def test_captions_are_taken_once(spark):
     got = {r["owner"]: (r["kind"], list(r["members"]), r["group_y0"], r["group_y1"]) for r in layout.caption_groups(blocks, pages).collect()}
     assert got == {11: ("TableGroup", [10, 11, 12], 0.0, 80.0), 13: ("FigureGroup", [13, 14], 90.0, 140.0), 17: ("PictureGroup", [16, 17], 180.0, 230.0)}
     assert layout.caption_groups(blocks, pages, 0.001).count() == 0
+
+
+def test_runs_over_the_ends_of_ranges(spark):
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    rows = [(d, i, rng.choice("aaab")) for d, n in (("x", 900), ("y", 3), ("z", 400)) for i in range(n)] + [("w", i, "same") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc string, at int, line string").repartition(7)
+    got = sorted((r["doc"], r["line"], r["n"]) for r in furniture.edge_runs(df, "doc", ["at"], "line").collect())
+    want = sorted((d, line, len(list(run))) for (d, line), run in itertools.groupby(sorted(rows), key=lambda r: (r[0], r[2])))
+    assert got == want
+    assert [tuple(r) for r in furniture.common_edges(df.where("doc = 'w'"), "doc", ["at"], "line").collect()] == [("w", "same", 700, 700)]
+    assert furniture.common_edges(df.where("false"), "doc", ["at"], "line").count() == 0
