@@ -277,3 +277,38 @@ def test_manifest_of_few_or_no_rows(spark):
     assert proven(spark, []).collect() == []
     (r,) = proven(spark, [(1, "s", "en", 1, "plain")]).collect()
     assert r["leaf"] == r["subroot"] == r["root"] == r["folded_root"] and r["proof"] == "" and r["verified"]
+
+
+# columns of any name, and rows without ids
+
+
+def test_columns_that_clash(spark):
+    from folioframe.llm import sharding, url_filter
+    from folioframe.llm.queries import RULES
+
+    names = "_key string, _id int, _size int, _start string, _bin int, _rank int, c0 string, shard string"
+    df = spark.createDataFrame([(i, f"text {i % 5}", "k", 1, 2, "s", 3, 4, "c", "old") for i in range(60)] + [(None, None, "k", 1, 2, "s", 3, 4, "c", "old")] * 2, f"doc_id long, text string, {names}")
+    got = sharding.shard_by_bytes(df, shards=4).collect()
+    assert len(got) == 62 and all((r["_key"], r["_id"], r["_size"], r["_start"], r["_bin"], r["_rank"], r["c0"]) == ("k", 1, 2, "s", 3, 4, "c") and 0 <= r["shard"] < 4 for r in got)
+    for s in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "mine", 5, "old"), (2, None, "mine", 5, "old")], "page_id long, url string, _found string, found int, verdict string")
+    judged = {r["page_id"]: (r["_found"], r["found"], r["verdict"], r["rule"]) for r in url_filter.judge_urls(pages, RULES).collect()}
+    assert judged == {1: ("mine", 5, "block", "com/en/"), 2: ("mine", 5, "allow", None)}
+    assert url_filter.judge_urls(pages.where("false"), RULES).count() == 0
+
+
+def test_repeats_of_rows_without_ids(spark):
+    from folioframe.llm import substring_dedup
+
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    passage = text(70)
+    alone = [text(60) for _ in range(40)]
+    mixed = [text(30) + " " + passage + " " + text(30) for _ in range(3)]
+    rows = [(None, t) for t in alone + mixed] + [(7, mixed[0])] * 30  # repeated rows of one id whose passage others share
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_removed"] == 0 for r in got if r["text"] in alone)
+    assert all(r["n_removed"] == r["n_bytes"] for r in got if r["text"] == mixed[0]) and sum(r["text"] == mixed[0] for r in got) == 31
+    assert all(len(passage) <= r["n_removed"] < r["n_bytes"] and r["n_spans"] == 1 for r in got if r["text"] in mixed[1:])
