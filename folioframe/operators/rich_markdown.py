@@ -292,6 +292,26 @@ def numbered_paragraphs(lines: list[str]) -> list[str]:
     return out
 
 
+#: Page numbers of front matter, which may stick to the title before them in contents.
+FRONT_PAGES = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi")
+_SUPERSCRIPT = re.compile(r"(?:<|&lt;)sup(?:>|&gt;)([^<>&]*)(?:<|&lt;)/sup(?:>|&gt;)")
+
+
+def _full_sign(found: re.Match) -> str:
+    """A superscript with a note sign in it in full notation, without a bracket; others as they are."""
+    said = found[1].strip().removesuffix(")").strip()
+    is_sign = (said.isascii() and said.isdigit() and len(said) <= 4) or (0 < len(said) <= 12 and not set(said.lower()) - set("ivxlcdm")) or (said and not set(said) - {"*"})
+    return f"<sup>{said}</sup>" if is_sign else found[0]
+
+
+def _page_apart(line: str) -> str:
+    """A title of contents that ends in a page of the front matter without a space gets one; two letters at least are left."""
+    for page in sorted(FRONT_PAGES[1:], key=len, reverse=True):
+        if len(page) > 1 and line.lower().endswith(page) and line[: -len(page)][-2:].isalpha() and len(line) > len(page) + 1:
+            return f"{line[: -len(page)]} {line[-len(page) :]}"
+    return line
+
+
 def formatted(text: str, escape_numbers: bool = False) -> str:
     """Markdown after its last repairs, code left alone: note signs in full, references out of superscripts, page numbers of contents apart, no more than one empty line.
 
@@ -306,13 +326,12 @@ def formatted(text: str, escape_numbers: bool = False) -> str:
         lines = numbered_paragraphs(prose) if escape_numbers else list(prose)
         prose.clear()
         for line in lines:
-            line = re.sub(r"&lt;sup(?:&gt;|>)\s*([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,12}|\*+)\s*(?:&lt;/sup(?:&gt;|>)|</sup>)", r"<sup>\1</sup>", line)
-            line = re.sub(r"<sup>\s*([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,12}|\*+)\s*\)?\s*</sup>", r"<sup>\1</sup>", line)
-            line = re.sub(r"(\S+\s+)<sup>([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,12})</sup>", lambda m: m[1] + m[2] if m[1].split()[0].lower().lstrip("(") in REFERENCED else m[0], line)
+            line = _SUPERSCRIPT.sub(_full_sign, line)
+            line = re.sub(r"(\S+\s+)<sup>(\w+)</sup>", lambda m: m[1] + m[2] if m[1].split()[0].lower().lstrip("(") in REFERENCED else m[0], line)
             if re.match(r"#{1,6}\s", line):
                 contents = line.strip("#* \t").lower() == "contents"
             elif contents:
-                line = re.sub(r"([A-Za-z]{2,}?)(viii|vii|vi|iv|iii|ii|ix|xi{1,3}|xiv|xvi?|x)$", r"\1 \2", line)
+                line = _page_apart(line)
             out.append(line)
 
     for line in text.split("\n"):
