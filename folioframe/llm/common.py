@@ -82,10 +82,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles that no plan can read any more: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs herein go when it ends, not when the driver happens to collect its garbage; what it wrote stays."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def integer_components(vector, scale: int):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, forget_shuffles, utf8_size
+from .common import Scratch, dropping_shuffles, utf8_size
 
 #: The end of a text counts as a token; its key is no word's (words have the lowest bit set).
 END = 0
@@ -380,9 +380,8 @@ def score_texts(df: DataFrame, allowed: Column, ident: str = "doc_id", text: str
     answered = []
     for n in (2, 3):  # one size after the other, so that the keys of one alone are on disk
         asked = dealt.groupBy("b").applyInPandas(_asking(n, parts), ASKED)
-        answered.append(scratch.write(asked.groupBy("p").applyInPandas(_answer, ANSWERED)))
-        del asked
-        forget_shuffles(spark)
+        with dropping_shuffles(spark):
+            answered.append(scratch.write(asked.groupBy("p").applyInPandas(_answer, ANSWERED)))
     answers = answered[0].unionByName(answered[1])
     sums = answers.where("b < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "n1", "n2"))).first()
     n1, n2 = sums["n1"] + (ends == 1), sums["n2"] + (ends == 2)
