@@ -46,7 +46,8 @@ def imprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recorded_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as the pages of a customer; their priorities, with a page number before or after, recur as running heads."""
-    number = F.col("o_orderkey").cast("string")
+    # a printed page number has five digits at most, as the signature reads it
+    number = (F.col("o_orderkey") % 100_000).cast("string")
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(number, F.lit("  "), "o_orderpriority", F.lit(" Head"))).otherwise(F.concat("o_orderpriority", F.lit(" HEAD xiv")))
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"), F.col("o_orderstatus").alias("kind"), text.alias("text"))
     return ops.recorded(rows, "doc")
