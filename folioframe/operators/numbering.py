@@ -73,7 +73,8 @@ def nearest_of_kind(pages: DataFrame, doc: str) -> DataFrame:
     along = Window.partitionBy(doc, "kind").orderBy("page_idx")
     place = F.when(F.col("number").isNotNull(), F.struct("page_idx", "number"))
     before = F.last(place, True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(place, True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    # a frame up to the end is read anew for every row; from the end backwards it grows row by row
+    after = F.last(place, True).over(Window.partitionBy(doc, "kind").orderBy(F.desc("page_idx")).rowsBetween(Window.unboundedPreceding, -1))
     out = pages.withColumn("_b", before).withColumn("_a", after)
     down, up = F.col("_b.number") + F.col("page_idx") - F.col("_b.page_idx"), F.col("_a.number") - F.col("_a.page_idx") + F.col("page_idx")
     return out.select(*pages.columns, F.col("_b.number").alias("previous"), F.col("_a.number").alias("next"), F.when(down == up, down).alias("projected"))

@@ -57,10 +57,10 @@ def page_number_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of a user's purchases before and after each event: an as-of lookup both ways."""
-    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    along, back = (Window.partitionBy("user_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (("ts", "event_id"), (F.desc("ts"), F.desc("event_id"))))
     bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
     events = read(spark, sf_dir, "events")
-    return events.select("event_id", F.last(bought, True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first(bought, True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    return events.select("event_id", F.last(bought, True).over(along).alias("before"), F.last(bought, True).over(back).alias("after"))
 
 
 def edge_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Larger keys and larger groups than the smallest tables have."""
 
+import re
+
 import duckdb
 import pyarrow.parquet as pq
+import pytest
 from test_queries import SF, rows
 
 from folioframe import plans
@@ -29,3 +32,11 @@ def test_note_numbers_of_large_supplier_keys(spark, tmp_path):
     moved(tmp_path, "lineitem", l_suppkey=1_234_567)
     got, want = held(spark, tmp_path, "note_heads", "lineitem")
     assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["judged_decisions", "applied_decisions", "nearest_numbers", "nearest_anchor", "repair_proposals", "selected_folios", "span_order"])
+def test_no_frame_from_a_row_to_the_end(spark, name):
+    """Such a frame is read anew for every row of its group, so its work is the square of the group's size."""
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "windowframe" in plan
+    assert not re.search(r"rowframe, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan)
