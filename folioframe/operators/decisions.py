@@ -42,12 +42,13 @@ def review_spans(reviewed: DataFrame, pages: DataFrame, doc: str) -> DataFrame:
     spans = reviewed.withColumn("span", F.sum(new.cast("int")).over(along))
     inside = spans.select(doc, "page", "span", F.col("kind").alias("_kind"))
     rows = pages.select(doc, "page", F.col("kind").alias("own"), "current").join(inside, [doc, "page"], "left")
-    order = Window.partitionBy(doc).orderBy("page")
+    # a frame up to the end is read anew for every row; from the end backwards it grows row by row
+    order, back = (Window.partitionBy(doc).orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in ("page", F.desc("page")))
     for kind in ("arabic", "roman"):
         value = F.when(F.col("own") == kind, F.col("current"))
         # a number inside the span itself is no anchor of it
         outside = F.when(F.col("span").isNull() | (F.col("_kind") != kind), value)
-        rows = rows.withColumn(f"_left_{kind}", F.last(outside, True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn(f"_right_{kind}", F.first(outside, True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+        rows = rows.withColumn(f"_left_{kind}", F.last(outside, True).over(order)).withColumn(f"_right_{kind}", F.last(outside, True).over(back))
     side = lambda s: F.when(F.col("_kind") == "arabic", F.col(f"_{s}_arabic")).otherwise(F.col(f"_{s}_roman"))
     ends = rows.where("span is not null").groupBy(doc, "span").agg(F.min_by(side("left"), "page").alias("left"), F.max_by(side("right"), "page").alias("right"))
     return spans.join(ends, [doc, "span"])
@@ -84,7 +85,7 @@ def judged(spans: DataFrame, decisions: DataFrame, doc: str, anchored: bool = Fa
     rows = rows.withColumn("number", number_of(F.col("final"), F.col("kind")))
     along = Window.partitionBy(doc, "span").orderBy("page")
     low = F.max("number").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    high = F.min("number").over(along.rowsBetween(1, Window.unboundedFollowing))
+    high = F.min("number").over(Window.partitionBy(doc, "span").orderBy(F.desc("page")).rowsBetween(Window.unboundedPreceding, -1))
     if anchored:
         low, high = F.greatest(low, number_of(F.col("left"), F.col("kind"))), F.least(high, number_of(F.col("right"), F.col("kind")))
     step = F.col("number") - F.last("number", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
