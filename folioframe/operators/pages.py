@@ -51,9 +51,10 @@ def select_folios(candidates: DataFrame, doc: str, anchor: float = 2.2, least: f
     profile = shared.groupBy(doc).agg(F.min_by(F.struct("zone", "alignment"), F.struct(-F.col("n"), "first")).alias("p"))
     rows = candidates.join(profile, doc).withColumn("score", F.col("score") + F.when(F.col("zone") == F.col("p.zone"), 0.25).otherwise(0.0) + F.when(F.col("alignment") == F.col("p.alignment"), 0.2).otherwise(0.0)).drop("p")
     anchors = rows.withColumn("_k", F.row_number().over(Window.partitionBy(doc, "page").orderBy(*order))).where((F.col("_k") == 1) & (F.col("score") >= anchor)).select(doc, "page", F.struct("page", "number").alias("a"))
-    along = Window.partitionBy(doc).orderBy("page")
+    # a frame up to the end is read anew for every row; from the end backwards it grows row by row
+    along, back = (Window.partitionBy(doc).orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in ("page", F.desc("page")))
     pages = candidates.select(doc, "page").distinct().join(anchors, [doc, "page"], "left")
-    pages = pages.withColumn("before", F.last("a", True).over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("a", True).over(along.rowsBetween(1, Window.unboundedFollowing)))
+    pages = pages.withColumn("before", F.last("a", True).over(along)).withColumn("after", F.last("a", True).over(back))
 
     def bonus(side: str) -> Column:
         off = F.abs(F.col("number") - (F.col(side)["number"] + F.col("page") - F.col(side)["page"]))
@@ -75,7 +76,8 @@ def repaired_order(blocks: DataFrame, page: list[str]) -> DataFrame:
     n = F.row_number().over(along)
     known = F.when(F.col("position") > 0, F.struct(F.col("position").alias("p"), F.col("_n").alias("n")))
     rows = blocks.withColumn("_n", n)
-    before, after = F.last(known, True).over(along.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*page).orderBy(F.desc("_n"))
+    before, after = (F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (along, back))
     rows = rows.withColumn("_b", before).withColumn("_a", after)
     at = F.coalesce(F.col("_b.p") + F.col("_n") - F.col("_b.n"), F.col("_a.p") - (F.col("_a.n") - F.col("_n")), F.lit(0.0))
     rows = rows.withColumn("_at", at)
