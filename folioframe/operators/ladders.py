@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 #: Numbers count by fives; the bounds of a step against the lines it counts, without and with pictures or headings between.
 STEP, LEAST, MOST, MOST_BROKEN = 5, 0.75, 1.25, 1.5
 
@@ -50,6 +52,7 @@ def best_ladder(y: np.ndarray, values: np.ndarray, pitch: float, blocked: np.nda
         return []
     count = [(1, 0)] * len(y)
     before = [-1] * len(y)
+    y, values, blocked = y.tolist(), values.tolist(), blocked.tolist()
     for b in range(len(y)):
         for a in range(b):
             up = values[b] - values[a]
@@ -57,7 +60,7 @@ def best_ladder(y: np.ndarray, values: np.ndarray, pitch: float, blocked: np.nda
                 continue
             wanted, there = up * pitch, y[b] - y[a]
             plain = LEAST * wanted <= there <= MOST * wanted
-            broken = blocked[a, b] > 0 and LEAST * wanted <= there - blocked[a, b] <= MOST_BROKEN * wanted
+            broken = blocked[a][b] > 0 and LEAST * wanted <= there - blocked[a][b] <= MOST_BROKEN * wanted
             if (plain or broken) and (count[a][0] + 1, count[a][1] + plain) > count[b]:
                 count[b], before[b] = (count[a][0] + 1, count[a][1] + plain), a
     at = max(range(len(y)), key=lambda k: (count[k], -k))
@@ -90,38 +93,51 @@ def ladders(marks: DataFrame, pitches: DataFrame, obstacles: DataFrame, least: i
     things = obstacles.groupBy("page").agg(F.collect_list(F.struct("y0", "y1")).alias("things"))
     rows = marks.join(pitches.select("page", "pitch", "size"), "page", "left").join(things, "page", "left")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["side", "y0", "id"], kind="stable").reset_index(drop=True)
-        found = np.full(len(part), np.nan)
-        given, size = part["pitch"].iloc[0], part["size"].iloc[0]
-        boxes = np.array([(t["y0"], t["y1"]) for t in part["things"].iloc[0]]) if part["things"].iloc[0] is not None else np.zeros((0, 2))
+    def numbered(side: np.ndarray, value: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, given: float, size: float, boxes: np.ndarray) -> np.ndarray:
+        """A page's marks, by side, height and id: the number of each one's ladder, or none."""
+        found = np.full(len(side), np.nan)
+        middle = (y0 + y1) / 2
         number = 0
-        for _, side in part.groupby("side", sort=True):
-            reach = max(3.0, 0.65 * (size if pd.notna(size) else float((side["y1"] - side["y0"]).median())))
-            groups = _edge_groups(side["x0"].to_numpy(), side["x1"].to_numpy(), reach)
+        for name in sorted({s for s in side.tolist() if s is not None}):
+            at = np.flatnonzero(side == name)
+            if len(at) < least:
+                continue
+            reach = max(3.0, 0.65 * (size if size == size else float(np.median((y1 - y0)[at]))))
+            groups = _edge_groups(x0[at], x1[at], reach)
             for g in dict.fromkeys(groups.tolist()):
-                rest = side.index[groups == g].to_numpy()
-                rest = rest[np.argsort(((part["y0"] + part["y1"]) / 2).to_numpy()[rest], kind="stable")]
+                rest = at[groups == g]
+                rest = rest[np.argsort(middle[rest], kind="stable")]
                 while len(rest) >= least:
-                    y = ((part["y0"] + part["y1"]) / 2).to_numpy()[rest]
-                    values = part["value"].to_numpy()[rest]
-                    pitch = given if pd.notna(given) else voted_pitch(y, values)
+                    y, values = middle[rest], value[rest]
+                    pitch = given if given == given else voted_pitch(y, values)
                     if pitch is None:
                         break
-                    inside = (boxes[None, None, :, 0] > y[:, None, None]) & (boxes[None, None, :, 1] < y[None, :, None])
-                    blocked = (inside * (boxes[:, 1] - boxes[:, 0])).sum(2)
+                    blocked = np.zeros((len(y), len(y)))
+                    for low, high in boxes:
+                        blocked += ((low > y[:, None]) & (high < y[None, :])) * (high - low)
                     way = best_ladder(y, values, pitch, blocked)
                     steps = [(y[b] - y[a]) / (values[b] - values[a]) for a, b in zip(way, way[1:], strict=False)]
                     plain = sum(LEAST * pitch <= s <= MOST * pitch for s in steps)
-                    height = float((part["y1"].max() - part["y0"].min()))
-                    enough = len(way) >= least and plain >= 2 and (pd.notna(given) or (len(way) >= least_alone and values[way[0]] <= 3 * STEP and y[way[-1]] - y[way[0]] >= height / 4))
+                    height = float(y1.max() - y0.min())
+                    enough = len(way) >= least and plain >= 2 and (given == given or (len(way) >= least_alone and values[way[0]] <= 3 * STEP and y[way[-1]] - y[way[0]] >= height / 4))
                     if not enough:
                         break
                     number += 1
                     found[rest[way]] = number
                     rest = np.delete(rest, way)
-        return part[["page", "id"]].assign(ladder=pd.array(found, dtype="Int32"))
+        return found
+
+    def run(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        side, value, x0, y0, x1, y1 = (rows[c].to_numpy() for c in ("side", "value", "x0", "y0", "x1", "y1"))
+        pitch, size = (rows[c].to_numpy("float64", na_value=np.nan) for c in ("pitch", "size"))
+        found = np.full(len(rows), np.nan)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= least:
+                things = rows["things"].iat[a]
+                boxes = np.zeros((0, 2)) if things is None else np.array([(t["y0"], t["y1"]) for t in things])
+                found[a:b] = numbered(side[a:b], value[a:b], x0[a:b], y0[a:b], x1[a:b], y1[a:b], float(pitch[a]), float(size[a]), boxes)
+        return rows[["page", "id"]].assign(ladder=pd.array(found, dtype="Int32"))
 
     narrow = rows.select("page", "id", "side", "value", "x0", "y0", "x1", "y1", "pitch", "size", "things")
-    told = narrow.groupBy("page").applyInPandas(run, "page long, id long, ladder int")
+    told = folded(narrow, ["page"], ["side", "y0", "id"], run, "page long, id long, ladder int")
     return marks.join(told, ["page", "id"], "left")

@@ -3,11 +3,13 @@
 import re
 
 import duckdb
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from test_queries import SF, rows
 
 from folioframe import plans
+from folioframe.operators.folds import folded
 
 
 def moved(path, name, **shifts):
@@ -40,3 +42,22 @@ def test_no_frame_from_a_row_to_the_end(spark, name):
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "windowframe" in plan
     assert not re.search(r"rowframe, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan)
+
+
+@pytest.mark.parametrize("name", ["margin_ladders", "locator_spans"])
+def test_small_groups_share_a_call(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_folded_groups_are_whole(spark):
+    """Groups of one row, of more than a batch, and without a key each come once and in order."""
+    sizes = {None: 5, 1: 1, 2: 25_000, 3: 1, 4: 10_000}
+    df = spark.createDataFrame([(k, i * 7919 % n) for k, n in sizes.items() for i in range(n)], "k long, i long")
+
+    def fold(rows, bounds):
+        parts = [rows.iloc[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pd.DataFrame({"k": pd.array([p["k"].iloc[0] if pd.notna(p["k"].iloc[0]) else None for p in parts], dtype="Int64"), "n": [len(p) for p in parts], "sorted": [bool(p["i"].is_monotonic_increasing) for p in parts]})
+
+    got = folded(df, ["k"], ["i"], fold, "k long, n long, sorted boolean").collect()
+    assert len(got) == len(sizes) and {r["k"]: r["n"] for r in got} == sizes and all(r["sorted"] for r in got)
