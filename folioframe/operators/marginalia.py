@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 #: The forms of marks that stand a line each, of a page and column, a page of an old edition, a number, a section and a numeral.
 LINE_FORM = r"(?i)^(\d{1,4}[ab]?|[ab]|\[\d{1,4}\]|\d{1,3}\.\d{1,3})$"
 COLUMN_FORM, OLD_PAGE_FORM, NUMBER_FORM, SECTION_FORM, NUMERAL_FORM = r"^\d{3}[ab]$", r"^\[\d{1,4}\]$", r"^\d{1,4}$", r"^\d{1,3}(\.\d{1,3})?$", r"(?i)^[ivxlcdm]{1,8}$"
@@ -146,11 +148,12 @@ def chained(marks: DataFrame, by: list[str], order: list[str], place: str, weigh
     keys = [*by, *order]
     narrow = marks.where(F.col(place).isNotNull()).select(*keys, F.col(place).cast("long").alias("_place"), F.col(weight).cast("long").alias("_weight"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        return rows.loc[heaviest_chain(rows["_place"].to_numpy(), rows["_weight"].to_numpy()), keys]
+    def run(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        places, weights = rows["_place"].to_numpy(), rows["_weight"].to_numpy()
+        on = [a + i for a, b in zip(bounds[:-1], bounds[1:], strict=True) for i in heaviest_chain(places[a:b], weights[a:b])]
+        return rows.iloc[on][keys]
 
-    kept = narrow.groupBy(*by).applyInPandas(run, narrow.select(*keys).schema)
+    kept = folded(narrow, by, order, run, narrow.select(*keys).schema)
     return marks.join(kept.withColumn("holds", F.lit(True)), keys, "left").withColumn("holds", F.coalesce("holds", F.lit(False)))
 
 
