@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -169,67 +172,143 @@ def parse_table(html: str | None) -> list:
     return parser.root
 
 
-def _postorder(tree: list) -> tuple[list[tuple[str, str]], list[int]]:
-    """Labels with their text in postorder, and each one's leftmost leaf."""
-    labels: list[tuple[str, str]] = []
+#: How many markups a worker remembers, and of what length at most.
+MARKUPS, MARKUP_SIGNS = 512, 8192
+_TEXTS = re.compile(r"(?<=>)([^<>&]+)(?=<)")
+
+
+@functools.lru_cache(MARKUPS)
+def _marked(markup: str, count: int) -> list | None:
+    """The tree of a markup whose texts are their numbers, each node's text as a list of these; None where one is not in its place."""
+    seen: list[int] = []
+
+    def numbered(node: list) -> bool:
+        marks = node[2].split(",")[:-1]
+        if node[2] != "".join(f"{m}," for m in marks) or not all(m.isdecimal() for m in marks):
+            return False
+        node[2] = [int(m) for m in marks]
+        seen.extend(node[2])
+        return all(numbered(child) for child in node[1])
+
+    tree = parse_table(markup)
+    return tree if numbered(tree) and sorted(seen) == list(range(count)) else None
+
+
+def _skeleton(html: str | None) -> tuple[str, list[str]] | None:
+    """A table's markup with numbers for its texts, and these texts: tables of one markup are parsed once.
+
+    None where the texts may take part in the parse, as entities and stray signs do, and for long markup.
+    """
+    if not html or "&" in html or html[0] != "<" or html[-1] != ">":
+        return None
+    parts = _TEXTS.split(html)
+    texts = parts[1::2]
+    parts[1::2] = map("{},".format, range(len(texts)))
+    markup = "".join(parts)
+    return (markup, texts) if len(markup) <= MARKUP_SIGNS and _marked(markup, len(texts)) is not None else None
+
+
+Ordered = tuple[tuple[str, ...], tuple[int, ...], list]
+
+
+def _postorder(tree: list) -> Ordered:
+    """Labels in postorder, each one's leftmost leaf, and each one's text."""
+    labels: list[str] = []
     leftmost: list[int] = []
+    texts: list = []
 
     def visit(node: list) -> int:
         first = None
         for child in node[1]:
             at = visit(child)
             first = at if first is None else first
-        labels.append((node[0], " ".join(node[2].split())))
+        labels.append(node[0])
+        texts.append(node[2])
         leftmost.append(len(labels) - 1 if first is None else first)
         return leftmost[-1]
 
     visit(tree)
-    return labels, leftmost
+    return tuple(labels), tuple(leftmost), texts
 
 
-def tree_distance(a: list, b: list) -> float:
-    """Edit distance of ordered trees; a cell's change costs its texts' relative edit distance."""
-    (la, ma), (lb, mb) = _postorder(a), _postorder(b)
-    keys = lambda m: sorted({x: i for i, x in enumerate(m)}.values())
-    whole = np.zeros((len(la), len(lb)))
+@functools.lru_cache(MARKUPS)
+def _marked_postorder(markup: str, count: int) -> Ordered:
+    return _postorder(_marked(markup, count))
+
+
+def _ordered(html: str | None) -> Ordered:
+    """_postorder of a table, the white space of its texts squeezed."""
+    known = _skeleton(html)
+    if known is None:
+        labels, leftmost, found = _postorder(parse_table(html))
+        return labels, leftmost, [" ".join(t.split()) for t in found]
+    markup, texts = known
+    labels, leftmost, marks = _marked_postorder(markup, len(texts))
+    return labels, leftmost, [" ".join("".join([texts[i] for i in m]).split()) if m else "" for m in marks]
 
-    def change(x: tuple[str, str], y: tuple[str, str]) -> float:
-        if x[0] != y[0]:
-            return 1.0
-        longest = max(len(x[1]), len(y[1]))
-        return fn.sequence_distance(list(x[1]), list(y[1])) / longest if longest and x[1] != y[1] else 0.0
 
+def _tree_distance(ma: tuple[int, ...], mb: tuple[int, ...], change: list[list], least: Callable) -> float | np.ndarray:
+    """Edit distance of ordered trees by leftmost leaves and costs of changes; the costs may be arrays, one place for each pair of trees of these forms."""
+    keys = lambda m: sorted({x: i for i, x in enumerate(m)}.values())
+    whole: list[list] = [[0.0] * len(mb) for _ in ma]
     for i in keys(ma):
         for j in keys(mb):
             oi, oj = ma[i], mb[j]
-            part = np.zeros((i - oi + 2, j - oj + 2))
-            part[:, 0] = np.arange(i - oi + 2)
-            part[0, :] = np.arange(j - oj + 2)
+            part: list[list] = [[float(c) for c in range(j - oj + 2)]]
             for x in range(oi, i + 1):
+                r, above = x - oi + 1, part[-1]
+                row: list = [float(r)]
                 for y in range(oj, j + 1):
-                    r, c = x - oi + 1, y - oj + 1
-                    least = min(part[r - 1, c], part[r, c - 1]) + 1
+                    c = y - oj + 1
                     if ma[x] == oi and mb[y] == oj:
-                        part[r, c] = min(least, part[r - 1, c - 1] + change(la[x], lb[y]))
-                        whole[x, y] = part[r, c]
+                        row.append(least(least(above[c], row[c - 1]) + 1, above[c - 1] + change[x][y]))
+                        whole[x][y] = row[c]
                     else:
-                        part[r, c] = min(least, part[ma[x] - oi, mb[y] - oj] + whole[x, y])
-    return float(whole[-1, -1])
+                        row.append(least(least(above[c], row[c - 1]) + 1, part[ma[x] - oi][mb[y] - oj] + whole[x][y]))
+                part.append(row)
+    return whole[-1][-1]
+
+
+def table_similarities(a: list[str | None], b: list[str | None]) -> list[float]:
+    """1 minus the tree distance over the larger tree's size, pair by pair; a cell's change costs its texts' relative edit distance.
+
+    Pairs of the same two forms are measured side by side.
+    """
+    out = [1.0] * len(a)
+    forms: dict[tuple, list[tuple[int, list[str], list[str]]]] = {}
+    for n, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x != y:
+            (la, ma, ta), (lb, mb, tb) = _ordered(x), _ordered(y)
+            forms.setdefault((la, ma, lb, mb), []).append((n, ta, tb))
+    for (la, ma, lb, mb), pairs in forms.items():
+        most = max(len(la), len(lb)) - 1
+        if not most:
+            continue
+        side = len(pairs) > 4
+        change: list[list] = [[1.0] * len(lb) for _ in la]
+        for i, x in enumerate(la):
+            for j, y in enumerate(lb):
+                if x == y:
+                    costs = [0.0 if ta[i] == tb[j] else fn.edit_distance(ta[i], tb[j], len(ta[i]) + len(tb[j])) / max(len(ta[i]), len(tb[j])) for _, ta, tb in pairs]
+                    change[i][j] = (np.array(costs) if any(costs) else 0.0) if side else costs
+                elif not side:
+                    change[i][j] = [1.0] * len(pairs)
+        if side:
+            found = np.broadcast_to(_tree_distance(ma, mb, change, np.minimum), len(pairs)).tolist()
+        else:
+            found = [_tree_distance(ma, mb, [[c[k] for c in row] for row in change], min) for k in range(len(pairs))]
+        for (n, _, _), distance in zip(pairs, found, strict=True):
+            out[n] = max(0.0, 1 - float(distance) / most)
+    return out
 
 
 def table_similarity(a: str | None, b: str | None) -> float:
-    """1 minus the tree distance over the larger tree's size."""
-    if a == b:
-        return 1.0
-    x, y = parse_table(a), parse_table(b)
-    size = lambda t: sum(1 + size(c) for c in t[1])
-    most = max(size(x), size(y))
-    return 1.0 if not most else max(0.0, 1 - tree_distance(x, y) / most)
+    return table_similarities([a], [b])[0]
 
 
 @F.pandas_udf(T.DoubleType())
 def teds(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([table_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(table_similarities(a.tolist(), b.tolist()), dtype="float64")
 
 
 def table_shape_of(html: str | None) -> tuple[int, int]:

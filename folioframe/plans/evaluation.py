@@ -79,11 +79,11 @@ def class_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as an HTML table, and the same without its last cell of each row and with a wide cell."""
-    row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber"), F.lit("</td><td>"), F.col("l_partkey"), F.lit("</td></tr>"))
-    short = F.concat(F.lit("<tr><td colspan=2>"), F.col("l_linenumber"), F.lit("</td></tr>"))
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("a"), short.alias("b")))).alias("r"))
-    whole = lambda c: F.concat(F.lit("<table>"), F.array_join(F.transform("r", lambda x: x[c]), ""), F.lit("</table>"))
-    return rows.select("l_orderkey", F.size("r").alias("n"), whole("a").alias("a"), whole("b").alias("b"))
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("r"))
+    row = lambda x: F.concat(F.lit("<tr><td>"), x["l_linenumber"], F.lit("</td><td>"), x["l_partkey"], F.lit("</td></tr>"))
+    short = lambda x: F.concat(F.lit("<tr><td colspan=2>"), x["l_linenumber"], F.lit("</td></tr>"))
+    whole = lambda one: F.concat(F.lit("<table>"), F.array_join(F.transform("r", one), ""), F.lit("</table>"))
+    return rows.select("l_orderkey", F.size("r").alias("n"), whole(row).alias("a"), whole(short).alias("b"))
 
 
 def table_teds(spark: SparkSession, sf_dir: str) -> DataFrame:

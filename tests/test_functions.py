@@ -89,6 +89,26 @@ def test_tables():
     assert evaluation.table_shape_of(None) == (0, 0)
 
 
+def test_tables_of_one_form_are_parsed_and_measured_once(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(evaluation, "parse_table", lambda html, parse=evaluation.parse_table: parsed.append(html) or parse(html))
+    tables = [f"<table><tr><td>form {i}</td><td>{'x' * (i % 7)}</td></tr></table>" for i in range(200)]
+    others = [t.replace("form", "from") for t in tables]
+    found = evaluation.table_similarities(tables, others)
+    assert len(parsed) <= 4
+    # two signs of a cell's text are changed, of four nodes
+    assert found == pytest.approx([1 - 2 / len(f"form {i}") / 4 for i in range(200)])
+    assert found[:3] == [evaluation.table_similarity(a, b) for a, b in zip(tables[:3], others[:3], strict=True)]
+
+
+@pytest.mark.parametrize("cell", ["a > b", "a &lt; b", '<b>a', "0,", "<!-- a", '<i title="x', "a,<br>0,", "<script>0,"])
+def test_odd_cells_are_parsed_whole(cell):
+    one = f"<table><tr><td>{cell}</td><td>c</td></tr></table>"
+    labels, leftmost, texts = evaluation._postorder(evaluation.parse_table(one))
+    assert evaluation._ordered(one) == (labels, leftmost, [" ".join(t.split()) for t in texts])
+    assert evaluation._ordered(one + "0,")[2][-1] == evaluation._postorder(evaluation.parse_table(one + "0,"))[2][-1]
+
+
 def test_html_blocks():
     found = html.read_blocks("<title>T</title><h2 id=x>Head</h2><p>one<b>two<script>no</script><ul><li>a <a href='/b#c'>l</a><li>b</ul>tail")
     assert [(b["type"], b["text"]) for b in found] == [("Title", "T"), ("SectionHeader", "Head"), ("Text", "onetwo"), ("ListItem", "a l"), ("ListItem", "b"), ("Text", "tail")]
