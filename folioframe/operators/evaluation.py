@@ -312,7 +312,17 @@ def teds(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def table_shape_of(html: str | None) -> tuple[int, int]:
-    """Rows and columns with the spans laid out on a grid."""
+    """Rows and columns with the spans laid out on a grid; they hang on the markup alone."""
+    known = _skeleton(html)
+    return _shape(parse_table(html)) if known is None else _marked_shape(known[0], len(known[1]))
+
+
+@functools.lru_cache(MARKUPS)
+def _marked_shape(markup: str, count: int) -> tuple[int, int]:
+    return _shape(_marked(markup, count))
+
+
+def _shape(tree: list) -> tuple[int, int]:
     rows: list[list] = []
 
     def collect(node: list) -> None:
@@ -322,7 +332,7 @@ def table_shape_of(html: str | None) -> tuple[int, int]:
             else:
                 collect(child)
 
-    collect(parse_table(html))
+    collect(tree)
     taken: set[tuple[int, int]] = set()
     for r, cells in enumerate(rows):
         at = 0

@@ -101,6 +101,13 @@ def test_tables_of_one_form_are_parsed_and_measured_once(monkeypatch):
     assert found[:3] == [evaluation.table_similarity(a, b) for a, b in zip(tables[:3], others[:3], strict=True)]
 
 
+def test_shapes_of_one_form_are_laid_out_once(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(evaluation, "parse_table", lambda html, parse=evaluation.parse_table: parsed.append(html) or parse(html))
+    shapes = [evaluation.table_shape_of(f"<table><tr><td rowspan=3>shape {i}</td><td>{i}</td></tr></table>") for i in range(200)]
+    assert shapes == [(3, 2)] * 200 and len(parsed) <= 1
+
+
 @pytest.mark.parametrize("cell", ["a > b", "a &lt; b", '<b>a', "0,", "<!-- a", '<i title="x', "a,<br>0,", "<script>0,"])
 def test_odd_cells_are_parsed_whole(cell):
     one = f"<table><tr><td>{cell}</td><td>c</td></tr></table>"
