@@ -2,73 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 Points = np.ndarray
+#: Fixed value: pairs of sides that are compared at once.
+AT_ONCE = 1 << 20
 
 
 def rectangle(x0: float, y0: float, x1: float, y1: float) -> Points:
     return np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)
 
 
-def edges(points: Points) -> Points:
-    """n x 4: each point with the next one; level edges and those of no length are left out."""
-    out = np.hstack([points, np.roll(points, -1, axis=0)])
-    return out[out[:, 1] != out[:, 3]]
+def _sides(points: np.ndarray) -> np.ndarray:
+    """... x n x 4: each point with the next one."""
+    return np.concatenate([points, np.roll(points, -1, axis=-2)], axis=-1)
 
 
-def _crossings(a: Points, b: Points) -> np.ndarray:
-    """Heights at which an edge of `a` crosses one of `b`."""
-    p, q = a[:, None], b[None]
+def _crossings(sides: np.ndarray) -> np.ndarray:
+    """Heights at which sides of a pair cross each other, k x n x n; nan where they do not, and for level ones and those of no length."""
+    p, q = sides[:, :, None], sides[:, None]
     d, e = p[..., 2:] - p[..., :2], q[..., 2:] - q[..., :2]
     turn = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
     gap = q[..., :2] - p[..., :2]
     with np.errstate(divide="ignore", invalid="ignore"):
         t = (gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / turn
         u = (gap[..., 0] * d[..., 1] - gap[..., 1] * d[..., 0]) / turn
-    hit = (turn != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    return (p[..., 1] + t * d[..., 1])[hit]
+        hit = (turn != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1) & (d[..., 1] != 0) & (e[..., 1] != 0)
+        return np.where(hit, p[..., 1] + t * d[..., 1], np.nan)
 
 
-def _spans(sides: Points, y: float) -> np.ndarray:
-    """Sorted x at which the sides stand at height y: inside from each odd one to the next."""
-    at = sides[(np.minimum(sides[:, 1], sides[:, 3]) < y) & (y < np.maximum(sides[:, 1], sides[:, 3]))]
-    return np.sort(at[:, 0] + (y - at[:, 1]) / (at[:, 3] - at[:, 1]) * (at[:, 2] - at[:, 0]))
+def _spans(sides: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sorted x at which the sides of each pair stand at its height y: inside from each odd one to the next; nan after the last."""
+    y = y[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = sides[..., 0] + (y - sides[..., 1]) / (sides[..., 3] - sides[..., 1]) * (sides[..., 2] - sides[..., 0])
+        met = (np.minimum(sides[..., 1], sides[..., 3]) < y) & (y < np.maximum(sides[..., 1], sides[..., 3]))
+    return np.sort(np.where(met, at, np.nan), axis=1)
+
+
+def _common_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """common_area of pairs of polygons of the same numbers of points: k x n x 2 and k x m x 2."""
+    p, q = _sides(a), _sides(b)
+    both = np.concatenate([p, q], axis=1)
+    steep = both[..., 1] != both[..., 3]
+    top_of = lambda sides, level: np.where(level[..., None], sides[..., [1, 3]], np.inf).min((1, 2))
+    low_of = lambda sides, level: np.where(level[..., None], sides[..., [1, 3]], -np.inf).max((1, 2))
+    n = p.shape[1]
+    low = np.maximum(top_of(p, steep[:, :n]), top_of(q, steep[:, n:]))
+    high = np.minimum(low_of(p, steep[:, :n]), low_of(q, steep[:, n:]))
+    ends = np.where(steep[..., None], both[..., [1, 3]], np.nan).reshape(len(both), -1)
+    heights = np.concatenate([ends, _crossings(both).reshape(len(both), -1), low[:, None], high[:, None]], axis=1)
+    with np.errstate(invalid="ignore"):
+        heights = np.where((heights >= low[:, None]) & (heights <= high[:, None]), heights, np.nan)
+    heights = np.sort(heights, axis=1)
+    heights[:, 1:][heights[:, 1:] == heights[:, :-1]] = np.nan
+    heights = np.sort(heights, axis=1)
+    total = np.zeros(len(both))
+    for k in range(int((~np.isnan(heights)).sum(1).max(initial=1)) - 1):
+        top, bottom = heights[:, k], heights[:, k + 1]
+        y = (top + bottom) / 2
+        s, t = _spans(p, y), _spans(q, y)
+        s, t = s[:, : s.shape[1] // 2 * 2], t[:, : t.shape[1] // 2 * 2]
+        wide = np.minimum(s[:, 1::2, None], t[:, None, 1::2]) - np.maximum(s[:, ::2, None], t[:, None, ::2])
+        total += np.nan_to_num(np.nansum(np.clip(wide, 0, None), axis=(1, 2)) * (bottom - top), nan=0.0)
+    return total
 
 
-def common_area(a: Points, b: Points) -> float:
-    """Area that two polygons share, whatever their shape; where one crosses itself, odd turns are inside.
+def common_areas(a: Sequence[Points], b: Sequence[Points]) -> np.ndarray:
+    """Area that the two polygons of each pair share, whatever their shape; where one crosses itself, odd turns are inside.
 
     Between the heights of corners and crossings no edges change places, so what is shared there are
-    trapezoids, whose width at half height times the height is their area.
+    trapezoids, whose width at half height times the height is their area. Pairs of the same numbers of points go side by side.
     """
-    p, q = edges(np.asarray(a, float)), edges(np.asarray(b, float))
-    if not len(p) or not len(q):
-        return 0.0
-    low, high = max(p[:, [1, 3]].min(), q[:, [1, 3]].min()), min(p[:, [1, 3]].max(), q[:, [1, 3]].max())
-    both = np.vstack([p, q])
-    heights = np.unique(np.concatenate([both[:, 1], both[:, 3], _crossings(both, both), [low, high]]))
-    heights = heights[(heights >= low) & (heights <= high)]
-    total = 0.0
-    for top, bottom in zip(heights[:-1], heights[1:], strict=True):
-        y = (top + bottom) / 2
-        s, t = _spans(p, y), _spans(q, y)
-        if len(s) > 1 and len(t) > 1:
-            wide = np.minimum(s[1::2][:, None], t[1::2][None]) - np.maximum(s[::2][:, None], t[::2][None])
-            total += float(np.clip(wide, 0, None).sum()) * (bottom - top)
-    return total
+    out = np.zeros(len(a))
+    forms: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if len(x) and len(y):
+            forms.setdefault((len(x), len(y)), []).append(i)
+    for (n, m), rows in forms.items():
+        step = max(1, AT_ONCE // (n + m) ** 2)
+        for start in range(0, len(rows), step):
+            some = rows[start : start + step]
+            out[some] = _common_areas(np.array([a[i] for i in some], float), np.array([b[i] for i in some], float))
+    return out
+
+
+def common_area(a: Points, b: Points) -> float:
+    return float(common_areas([a], [b])[0])
 
 
 def area(points: Points) -> float:
     return common_area(points, points)
 
 
+def overlaps(a: Sequence[Points], b: Sequence[Points], of: str = "union") -> np.ndarray:
+    """What the two polygons of each pair share, as a part of their union, or of the smaller or the larger one; 0 where that has no area."""
+    one, two, both = common_areas(a, a), common_areas(b, b), common_areas(a, b)
+    whole = {"union": one + two - both, "small": np.minimum(one, two), "large": np.maximum(one, two)}[of]
+    return np.divide(both, whole, out=np.zeros(len(both)), where=whole > 0)
+
+
 def overlap(a: Points, b: Points, of: str = "union") -> float:
-    """What two polygons share, as a part of their union, or of the smaller or the larger one; 0 where that has no area."""
-    one, two = area(a), area(b)
-    both = common_area(a, b)
-    whole = {"union": one + two - both, "small": min(one, two), "large": max(one, two)}[of]
-    return both / whole if whole > 0 else 0.0
+    return float(overlaps([a], [b], of)[0])
 
 
 def hull(points: Points) -> Points:
@@ -212,22 +249,51 @@ def mask_polygon(mask: np.ndarray, longest: float, fine: float = 0.004) -> Point
     return walked(simplified(ring, fine * length), 0.3 * longest)
 
 
-def settled(box: Points, polygon: Points | None, before: Points | None, mode: str = "auto") -> Points:
-    """The shape a block is given: its box (`rect`), its polygon (`poly`), the least rectangle (`quad`) or, by `auto`, what fits.
+def settled_in_order(boxes: Sequence[Points], polygons: Sequence[Points | None], first: Sequence[bool], mode: str = "auto") -> list[Points]:
+    """The shapes that blocks are given, one after the other: their box (`rect`), polygon (`poly`), least rectangle (`quad`) or, by `auto`, what fits. first: no block stands before.
 
     auto: the box where it is nearly the least rectangle; that rectangle where the polygon fills it and the block before
     does not reach into the box; else the polygon. A polygon of under four corners is no shape.
+    Which rectangles fill is told for all blocks at once, as is how far the shapes that the block before may have reach.
     """
     if mode not in ("rect", "poly", "quad", "auto"):
         raise ValueError(f"unknown shape: {mode}")
-    if mode == "rect" or polygon is None or len(polygon) < 4:
-        return box
+    out: list[Points] = list(boxes)
+    if mode == "rect":
+        return out
+    given = [i for i, p in enumerate(polygons) if p is not None and len(p) >= 4]
+    quads = {i: least_rectangle(polygons[i]) for i in given} if mode != "poly" else {}
+    if mode == "quad":
+        for i, quad in quads.items():
+            out[i] = boxes[i] if quad is None else quad
+        return out
+    for i in given:
+        out[i] = polygons[i]
     if mode == "poly":
-        return polygon
-    quad = least_rectangle(polygon)
-    if mode == "quad" or quad is None:
-        return box if quad is None and mode == "quad" else polygon if quad is None else quad
-    if overlap(box, quad) >= 0.95:
-        return box
-    clear = before is None or overlap(before, box, "small") < 0.01
-    return quad if clear and overlap(polygon, quad) >= 0.8 else polygon
+        return out
+    known = [i for i in given if quads[i] is not None]
+    boxed = overlaps([boxes[i] for i in known], [quads[i] for i in known]) >= 0.95
+    for i in np.array(known, int)[boxed].tolist():
+        out[i] = boxes[i]
+    turned = np.array(known, int)[~boxed].tolist()
+    filled = overlaps([polygons[i] for i in turned], [quads[i] for i in turned]) >= 0.8
+    pending = set(np.array(turned, int)[filled].tolist())
+    # the block before is its rectangle or its polygon where that is open too, else what it is now
+    asked = [(i, shape) for i in sorted(pending) if not first[i] for shape in ([out[i - 1], quads[i - 1]] if i - 1 in pending else [out[i - 1]])]
+    reach: dict[int, list[bool]] = {}
+    for (i, _), part in zip(asked, overlaps([shape for _, shape in asked], [boxes[i] for i, _ in asked], "small"), strict=True):
+        reach.setdefault(i, []).append(bool(part < 0.01))
+    as_quad: set[int] = set()
+    for i in sorted(pending):
+        if first[i] or reach[i][1 if i - 1 in as_quad else 0]:
+            as_quad.add(i)
+    for i in as_quad:
+        out[i] = quads[i]
+    return out
+
+
+def settled(box: Points, polygon: Points | None, before: Points | None, mode: str = "auto") -> Points:
+    """The shape of one block, whatever the shape of the one before."""
+    if before is None:
+        return settled_in_order([box], [polygon], [True], mode)[0]
+    return settled_in_order([before, box], [None, polygon], [True, False], mode)[1]

@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 from ..functions import polygons
+from .folds import folded
 from .layout import meeting
+from .trees import shared_table
 
 #: Labels without a place in reading order, and those of pictures and tables.
 UNORDERED = ("figure_title", "vision_footnote", "image", "chart", "table", "header", "header_image", "footer", "footer_image", "footnote", "aside_text")
@@ -41,21 +43,24 @@ def likely(boxes: DataFrame, thresholds: Mapping[str, float] | None = None, defa
 def fallen(conflicts: DataFrame) -> DataFrame:
     """(page, id) of the boxes that fall: conflicts (page, turn, next, a, b, a_falls, b_falls) count in the order of turn and next, where neither has fallen yet.
 
-    b is null where a box falls by itself. A task holds the conflicts of a page, not its boxes or pairs.
+    b is null where a box falls by itself. A task holds the conflicts of its pages one after the other, not their boxes or pairs.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        rows = rows.sort_values(["turn", "next"], kind="stable")
-        for a, b, a_falls, b_falls in zip(rows["a"], rows["b"], rows["a_falls"], rows["b_falls"], strict=True):
-            if a not in gone and (pd.isna(b) or int(b) not in gone):
-                if a_falls:
-                    gone.add(a)
-                if b_falls:
-                    gone.add(int(b))
-        return pd.DataFrame({"page": rows["page"].iloc[0], "id": pd.array(sorted(gone), dtype="int64")})
+    def fold(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        pages, out = [], []
+        one, two = rows["a"].tolist(), rows["b"].tolist()
+        alone, falls = rows["b"].isna().tolist(), list(zip(rows["a_falls"].tolist(), rows["b_falls"].tolist(), strict=True))
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            gone: set[int] = set()
+            for i in range(start, end):
+                a, b = one[i], None if alone[i] else int(two[i])
+                if a not in gone and b not in gone:
+                    gone.update(x for x, falls_ in zip((a, b), falls[i], strict=True) if falls_)
+            pages.extend([rows["page"].iloc[start]] * len(gone))
+            out.extend(sorted(gone))
+        return pd.DataFrame({"page": pd.array(pages, dtype="Int64"), "id": pd.array(out, dtype="Int64")})
 
-    return conflicts.groupBy("page").applyInPandas(run, "page long, id long")
+    return folded(conflicts, ["page"], ["turn", "next"], fold, "page long, id long")
 
 
 def without(boxes: DataFrame, gone: DataFrame) -> DataFrame:
@@ -114,7 +119,7 @@ def merged(boxes: DataFrame, modes: str | Mapping[str, str] = "union", formula:
 def shaped(boxes: DataFrame, mode: str = "auto") -> DataFrame:
     """Boxes, in the order of their hints (then of their scores and ids), with `place` from 1 and the outline that a block of the page is given.
 
-    The shape of the box before takes part in the choice, so a page is folded in order, in one task.
+    The shape of the box before takes part in the choice, so a page is folded in order, in one task, many pages a call.
     """
     by = Window.partitionBy("page").orderBy(F.col("hint").asc_nulls_last(), F.desc("score"), "id")
     rows = boxes.withColumn("place", F.row_number().over(by))
@@ -122,17 +127,16 @@ def shaped(boxes: DataFrame, mode: str = "auto") -> DataFrame:
         corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         return rows.withColumn("outline", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], None
-        part = part.sort_values("place")
-        for row in part.itertuples(index=False):
-            given = None if row.outline is None or not len(row.outline) else np.array([(p["x"], p["y"]) for p in row.outline])
-            before = polygons.settled(polygons.rectangle(row.x0, row.y0, row.x1, row.y1), given, before, mode)
-            out.append([{"x": float(x), "y": float(y)} for x, y in before])
-        return pd.DataFrame({"page": part["page"], "id": part["id"], "shape": out})
+    def fold(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        given = [None if o is None or not len(o) else _points(o) for o in part["outline"]]
+        boxes = [polygons.rectangle(*sides) for sides in part[["x0", "y0", "x1", "y1"]].to_numpy(float)]
+        first = np.zeros(len(part), bool)
+        first[bounds[:-1]] = True
+        shapes = polygons.settled_in_order(boxes, given, first, mode)
+        return pd.DataFrame({"page": part["page"], "id": part["id"], "shape": [[{"x": x, "y": y} for x, y in s.tolist()] for s in shapes]})
 
     narrow = rows.select("page", "id", "place", "x0", "y0", "x1", "y1", "outline")
-    shapes = narrow.groupBy("page").applyInPandas(run, f"page long, id long, shape {OUTLINE}")
+    shapes = folded(narrow, ["page"], ["place"], fold, f"page long, id long, shape {OUTLINE}")
     return rows.drop("outline").join(shapes, ["page", "id"]).withColumnRenamed("shape", "outline")
 
 
@@ -156,11 +160,14 @@ def on_page(boxes: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumns(cut).where("x1 > x0 and y1 > y0").select(*boxes.columns)
 
 
+def _points(outline: Sequence[Mapping[str, float]]) -> np.ndarray:
+    return np.array([(p["x"], p["y"]) for p in outline], float).reshape(-1, 2)
+
+
 @F.pandas_udf(T.DoubleType())
 def outline_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """What two outlines share, as a part of the smaller one."""
-    points = lambda o: np.array([(p["x"], p["y"]) for p in o])
-    return pd.Series([polygons.overlap(points(p), points(q), "small") for p, q in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(polygons.overlaps([_points(p) for p in a], [_points(q) for q in b], "small"))
 
 
 def without_overlaps(boxes: DataFrame, mode: str = "auto", least: float = 6, share: float = 0.7, formula_share: float = 0.5) -> DataFrame:
@@ -206,7 +213,13 @@ def finished(
     formula: str | None = None,
     skipped: Sequence[str] = UNORDERED,
 ) -> DataFrame:
-    """All steps in their order: page, id, label, score, box, place, outline and order of the blocks that stay."""
-    boxes = without_page_images(suppressed(likely(detections, thresholds, threshold)), pages)
-    boxes = shaped(merged(boxes, modes, formula), shape)
-    return ordered(without_overlaps(on_page(unclipped(boxes, ratios), pages), shape), skipped)
+    """All steps in their order: page, id, label, score, box, place, outline and order of the blocks that stay.
+
+    Each step reads the boxes several times, so they are written between the steps: else a step would do all before it as often.
+    """
+    boxes = shared_table(likely(detections, thresholds, threshold))
+    boxes = shared_table(without_page_images(suppressed(boxes), pages))
+    if modes != "union":
+        boxes = shared_table(merged(boxes, modes, formula))
+    boxes = shared_table(on_page(unclipped(shaped(boxes, shape), ratios), pages))
+    return ordered(without_overlaps(boxes, shape), skipped)

@@ -217,3 +217,25 @@ def test_modes_by_label(spark):
     assert ids(modes={"table": "large"}) == [1, 4] and ids(modes={"text": "small"}) == [2, 3, 4] and ids(modes={"text": "union"}) == [1, 2, 3, 4]
     with pytest.raises(ValueError):
         ids(modes="none")
+
+
+def test_shapes_in_order_are_those_of_one_after_the_other():
+    rng = random.Random(4)
+    boxes = [poly.rectangle(x, y, x + 40, y + 20) for x, y in ((rng.randrange(30), rng.randrange(30)) for _ in range(60))]
+    turns = [rng.uniform(0, 0.6) for _ in boxes]
+    given = [None if k % 7 == 0 else (b - b.mean(0)) @ np.array([[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]]) + b.mean(0) for k, (b, t) in enumerate(zip(boxes, turns, strict=True))]
+    first = [k % 9 == 0 for k in range(60)]
+    before, wanted = None, []
+    for box, polygon, opens in zip(boxes, given, first, strict=True):
+        before = poly.settled(box, polygon, None if opens else before)
+        wanted.append(before)
+    got = poly.settled_in_order(boxes, given, first)
+    assert all(np.array_equal(a, b) for a, b in zip(wanted, got, strict=True)) and len({len(g) for g in got}) == 1
+
+
+def test_steps_are_done_once(spark, capsys):
+    rows = spark.range(40).selectExpr("id % 2 as page", "id", "'text' as label", "1.0 as score", "id * 1.0 as x0", "id * 30.0 as y0", "id + 50.0 as x1", "id * 30.0 + 20 as y1", "id as hint", f"cast(null as {ops.OUTLINE}) as outline")
+    done = ops.finished(rows, spark.createDataFrame([(0, 900, 2000), (1, 900, 2000)], "page long, width int, height int"), modes="large")
+    capsys.readouterr()
+    done.explain()
+    assert capsys.readouterr().out.count("Join") < 12 and done.count() == 40
