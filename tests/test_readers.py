@@ -6,11 +6,13 @@ import os
 import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe.functions import text as fn
 from folioframe.operators import annotations, decisions
-from folioframe.sources import fragments, navigation, package_writer
+from folioframe.sources import fragments, html, navigation, package_writer
 
 # elements over pages
 
@@ -248,3 +250,19 @@ def test_edits_and_the_reading_view(spark):
     whole = view.reading_view(blocks, verdicts, notes, "doc")
     assert [(r["block"], r["text"], r["edits"]) for r in whole.orderBy("ord", "part").collect()] == [("0", "The text goes on", 2), ("0::note-0", "first", 0), ("0::note-1", "second", 0), ("1", "abcdf", 1), ("2", "note", 0), ("3", "", 0)]
     assert [tuple(r) for r in view.body_of(whole, "doc").collect()] == [("d", "The text goes on\n\nabcdf", 23)]
+
+
+def test_batches_leave_part_by_part():
+    texts = pd.Series(["aa", None, "b" * 9, "c", "", "dd"])
+    parts = list(fn.slices(texts, 4))
+    assert [p.tolist() for p in parts] == [["aa", None], ["b" * 9], ["c", "", "dd"]]
+    assert [len(p) for p in fn.slices(texts.iloc[:0], 4)] == [0]
+
+
+def test_long_pages_and_files_of_one_batch(spark):
+    pages = [(i, f"<h1>page {i}</h1>" + "<p>word</p>" * 60_000) for i in range(4)]
+    got = html.blocks_of(spark.createDataFrame(pages, "page_id long, html string").coalesce(1), "page_id").groupBy("page_id").count().collect()
+    assert {r["page_id"]: r["count"] for r in got} == {i: 60_001 for i in range(4)}
+    files = [(str(i), b"<TEI><text><body>" + b"<p>word</p>" * 50_000 + b"</body></text></TEI>") for i in range(3)] + [("bad", b"<TEI>")]
+    found = fragments.fragments(spark.createDataFrame(files, "path string, content binary").coalesce(1)).where("type <> 'refused'").groupBy("doc").agg(F.max("end").alias("end")).collect()
+    assert {r["doc"]: r["end"] for r in found} == {str(i): 50_000 * 4 for i in range(3)}
