@@ -236,3 +236,12 @@ def test_markdown_of_blocks():
     b = lambda kind, text, level=None: {"type": kind, "text": text, "level": level}
     got = markdown.from_blocks([b("SectionHeader", "h", 9), b("ListItem", "x"), b("ListItem", "y"), b("TableCell", "a|b"), b("TableCell", "c"), b("Text", "3. z"), b("Code", "k ``` l"), b("Quote", " q "), b("Text", " ")])
     assert got == "###### h\n\n- x\n- y\n\n| a\\|b | c |\n\n3\\. z\n\n````\nk ``` l\n````\n\n> q"
+
+
+def test_steps_of_the_shorter_text_only(monkeypatch):
+    steps = []
+    monkeypatch.setattr(fn, "enumerate", lambda signs, start=0: (start and steps.append(len(signs))) or enumerate(signs, start), raising=False)
+    short, long = "an old page", "the page of an old book, " * 400
+    assert fn.edit_distance(short, long, 20_000) == fn.edit_distance(long, short, 20_000) == len(long) - len(short)
+    assert steps == [len(short)] * 2
+    assert fn.edit_distance("", "abc", 9) == fn.edit_distance("abc", "", 9) == 3 and fn.edit_distance("", "", 9) == 0
