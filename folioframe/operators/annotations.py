@@ -47,18 +47,22 @@ def small_runs(spans: DataFrame, least: int = 2, rounds: int = 2) -> DataFrame:
     between two of the other kind are noise and go with them; this is done `rounds` times, as each round joins runs.
     """
     block = Window.partitionBy("page", "block")
-    along = block.orderBy("ord")
-    rows = spans.join(page_sizes(spans), "page", "left")
-    level = F.last(F.when(F.col("size").isNotNull(), F.col("size") < SMALL * F.col("main")), True).over(along)
-    rows = rows.withColumn("level", F.coalesce(level, F.lit(False)))
-    for _ in range(rounds):
+    along = block.orderBy("ord", "text")
+    # one order serves what is read along a block, of a page and of a run: each further order would be one more sort of all spans in the same task
+    rows = spans.withColumn("known", F.last("size", True).over(along))
+    # the sizes are read through what is known, as Spark would else put this window first, in an order of its own
+    main = F.median(F.when(F.col("known").isNotNull(), F.col("size"))).over(Window.partitionBy("page"))
+    rows = rows.withColumn("main", F.when(F.col("page").isNotNull(), main))
+    rows = rows.withColumn("level", F.coalesce(F.col("known") < SMALL * F.col("main"), F.lit(False))).drop("known")
+    for k in range(rounds):
+        run = f"run{k}"
         turn = F.coalesce(F.lag("level").over(along) != F.col("level"), F.lit(True))
-        rows = rows.withColumn("run", F.sum(turn.cast("int")).over(along))
-        of_run = Window.partitionBy("page", "block", "run")
-        signs, last = F.sum(F.length(F.trim("text"))).over(of_run), F.max("run").over(block)
-        rows = rows.withColumns({"signs": signs, "runs": last})
-        noise = (F.col("signs") < least) & (F.col("run") > 1) & (F.col("run") < F.col("runs"))
-        rows = rows.withColumn("level", F.when(noise, ~F.col("level")).otherwise(F.col("level"))).drop("run", "signs", "runs")
+        rows = rows.withColumn(run, F.sum(turn.cast("int")).over(along))
+        along = block.orderBy(run, "ord", "text")
+        of_run = Window.partitionBy("page", "block", run).orderBy("ord", "text").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({"signs": F.sum(F.length(F.trim("text"))).over(of_run), "runs": F.max(run).over(block)})
+        noise = (F.col("signs") < least) & (F.col(run) > 1) & (F.col(run) < F.col("runs"))
+        rows = rows.withColumn("level", F.when(noise, ~F.col("level")).otherwise(F.col("level"))).drop("signs", "runs")
     turn = F.coalesce(F.lag("level").over(along) != F.col("level"), F.lit(True))
     rows = rows.withColumn("run", F.sum(turn.cast("int")).over(along)).where("level")
     listed = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text"))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations, decisions, reading_view
-from .base import read
+from .base import read, tasks_for
 from .numbering import pages_of
 
 
@@ -42,10 +42,12 @@ def applied_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pages, orders as blocks, line items as spans, whose quantity is their size."""
-    items = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("page")), "l_orderkey")
+    items = read(spark, sf_dir, "lineitem")
+    tasks = tasks_for(items)
+    items = items.repartition(tasks, "l_orderkey").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("page")), "l_orderkey")
     size = F.when(F.col("l_partkey") % 9 > 0, F.when(F.col("l_suppkey") % 4 == 0, 6.0).otherwise(10.0) + F.col("l_quantity") % 2)
     text = F.when(F.col("l_orderkey") % 6 == 0, F.concat(F.lit("("), "l_returnflag", F.lit(")"))).otherwise(F.repeat(F.col("l_returnflag"), (F.col("l_partkey") % 12).cast("int")))
-    return items.select("page", F.col("l_orderkey").alias("block"), ((F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey") % 1000 * 100 + F.col("l_quantity").cast("long")).alias("ord"), text.alias("text"), size.alias("size"), (F.col("l_partkey") % 50 == 7).alias("small"))
+    return items.select("page", F.col("l_orderkey").alias("block"), ((F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey") % 1000 * 100 + F.col("l_quantity").cast("long")).alias("ord"), text.alias("text"), size.alias("size"), (F.col("l_partkey") % 50 == 7).alias("small")).repartition(tasks, "page")
 
 
 def inline_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ import pytest
 from test_queries import SF, rows
 
 from folioframe import plans
+from folioframe.operators import annotations
 from folioframe.operators.folds import folded
+from folioframe.plans import base
 
 
 def moved(path, name, **shifts):
@@ -61,3 +63,29 @@ def test_folded_groups_are_whole(spark):
 
     got = folded(df, ["k"], ["i"], fold, "k long, n long, sorted boolean").collect()
     assert len(got) == len(sizes) and {r["k"]: r["n"] for r in got} == sizes and all(r["sorted"] for r in got)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_are_sorted_once_a_round(spark):
+    """Each sort of all spans stands in the same task, so a task's memory is that of all of them."""
+    spans = spark.createDataFrame([(0, 0, 0, "x", 1.0, False)], "page int, block int, ord int, text string, size double, small boolean")
+    plan = plan_of(annotations.small_runs(spans))
+    assert plan.count("Window [") >= 6
+    assert len(re.findall(r"\bSort \[", plan)) <= 4 and "Join" not in plan
+
+
+def test_small_runs_without_a_page_or_a_size(spark):
+    """Spans without a page have no main size; spans of one place stand by their text, as in the SQL."""
+    rows = [(None, 0, i, "aa", 2.0 if i == 1 else 9.0, False) for i in range(4)] + [(1, 0, i, "aa", None, False) for i in range(3)]
+    rows += [(2, 0, 0, "zz", 2.0, False), (2, 0, 0, "aa", 9.0, False), (2, 0, 0, "bb", 9.0, False), (2, 0, 1, "yy", 2.0, False)]
+    got = annotations.small_runs(spark.createDataFrame(rows, "page int, block int, ord int, text string, size double, small boolean")).collect()
+    assert [(r["page"], r["first"], r["last"], r["text"]) for r in got] == [(2, 0, 1, "zz yy")]
+
+
+@pytest.mark.parametrize("name", ["small_runs", "inline_annotations"])
+def test_more_rows_are_more_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(base, "TASK_ROWS", 250)
+    assert re.search(r"hashpartitioning\(page#\d+L?, 24\), REPARTITION_BY_NUM", plan_of(plans.QUERIES[name](spark, SF)))
