@@ -167,13 +167,17 @@ def split_combined_rows(cells: DataFrame, table: str, least: float = 0.5) -> Dat
     A row splits if all its cells have the same number of lines over one, and it has more than one
     cell; a table changes only if at least `least` of its rows do.
     """
-    rows = cells.groupBy(table, "row").agg(F.max(F.size("lines")).alias("most"), F.min(F.size("lines")).alias("fewest"), F.count("*").alias("n"))
+    # all is read off the cells in one order, so they are dealt and sorted once and joined with nothing
+    along = Window.partitionBy(table).orderBy("row")
+    of_row = Window.partitionBy(table, "row")
+    cells = cells.where(F.col(table).isNotNull() & F.col("row").isNotNull())
+    opens = (F.row_number().over(of_row.orderBy("col")) == 1).cast("int")
+    rows = cells.withColumn("opens", opens).withColumns({"most": F.max(F.size("lines")).over(of_row), "fewest": F.min(F.size("lines")).over(of_row), "n": F.count("*").over(of_row)})
     rows = rows.withColumn("splits", (F.col("most") > 1) & (F.col("most") == F.col("fewest")) & (F.col("n") > 1))
-    share = F.avg(F.col("splits").cast("int")).over(Window.partitionBy(table))
-    parts = F.when(F.col("splits") & (share >= least), F.col("most")).otherwise(1)
-    before = Window.partitionBy(table).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    moved = rows.withColumn("parts", parts).withColumn("shift", F.coalesce(F.sum(F.col("parts") - 1).over(before), F.lit(0)))
-    out = cells.join(moved.select(table, "row", "parts", "shift"), [table, "row"])
+    share = F.avg(F.when(F.col("opens") == 1, F.col("splits").cast("int"))).over(Window.partitionBy(table))
+    out = rows.withColumn("parts", F.when(F.col("splits") & (share >= least), F.col("most")).otherwise(1))
+    # a row's first cell counts for the row; the frame ends with the row itself, which does not move
+    out = out.withColumn("shift", F.sum((F.col("parts") - 1) * F.col("opens")).over(along) - (F.col("parts") - 1))
     lines = F.when(F.col("parts") > 1, F.transform("lines", lambda x: F.array(x))).otherwise(F.array("lines"))
     return out.select(table, "col", (F.col("row") + F.col("shift")).alias("base"), F.posexplode(lines).alias("k", "lines")).select(table, (F.col("base") + F.col("k")).cast("int").alias("row"), "col", F.array_join("lines", " ").alias("text"))
 

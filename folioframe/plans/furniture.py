@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import furniture as ops
-from .base import read
+from .base import read, tasks_for
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,8 @@ def anchor_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tables of two columns; every line but those with odd suppliers has two lines of text in both."""
     lines = F.when(F.col("l_suppkey") % 3 > 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("c")))
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("row")).agg(F.max("l_suppkey").alias("l_suppkey"))
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    rows = items.repartition(tasks_for(items), "l_orderkey").groupBy("l_orderkey", F.col("l_linenumber").alias("row")).agg(F.max("l_suppkey").alias("l_suppkey"))
     cells = rows.select("l_orderkey", "row", F.explode(F.array(F.lit(0), F.lit(1))).alias("col"), lines.alias("lines"))
     return ops.split_combined_rows(cells, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("cells"), F.max("row").alias("last"))
 

@@ -9,7 +9,7 @@ import pytest
 from test_queries import SF, rows
 
 from folioframe import plans
-from folioframe.operators import annotations
+from folioframe.operators import annotations, furniture
 from folioframe.operators.folds import folded
 from folioframe.plans import base
 
@@ -89,3 +89,11 @@ def test_small_runs_without_a_page_or_a_size(spark):
 def test_more_rows_are_more_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(base, "TASK_ROWS", 250)
     assert re.search(r"hashpartitioning\(page#\d+L?, 24\), REPARTITION_BY_NUM", plan_of(plans.QUERIES[name](spark, SF)))
+
+
+def test_split_rows_are_read_in_one_order(spark):
+    """Cells are joined with nothing, also where a row has one cell, unequal lines, or no number."""
+    cells = [("t", 1, 0, ["a", "b"]), ("t", 1, 1, ["c", "d"]), ("t", 2, 0, ["e"]), ("t", 2, 1, ["f", "g"]), ("t", 3, 0, ["h", "i"]), ("t", 3, 1, ["j", "k"]), ("t", None, 0, ["x"]), ("u", 1, 0, ["l", "m"]), (None, 1, 0, ["y"])]
+    out = furniture.split_combined_rows(spark.createDataFrame(cells, "tab string, row int, col int, lines array<string>"), "tab")
+    assert sorted(map(tuple, out.collect())) == [("t", 1, 0, "a"), ("t", 1, 1, "c"), ("t", 2, 0, "b"), ("t", 2, 1, "d"), ("t", 3, 0, "e"), ("t", 3, 1, "f g"), ("t", 4, 0, "h"), ("t", 4, 1, "j"), ("t", 5, 0, "i"), ("t", 5, 1, "k"), ("u", 1, 0, "l m")]
+    assert "Join" not in plan_of(out) and plan_of(plans.QUERIES["split_rows"](spark, SF)).count("Exchange") == 1
