@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import folio_segments, ladders, marginalia, reflow
-from .base import read
+from ..operators.trees import shared_table
+from .base import read, tasks_for
 from .numbering import pages_of
 
 
@@ -43,16 +44,18 @@ def locator_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reflowed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pages, orders as their blocks, line items as lines; every seventh part is a mark beside its line, some of them too far down for any."""
-    items = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("page")), "l_orderkey")
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    tasks = tasks_for(items)
+    items = items.repartition(tasks, "l_orderkey").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("page")), "l_orderkey")
     line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
-    rows = items.withColumn("line", line).withColumn("cy", F.col("l_orderkey") * 300.0 + F.col("line") * 30)
+    rows = shared_table(items.withColumn("line", line).withColumn("cy", F.col("l_orderkey") * 300.0 + F.col("line") * 30))
     lines = rows.select("page", F.col("l_orderkey").alias("block"), "line", "cy")
     kind = F.when(F.col("block") % 5 == 0, "Table").when(F.col("block") % 11 == 0, "PageHeader").otherwise("Text")
     blocks = lines.groupBy("page", "block").agg(F.avg("cy").alias("cy")).select("page", F.col("block").alias("id"), F.col("block").alias("ord"), kind.alias("type"), "cy")
     seventh = rows.where("l_partkey % 7 = 0")
     shift = F.when(F.col("l_partkey") % 3 == 0, 1e9 + F.col("line")).otherwise(F.col("l_suppkey") % 9 - 4.0)
     margins = seventh.select("page", (F.col("l_orderkey") * 1000 + F.col("line")).alias("id"), (F.col("l_suppkey") % 2 * 600.0).alias("cx"), (F.col("cy") + shift).alias("cy"))
-    done = reflow.reflowed(blocks, lines, margins, 12.0)
+    done = reflow.reflowed(blocks, lines, margins, 12.0, tasks).repartition(tasks, "page")
     place = F.row_number().over(Window.partitionBy("page").orderBy("at"))
     return done.select("page", place.alias("place"), "kind", "id", "block", "first", "last")
 

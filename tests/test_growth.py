@@ -1,5 +1,6 @@
 """Larger keys and larger groups than the smallest tables have."""
 
+import random
 import re
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from test_queries import SF, rows
 
 from folioframe import plans
-from folioframe.operators import annotations, furniture
+from folioframe.operators import annotations, furniture, reflow
 from folioframe.operators.folds import folded
 from folioframe.plans import base
 
@@ -97,3 +98,19 @@ def test_split_rows_are_read_in_one_order(spark):
     out = furniture.split_combined_rows(spark.createDataFrame(cells, "tab string, row int, col int, lines array<string>"), "tab")
     assert sorted(map(tuple, out.collect())) == [("t", 1, 0, "a"), ("t", 1, 1, "c"), ("t", 2, 0, "b"), ("t", 2, 1, "d"), ("t", 3, 0, "e"), ("t", 3, 1, "f g"), ("t", 4, 0, "h"), ("t", 4, 1, "j"), ("t", 5, 0, "i"), ("t", 5, 1, "k"), ("u", 1, 0, "l m")]
     assert "Join" not in plan_of(out) and plan_of(plans.QUERIES["split_rows"](spark, SF)).count("Exchange") == 1
+
+
+def test_marks_beside_the_nearest_are_not_paired(spark):
+    """Against all pairs, with ties, marks and parts without a height, and pages of only one of both."""
+    rng = random.Random(3)
+    parts = [(p, f"{p}-{i}", (float(i), p), rng.choice([None, *range(6)]), rng.choice(["Text", "Table", "PageFooter"])) for p in range(5) for i in range(rng.randrange(9) if p else 0)]
+    marks = [(p, i, 0.0, rng.choice([None, *(n / 2 for n in range(-1, 14))])) for p in range(6) for i in range(12)]
+    body = spark.createDataFrame([(p, b, at, None if cy is None else float(cy), t) for p, b, at, cy, t in parts], "page int, block string, at struct<ord double, line int>, cy double, type string")
+    got = reflow.beside_nearest(spark.createDataFrame(marks, "page int, id int, cx double, cy double"), body, lambda rows, *by: rows.repartition(3, *by))
+    assert "Join" not in plan_of(got)
+    want = {}
+    for page, i, _, cy in marks:
+        own = [x for x in parts if x[0] == page and x[4] != "PageFooter"]
+        high = [x for x in own if x[3] is not None and cy is not None] or own
+        want[page, i] = min(((abs(x[3] - cy) if x[3] is not None and cy is not None else 0, x[2], x[1]) for x in high), default=(0, 0, None))[2]
+    assert {(r["page"], r["id"]): r["n"] and r["n"]["block"] for r in got.collect()} == want
