@@ -163,11 +163,56 @@ def caption_groups(blocks: DataFrame, pages: DataFrame, share: float = 0.05) ->
     return found.select("page", F.col("id").alias("owner"), F.concat("kind", F.lit("Group")).alias("kind"), members.alias("members"), *(side(c, F.least if c[1] == "0" else F.greatest) for c in sides[2:]))
 
 
-def nearest_anchor(points: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
-    """id and the nearest anchor (anchor, ax, ay) of its group, ties to the lower one; anchors of a group are few beside its points."""
-    near = anchors.groupBy(by).agg(F.collect_list(F.struct("ax", "ay", "anchor")).alias("near"))
-    choice = F.array_min(F.transform("near", lambda a: F.struct(((F.col("x") - a["ax"]) * (F.col("x") - a["ax"]) + (F.col("y") - a["ay"]) * (F.col("y") - a["ay"])).alias("d"), a["anchor"].alias("anchor"))))
-    return points.join(near, by).select("id", choice["anchor"].alias("anchor"))
+def _tamed(x: Column, y: Column) -> tuple[Column, Column]:
+    """A point with a null, a NaN or an infinite part as one of the few that is as far from every anchor."""
+    null, nan, beyond = x.isNull() | y.isNull(), F.isnan(x) | F.isnan(y), lambda c: F.abs(c) == float("inf")
+    side = lambda c: F.when(null, None).when(nan, float("nan")).when((beyond(x) | beyond(y)) & ~beyond(c), 0.0).otherwise(c)
+    return side(x), side(y)
+
+
+def nearest_anchor(points: DataFrame, anchors: DataFrame, by: str, each: int = 2) -> DataFrame:
+    """id and the nearest anchor (anchor, ax, ay) of its group, ties to the lower one; anchors at no or an endless distance come last.
+
+    Points and anchors of one place are one. A group's box is cut into squares of `each` anchors in the mean; what a point meets in its
+    own and the eight squares around is the nearest if it is nearer than a square is wide. Points that are left go on with squares twice
+    as wide, and the last of them, and those without a distance, meet all anchors of their group.
+    """
+    from .trees import shared_table
+
+    x, y = _tamed(F.col("x").cast("double"), F.col("y").cast("double"))
+    spots = shared_table(points.where(F.col(by).isNotNull()).select(by, "id", x.alias("x"), y.alias("y")))
+    ax, ay = _tamed(F.col("ax").cast("double"), F.col("ay").cast("double"))
+    known = shared_table(anchors.where(F.col(by).isNotNull()).groupBy(by, ax.alias("ax"), ay.alias("ay")).agg(F.min("anchor").alias("anchor")))
+    finite = lambda *c: F.coalesce(sum((F.abs(F.col(x)) for x in c), F.lit(0.0)) < float("inf"), F.lit(False))
+    asked = spots.select(by, "x", "y").distinct()
+    placed = asked.where(finite("x", "y")).select(by, "x", "y", F.lit(0).alias("n")).unionByName(known.where(finite("ax", "ay")).select(by, F.col("ax").alias("x"), F.col("ay").alias("y"), F.lit(1).alias("n")))
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    cut = F.ceil(F.sqrt(F.sum("n") / each))
+    boxes = shared_table(placed.groupBy(by).agg(F.min("x").alias("lx"), F.min("y").alias("ly"), cut.alias("cut"), (F.when((span > 0) & (span < float("inf")), span).otherwise(1.0) / F.greatest(cut, F.lit(1))).alias("wide")))
+    away = lambda a: (F.col("x") - a["ax"]) * (F.col("x") - a["ax"]) + (F.col("y") - a["ay"]) * (F.col("y") - a["ay"])
+    best = F.array_min(F.transform("near", lambda a: F.struct(away(a).isNull().alias("none"), away(a).alias("d"), a["anchor"].alias("anchor"))))
+    listed = F.collect_list(F.struct("ax", "ay", "anchor")).alias("near")
+    most = boxes.agg(F.max("cut")).first()[0] or 0
+    left, done, times = asked, [], 1
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while times < most:
+        wide = F.col("wide") * times
+        square = lambda c, low: F.floor((F.col(c) - F.col(low)) / wide)  # noqa: B023, E731
+        around = lambda c, low: F.explode(F.sequence(square(c, low) - 1, square(c, low) + 1))
+        there = known.where(finite("ax", "ay")).join(boxes, by).withColumn("sx", around("ax", "lx")).withColumn("sy", around("ay", "ly")).groupBy(by, "sx", "sy").agg(listed)
+        here = left.join(boxes, by, "left").withColumns({"sx": square("x", "lx"), "sy": square("y", "ly")})
+        here = here.repartition(tasks, by, "sx", "sy")  # few rows that meet many: not put together again
+        # written before it is read, as Spark would else search the list anew for each use of the best
+        met = shared_table(here.join(there, [by, "sx", "sy"], "left").select(by, "x", "y", wide.alias("reach"), best.alias("best")))
+        near = F.coalesce(finite("x", "y") & (F.col("best.d") < F.pow(F.col("reach") * 0.999, 2)), F.lit(False))  # a little less, for squares told by rounded numbers
+        met = met.select(by, "x", "y", "best.anchor", near.alias("found"))
+        done.append(met.where("found").select(by, "x", "y", "anchor"))
+        left, times = met.where("not found").select(by, "x", "y"), times * 2
+    found = left.join(known.groupBy(by).agg(listed), by).select(by, "x", "y", best["anchor"].alias("anchor"))
+    for some in done:
+        found = found.unionByName(some)
+    found = found.select(F.col(by).alias("f_by"), F.col("x").alias("fx"), F.col("y").alias("fy"), "anchor")
+    return spots.join(found, (F.col(by) == F.col("f_by")) & F.col("x").eqNullSafe(F.col("fx")) & F.col("y").eqNullSafe(F.col("fy"))).select("id", "anchor")
 
 
 def height_figures(blocks: DataFrame, by: str, height: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from test_queries import SF, rows
 
 from folioframe import plans
-from folioframe.operators import annotations, furniture, reflow
+from folioframe.operators import annotations, furniture, layout, reflow
 from folioframe.operators.folds import folded
 from folioframe.plans import base
 
@@ -114,3 +114,18 @@ def test_marks_beside_the_nearest_are_not_paired(spark):
         high = [x for x in own if x[3] is not None and cy is not None] or own
         want[page, i] = min(((abs(x[3] - cy) if x[3] is not None and cy is not None else 0, x[2], x[1]) for x in high), default=(0, 0, None))[2]
     assert {(r["page"], r["id"]): r["n"] and r["n"]["block"] for r in got.collect()} == want
+
+
+def test_nearest_anchors_of_many_points(spark):
+    """Against all pairs: clusters and far points, points of one place, ties, groups without anchors, and parts that are null, NaN or infinite."""
+    rng = random.Random(7)
+    odd = [None, float("nan"), float("inf"), -float("inf")]
+    place = lambda: (rng.choice(odd), rng.random()) if rng.random() < 0.02 else (rng.gauss(0, 1), rng.gauss(0, 1)) if rng.random() < 0.6 else (float(rng.randrange(8)), float(rng.randrange(8))) if rng.random() < 0.9 else (rng.random() * 500, 3.0)
+    points = [(i, rng.choice([0, 0, 0, 1, None]), *place()) for i in range(1500)] + [(i, 2, *place()) for i in range(1500, 1520)] + [(i, 3, 1.0, 2.0) for i in range(1520, 1530)]
+    marks = [(g, i, x, y) for i, g, x, y in points if i % 4 == 0 and g in (0, 1)] + [(3, 9, None, 1.0), (3, 8, float("nan"), 1.0)]
+    got = layout.nearest_anchor(spark.createDataFrame(points, "id long, label int, x double, y double"), spark.createDataFrame(marks, "label int, anchor long, ax double, ay double"), "label")
+    con = duckdb.connect()
+    p, m = pd.DataFrame(points, columns=["id", "label", "x", "y"]), pd.DataFrame(marks, columns=["label", "anchor", "ax", "ay"])
+    values = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'::DOUBLE" for v in r) + ")" for r in rows)
+    want = con.execute(f"WITH p(id, label, x, y) AS (VALUES {values(points)}), m(label, anchor, ax, ay) AS (VALUES {values(marks)}) SELECT id::BIGINT, anchor::BIGINT FROM (SELECT id, anchor, row_number() OVER (PARTITION BY id ORDER BY (x - ax) * (x - ax) + (y - ay) * (y - ay), anchor) AS r FROM p JOIN m USING (label)) WHERE r = 1").fetchall()
+    assert len(p) > len(want) > len(m) and sorted(map(tuple, got.collect())) == sorted(want)
