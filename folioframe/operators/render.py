@@ -118,8 +118,8 @@ def source_markdown(rows: DataFrame) -> DataFrame:
 
 def text_layer_markdown(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """The fast path of a text layer: its lines cleaned, empty ones dropped, cut words joined, and what its quality asks for."""
-    lines = docs.select(ident, F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("line", fn.clean_line(F.col("line"))).where("line <> ''")
-    whole = lines.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("r"), F.sum(fn.visible(F.col("line"))).alias("visible"))
+    lines = docs.select(ident, F.posexplode(F.split(fn.nfc(fn.text_of(F.col(text))), "\n")).alias("n", "line")).withColumn("line", fn.clean_composed(F.col("line"))).where("line <> ''")
+    whole = lines.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("r"), F.sum(F.length(F.translate("line", " ", ""))).alias("visible"))
     joined = fn.repair_hyphens(F.array_join(F.transform("r", lambda x: x["line"]), "\n"))
     return whole.select(ident, joined.alias("markdown"), (F.col("visible") < 24).alias("sparse"))
 

@@ -10,7 +10,7 @@ import pytest
 from test_queries import SF, rows
 
 from folioframe import plans
-from folioframe.operators import annotations, furniture, layout, reflow
+from folioframe.operators import annotations, furniture, layout, reflow, render
 from folioframe.operators.folds import folded
 from folioframe.plans import base
 
@@ -129,3 +129,12 @@ def test_nearest_anchors_of_many_points(spark):
     values = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'::DOUBLE" for v in r) + ")" for r in rows)
     want = con.execute(f"WITH p(id, label, x, y) AS (VALUES {values(points)}), m(label, anchor, ax, ay) AS (VALUES {values(marks)}) SELECT id::BIGINT, anchor::BIGINT FROM (SELECT id, anchor, row_number() OVER (PARTITION BY id ORDER BY (x - ax) * (x - ax) + (y - ay) * (y - ay), anchor) AS r FROM p JOIN m USING (label)) WHERE r = 1").fetchall()
     assert len(p) > len(want) > len(m) and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_whole_texts_are_composed_before_lines(spark):
+    """One call of Python a document and not a line; marks do not compose over a line's end."""
+    docs = spark.createDataFrame([(0, "café au\ńlait\nᄀ\nᅡ e​́x-\nyz"), (1, None), (2, " \n")], "d int, t string")
+    out = render.text_layer_markdown(docs, "d", "t")
+    assert [tuple(r) for r in out.collect()] == [(0, "café au\ńlait\nᄀ\nᅡ éx-\nyz", True)]
+    plan = plan_of(out)
+    assert plan.index("Generate") < plan.index("ArrowEvalPython")
