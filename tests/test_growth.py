@@ -10,7 +10,7 @@ import pytest
 from test_queries import SF, rows
 
 from folioframe import plans
-from folioframe.operators import annotations, furniture, layout, reflow, render
+from folioframe.operators import annotations, furniture, layout, reflow, render, rich_markdown
 from folioframe.operators.folds import folded
 from folioframe.plans import base
 
@@ -138,3 +138,10 @@ def test_whole_texts_are_composed_before_lines(spark):
     assert [tuple(r) for r in out.collect()] == [(0, "café au\ńlait\nᄀ\nᅡ éx-\nyz", True)]
     plan = plan_of(out)
     assert plan.index("Generate") < plan.index("ArrowEvalPython")
+
+
+def test_markdown_of_pages_leaves_part_by_part():
+    """A batch of more signs than a part has comes out in several parts, each page once and in order."""
+    pages = pd.Series([f"<p>{i} {'x' * 400_000}</p>" for i in range(6)] + [None])
+    parts = list(rich_markdown.rich_markdown.func(iter([pages])))
+    assert len(parts) > 1 and [t.split(" ")[0] for p in parts for t in p] == ["0", "1", "2", "3", "4", "5", ""]
