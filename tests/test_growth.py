@@ -142,6 +142,6 @@ def test_whole_texts_are_composed_before_lines(spark):
 
 def test_markdown_of_pages_leaves_part_by_part():
     """A batch of more signs than a part has comes out in several parts, each page once and in order."""
-    pages = pd.Series([f"<p>{i} {'x' * 400_000}</p>" for i in range(6)] + [None])
+    pages = pd.Series([f"<p>{i} x</p><script>{'x' * 400_000}</script>" for i in range(6)] + [None])
     parts = list(rich_markdown.rich_markdown.func(iter([pages])))
     assert len(parts) > 1 and [t.split(" ")[0] for p in parts for t in p] == ["0", "1", "2", "3", "4", "5", ""]
