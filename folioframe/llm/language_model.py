@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, dropping_shuffles, utf8_size
+from .common import Scratch, dropping_shuffles, give_back, utf8_size
 
 #: The end of a text counts as a token; its key is no word's (words have the lowest bit set).
 END = 0
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words between the bytes x20 and x09-x0D, A-Z in lower case; the end comes on top."""
-    return (text or "").encode().lower().split()
+#: Bytes between words, and the bytes of a word that are hashed side by side with those of others.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+SIDE_BY_SIDE = 64
 
 
 def key(word: bytes) -> int:
@@ -29,6 +30,53 @@ def key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 1 | 1
 
 
+def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """64 bits of a context's hash."""
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h += np.asarray(b, np.uint64)
+    for shift, odd in ((32, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(odd)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+#: What a word's hash begins with, by its length; the bits that its last, cut eight bytes keep.
+LENGTHS = _mixed(np.arange(SIDE_BY_SIDE + 1, dtype=np.uint64), 1)
+KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def token_keys(texts: list[str | None]) -> np.ndarray:
+    """Keys of the words between the bytes x20 and x09-x0D, A-Z in lower case, END after each text's last.
+
+    Words are hashed eight bytes a step, all words of a step at once; those of more than SIDE_BY_SIDE bytes by `key`.
+    """
+    encoded = [(t or "").encode() for t in texts]
+    offsets = np.cumsum([1, *(len(t) + 1 for t in encoded)])[:-1]
+    data = b"".join([b" ", b" ".join(encoded).lower(), bytes([0x20]) * 8])
+    del encoded
+    blank = BLANK[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    del blank
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=1)
+    h = LENGTHS[np.minimum(size, SIDE_BY_SIDE)]
+    todo, at, left = np.arange(len(start)), start, size
+    for _ in range(0, SIDE_BY_SIDE, 8):
+        h[todo] = _mixed(h[todo], eight[at] & KEPT[np.minimum(left, 8)])
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    h = h >> np.uint64(1) | np.uint64(1)
+    for i in np.flatnonzero(size > SIDE_BY_SIDE).tolist():
+        h[i] = key(data[start[i] : start[i] + size[i]])
+    ends = np.append(np.searchsorted(start, offsets[1:]), len(start))
+    out = np.full(len(start) + len(texts), END, np.uint64)
+    out[np.arange(len(start)) + np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))] = h
+    return out
+
+
 @dataclass
 class Figures:
     """The training texts' tokens and types, and the discount of a token's own count."""
@@ -49,6 +97,8 @@ class Figures:
 
 #: Tokens that one lane of a walk takes; a text's lanes overlap by the two tokens that a state can hold.
 LANE, MEMORY = 512, 2
+#: Arcs that are made at once.
+ARCS_AT_ONCE = 500_000
 
 
 class Automaton:
@@ -64,39 +114,51 @@ class Automaton:
     def __init__(self, single: np.ndarray):
         self.size = len(single)
         self.single = np.log10(single)
-        self.start = np.zeros(self.size, np.int64)  # by word: the state after it, read in state 0
+        self.start = np.zeros(self.size, np.int32)  # by word: the state after it, read in state 0
         self.codes = np.zeros(0, np.int64)  # of arcs: state * size + word, rising
         self.weight = np.zeros(0)
-        self.next = np.zeros(0, np.int64)
-        self.fail = np.zeros(1, np.int64)
+        self.next = np.zeros(0, np.int32)
+        self.fail = np.zeros(1, np.int32)
         self.cost = np.zeros(1)
 
-    def add_pairs(self, first: np.ndarray, word: np.ndarray, own: np.ndarray, left: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Word states with their arcs. By pair: its words, the share its own count gives it, the mass its context leaves, and whether the context is one of training. Returns the pairs' probabilities."""
-        share = own + left * 10 ** self.single[word]
-        self.start[first[known]] = 1 + first[known]
-        self.fail, self.cost = np.zeros(1 + self.size, np.int64), np.zeros(1 + self.size)
-        self.cost[1 + first] = np.log10(left)
-        arcs = np.flatnonzero(own > 0)
-        self.codes, self.weight, self.next = (1 + first[arcs]) * self.size + word[arcs], np.log10(share[arcs]), self.start[word[arcs]]
-        self._pairs = arcs
+    def add_pairs(self, context: np.ndarray, of: np.ndarray, word: np.ndarray, own: np.ndarray, left: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Word states with their arcs. By context: its word, the mass it leaves, and whether it is one of training; by pair: its context's place, its word and the share its own count gives it. Returns the pairs' probabilities."""
+        share = left[of]
+        share *= 10 ** self.single[word]
+        share += own
+        entered = context[known]
+        self.start[entered] = 1 + entered
+        self.fail, self.cost = np.zeros(1 + self.size, np.int32), np.zeros(1 + self.size)
+        self.cost[1 + context] = np.log10(left)
+        self._pairs = arcs = np.flatnonzero(own > 0).astype(np.int32)
+        self.codes = (1 + context)[of[arcs]] * self.size
+        self.codes += word[arcs]
+        self.weight, self.next = np.log10(share[arcs]), self.start[word[arcs]]
         return share
 
-    def add_triples(self, pair: np.ndarray, word: np.ndarray, lower: np.ndarray, own: np.ndarray, left: np.ndarray, known: np.ndarray, second: np.ndarray, last: np.ndarray) -> None:
-        """Pair states with their arcs. By triple: its pair, its word, the word's probability after the pair's second word, own, left and known as above; last: the pair its last two words are. second: by pair, its second word."""
-        entered = np.zeros(len(second), bool)
-        entered[pair[known]] = True
-        states = 1 + self.size + np.arange(len(second))
-        to = np.where(entered, states, self.start[second])
+    def add_triples(self, context: np.ndarray, of: np.ndarray, word: np.ndarray, own: np.ndarray, left: np.ndarray, known: np.ndarray, second: np.ndarray, last: np.ndarray, chance: np.ndarray) -> None:
+        """Pair states with their arcs. By context: its pair, and left and known as above; by triple: of, word and own as above, and last, the pair its last two words are; by pair: second, its second word, and its probability."""
+        shorter = self.start[second]
+        to = shorter.copy()
+        to[context[known]] = 1 + self.size + context[known]
         self.next = to[self._pairs]
-        self.fail = np.concatenate([self.fail, self.start[second]])
+        del self._pairs
+        self.fail = np.concatenate([self.fail, shorter])
+        del shorter
         cost = np.zeros(len(second))
-        cost[pair] = np.log10(left)
+        cost[context] = np.log10(left)
         self.cost = np.concatenate([self.cost, cost])
-        arcs = np.flatnonzero(own > 0)
-        self.codes = np.concatenate([self.codes, states[pair[arcs]] * self.size + word[arcs]])
-        self.weight = np.concatenate([self.weight, np.log10(own[arcs] + left[arcs] * lower[arcs])])
-        self.next = np.concatenate([self.next, to[last[arcs]]])
+        del cost
+        n, arcs = len(self.codes), np.flatnonzero(own > 0).astype(np.int32)
+        for name in ("codes", "weight", "next"):
+            before = getattr(self, name)
+            setattr(self, name, np.concatenate([before, np.zeros(len(arcs), before.dtype)]))
+        for at in range(0, len(arcs), ARCS_AT_ONCE):
+            some = arcs[at : at + ARCS_AT_ONCE]
+            place, mine = slice(n + at, n + at + len(some)), of[some]
+            self.codes[place] = (1 + self.size + context[mine]) * self.size + word[some]
+            self.weight[place] = np.log10(own[some] + left[mine] * chance[last[some]])
+            self.next[place] = to[last[some]]
 
     def walk(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
         """log10 probability of each text of a line of tokens: one pass from left to right that carries the state.
@@ -143,14 +205,6 @@ class Automaton:
         return np.bincount(of[order], total, len(length))
 
 
-def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    """64 bits of a context's hash."""
-    h = a * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64)
-    for shift, odd in ((32, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F)):
-        h = (h ^ h >> np.uint64(shift)) * np.uint64(odd)
-    return h ^ h >> np.uint64(32)
-
-
 def _packed(values: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each value."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
@@ -162,6 +216,16 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Counts, compressed after all their lowest bytes, then all the next ones: most are small."""
+    return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
+
+
+def _spread(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 class Order:
     """A batch's distinct n-grams of one order, sorted by context; the order is that of the words' keys,
     so it is the same whenever the batch is read, whatever the order of its rows.
@@ -198,29 +262,14 @@ class Line:
     """The tokens of a batch of texts in one line, as ranks of their words' keys (the end is 0)."""
 
     def __init__(self, texts, parts: int):
-        place: dict[bytes, int] = {b"": 0}
-        codes: list[np.ndarray] = []
-        words: list[bytes] = []
-
-        def number() -> None:
-            # distinct words of a stretch first, so that only these pass through the dictionary
-            found = pa.array(words, pa.binary()).dictionary_encode()
-            known = found.dictionary.to_numpy(zero_copy_only=False)
-            codes.append(np.fromiter((place.setdefault(w, len(place)) for w in known), np.int32, len(known))[found.indices.to_numpy()])
-            words.clear()
-
-        for value in texts:
-            words += tokens(value)
-            words.append(b"")  # the end, which no word is
-            if len(words) >= WORDS_AT_ONCE:
-                number()
-        if words:
-            number()
-        del place[b""]
-        self.keys, rank = np.unique(np.append(np.uint64(END), np.fromiter(map(key, place), np.uint64, len(place))), return_inverse=True)
-        del place
-        self.x = rank.astype(np.int32)[np.concatenate(codes)]
-        del codes
+        texts = list(texts)
+        # few texts at a time, so that their bytes are never held again as a whole
+        upto = np.cumsum([len(t or "") for t in texts]) // TEXT_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+        found = pa.array(np.concatenate([token_keys(texts[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])).dictionary_encode()
+        self.keys, rank = np.unique(np.append(np.uint64(END), found.dictionary.to_numpy()), return_inverse=True)
+        self.x = rank.astype(np.int32)[1:][found.indices.to_numpy()]
+        del found
         self.length = np.diff(np.flatnonzero(self.x == 0), prepend=-1).astype(np.int64)
         self.parts = parts
 
@@ -237,14 +286,16 @@ class Line:
         places = places[x[places + 1] > 0]
         codes = pair[places].astype(np.int64) * size + x[places + 2]
         del pair
-        yield 3, Order(codes, places, size, self.parts, lambda g: _mixed(keys[first[g]], keys[second[g]]))
+        three = [Order(codes, places, size, self.parts, lambda g: _mixed(keys[first[g]], keys[second[g]]))]
+        del codes, places, first, second
+        yield 3, three.pop()
 
 
 ASKED = "b int, p int, n int, keys binary, counts binary"
 ANSWERED = "b int, p int, n int, found binary, total long, types long, n1 long, n2 long"
 #: Of a context's hash, beside the two bytes that choose its part; of a word's key.
 CONTEXT_BYTES, WORD_BYTES = 6, 5
-GRAMS_AT_ONCE, WORDS_AT_ONCE = 4_000_000, 500_000
+GRAMS_AT_ONCE, TEXT_AT_ONCE = 4_000_000, 1 << 20
 
 
 def _ask(rows: pd.DataFrame, parts: int, size: int) -> pd.DataFrame:
@@ -260,8 +311,10 @@ def _ask(rows: pd.DataFrame, parts: int, size: int) -> pd.DataFrame:
         for part in np.unique(order.part).tolist():
             contexts, grams = order.asked(part)
             keys = _packed(order.hash[contexts], CONTEXT_BYTES) + _packed(line.keys[order.word[grams]] >> np.uint64(1), WORD_BYTES)
-            out.append((rows["b"].iloc[0], part, n, keys, zlib.compress(sizes[contexts].tobytes() + counts[grams].tobytes(), 1)))
+            out.append((rows["b"].iloc[0], part, n, keys, _squeezed(np.concatenate([sizes[contexts], counts[grams]]))))
         break
+    line = order = counts = None
+    give_back()
     return pd.DataFrame(out, columns=["b", "p", "n", "keys", "counts"])
 
 
@@ -281,7 +334,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         asked = []
         contexts = []
         for keys, packed in zip(group["keys"], group["counts"], strict=True):
-            numbers = np.frombuffer(zlib.decompress(packed), "<u4")
+            numbers = _spread(packed, "<u4")
             # both lengths are sums over the contexts and the n-grams: two equations
             size = (len(keys) - WORD_BYTES * len(numbers)) // (CONTEXT_BYTES - WORD_BYTES)
             contexts.append(_unpacked(keys[: CONTEXT_BYTES * size], CONTEXT_BYTES))
@@ -310,25 +363,29 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         if n == 2:  # the contexts are the words, each in one part
             figures = [int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2))]
         for b, of, result in zip(group["b"], back, found, strict=True):
-            data = result.tobytes() + total[of].astype("<u8").tobytes() + types[of].astype("<u8").tobytes()
-            out.append((b, rows["p"].iloc[0], n, zlib.compress(data, 1), None, None, None, None))
+            data = _squeezed(np.concatenate([result, total[of].astype("<u8"), types[of].astype("<u8")]))
+            out.append((b, rows["p"].iloc[0], n, data, None, None, None, None))
     out.append((-1, rows["p"].iloc[0], 0, None, *figures))
     frame = pd.DataFrame(out, columns=["b", "p", "n", "found", "total", "types", "n1", "n2"])
     return frame.astype({c: "Int64" for c in ("total", "types", "n1", "n2")})
 
 
 def _settled(order: Order, answers: pd.DataFrame, cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By n-gram of the batch: its arc's own share and the mass its context's failure arc keeps; by context: its count."""
+    """By n-gram of the batch: its arc's own share; by context: the mass its failure arc keeps, and its count."""
     count = np.zeros(len(order.word))
     total, types = np.zeros(len(order.context)), np.zeros(len(order.context))
     for part, data in zip(answers["p"].tolist(), answers["found"], strict=True):
         contexts, grams = order.asked(part)
-        numbers = np.frombuffer(zlib.decompress(data), "<u8")
+        numbers = _spread(data, "<u8")
         count[grams] = numbers[: len(grams)]
         total[contexts], types[contexts] = numbers[len(grams) :].reshape(2, -1)
+    del order.hash, order.part, order.contexts, order.grams  # nothing more is asked
     seen = np.maximum(total, 1)
     left = np.where(total > 0, np.maximum(cut * types / seen, 1e-9), 1.0)
-    return np.maximum(count - cut, 0) / seen[order.of], left[order.of], total
+    count -= cut
+    np.maximum(count, 0, out=count)
+    count /= seen[order.of]
+    return count, left, total
 
 
 def score_batch(line: Line, found: pd.DataFrame, figures: Figures, ends: int, cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -342,15 +399,18 @@ def score_batch(line: Line, found: pd.DataFrame, figures: Figures, ends: int, cu
             base = np.add.reduceat(figures.base(count)[x], at)
             known = np.add.reduceat((count > 0)[x].astype(np.int64), at)
             automaton = Automaton(figures.single(count))
-            first, second = order.context[order.of].astype(np.int64), order.word.astype(np.int64)
-            chance = automaton.add_pairs(first, second, own, left, (seen > 0)[order.of])
+            second = order.word
+            chance = automaton.add_pairs(order.context, order.of, second, own, left, seen > 0)
             pair = np.zeros(len(x), np.int32)  # by place: the pair that begins there
             pair[order.places] = order.at
         else:
-            last = np.zeros(len(order.word), np.int64)
+            last = np.zeros(len(order.word), np.int32)
             last[order.at] = pair[order.places + 1]
-            automaton.add_triples(order.context[order.of].astype(np.int64), order.word.astype(np.int64), chance[last], own, left, (seen > 0)[order.of], second, last)
-        del order
+            del pair, order.at, order.places
+            automaton.add_triples(order.context, order.of, order.word, own, left, seen > 0, second, last, chance)
+            del second, last, chance
+        del order, own, left, seen
+    give_back()
     return known, base, automaton.walk(x, line.length)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 from collections import Counter, defaultdict
@@ -511,6 +512,40 @@ def test_walk_in_lanes_carries_the_state(texts, monkeypatch):
     np.testing.assert_allclose(language_model.score_batch(line, found[found["b"] == 0], figures, len(texts), 0.75)[2], one)
 
 
+def test_keys_tell_the_words_apart():
+    signs = ["a", "B", "é", " ", "\n", "\x0b", "\x1c", "\x85", "z\0", "\0", "w" * 9, "q" * 64, "q" * 65, "Q" * 130, "\u2003"]
+    rng = np.random.default_rng(8)
+    given = [None, "", *("".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 500)), " ", None]
+    want = [w for t in given for w in [*(t or "").encode().lower().split(), None]]
+    keys = language_model.token_keys(given).tolist()
+    assert len(keys) == len(want) and all((k == language_model.END) == (w is None) for k, w in zip(keys, want, strict=True))
+    assert len(set(keys)) == len(set(want)) == len(set(zip(keys, want, strict=True)))
+    assert len(language_model.token_keys([])) == 0
+
+
+def test_counts_travel_small():
+    counts = np.random.default_rng(10).zipf(1.6, 50_000).clip(max=1 << 40).astype("<u8")
+    data = language_model._squeezed(counts)
+    assert (language_model._spread(data, "<u8") == counts).all() and len(data) < 0.75 * len(zlib.compress(counts.tobytes(), 1))
+    assert len(language_model._spread(language_model._squeezed(counts[:0]), "<u8")) == 0
+
+
+def test_memory_of_a_walk():
+    rng = np.random.default_rng(9)
+    given = [" ".join(f"w{i}" for i in (rng.pareto(0.6, 400) * 5).astype(np.int64)) for _ in range(400)]
+    asked = pd.concat([language_model._ask(pd.DataFrame({"b": 0, "text": given, "train": True}), 1, n) for n in (2, 3)])
+    found = language_model._answer(asked)
+    figures = language_model.Figures(sum(len(t.split()) + 1 for t in given), 50_000, 0.6)
+    tracemalloc.start()
+    try:
+        line = language_model.Line(given, 1)
+        language_model.score_batch(line, found[found["b"] == 0], figures, len(given), 0.75)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak / len(line.x) < 112  # bytes a token; 132 before the triples' arcs were made piece by piece
+
+
 def test_scores_by_the_formula(spark, texts):
     given = [t for t in texts if t is None or len(t) < 3000]
     got = {r["doc_id"]: r["score"] for r in language_model.score_texts(table(spark, given), F.col("doc_id") % 10 != 0, batch_bytes=9_000).collect()}
