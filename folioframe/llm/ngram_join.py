@@ -41,6 +41,15 @@ def found_share(links: dict[float, int], depth: int, threshold: float) -> float:
     return sum(known.values()) / sum(n / meeting(max(s, threshold), depth) for s, n in known.items())
 
 
+def next_depth(links: dict[float, int], depth: int, threshold: float, recall: float) -> int:
+    """The longest prefix under `depth` that is to tell of that recall, going by the links found at `depth`: those between cost a comparison each and would not end the search."""
+    for shorter in range(depth - 1, 1, -1):
+        likely = {s: n * meeting(max(s, threshold), shorter) / meeting(max(s, threshold), depth) for s, n in links.items()}
+        if found_share(likely, shorter, threshold) >= recall:
+            return shorter
+    return 1
+
+
 def shingles(text: str, words: int = 5) -> np.ndarray:
     """Hashes of the distinct word n-grams; a text of fewer words has one, of all of them; none without words."""
     h = word_hashes(text)
@@ -317,7 +326,9 @@ def _classes(df: DataFrame, text: str = "text", ident: str = "doc_id", threshold
     signed = scratch.write(_signed(docs, words))
     nodes = scratch.write(signed.groupBy("node").agg(F.min("id").alias("rep"), F.min("given").alias("low"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("signature").alias("signature")))
     before = verified = mark = None
-    for depth in range(MAX_DEPTH, 0, -1):
+    depth, seen = MAX_DEPTH + 1, {}
+    while depth > 1:
+        depth = MAX_DEPTH if depth > MAX_DEPTH else next_depth(seen, depth, threshold, recall)
         hung, now_mark = _hung(nodes, depth, scratch)
         if now_mark == mark:  # nothing more hangs together than at the longer prefix
             if found_share(seen, depth, threshold) >= recall:
@@ -362,7 +373,7 @@ def jaccard_classes(df: DataFrame, text: str = "text", ident: str = "doc_id", th
 
     TREES prefix tries hold the signatures. Matching starts at whole paths; while the links found
     tell by their similarities that more than 1 - `recall` of all are missed, the matched prefix is
-    shortened by one minimum and the groups that have grown are compared again. Comparison is exact:
+    shortened to where they tell of enough and the groups that have grown are compared again. Comparison is exact:
     set against set in blocks of bounded bytes, and in groups of more than a block only the pairs
     that the distances to the group's pivot leave open. Only counts and roots leave a task, never pairs.
     """
