@@ -43,7 +43,8 @@ class Merger:
         self.ranks = ranks
         self.shift = shift = max(ranks.values(), default=0).bit_length()
         self.pairs = {ranks[t[:i]] << shift | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.single = [ranks[bytes([i])] for i in range(256)]
+        self.single = single = [ranks[bytes([i])] for i in range(256)]
+        self.first = [[self.pairs.get(a << shift | b) for b in single] for a in single]  # of two bytes, with which every piece begins
         self.blank = [0] * ((max(ranks.values(), default=0) >> WORD_BITS) + 1)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -58,15 +59,16 @@ class Merger:
             return (whole,)
         n, shift, find = len(piece), self.shift, self.pairs.get
         single = self.single
-        token = [single[x] for x in piece]
+        token = list(map(single.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [-1] * n  # the rank a position's pair has now; -1: none, or the position is merged away
         buckets: dict[int, list[int]] = {}
         lower = self.blank[:]
         upper = 0
-        i, left = 0, token[0]
-        for right in token[1:]:
-            rank = find(left << shift | right)
+        i, first = 0, self.first
+        follows = first[piece[0]]
+        for right in piece[1:]:
+            rank = follows[right]
             if rank is not None:
                 pair[i] = rank
                 if rank in buckets:
@@ -77,7 +79,7 @@ class Merger:
                     lower[word] |= BIT[rank & WORD_MASK]
                     upper |= BIT[word]
             i += 1
-            left = right
+            follows = first[right]
         while upper:
             word = (upper & -upper).bit_length() - 1
             bits = lower[word]

@@ -578,6 +578,20 @@ def test_memory_of_a_walk():
     assert peak / len(line.x) < 112  # bytes a token; 132 before the triples' arcs were made piece by piece
 
 
+def test_pairs_of_bytes_are_read_by_place():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return dict.get(self, key, default)
+
+    merger = bpe.Merger({**{bytes([i]): i for i in range(256)}, b"ab": 256, b"abc": 257})
+    merger.pairs = Counted(merger.pairs)
+    assert merger.merge(b"xyzzy" * 20) == tuple(b"xyzzy" * 20) and merger.pairs.asked == 0
+    assert merger.merge(b"xabcab") == (ord("x"), 257, 256) and 0 < merger.pairs.asked < 8
+
+
 def test_scores_by_the_formula(spark, texts):
     given = [t for t in texts if t is None or len(t) < 3000]
     got = {r["doc_id"]: r["score"] for r in language_model.score_texts(table(spark, given), F.col("doc_id") % 10 != 0, batch_bytes=9_000).collect()}
